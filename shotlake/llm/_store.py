@@ -30,3 +30,25 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def filesystem(uri: str):
+    """(pyarrow file system, path) of a URI or path, for workers; Spark's own readers are used wherever rows will do."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        uri = "file:///" + uri[5:].lstrip("/")
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
+def write_atomically(uri: str, chunks) -> int:
+    """Writes chunks of bytes to a new name and renames it to uri at the end; bytes written."""
+    fs, path = filesystem(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    at, n = f"{path}.{uuid.uuid4().hex}", 0
+    with fs.open_output_stream(at, compression=None) as out:
+        for chunk in chunks:
+            out.write(chunk)
+            n += len(chunk)
+    fs.move(at, path)
+    return n

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotlake.llm import ngram_jaccard
+from shotlake.llm import bitplanes, ngram_jaccard, packing
+from shotlake.llm._store import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,26 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join,)}
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: sequences of at most 2048 tokens."""
+    found = packing.packed_documents(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32, read back from the written token file."""
+    path = new_path(spark, "tokens")
+    bitplanes.write_token_file(_table(spark, sf_dir, "documents"), path, _vocabulary("word_bpe_49k.json"), end_id=1)
+    found = bitplanes.read_token_file(spark, path)
+    return found.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op8_token_planes)}
 
 ORACLE_SQL: dict[str, str] = {}
