@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotlake.llm import bitplanes, ngram_jaccard, packing
+from shotlake.llm import bitplanes, ngram_jaccard, packing, warc
 from shotlake.llm._store import new_path
 
 
@@ -33,6 +33,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, read back from the written archives."""
+    path = new_path(spark, "warc")
+    warc.write_warc(_table(spark, sf_dir, "pages"), path, least_bytes=0)
+    found = warc.read_warc(spark, path, payload="check").where(F.col("type").isin("response", "revisit"))
+    return found.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+
+
 def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, read back from the written token file."""
     path = new_path(spark, "tokens")
@@ -41,6 +49,6 @@ def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op8_token_planes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op6_warc, op8_token_planes)}
 
 ORACLE_SQL: dict[str, str] = {}
