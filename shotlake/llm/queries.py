@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotlake.llm import bitplanes, ngram_jaccard, packing, warc
+from shotlake.llm import bitplanes, language_id, ngram_jaccard, packing, token_counts, warc
 from shotlake.llm._store import new_path
 
 
@@ -33,6 +33,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_tokens: greedy longest-match pieces of each whole text."""
+    found = token_counts.token_counts(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, read back from the written archives."""
     path = new_path(spark, "warc")
@@ -41,6 +47,14 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score; learned from the other two folds of three."""
+    docs = _table(spark, sf_dir, "documents")
+    out = language_id.held_out("doc_id", 3, 1)
+    found = language_id.identified(docs.select("doc_id", "text", out.alias("held_out")), docs.where(~out))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, read back from the written token file."""
     path = new_path(spark, "tokens")
@@ -49,6 +63,6 @@ def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op6_warc, op8_token_planes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op5_token_counts, op6_warc, op7_language_id, op8_token_planes)}
 
 ORACLE_SQL: dict[str, str] = {}
