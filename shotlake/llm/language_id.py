@@ -18,16 +18,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotlake.llm._text import SPACE, slices, utf8
+from shotlake.llm._text import slices, utf8
 
-#: Bytes as they are compared: white space alike, digits alike, A-Z lower-cased.
+#: Bytes as they are compared: A-Z lower-cased, ASCII other than letters as a space.
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
-FOLD[SPACE] = 32
-FOLD[48:58] = 48
+FOLD[[c for c in range(128) if not chr(c).isalpha()]] = 32
 PAD, UNSEEN = 0, 1
 
 
+def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Folded bytes with each run of spaces as one, and where each text now begins."""
+    data = FOLD[data]
+    keep = np.ones(len(data), bool)
+    keep[1:] = (data[1:] != 32) | (data[:-1] != 32)
+    return data[keep], np.append(0, np.cumsum(keep))[offsets]
+
+
 def suffix_automaton(text: bytes) -> list[dict[int, int]]:
     """Transitions of each state of the suffix automaton of text; state 0 is the start."""
     moves, link, length, last = [{}], [-1], [0], 0
@@ -67,12 +74,12 @@ class Model:
 
 def fit(samples: dict[str, bytes]) -> Model:
     """A model of equally long samples by language."""
-    folded = {k: FOLD[np.frombuffer(v, np.uint8)].tobytes() for k, v in sorted(samples.items()) if v}
-    seen = sorted(set(b"".join(folded.values())))
+    texts = {k: folded(np.frombuffer(v, np.uint8), np.zeros(1, np.int64))[0].tobytes() for k, v in sorted(samples.items()) if v}
+    seen = sorted(set(b"".join(texts.values())))
     symbols = np.full(256, UNSEEN, np.uint8 if len(seen) < 254 else np.uint16)
     symbols[seen] = np.arange(len(seen)) + 2
     width, tables = len(seen) + 2, []
-    for text in folded.values():
+    for text in texts.values():
         moves = suffix_automaton(text)
         table = np.zeros((len(moves), width), np.int32)
         start = np.zeros(width, np.int64)
@@ -87,12 +94,12 @@ def fit(samples: dict[str, bytes]) -> Model:
                 table[state, symbols[c]] = target * width * 4
         table[:, PAD] = np.arange(len(moves)) * width * 4
         tables.append(table.reshape(-1))
-    return Model(list(folded), symbols, width, tables)
+    return Model(list(texts), symbols, width, tables)
 
 
 def phrases(model: Model, column: pa.Array, block: int) -> np.ndarray:
     """Number of phrases of each text for each language."""
-    data, offsets = utf8(column)
+    data, offsets = folded(*utf8(column))
     length = np.diff(offsets)
     blocks = -(-length // block)
     text = np.repeat(np.arange(len(length)), blocks)
@@ -101,7 +108,7 @@ def phrases(model: Model, column: pa.Array, block: int) -> np.ndarray:
     size = np.minimum(block, offsets[text + 1] - begin)
     order = np.argsort(-size, kind="stable")
     text, begin, size = text[order], begin[order], size[order]
-    symbols = model.symbols[FOLD[data]]
+    symbols = model.symbols[data]
     out = np.zeros((len(length), len(model.languages)), np.int64)
     steps = int(size[0]) if len(size) else 0
     live = np.searchsorted(-size, -np.arange(steps), "left")  # blocks longer than t

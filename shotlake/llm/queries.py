@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotlake.llm import bitplanes, language_id, ngram_jaccard, packing, token_counts, warc
+from shotlake.llm import bitplanes, language_id, ngram_jaccard, packing, quality, token_counts, warc
 from shotlake.llm._store import new_path
 
 
@@ -33,6 +33,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, base statistics, base_failed, score and kept for each document."""
+    found = quality.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_tokens: greedy longest-match pieces of each whole text."""
     found = token_counts.token_counts(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
@@ -63,6 +69,6 @@ def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op5_token_counts, op6_warc, op7_language_id, op8_token_planes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op4_quality_rules, op5_token_counts, op6_warc, op7_language_id, op8_token_planes)}
 
 ORACLE_SQL: dict[str, str] = {}
