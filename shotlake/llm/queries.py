@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotlake.llm import bitplanes, language_id, ngram_jaccard, packing, quality, token_counts, warc
-from shotlake.llm._store import new_path
+from shotlake.llm import bitplanes, chat, language_id, ngram_jaccard, packing, quality, token_counts, warc
+from shotlake.llm._store import kept, new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the written windows."""
+    saying = spark.sql("SELECT -7L AS conv_id, t.turn, t.role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(saying)
+    return chat.read_back(kept(chat.format_conversations(rows, _vocabulary("word_bpe_49k.json")), "chat"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, base statistics, base_failed, score and kept for each document."""
     found = quality.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -69,6 +76,9 @@ def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op4_quality_rules, op5_token_counts, op6_warc, op7_language_id, op8_token_planes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op3_chat_formatting, op4_quality_rules, op5_token_counts, op6_warc, op7_language_id, op8_token_planes)}
+
+_TURNS = """SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'"""
 
 ORACLE_SQL: dict[str, str] = {}
