@@ -85,12 +85,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(column: pa.Array, lower: bool = True) -> Words:
+def words(column: pa.Array, lower: bool = True, space: np.ndarray = SPACE) -> Words:
+    """The words of each text: runs of bytes that are not space."""
     data, offsets = utf8(column)
     if lower:
         data = LOWER[data]
     n = len(data)
-    ink = ~SPACE[data]
+    ink = ~space[data]
     begin = np.ones(n + 1, bool)
     begin[1:n] = ~ink[:-1]
     begin[offsets] = True
