@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotlake.llm import bitplanes, chat, decontaminate, language_id, ngram_jaccard, packing, quality, token_counts, warc
+from shotlake.llm import bitplanes, chat, decontaminate, katz, language_id, ngram_jaccard, packing, quality, token_counts, warc
 from shotlake.llm._store import kept, new_path
 
 
@@ -76,13 +76,19 @@ def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learned from the other four folds of five."""
+    found = katz.scored(_table(spark, sf_dir, "documents"), ~language_id.held_out("doc_id", 5, 1))
+    return found.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, start_word, end_word, edits: the benchmark items that documents hold."""
     found = decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op3_chat_formatting, op4_quality_rules, op5_token_counts, op6_warc, op7_language_id, op8_token_planes, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op3_chat_formatting, op4_quality_rules, op5_token_counts, op6_warc, op7_language_id, op8_token_planes, op9_katz_lm, op10_decontamination)}
 
 _TURNS = """SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
 UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'"""
