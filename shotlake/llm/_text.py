@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK = 4 << 20
+HASH_BLOCK = 1 << 19  # bytes that are hashed at once, eight bytes of work space each, several times
 U64 = np.uint64
 
 SPACE = np.zeros(256, bool)
@@ -105,7 +106,7 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     i = 0
     while i < len(start):
         at = start[i]
-        j = max(i + 1, int(np.searchsorted(end, at + BLOCK, "right")))
+        j = max(i + 1, int(np.searchsorted(end, at + HASH_BLOCK, "right")))
         n = int(end[j - 1] - at)
         sums = np.zeros(n + 1, U64)
         np.cumsum(_BYTE[data[at : at + n]] * _power(_BASE, n), out=sums[1:])

@@ -14,7 +14,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from shotlake.llm._text import U64, words
+from shotlake.llm._text import U64, utf8, words
 
 _encoders: dict[str, Encoder] = {}
 
@@ -35,25 +35,26 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known, self.start, self.size = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known, self.start, self.size = np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.uint32)
 
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        for i in range(0, len(pieces), 20_000):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[i : i + 20_000], add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            start = len(self.pool) + np.cumsum(size) - size
-            self.pool = np.concatenate([self.pool, np.fromiter((x for e in ids for x in e), np.uint32, int(size.sum()))])
-            self.known = np.concatenate([self.known, hashes[i : i + 20_000]])
-            self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, size])
-        order = np.argsort(self.known, kind="stable")
-        self.known, self.start, self.size = self.known[order], self.start[order], self.size[order]
+        """Adds pieces by their ascending hashes; encodings are dropped as soon as their ids are copied."""
+        sizes, ids = [], [self.pool]
+        for i in range(0, len(pieces), 2_000):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[i : i + 2_000], add_special_tokens=False)]
+            sizes += map(len, found)
+            ids.append(np.fromiter((x for e in found for x in e), np.uint32))
+        size = np.array(sizes, np.int32)
+        start = len(self.pool) + np.cumsum(size) - size
+        self.pool = np.concatenate(ids)
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.start, self.size = np.insert(self.known, at, hashes), np.insert(self.start, at, start), np.insert(self.size, at, size)
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, uint32, and where each text's begin; one more offset than texts.  Null counts as empty."""
-        w = words(column, lower=False)
-        if b"<|" not in w.data.tobytes():  # else a special token's string could arise from capitals
-            w = words(column, lower=True)
+        special = b"<|" in utf8(column)[0].tobytes()  # then a special token's string could arise from capitals
+        w = words(column, lower=not special)
         seen, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
         if len(self.known) > self.most:
             self._clear()
@@ -63,7 +64,7 @@ class Encoder:
             raw = w.data.tobytes()
             self._learn(seen[new], [raw[w.start[i] : w.end[i]].decode("utf-8", "replace") for i in first[new]])
             at = np.searchsorted(self.known, seen)
-        sizes = self.size[at][back] if len(seen) else np.zeros(0, np.int64)
+        sizes = self.size[at][back].astype(np.int64) if len(seen) else np.zeros(0, np.int64)
         ends = np.append(0, np.cumsum(sizes))
         begin = self.start[at][back] - ends[:-1] if len(seen) else np.zeros(0, np.int64)
         return self.pool[np.repeat(begin, sizes) + np.arange(ends[-1])], ends[w.first]

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from shotlake.llm._store import filesystem, write_atomically
+from shotlake.llm._store import filesystem, modest_batches, write_atomically
 from shotlake.llm._text import slices
 from shotlake.llm._tokens import encoder, with_end
 
@@ -189,6 +189,8 @@ class TokenPlanesReader(DataSourceReader):
         return out
 
     def read(self, partition):
+        if partition is None:  # no files
+            return
         fs, path = filesystem(partition.uri)
         with fs.open_input_file(path) as file:
             rows, held = [], 0
@@ -227,7 +229,7 @@ def encode_documents(df: DataFrame, vocabulary: str, id_col: str, text_col: str,
 
     def run(batches):
         encode = encoder(vocabulary)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 2 << 20):
             ids, offsets = with_end(*encode(b.column(1)), end_id)
             raw = pa.py_buffer(ids.astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((offsets * 4).astype(np.int32).tobytes()), raw])], ["doc_id", "ids"])
@@ -242,6 +244,7 @@ def write_token_file(df: DataFrame, path: str, vocabulary: str, id_col: str = "d
     Null and empty texts are the end id alone; equal ids lie side by side in
     order of text; an empty df gives no shards.  Other columns are left out.
     """
+    modest_batches(df.sparkSession)
     df.sparkSession.dataSource.register(TokenPlanes)
     encode_documents(df, vocabulary, id_col, text_col, end_id).write.format("token_planes").mode("append").options(path=path, planes=planes, blockids=block_ids).save()
 

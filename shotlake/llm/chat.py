@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shotlake.llm._store import modest_batches
 from shotlake.llm._text import slices
 from shotlake.llm._tokens import encoder
 
@@ -143,6 +144,7 @@ def format_conversations(df: DataFrame, vocabulary: str, budget: int = 1024, his
     repeated counts the turns at a window's head that stand in earlier ones;
     loss has code-point ranges of its text.  An empty df gives no windows.
     """
+    modest_batches(df.sparkSession)
     rows = df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     schema = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("text", pa.string()), ("first_turn", pa.int64()), ("repeated", pa.int32()), ("n_tokens", pa.int64()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
@@ -151,7 +153,7 @@ def format_conversations(df: DataFrame, vocabulary: str, budget: int = 1024, his
 
         def windows():
             now = None
-            for b in slices(batches, "text"):
+            for b in slices(batches, "text", 2 << 20):
                 tokens = np.diff(encode(b.column(3))[1]) + TURN_TOKENS
                 for conv_id, role, text, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), tokens.tolist(), strict=True):
                     if now is None or conv_id != now.conv_id:

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shotlake.llm._store import modest_batches
 from shotlake.llm._text import slices, utf8
 
 #: Bytes as they are compared: A-Z lower-cased, ASCII other than letters as a space.
@@ -155,6 +156,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     text if there is no language.  Ties go to the first language by name.  With
     one language only the score is 1.  Other columns and repeated rows stay.
     """
+    modest_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     columns = [c for c in df.columns if c not in ("lang_pred", "score")]
 

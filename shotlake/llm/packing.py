@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotlake.llm._store import kept
+from shotlake.llm._store import kept, modest_batches
 from shotlake.llm._text import slices
 from shotlake.llm._tokens import encoder, with_end
 
-SALTS = 256
+SALTS = 64
 
 
 @dataclass
@@ -109,12 +109,12 @@ def plan(histogram: dict[int, int], capacity: int) -> Plan:
     return p
 
 
-def pieces_of(df: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
-    """(id, piece, start, length, ids_crc32, ids) of each text's ids and end_id, cut into pieces of at most capacity."""
+def pieces_of(df: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: int, end_id: int, with_ids: bool) -> DataFrame:
+    """(id, piece, start, length, ids_crc32[, ids]) of each text's ids and end_id, cut into pieces of at most capacity."""
 
     def run(batches):
         encode = encoder(vocabulary)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 2 << 20):
             ids, offsets = with_end(*encode(b.column(1)), end_id)
             count = -(-np.diff(offsets) // capacity)
             text = np.repeat(np.arange(b.num_rows), count)
@@ -124,12 +124,12 @@ def pieces_of(df: DataFrame, id_col: str, text_col: str, vocabulary: str, capaci
             raw = memoryview(ids.astype("<u4").tobytes())
             parts = [raw[4 * x : 4 * y] for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(text)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(end - begin), pa.array([zlib.crc32(x) for x in parts], pa.int64()), pa.array(parts, pa.binary())],
-                ["id", "piece", "start", "length", "ids_crc32", "ids"],
+                [b.column(0).take(pa.array(text)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(end - begin), pa.array([zlib.crc32(x) for x in parts], pa.int64()), *[pa.array(parts, pa.binary())] * with_ids],
+                ["id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids],
             )
 
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return docs.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def pack(pieces: DataFrame, capacity: int, key: list[str]) -> DataFrame:
@@ -170,6 +170,7 @@ def packed_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     Null and empty texts are the end id alone.  Repeated ids are packed as
     separate rows.  Other columns of df are left out.  An empty df gives no rows.
     """
+    modest_batches(df.sparkSession)
     columns = ["id", "piece", "start", "length", "ids_crc32"]
-    pieces = kept(pieces_of(df, id_col, text_col, vocabulary, capacity, end_id).select(*columns, *["ids"] * with_ids), "pieces")
+    pieces = kept(pieces_of(df, id_col, text_col, vocabulary, capacity, end_id, with_ids), "pieces")
     return pack(pieces, capacity, columns)

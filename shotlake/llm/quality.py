@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotlake.llm._store import kept
+from shotlake.llm._store import kept, modest_batches
 from shotlake.llm._text import SPACE, U64, Words, _hashes, mix, ngrams, slices, words
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -116,6 +116,7 @@ def judged(
     fail the base rules.  Without trusted texts all scores are 0 and the base
     rules decide.  Repeated ids are judged each; other columns are left out.
     """
+    modest_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("half", F.pmod(F.xxhash64("id"), F.lit(2)))
     trust = labels.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0").select("id", F.lit(True).alias("trusted"))

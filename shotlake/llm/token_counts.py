@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shotlake.llm._store import modest_batches
 from shotlake.llm._text import slices, words
 
 ROOT, NONE = 0, -1
@@ -116,6 +117,8 @@ def token_counts(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", te
     Repeated ids give a row each; other columns are left out.
     """
 
+    modest_batches(df.sparkSession)
+
     def run(batches):
         matcher = automaton(vocabulary_path)
         for b in slices(batches, "text"):

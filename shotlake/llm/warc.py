@@ -207,6 +207,8 @@ class WarcReader(DataSourceReader):
         return [ArchivePartition(f"{self.path}/{name}") for name in sorted(names) if name.endswith((".warc", ".warc.gz"))]
 
     def read(self, partition):
+        if partition is None:  # no files
+            return
         fs, path = filesystem(partition.uri)
 
         def wanted(row):
