@@ -5,8 +5,8 @@ lower-cased).  A document holds an item of L words if some run of its words is
 within k = floor(share * L) word edits of it, k at most (L - 3) // 3.
 
 * Windows: a run within k edits shares at least L - 2 - 3k word trigrams with
-  the item, so only item-sized windows with that many benchmark trigrams go on;
-  none that qualifies is lost.
+  the item, so only item-sized windows with that many of an item's trigrams go
+  on; none that qualifies is lost.
 * CGK embedding: a window is walked in 3L steps; step j writes out the current
   word and a random bit of (j, word) decides whether to move on.  Few edits
   become a small Hamming distance.
@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotlake.llm._text import U64, mix, ngrams, slices, words
+from shotlake.llm._store import modest_batches
+from shotlake.llm._text import U64, Words, mix, ngrams, slices, words
 
 SEPARATOR = np.ones(256, bool)
 SEPARATOR[[c for c in range(256) if c > 127 or chr(c).isalnum()]] = False
@@ -62,8 +63,20 @@ class Items:
         self.lengths = np.array(sorted({len(t) for t in self.texts}), np.int64)
         self.allowed = np.array([edits_allowed(int(n), self.share) for n in self.lengths], np.int64)
         self.gram = np.minimum(3, self.lengths)
+        self.kind = np.searchsorted(self.lengths, [len(t) for t in self.texts])
         self.needed = np.maximum(1, self.lengths - self.gram + 1 - self.gram * self.allowed)
-        self.grams = {q: np.unique(np.concatenate([ngrams(t, int(q)) for t in self.texts if min(3, len(t)) == q])) for q in set(self.gram.tolist())}
+        # For each gram length the known grams, and the items of gram i as holders[q][at[q][i] : at[q][i + 1]].
+        self.grams, self.holders, self.at = {}, {}, {}
+        for q in set(self.gram.tolist()):
+            of = [(g, i) for i, t in enumerate(self.texts) if min(3, len(t)) == q for g in set(ngrams(t, q).tolist())]
+            of.sort()
+            grams, self.holders[q] = np.array([g for g, _ in of], U64), np.array([i for _, i in of], np.int64)
+            self.grams[q], first = np.unique(grams, return_index=True)
+            self.at[q] = np.append(first, len(grams))
+        self.marked = {}
+        for q, known in self.grams.items():  # a first look that a few nanoseconds can take
+            self.marked[q] = np.zeros(1 << 20, bool)
+            self.marked[q][known >> U64(44)] = True
         steps = 3 * int(self.lengths[-1])
         self.seeds = rng.integers(0, 2**63, (self.repetitions, steps)).astype(U64)
         self.picked = np.zeros((len(self.lengths), self.repetitions, steps), bool)
@@ -71,7 +84,7 @@ class Items:
             for r in range(self.repetitions):
                 self.picked[of, r, rng.choice(3 * n, min(self.sampled, 3 * n), replace=False)] = True
         flat, start = np.concatenate(self.texts), np.cumsum([0, *map(len, self.texts)])[:-1]
-        keys = self.keys(flat, start, np.searchsorted(self.lengths, [len(t) for t in self.texts]))
+        keys = self.keys(flat, start, self.kind)
         order = np.argsort(keys.reshape(-1), kind="stable")
         self.sorted_keys, self.key_item = keys.reshape(-1)[order], order // self.repetitions
 
@@ -110,44 +123,60 @@ def nearest_run(item: np.ndarray, run: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(start[end]), end
 
 
-def _found(items: Items, w) -> list[tuple[int, int, int, int, int]]:
+def _hits(items: Items, q: int, hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, item) of the runs of q words inside a text that items with that gram length have."""
+    grams = ngrams(hashes, q)
+    place = np.flatnonzero(items.marked[q][grams >> U64(44)])
+    known = items.grams[q]
+    near = np.minimum(np.searchsorted(known, grams[place]), len(known) - 1)
+    good = (known[near] == grams[place]) & (text[place] == text[place + q - 1])
+    place, near = place[good], near[good]
+    count = items.at[q][near + 1] - items.at[q][near]
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(place, count), items.holders[q][np.repeat(items.at[q][near], count) + nth]
+
+
+def _windows(items: Items, w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, item) of the item-sized windows that have enough of the item's grams; they are inside a text unless it is shorter."""
+    text, begins, whose = w.text_of, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for q in items.grams:
+        place, item = _hits(items, q, w.hash, text)
+        group = text[place] * len(items.texts) + item
+        order = np.argsort(group, kind="stable")
+        place, group = place[order], group[order]
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(group)])
+        for lo, hi in zip(first, np.append(first, len(group))[1:], strict=True):
+            i = int(group[lo] % len(items.texts))
+            n, need = len(items.texts[i]), int(items.needed[items.kind[i]])
+            if hi - lo < need:
+                continue
+            at, a, b = place[lo:hi], *w.first[text[place[lo]] :][:2]
+            # A window holds hits j to j + need - 1 if it begins in this range.
+            left, right = at[need - 1 :] - (n - q), at[: len(at) - need + 1]
+            starts = [np.arange(x, y + 1) for x, y in zip(left[left <= right], right[left <= right], strict=True)]
+            if starts:
+                starts = np.unique(np.maximum(np.minimum(np.concatenate(starts), b - n), a))
+                begins.append(starts)
+                whose.append(np.full(len(starts), i))
+    return np.concatenate(begins), np.concatenate(whose)
+
+
+def _found(items: Items, w: Words) -> list[tuple[int, int, int, int, int]]:
     """(text, item, first word, end, edits), the nearest run of each item in each text."""
-    text = w.text_of
-    windows, kinds = [], []
-    for q, known in items.grams.items():
-        grams = ngrams(w.hash, int(q))
-        at = np.searchsorted(known, grams)
-        at[at == len(known)] = 0
-        hit = (known[at] == grams) & (text[: len(grams)] == text[q - 1 :] if len(grams) else True)
-        if not hit.any():
-            continue
-        total = np.append(0, np.cumsum(hit))
-        # Only around hits; a window holds a hit if it starts at most its length before one.
-        places = np.flatnonzero(hit)
-        for of in np.flatnonzero(items.gram == q):
-            n = int(items.lengths[of])
-            near = np.zeros(len(text) + 1, np.int64)
-            np.add.at(near, np.maximum(places - (n - q), 0), 1)
-            np.add.at(near, places + 1, -1)
-            begin = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-            # Windows at the edges of a text are moved inside; a text shorter than the item is one window.
-            lo, hi = w.first[text[begin]], w.first[text[begin] + 1]
-            begin = np.unique(np.maximum(np.minimum(begin, hi - n), lo))
-            end = np.minimum(begin + n, w.first[text[begin] + 1])
-            enough = total[np.maximum(begin, end - q + 1)] - total[begin] >= items.needed[of]
-            windows.append(begin[enough])
-            kinds.append(np.full(int(enough.sum()), of))
-    if not windows or not sum(map(len, windows)):
+    text, hashes = w.text_of, w.hash
+    begin, of_item = _windows(items, w)
+    if not len(begin):
         return []
-    begin, of = np.concatenate(windows), np.concatenate(kinds)
+    of = items.kind[of_item]
     proposed: dict[tuple[int, int], list[int]] = {}
     for i in range(0, len(begin), 4096):
         b, o = begin[i : i + 4096], of[i : i + 4096]
-        keys = items.keys(w.hash, b, o).reshape(-1)
+        keys = items.keys(hashes, b, o).reshape(-1)
         lo, hi = np.searchsorted(items.sorted_keys, keys, "left"), np.searchsorted(items.sorted_keys, keys, "right")
         for k in np.flatnonzero(hi > lo):
             window = k // items.repetitions
-            for item in set(items.key_item[lo[k] : hi[k]].tolist()):
+            item = int(of_item[i + window])
+            if item in items.key_item[lo[k] : hi[k]]:
                 proposed.setdefault((int(text[b[window]]), item), []).append(int(b[window]))
     out = []
     for (t, item), starts in proposed.items():
@@ -162,9 +191,9 @@ def _found(items: Items, w) -> list[tuple[int, int, int, int, int]]:
                 groups.append([s - k, s + n + k])
         for lo, hi in groups:
             lo, hi = max(a, lo), min(b, hi)
-            edits, first, end = nearest_run(words_of, w.hash[lo:hi])
+            edits, begins, end = nearest_run(words_of, hashes[lo:hi])
             if edits <= k and (best is None or edits < best[4]):
-                best = (t, item, lo + first - a, lo + end - a, edits)
+                best = (t, item, lo + begins - a, lo + end - a, edits)
         if best:
             out.append(best)
     return out
@@ -189,6 +218,7 @@ def contaminated(
     Repeated documents and items give rows each.  Other columns are left out.
     """
     spark = df.sparkSession
+    modest_batches(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
     schema = "id long, item_id long, start_word long, end_word long, edits long"
