@@ -29,12 +29,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from shotlake.llm._components import components
-from shotlake.llm._store import kept
+from shotlake.llm._store import kept, modest_batches
 from shotlake.llm._text import U64, mix, mix_int, ngrams, slices, words
 
 EMPTY = np.zeros(0, U64)
@@ -194,21 +195,23 @@ def _index(docs: DataFrame, n: int, numerator: int, denominator: int, common: li
     return docs.mapInArrow(run, "id long, n_shingles long, node long, keys array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """pairs (a, b) with linked: whether denominator * |a & b| >= numerator * |a | b|, on the sets themselves."""
+def _verified(pairs: DataFrame, held: DataFrame, n: int, numerator: int, denominator: int) -> DataFrame:
+    """pairs (a, b) with linked: whether denominator * |a & b| >= numerator * |a | b|, on the sets of their whole texts."""
 
     def run(batches):
-        for b in batches:
-            out = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                small, large = min(len(x), len(y)), max(len(x), len(y))
-                both = len(np.intersect1d(x, y, assume_unique=True)) if denominator * small >= numerator * large else 0
-                out.append(denominator * both >= numerator * (small + large - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.bool_())], ["a", "b", "linked"])
-
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
+        undo = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                b = batch.slice(i, 64)
+                texts = pa.array([undo.decompress(x.as_buffer()) for column in (b.column(2), b.column(3)) for x in column], pa.binary()).cast(pa.string())
+                sets, out = list(shingle_sets(texts, n)), []
+                for x, y in zip(sets[: b.num_rows], sets[b.num_rows :], strict=True):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    out.append(denominator * both >= numerator * (len(x) + len(y) - both))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.bool_())], ["a", "b", "linked"])
+
+    left = pairs.join(held.select(F.col("node").alias("a"), F.col("packed").alias("x")), "a")
+    both = left.join(held.select(F.col("node").alias("b"), F.col("packed").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
 
 
@@ -223,6 +226,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     other columns of df are left out, so their names cannot clash.
     Shingles are compared by 64-bit hashes.
     """
+    modest_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     table = kept(_index(docs, n, numerator, denominator, common_shingles(docs, "text", n, common_share)), "jaccard-index")
 
@@ -234,28 +238,34 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # One text for each node that has to be compared.
     holders = table.where("node is not null").groupBy("node").agg(F.min("id").alias("id")).join(buckets.select("node").distinct(), "node", "left_semi")
-    sets = kept(docs.join(holders, "id").select("node", "text").mapInArrow(_members(n), f"node long, members binary, size long, {', '.join(f'{p} long' for p in PARITY)}").dropDuplicates(["node"]), "jaccard-sets")
-    sketch = sets.drop("members")
-
-    def bounded(x: DataFrame, y: DataFrame, *on) -> DataFrame:
-        """Pairs of x and y whose parity sketches allow that they link; none that link is lost."""
-        x, y = (t.select(*on, *(F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "size", *PARITY))) for side, t in (("a", x), ("b", y)))
-        differ = sum(F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITY)
-        fits = (differ * (denominator + numerator) <= (denominator - numerator) * (F.col("size_a") + F.col("size_b"))) & (F.least("size_a", "size_b") * denominator >= numerator * F.greatest("size_a", "size_b"))
-        joined = x.join(y.withColumnsRenamed({c: f"{c}_" for c in on}), [*(F.col(c) == F.col(f"{c}_") for c in on), F.col("node_a") < F.col("node_b"), F.col("component_a") != F.col("component_b"), fits])
+    held = kept(docs.join(holders, "id").select("node", "text").mapInArrow(_sketched(n), f"node long, packed binary, size long, {', '.join(f'{p} long' for p in PARITY)}").dropDuplicates(["node"]), "jaccard-texts")
+    sketch = held.drop("packed")
+
+    # Sketches of two nodes that link differ in no more bits than their sets may differ in members; so no link is lost here.
+    differ = sum(F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITY)
+    fits = (differ * (denominator + numerator) <= (denominator - numerator) * (F.col("size_a") + F.col("size_b"))) & (F.least("size_a", "size_b") * denominator >= numerator * F.greatest("size_a", "size_b"))
+
+    def sided(df: DataFrame, side: str, *columns: str) -> DataFrame:
+        return df.select(*(F.col(c).alias(f"{c}_{side}") for c in ("node", *columns, "size", *PARITY)))
+
+    def bounded(x: DataFrame, y: DataFrame) -> DataFrame:
+        """Pairs of x and y of one key, in different components, that fit."""
+        x, y = sided(x, "a", "key", "component"), sided(y, "b", "key", "component")
+        joined = x.join(y, (F.col("key_a") == F.col("key_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & fits)
         return joined.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
     # First each node against the hub with which it shares most keys; then all hubs of its keys; then every pair of a key that is still apart.
     shared = buckets.where("node <> hub").groupBy("hub", "node").count()
     pairs = shared.groupBy("node").agg(F.max_by("hub", F.struct("count", F.col("hub"))).alias("hub")).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
-    checked = kept(_verified(pairs, sets, numerator, denominator), "jaccard-links")
+    pairs = pairs.join(sided(sketch, "a"), F.col("a") == F.col("node_a")).join(sided(sketch, "b"), (F.col("b") == F.col("node_b")) & fits).select("a", "b")
+    checked = kept(_verified(pairs, held, n, numerator, denominator), "jaccard-links")
     for hubs_only in (True, False):
         named = components(checked.where("linked"))
         at = buckets.join(named, "node", "left").select("key", "node", "hub", F.coalesce("component", "node").alias("component"))
         open_keys = at.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("key")
         at = at.join(open_keys, "key", "left_semi").join(sketch, "node")
-        pairs = bounded(at.where("node = hub") if hubs_only else at, at, "key").join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        checked = kept(checked.union(_verified(pairs, sets, numerator, denominator)), "jaccard-links")
+        pairs = bounded(at.where("node = hub") if hubs_only else at, at).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        checked = kept(checked.union(_verified(pairs, held, n, numerator, denominator)), "jaccard-links")
 
     named = components(checked.where("linked"))
     rows = table.select("id", "n_shingles", "node").join(named, "node", "left").select("id", "n_shingles", F.coalesce("component", "node").alias("component"))
@@ -265,18 +275,18 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return rows.join(least, "component").select("id", "n_shingles", "component_id").union(alone)
 
 
-def _members(n: int):
-    """(node, members, size, parity bits): bit i tells whether an odd number of members falls in bin i, so two sets differ in at least as many members as bits."""
+def _sketched(n: int):
+    """(node, packed text, size, parity bits): bit i tells whether an odd number of members falls in bin i, so two sets differ in at least as many members as bits."""
 
     def run(batches):
+        press = zstandard.ZstdCompressor(level=1)
         for b in slices(batches, "text"):
             sets = list(shingle_sets(b.column(1), n))
             bits = np.zeros((len(sets), 64 * len(PARITY)), np.uint8)
             for row, s in zip(bits, sets, strict=True):
                 row[:] = np.bincount((mix(s) >> U64(55)).astype(np.int64), minlength=len(row)) & 1
             parity = np.packbits(bits, axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.ascontiguousarray(p)) for p in parity.T)], ["node", "members", "size", *PARITY]
-            )
+            packed = [press.compress(x.as_buffer() or b"") for x in b.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.ascontiguousarray(p)) for p in parity.T)], ["node", "packed", "size", *PARITY])
 
     return run
