@@ -33,6 +33,7 @@ def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     data = FOLD[data]
     keep = np.ones(len(data), bool)
     keep[1:] = (data[1:] != 32) | (data[:-1] != 32)
+    keep[offsets[offsets < len(data)]] = True  # a text does not depend on the one before
     return data[keep], np.append(0, np.cumsum(keep))[offsets]
 
 
@@ -158,11 +159,12 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     modest_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    columns = [c for c in df.columns if c not in ("lang_pred", "score")]
+    columns = [c for c in df.columns if c.lower() not in ("lang_pred", "score")]
+    spare = "_" * (1 + max(map(len, columns), default=0))  # longer than any column, so none clashes
 
     def run(batches):
         model = shared.value
-        for b in slices(batches, "_text", 1 << 20):
+        for b in slices(batches, f"{spare}text", 1 << 20):
             found = phrases(model, b.column(b.num_columns - 2), block)
             usable = np.array(b.column(b.num_columns - 1).to_pylist(), bool) & bool(model.languages)
             if model.languages:
@@ -176,7 +178,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     text = F.col(text_col).cast("string")
     schema = df.select(*columns).schema.add("lang_pred", "string").add("score", "double")
-    return df.select(*columns, text.alias("_text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letters")).mapInArrow(run, schema)
+    return df.select(*columns, text.alias(f"{spare}text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias(f"{spare}letters")).mapInArrow(run, schema)
 
 
 def held_out(id_col: str, folds: int, fold: int):

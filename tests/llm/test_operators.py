@@ -301,7 +301,7 @@ def test_warc_round_trip_pushdown_and_revisits(spark):
     wanted = warc.read_warc(spark, path, "none").where((F.col("type") == "revisit") & F.col("target_uri").startswith("http://a/"))
     assert [r.page_id for r in wanted.collect()] == [2]
     plan = wanted._jdf.queryExecution().executedPlan().toString()
-    assert "Filter" not in plan.replace("PushedFilters", "")
+    assert not re.search(r"\bFilter \(", plan)  # the reader judges all of it
     path = new_path(spark, "w")
     warc.write_warc(df, path, least_bytes=5)
     assert warc.read_warc(spark, path, "check").where("type = 'revisit'").count() == 0
