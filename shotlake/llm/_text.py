@@ -9,6 +9,7 @@ between calls.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -127,6 +128,15 @@ def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def return_memory() -> None:
+    """Gives free memory back to the system, which keeps a worker at what it uses now rather than at what it once used."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """The rows again, in batches of at most limit bytes of text or one row."""
     for batch in batches:
@@ -138,3 +148,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK) -
             j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, "right")))
             yield batch.slice(i, j - i)
             i = j
+        return_memory()
