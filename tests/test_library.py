@@ -156,3 +156,19 @@ def test_stage_graph(spark):
     assert made == ["segments", "quality", "ranges", "storyboard"]
     assert out["storyboard"].groupBy("stream").count().where("count <> 9").count() == 0
     assert out["segments"].where("not below_min and (duration_sec > 15.000001 or duration_sec < 0.999999)").count() == 0
+
+
+def test_cumulative_transform_is_the_ordered_product(spark):
+    from shotlake.operators import motion as M
+
+    rng = np.random.default_rng(15)
+    rows = [(s, n, bool(rng.random() < 0.7), rng.normal(size=6).tolist()) for s in (1, 2) for n in range(8)]
+    df = spark.createDataFrame(rows, "stream int, pair_no long, usable boolean, affine array<double>").repartition(3)
+    got = {(r.stream, r.pair_no): r for r in M.cumulative_transform(df, 640.0, 360.0).collect()}
+    for s in (1, 2):
+        total = np.eye(3)
+        for _, n, usable, m in (r for r in rows if r[0] == s):
+            if usable:
+                total = np.vstack([np.reshape(m, (2, 3)), [0, 0, 1]]) @ total
+            r, moved = got[s, n], total @ [320, 180, 1] - [320, 180, 1]
+            assert np.allclose([r.cum_scale, r.cum_rotation_deg, r.cum_tx, r.cum_ty], [np.hypot(total[0, 0], total[1, 0]), np.degrees(np.arctan2(total[1, 0], total[0, 0])), *moved[:2]])
