@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotlake.functions import geometry as G
@@ -183,10 +183,27 @@ def person_metadata(df: DataFrame) -> DataFrame:
 
 
 def owners(faces: DataFrame, boxes: DataFrame, key: list[str]) -> DataFrame:
-    """(key, face_no, box_no): the smallest box that holds a face's centre, the first on ties."""
+    """(key, face_no, box_no): the smallest box that holds a face's centre, the first on ties.
+
+    A box lies in at most four cells of a grid whose step is the power of two
+    above its long side; a centre meets the boxes of its cell in each grid that
+    its frame has.  Equal centres, and equal boxes, are looked at once.
+    """
+    side = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    # Rounding must not hide a cell between a box's ends; what no grid suits is in one cell.
+    grid = F.when(side < 2.0**30, F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(1.0), side * 1.001)))).cast("int")).otherwise(F.lit(31))
+
+    def cell(x) -> Column:
+        return F.when(F.col("_grid") < 31, F.floor(F.col(x) / F.pow(F.lit(2.0), "_grid"))).otherwise(F.lit(0).cast("long"))
+
     area = F.greatest(F.lit(0.0), F.col("x2") - F.col("x1")) * F.greatest(F.lit(0.0), F.col("y2") - F.col("y1"))
-    held = faces.join(boxes, key).where("x between x1 and x2 and y between y1 and y2")
-    return held.groupBy(*key, "face_no").agg(F.min_by("box_no", F.struct(area.alias("a"), F.col("box_no").alias("n"))).alias("box_no"))
+    b = boxes.where("x1 <= x2 and y1 <= y2").groupBy(*key, "x1", "y1", "x2", "y2").agg(F.min(F.struct("box_no"))["box_no"].alias("box_no")).withColumn("_grid", grid)
+    grids = b.select(*key, "_grid").distinct()
+    b = b.withColumn("_cx", F.explode(F.array_distinct(F.array(cell("x1"), cell("x2"))))).withColumn("_cy", F.explode(F.array_distinct(F.array(cell("y1"), cell("y2")))))
+    points = faces.where("x is not null and y is not null").select(*key, "x", "y").distinct().join(grids, key).withColumn("_cx", cell("x")).withColumn("_cy", cell("y"))
+    held = points.join(b, [*key, "_grid", "_cx", "_cy"]).where("x between x1 and x2 and y between y1 and y2")
+    best = held.groupBy(*key, "x", "y").agg(F.min(F.struct(area.alias("a"), F.col("box_no").alias("n"))).alias("_best"))
+    return faces.join(best, [*key, "x", "y"]).groupBy(*key, "face_no").agg(F.min("_best")["n"].alias("box_no"))
 
 
 def fold_suppress(boxes: np.ndarray, scores: np.ndarray, most: float) -> list[int]:

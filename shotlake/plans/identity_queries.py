@@ -74,7 +74,7 @@ def voiceprint_registry(spark, d):
 
 def face_owner_containment(spark, d):
     """Parts as face centres and boxes of one frame for each brand."""
-    p = A.table(spark, d, "part").where("p_partkey <= 2000")
+    p = A.table(spark, d, "part")
     faces = p.where("p_partkey % 2 = 0").select(F.col("p_brand").alias("frame"), F.col("p_partkey").alias("face_no"), (F.col("p_partkey") * 37 % 100).cast("double").alias("x"), (F.col("p_partkey") * 53 % 100).cast("double").alias("y"))
     x1, y1 = (F.col("p_partkey") * 11 % 80).cast("double"), (F.col("p_partkey") * 7 % 80).cast("double")
     boxes = p.where("p_partkey % 2 = 1").select(F.col("p_brand").alias("frame"), F.col("p_partkey").alias("box_no"), x1.alias("x1"), y1.alias("y1"), (x1 + 5 + F.col("p_size")).alias("x2"), (y1 + 5 + F.col("p_size")).alias("y2"))

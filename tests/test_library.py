@@ -172,3 +172,28 @@ def test_cumulative_transform_is_the_ordered_product(spark):
                 total = np.vstack([np.reshape(m, (2, 3)), [0, 0, 1]]) @ total
             r, moved = got[s, n], total @ [320, 180, 1] - [320, 180, 1]
             assert np.allclose([r.cum_scale, r.cum_rotation_deg, r.cum_tx, r.cum_ty], [np.hypot(total[0, 0], total[1, 0]), np.degrees(np.arctan2(total[1, 0], total[0, 0])), *moved[:2]])
+
+
+def test_owners_equal_all_pairs_without_making_them(spark):
+    rng = np.random.default_rng(16)
+    faces = [(int(rng.integers(3)), i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(-60, 60, (300, 2)) / 2)] + [(0, 300, None, 1.0), (9, 301, 0.0, 0.0), (None, 302, 0.0, 0.0)]
+    boxes = [(int(rng.integers(3)), i, float(x), float(y), float(x + w), float(y + h)) for i, (x, y, w, h) in enumerate(zip(*rng.integers(-40, 30, (2, 300)), *np.floor(2 ** rng.uniform(-2, 6, (2, 300))), strict=True))]
+    boxes += [(0, 300, 5.0, 5.0, -5.0, -5.0), (1, 301, -1e300, -1e300, 1e300, 1e300), (2, 302, None, 0.0, 9.0, 9.0), (0, 303, -1e-30, -1e-30, 1.0, 1.0)]
+    f = spark.createDataFrame(faces, "frame int, face_no long, x double, y double")
+    b = spark.createDataFrame(boxes, "frame int, box_no long, x1 double, y1 double, x2 double, y2 double")
+    want = {}
+    for frame, n, x, y in faces:
+        hits = [((x2 - x1) * (y2 - y1), k) for g, k, x1, y1, x2, y2 in boxes if g == frame and None not in (x, x1) and x1 <= x <= x2 and y1 <= y <= y2]
+        if hits:
+            want[frame, n] = min(hits)[1]
+    assert {(r.frame, r.face_no): r.box_no for r in ID.owners(f, b, ["frame"]).collect()} == want and len(want) > 100
+
+
+def test_face_owners_read_the_whole_table(spark, tmp_path):
+    rows = [("b", k, 5 + k % 40) for k in range(1990, 2300)]
+    spark.createDataFrame(rows, "p_brand string, p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    from shotlake.plans import identity_queries
+
+    boxes = [(k * 11 % 80, k * 7 % 80, 5 + s, k) for _, k, s in rows if k % 2]
+    want = {k: min(hits)[1] for _, k, _ in rows if k % 2 == 0 if (hits := [(s * s, n) for x, y, s, n in boxes if x <= k * 37 % 100 <= x + s and y <= k * 53 % 100 <= y + s])}
+    assert {r.face_no: r.box_no for r in identity_queries.face_owner_containment(spark, str(tmp_path)).collect()} == want and max(want) > 2000
