@@ -5,8 +5,10 @@ are counted over all documents: one over the trusted ones, one over all.  A
 document's score is the mean over its n-grams of log p_trusted - log p_corpus.
 Documents fall into two halves by a hash of their id, and each half is scored
 with the counts of the other, so no document vouches for itself.  The threshold
-is the score that all but `slack` of the trusted documents reach, from a
-histogram of all their scores; it decides every document alike.
+comes from histograms of the scores of trusted documents and of those labelled
+of quality 0, base failures left out: it loses the least share of the one plus
+the least share of the other, so no single document sets it.  Without the latter, it
+is the score that all but `slack` of the trusted reach.
 """
 
 from __future__ import annotations
@@ -112,14 +114,17 @@ def judged(
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept) for each row of df.
 
     labels has (doc_id, quality, toxic); trusted are ids with quality 1 that no
-    row calls toxic or of quality 0.  Null and blank texts have no words and
+    row calls toxic or of quality 0.  Texts labelled toxic but of quality 1 are on
+    neither side.  Null and blank texts have no words and
     fail the base rules.  Without trusted texts all scores are 0 and the base
     rules decide.  Repeated ids are judged each; other columns are left out.
     """
     modest_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("half", F.pmod(F.xxhash64("id"), F.lit(2)))
-    trust = labels.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0").select("id", F.lit(True).alias("trusted"))
+    label = labels.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
+    trust = label.where("q = 1 and t = 0").select("id", F.lit(True).alias("trusted"))
+    sided = label.where("q = 0 or q = 1 and t = 0").select("id", (F.col("q") == 1).alias("trusted"))
     marked = docs.join(trust, "id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     shared = df.sparkSession.sparkContext.broadcast(ratios(counts(marked, buckets), prior))
 
@@ -135,17 +140,32 @@ def judged(
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(stats[c].astype(np.int64)) for c in BASE), pa.array(score)], ["id", *BASE, "score"])
 
     scored = kept(docs.select("id", "text", "half").mapInArrow(run, f"id long, {', '.join(f'{c} long' for c in BASE)}, score double"), "quality")
-    threshold = _threshold(scored.join(trust, "id", "left_semi"), slack)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words"))
+    sides = scored.where(~failed).join(sided, "id").select("trusted", "score")
+    threshold = _threshold(sides, slack)
     return scored.select("id", *BASE, failed.alias("base_failed"), "score", (~failed & (F.col("score") >= F.lit(threshold))).alias("kept"))
 
 
-def _threshold(trusted: DataFrame, slack: float) -> float:
-    """The largest multiple of 0.001 that all but slack of the scores reach; scores lie within a few tens, so there are few steps."""
-    steps = trusted.groupBy(F.floor(F.col("score") * 1000).alias("step")).count().orderBy("step").collect()
-    allowed, below = slack * sum(r["count"] for r in steps), 0
-    for r in steps:
-        below += r["count"]
-        if below > allowed:
-            return r["step"] / 1000
-    return float("-inf")
+def _threshold(sides: DataFrame, slack: float) -> float:
+    """The multiple of 0.001, the lowest on ties, with the least sum of the share of trusted scores below it and the share of the others from it on.
+
+    sides has (trusted, score); scores lie within a few tens, so there are few steps.
+    """
+    rows = sides.groupBy(F.floor(F.col("score") * 1000).alias("step")).agg(F.count(F.when(F.col("trusted"), 1)).alias("good"), F.count(F.when(~F.col("trusted"), 1)).alias("bad")).orderBy("step").collect()
+    good, bad = sum(r["good"] for r in rows), sum(r["bad"] for r in rows)
+    if not good:
+        return float("-inf")
+    below = 0
+    if not bad:
+        for r in rows:
+            below += r["good"]
+            if below > slack * good:
+                return r["step"] / 1000
+    best, at, passed = bad * good, float("-inf"), bad
+    for r in rows:
+        below += r["good"]
+        passed -= r["bad"]
+        # Exact in whole numbers: bad * good times the sum of the shares.
+        if below * bad + passed * good < best:
+            best, at = below * bad + passed * good, (r["step"] + 1) / 1000
+    return at

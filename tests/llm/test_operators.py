@@ -252,6 +252,23 @@ def test_quality_verdicts(spark, odd, empty):
     assert all(r.score == 0 for r in quality.judged(odd, labels.where("false")).collect())
 
 
+def test_one_trusted_outlier_does_not_set_the_quality_threshold(spark):
+    rng = random.Random(17)
+    good, bad = [f"good{i}" for i in range(200)], [f"bad{i}" for i in range(200)]
+    rows = [(i, " ".join(rng.choice(bad if i % 5 == 0 else good) for _ in range(60))) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 5 != 0 or i == 100), 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    got = {r.id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert not any(got[i].kept for i in range(0, 400, 5)) and sum(got[i].kept for i in range(400)) >= 0.97 * 320
+
+
+@pytest.mark.parametrize(("size", "lost", "passed"), [("sf0.01", 0.03, 0.12), ("sf0.1", 0.01, 0.01)])
+def test_quality_on_labelled_rows(spark, size, lost, passed):
+    labels = spark.read.parquet(f"/root/testdata/{size}/labels.parquet")
+    got = quality.judged(spark.read.parquet(f"/root/testdata/{size}/documents.parquet"), labels).where("not base_failed")
+    n = {r[0]: (r[1], r[2]) for r in got.join(labels.where("quality = 0 or toxic = 0").withColumnRenamed("doc_id", "id"), "id").groupBy("quality").agg(F.count("*"), F.count(F.when(F.col("kept"), 1))).collect()}
+    assert n[1][1] >= (1 - lost) * n[1][0] and n[0][1] <= passed * n[0][0]
+
+
 def test_likelihood_ratio_equals_its_definition():
     count = np.array([[[3, 1, 0, 0], [2, 0, 0, 0]], [[5, 5, 2, 0], [4, 1, 0, 0]]], np.int64)
     got = quality.ratios(count, 0.5)
