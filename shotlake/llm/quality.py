@@ -109,7 +109,7 @@ def ratios(count: np.ndarray, prior: float) -> np.ndarray:
 
 
 def judged(
-    df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 16, prior: float = 0.5, slack: float = 0.002, min_words: int = 20, most_repeat_percent: int = 30
+    df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 16, prior: float = 0.5, slack: float = 0.002, min_words: int = 20, most_repeat_percent: int = 30, row_col: str | None = None
 ) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept) for each row of df.
 
@@ -117,10 +117,11 @@ def judged(
     row calls toxic or of quality 0.  Texts labelled toxic but of quality 1 are on
     neither side.  Null and blank texts have no words and
     fail the base rules.  Without trusted texts all scores are 0 and the base
-    rules decide.  Repeated ids are judged each; other columns are left out.
+    rules decide.  Repeated ids are judged each; other columns are left out,
+    but that of row_col, a long that names the row, follows as row where given.
     """
     modest_batches(df.sparkSession)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"))
     docs = docs.withColumn("half", F.pmod(F.xxhash64("id"), F.lit(2)))
     label = labels.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
     trust = label.where("q = 1 and t = 0").select("id", F.lit(True).alias("trusted"))
@@ -137,13 +138,13 @@ def judged(
             half = b.column(2).to_numpy().astype(np.int64)
             n = np.bincount(text, minlength=b.num_rows)
             score = np.bincount(text, weights=ratio[half[text], cell], minlength=b.num_rows) / np.maximum(1, n)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(stats[c].astype(np.int64)) for c in BASE), pa.array(score)], ["id", *BASE, "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(stats[c].astype(np.int64)) for c in BASE), pa.array(score), b.column(3)], ["id", *BASE, "score", "row"])
 
-    scored = kept(docs.select("id", "text", "half").mapInArrow(run, f"id long, {', '.join(f'{c} long' for c in BASE)}, score double"), "quality")
+    scored = kept(docs.select("id", "text", "half", "row").mapInArrow(run, f"id long, {', '.join(f'{c} long' for c in BASE)}, score double, row long"), "quality")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words"))
     sides = scored.where(~failed).join(sided, "id").select("trusted", "score")
     threshold = _threshold(sides, slack)
-    return scored.select("id", *BASE, failed.alias("base_failed"), "score", (~failed & (F.col("score") >= F.lit(threshold))).alias("kept"))
+    return scored.select("id", *BASE, failed.alias("base_failed"), "score", (~failed & (F.col("score") >= F.lit(threshold))).alias("kept"), *(["row"] if row_col else []))
 
 
 def _threshold(sides: DataFrame, slack: float) -> float:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shotlake.llm import queries
@@ -25,3 +26,32 @@ def test_pipeline_stages_take_effect(spark):
     assert ngram_jaccard.jaccard_components(clean, n=5, numerator=80).where("id <> component_id").count() == 0
     assert decontaminate.contaminated(clean, spark.read.parquet(f"{SF}/benchmark.parquet")).count() == 0
     assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == {r.doc_id for r in clean.select("doc_id").collect()}
+
+
+def test_pipeline_stages_carry_verdicts_by_row(spark, odd, tmp_path):
+    texts = lambda df: sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in df.collect())
+    stage, sf = dict(corpus_pipeline.STAGES), str(tmp_path)
+    clean, repeats = " ".join(f"plain{i}" for i in range(40)), "again and again " * 40
+    spark.createDataFrame([(99, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    fill = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    # A null id is kept on its own text, and a rejected text goes though another row of its id stays.
+    got = stage["quality"](spark, fill([(None, clean), (1, clean), (1, repeats), (None, repeats)]), sf)
+    assert texts(got) == [(False, 0, clean), (True, 1, clean)]
+
+    # One row of a group of copies stays, with or without an id; the smallest id goes first, and null last.
+    other, third = " ".join(f"other{i}" for i in range(40)), " ".join(f"third{i}" for i in range(40))
+    got = stage["near_copies"](spark, fill([(3, clean), (3, clean), (7, clean), (None, clean), (None, other), (None, other), (4, third), (4, other + " more"), (5, None), (5, None)]), sf)
+    assert texts(got) == [(True, 3, clean), (True, 4, other + " more"), (True, 4, third), (True, 5, ""), (True, 5, "")]
+
+    held = "so one two three four five six it is"
+    got = stage["decontaminate"](spark, fill([(None, held), (None, clean), (2, held), (2, clean)]), sf)
+    assert texts(got) == [(False, 0, clean), (True, 2, clean)]
+
+    # Without any language only what is null or has no letter goes.
+    got = stage["language_id"](spark, odd.withColumn("lang", F.lit(None).cast("string")), sf)
+    assert texts(got) == texts(odd.where(r"text rlike r'\p{L}'")) and got.columns == odd.columns
+    for name in ("quality", "near_copies", "decontaminate"):
+        assert stage[name](spark, odd, sf).columns == odd.columns
+    assert texts(stage["near_copies"](spark, odd.where("doc_id <= 2"), sf))[0][1] == 1 and stage["near_copies"](spark, odd.where("doc_id <= 2"), sf).count() == 1
