@@ -222,7 +222,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     its distinct n-word shingles, or the whole sequence where it has fewer
     words.  Texts link if denominator * |intersection| >= numerator * |union|;
     component_id is the smallest id that links reach.  Null and blank texts
-    have an empty set and only reach themselves.  Repeated ids give a row each;
+    have an empty set and only reach themselves.  Repeated and null ids give a row
+    each, which links by its own text; a group without any id has none;
     other columns of df are left out, so their names cannot clash.
     Shingles are compared by 64-bit hashes.
     """
@@ -238,7 +239,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # One text for each node that has to be compared.
     holders = table.where("node is not null").groupBy("node").agg(F.min("id").alias("id")).join(buckets.select("node").distinct(), "node", "left_semi")
-    held = kept(docs.join(holders, "id").select("node", "text").mapInArrow(_sketched(n), f"node long, packed binary, size long, {', '.join(f'{p} long' for p in PARITY)}").dropDuplicates(["node"]), "jaccard-texts")
+    # By id and node: rows that share an id, or have none, may have other texts.
+    noded = docs.mapInArrow(_noded(n), "id long, node long, text string")
+    texts = noded.join(holders.select(F.col("id").alias("of"), F.col("node").alias("held")), F.col("id").eqNullSafe(F.col("of")) & (F.col("node") == F.col("held"))).select("node", "text")
+    held = kept(texts.mapInArrow(_sketched(n), f"node long, packed binary, size long, {', '.join(f'{p} long' for p in PARITY)}").dropDuplicates(["node"]), "jaccard-texts")
     sketch = held.drop("packed")
 
     # Sketches of two nodes that link differ in no more bits than their sets may differ in members; so no link is lost here.
@@ -275,6 +279,17 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return rows.join(least, "component").select("id", "n_shingles", "component_id").union(alone)
 
 
+def _noded(n: int):
+    """(id, node, text) of the rows (id, text) that have a shingle."""
+
+    def run(batches):
+        for b in slices(batches, "text"):
+            nodes = pa.array([node_of(s) if len(s) else None for s in shingle_sets(b.column(1), n)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), nodes, b.column(1)], ["id", "node", "text"]).filter(nodes.is_valid())
+
+    return run
+
+
 def _sketched(n: int):
     """(node, packed text, size, parity bits): bit i tells whether an odd number of members falls in bin i, so two sets differ in at least as many members as bits."""
 

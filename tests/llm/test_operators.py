@@ -99,6 +99,17 @@ def test_jaccard_of_odd_and_empty_tables(odd, empty):
     assert ngram_jaccard.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_links_rows_by_their_own_texts_where_ids_repeat_or_are_null(spark):
+    rng = random.Random(18)
+    base = [f"w{rng.randrange(400)}" for _ in range(120)]
+    chain = [" ".join(f"e{j}" if j < 4 * k else w for j, w in enumerate(base)) for k in range(3)]
+    other = [" ".join([*(f"o{i}" for i in range(100)), f"end{k}"]) for k in range(2)]
+    # The middle of the chain has no id; id 1 has two unlike texts, each with a near copy.
+    rows = [(5, chain[0]), (None, chain[1]), (6, chain[2]), (1, other[0]), (2, other[1]), (1, "p q r s t u v w x y"), (3, "p q r s t u v w x y z")]
+    got = collections.Counter((r.id, r.component_id) for r in ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "id long, text string").repartition(3), id_col="id").collect())
+    assert got == collections.Counter([(5, 5), (None, 5), (6, 5), (1, 1), (2, 1), (1, 1), (3, 1)])
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
