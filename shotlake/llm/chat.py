@@ -3,7 +3,10 @@
 A conversation's turns, in order, are cut into windows by the prefix sums of
 their token counts: a window takes turns while they fit into the budget.  Every
 window after the first repeats the system turn and up to `history` turns from
-before it, as far as they fit into `history_share` of the budget.  The loss mask
+before it, as far as they fit into `history_share` of the budget.  The system
+turn goes first and history takes what is left; a window goes without the system
+turn only where that and its first new turn are together over the budget, since
+turns stay whole and only a single turn may be over it.  The loss mask
 covers the text of assistant turns, and none that is repeated, so each is
 learned once.  A single turn over the budget gets a window of its own, whole.
 

@@ -236,6 +236,18 @@ def test_windows_keep_turns_whole_repeat_history_and_learn_once(spark, vocabular
     assert chat.format_conversations(df.where("false"), vocabulary).count() == 0
 
 
+def test_a_window_goes_without_the_system_turn_only_where_it_cannot_fit():
+    def made(system, sizes):
+        w = chat.Windows(1, 100, 2, 0.5)
+        done = [w.add(chat.Turn(r, r, n)) for r, n in [("system", system), *(("user", n) for n in sizes)]]
+        return [[r for r, _ in chat.parse(x["text"])] for x in [*done, w.close()] if x]
+
+    assert made(60, [40, 40, 40]) == [["system", "user"]] + [["system", "user"]] * 2
+    assert made(60, [40, 41]) == [["system", "user"], ["user", "user"]]
+    assert made(60, [120]) == [["system"], ["user"]]
+    assert made(20, [60, 45, 40]) == [["system", "user"], ["system", "user"], ["system", "user"]]
+
+
 def test_base_statistics(odd):
     for _, t in ODD + [(0, "a b c d e f g h " * 3 + "\nq\nq\n \nq"), (0, "# * $\n\n# * $")]:
         w, lines = split(t, False), [x for x in (t or "").split("\n") if split(x, False)]
