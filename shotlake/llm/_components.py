@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotlake.llm._store import kept
+from shotlake.llm._store import discard, kept
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -16,7 +16,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Each round ends in a written table.  Raises if it has not settled after most_rounds.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    before = None
+    before = last = None
     for _ in range(most_rounds):
         # Large star: each larger neighbour of u is hung on the smallest of u and its neighbours.
         both = edges.union(edges.select("b", "a"))
@@ -26,8 +26,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
         edges = edges.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         edges = kept(edges, "components")
+        if last is not None:
+            discard(last)
+        last = edges
         now = edges.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
         if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            named = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            named.kept_at = edges.kept_at
+            return named
         before = now
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

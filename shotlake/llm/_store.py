@@ -8,13 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir.  Where it is unset, as in tests, a new local one stands in."""
+    """The folder that all executors share: spark.checkpoint.dir.  Where it is unset, a new local one stands in, under a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         found = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="shotlake-")
         _own[app] = found
@@ -33,10 +36,30 @@ def new_path(spark: SparkSession, what: str) -> str:
 
 
 def kept(df: DataFrame, what: str) -> DataFrame:
-    """df, written to the shared folder and read again: lineage ends here and lost executors cost nothing."""
-    path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df, written to the shared folder and read again: lineage ends here and lost executors cost nothing.
+
+    Shuffle files of the write are removed when it ends, as nothing reads them any more.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, what)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what kept() has written, once nothing reads it any more; other tables are left alone."""
+    for df in tables:
+        path = getattr(df, "kept_at", None)
+        if path:
+            sc = df.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def filesystem(uri: str):

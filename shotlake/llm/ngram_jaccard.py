@@ -9,15 +9,22 @@ it.  Segment i is allotted a slack T_i: 0 (the subsets must be equal) or 1
 qualifying pair meets its slack, so a set is indexed under its segment subsets
 and, where T_i = 1, under these with each one element deleted.  The allocation
 (how many segments of either kind) is chosen for each band by cost: keys
-emitted plus expected accidental meetings.  `spare` further segments let a set
-leave out subsets that say nothing (empty, or made of very common n-grams)
-without losing a pair.  Candidates are verified exactly on their n-gram sets.
-
-Sets that are equal are one node.  Within a bucket of equal keys, nodes are
-first compared with one hub each; the links found give components, and only
-pairs of a bucket that still lie in different components are compared further,
-so a large group of near copies costs a few comparisons for each member, not
-all pairs, and no link that could join two components is missed.
+emitted plus expected accidental meetings.
+
+A band has `spare` more segments than that, so a qualifying pair meets in at
+least spare + 1 of them.  All keys have one order, from the most to the least
+frequent, and a set leaves out its `spare` first keys of a band.  A pair that
+meets in spare + 1 keys still meets in the last of these, so nothing is lost,
+while empty subsets and those made of stock phrases, which are the frequent
+ones, bring nobody together.
+
+Sets that are equal are one node.  Nodes that share a key are compared in
+turns.  In a turn each key has one hub, a node of the component that has most
+of the key's nodes, and the nodes of other components are compared with it; the
+links found join components.  Turns go on, with other hubs, while the number of
+pairs that are still apart falls; then these pairs are compared if their
+sketches allow a link.  So a group of near copies costs a few comparisons for
+each member, not all pairs, and no link that could join two components is missed.
 """
 
 from __future__ import annotations
@@ -35,10 +42,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from shotlake.llm._components import components
-from shotlake.llm._store import kept, modest_batches
+from shotlake.llm._store import discard, kept, modest_batches
 from shotlake.llm._text import U64, mix, mix_int, ngrams, slices, words
 
 EMPTY = np.zeros(0, U64)
+TILE = 512  # nodes of a key that one task compares with as many others
+STAR = 256  # nodes that are compared with one copy of a hub's text
+SEEN = 1 << 18  # nodes that a task remembers, so as to send each once
 PARITY = [f"p{i}" for i in range(8)]
 
 
@@ -85,6 +95,11 @@ def _cuts(near: int, exact: int) -> np.ndarray:
     return np.array([int(x) for x in edges], U64)
 
 
+def _beyond(mean: float, most: int) -> float:
+    """The chance that a Poisson count of this mean is over most."""
+    return max(0.0, 1.0 - sum(math.exp(i * math.log(mean) - mean - math.lgamma(i + 1)) for i in range(most + 1)))
+
+
 @lru_cache(None)
 def bands(numerator: int, denominator: int, largest: int) -> tuple[Band, ...]:
     """Bands up to a size, each with its cheapest allocation for t = numerator / denominator."""
@@ -96,16 +111,15 @@ def bands(numerator: int, denominator: int, largest: int) -> tuple[Band, ...]:
         most = small * denominator // numerator
         h = (denominator - numerator) * (small + most) // (denominator + numerator)
         best = None
-        for near in range(h // 2 + 2):
+        for near in sorted({0, h // 2 + 1, *(1 << i for i in range((h // 2 + 1).bit_length()))}):
             exact = max(0, h + 1 - 2 * near)
-            for spare in (0, 1, 2, 3, 4, 6, 8, 10):
+            for spare in sorted({0, 1, 2, 3, 4, 6, 8, 10, 13, 16, *(h // i for i in (16, 12, 8, 6, 5, 4, 3, 2))}):
                 if spare and exact == 0:
                     continue
                 fill = low / (2 * near + exact + spare)
                 keys = exact + spare + near + (2 * fill * near)
                 blank, thin = math.exp(-fill), math.exp(-2 * fill) * (1 + 2 * fill)
-                mean = blank * (exact + spare)
-                over = 1.0 - sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(spare + 1)) if exact else 0.0
+                over = _beyond(blank * (exact + spare), spare) if exact else 0.0
                 cost = keys * (1 + 200 * (over + near * thin))
                 if best is None or cost < best[0]:
                     best = (cost, near, exact + spare, spare)
@@ -114,108 +128,180 @@ def bands(numerator: int, denominator: int, largest: int) -> tuple[Band, ...]:
     return tuple(out)
 
 
-def keys_of(s: np.ndarray, table: tuple[Band, ...], lows: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The 64-bit index keys of a set: those of its own band and of the band below, in which it may be the larger one."""
-    if not len(s):
-        return EMPTY
+def keys_of(s: np.ndarray, table: tuple[Band, ...], lows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, band, spare): the index keys of a set in its own band and in the band below, where it may be the larger one.
+
+    spare is how many keys of that band may be left out, or -1 for a key of a segment with slack, which never may.
+    """
+    keys, band_of, spare = [EMPTY], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     own = int(np.searchsorted(lows, len(s), "right")) - 1
     values = mix(s)
     total = np.zeros(len(s) + 1, U64)
     np.cumsum(values, out=total[1:])
-    dull = None
-    if len(common):
-        at = np.searchsorted(common, s)
-        at[at == len(common)] = 0
-        hit = common[at] == s
-        if hit.any():
-            dull = np.append(0, np.cumsum(~hit))
-    out = []
-    for band in table[max(0, own - 1) : own + 1]:
+    for band in table[max(0, own - 1) : own + 1] if len(s) else ():
         if len(s) > band.most or not band.exact + band.near:
             continue
         edges = np.concatenate(([0], np.searchsorted(s, band.cuts), [len(s)]))
         names = mix(np.arange(len(edges) - 1, dtype=U64) + U64(band.k << 32))
         whole = total[edges[1:]] - total[edges[:-1]]
-        keys = mix(whole + names)
-        if band.spare:
-            content = dull[edges] if dull is not None else edges
-            poor = content[1:] == content[:-1]
-            poor[: band.near] = False
-            if poor.sum() <= band.spare:
-                keys = keys[~poor]
-        out.append(keys)
+        keys.append(mix(whole + names))
+        spare.append(np.repeat([-1, band.spare], [band.near, band.exact]))
         if band.near:
             inside = slice(0, edges[band.near])
             seg = np.repeat(np.arange(band.near), np.diff(edges[: band.near + 1]))
-            out.append(mix(whole[seg] - values[inside] + names[seg]))
-    return np.unique(np.concatenate(out)) if out else EMPTY
+            keys.append(mix(whole[seg] - values[inside] + names[seg]))
+            spare.append(np.full(len(seg), -1))
+        band_of.append(np.full(len(keys[-1]) + (band.near + band.exact if band.near else 0), band.k))
+    return np.concatenate(keys), np.concatenate(band_of).astype(np.int32), np.concatenate(spare).astype(np.int32)
 
 
-def common_shingles(df: DataFrame, text_col: str, n: int, share: int) -> list[int]:
-    """N-grams in at least 1 / share of all texts, counted over all of them; at most share * mean set size values.
+def _nodes(n: int):
+    """(id, n_shingles, node) of each row (id, text), and where its node is new to the task its text, packed, and parity bits.
 
-    A value with that share overall has it in some batch, so a batch passes on
-    only what is that frequent in it; a second look counts these exactly enough
-    (sums over batches that named them, a lower bound), which only steers cost.
+    Bit i tells whether an odd number of members falls in bin i, so two sets differ in at least as many members as bits.
     """
 
     def run(batches):
-        for b in slices(batches, "text", 16 << 20):
-            if b.num_rows < share // 4:
-                continue
-            values, count = np.unique(np.concatenate([EMPTY, *shingle_sets(b.column(0), n)]), return_counts=True)
-            often = count * share >= b.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(count[often])], ["value", "count"])
+        press, seen = zstandard.ZstdCompressor(level=1), set()
+        for b in slices(batches, "text"):
+            sets = list(shingle_sets(b.column(1), n))
+            nodes = [node_of(s) if len(s) else None for s in sets]
+            new, bits = np.zeros(len(sets), bool), np.zeros((len(sets), 64 * len(PARITY)), np.uint8)
+            for i, (node, s) in enumerate(zip(nodes, sets, strict=True)):
+                if node is not None and node not in seen:
+                    seen.add(node)
+                    new[i] = True
+                    bits[i] = np.bincount((mix(s) >> U64(55)).astype(np.int64), minlength=bits.shape[1]) & 1
+            packed = [press.compress(x.as_buffer()) if one else None for x, one in zip(b.column(1).cast(pa.binary()), new, strict=True)]
+            parity = [pa.array(np.ascontiguousarray(p), mask=~new) for p in np.packbits(bits, axis=1).view(np.int64).T]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(packed, pa.binary()), *parity], ["id", "n_shingles", "node", "packed", *PARITY])
+            if len(seen) > SEEN:
+                seen.clear()
 
-    texts = df.select(F.col(text_col).cast("string").alias("text"))
-    total = texts.count()
-    found = texts.mapInArrow(run, "value long, count long").groupBy("value").agg(F.sum("count").alias("count")).where(F.col("count") * share >= F.lit(total))
-    return [r.value for r in found.select("value").collect()]
+    return run
 
 
-def _index(docs: DataFrame, n: int, numerator: int, denominator: int, common: list[int]) -> DataFrame:
-    """(id, n_shingles, node, keys) of (id, text): keys are null where an earlier text of the same batch has the same set."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(common, np.int64).view(U64)))
+def _keyed(n: int, numerator: int, denominator: int):
+    """(key, node, band, spare) of the rows (id, text), a node once in a task."""
 
     def run(batches):
-        common = shared.value
-        table = bands(numerator, denominator, 1 << 14)
+        table, seen = bands(numerator, denominator, 1 << 14), set()
         for b in slices(batches, "text"):
-            sizes, nodes, keys, seen = [], [], [], set()
+            lows, found, nodes = np.array([x.low for x in table]), [], []
             for s in shingle_sets(b.column(1), n):
                 node = node_of(s) if len(s) else None
-                sizes.append(len(s))
-                nodes.append(node)
+                if node is None or node in seen:
+                    continue
+                seen.add(node)
                 if len(s) >= table[-1].low:
                     table = bands(numerator, denominator, 2 * len(s))
-                keys.append(None if node is None or node in seen else keys_of(s, table, np.array([x.low for x in table]), common).view(np.int64))
-                seen.add(node)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n_shingles", "node", "keys"])
+                    lows = np.array([x.low for x in table])
+                found.append(keys_of(s, table, lows))
+                nodes.append(np.full(len(found[-1][0]), node))
+            for i in range(0, len(found), 256):
+                keys, band, spare = (np.concatenate(x) for x in zip(*found[i : i + 256], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.concatenate(nodes[i : i + 256])), pa.array(band), pa.array(spare)], ["key", "node", "band", "spare"])
+            if len(seen) > SEEN:
+                seen.clear()
+
+    return run
 
-    return docs.mapInArrow(run, "id long, n_shingles long, node long, keys array<long>")
+
+def _buckets(docs: DataFrame, n: int, numerator: int, denominator: int) -> DataFrame:
+    """(key, node): the keys that nodes share, without those that each leaves out."""
+    keyed = docs.mapInArrow(_keyed(n, numerator, denominator), "key long, node long, band int, spare int")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n"))
+    shared = kept(shared.where("first <> last").select("key", "n"), "jaccard-keys")
+    ranked = keyed.join(shared, "key").withColumn("place", F.dense_rank().over(Window.partitionBy("node", "band").orderBy(F.desc("n"), "key")))
+    buckets = kept(ranked.where("place > spare").select("key", "node").distinct(), "jaccard-buckets")
+    discard(shared)
+    return buckets
 
 
 def _verified(pairs: DataFrame, held: DataFrame, n: int, numerator: int, denominator: int) -> DataFrame:
-    """pairs (a, b) with linked: whether denominator * |a & b| >= numerator * |a | b|, on the sets of their whole texts."""
+    """pairs (hub, node, star) with linked: whether denominator * |hub & node| >= numerator * |hub | node|, on the sets of their whole texts.
+
+    A hub's text is sent once for each of its stars, and a node's once for each of its pairs.
+    """
 
     def run(batches):
-        undo = zstandard.ZstdDecompressor()
+        undo, hub, own = zstandard.ZstdDecompressor(), None, None
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 b = batch.slice(i, 64)
-                texts = pa.array([undo.decompress(x.as_buffer()) for column in (b.column(2), b.column(3)) for x in column], pa.binary()).cast(pa.string())
-                sets, out = list(shingle_sets(texts, n)), []
-                for x, y in zip(sets[: b.num_rows], sets[b.num_rows :], strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    out.append(denominator * both >= numerator * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.bool_())], ["a", "b", "linked"])
+                texts = pa.array([undo.decompress(x.as_buffer()) for x in b.column(3)], pa.binary()).cast(pa.string())
+                out = []
+                for h, x, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), shingle_sets(texts, n), strict=True):
+                    if x is None:
+                        hub, own = h, s
+                        continue
+                    if h != hub:
+                        raise RuntimeError("a node arrived before its hub")
+                    both = len(np.intersect1d(own, s, assume_unique=True))
+                    out.append((h, x, denominator * both >= numerator * (len(own) + len(s) - both)))
+                columns = list(zip(*out, strict=True)) if out else [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.bool_())], ["hub", "node", "linked"])
+
+    members = pairs.join(held.select("node", "packed"), "node").select("hub", "star", "node", "packed")
+    hubs = pairs.select("hub", "star").distinct().join(held.select(F.col("node").alias("hub"), "packed"), "hub").select("hub", "star", F.lit(None).cast("long").alias("node"), "packed")
+    return hubs.union(members).repartition("hub", "star").sortWithinPartitions("hub", "star", "node").mapInArrow(run, "hub long, node long, linked boolean")
+
+
+def _components(buckets: DataFrame, held: DataFrame, n: int, numerator: int, denominator: int, most_turns: int) -> DataFrame:
+    """(node, component) for the nodes of buckets."""
+    sketch = held.drop("packed")
 
-    left = pairs.join(held.select(F.col("node").alias("a"), F.col("packed").alias("x")), "a")
-    both = left.join(held.select(F.col("node").alias("b"), F.col("packed").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
+    # Sketches of two nodes that link differ in no more bits than their sets may differ in members; so no link is lost here.
+    differ = sum(F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITY)
+    fits = (differ * (denominator + numerator) <= (denominator - numerator) * (F.col("size_a") + F.col("size_b"))) & (F.least("size_a", "size_b") * denominator >= numerator * F.greatest("size_a", "size_b"))
 
+    def sided(df: DataFrame, side: str, *columns: str) -> DataFrame:
+        return df.select(*(F.col(c).alias(f"{c}_{side}") for c in ("node", *columns, "size", *PARITY)))
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, numerator: int = 85, denominator: int = 100, common_share: int = 64) -> DataFrame:
+    named = kept(held.select("node", F.col("node").alias("component")), "jaccard-components")
+    checked, before = [], None
+    for turn in range(most_turns + 1):
+        at = buckets.join(named, "node")
+        least = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node"))["node"]
+        hubs = at.groupBy("key", "component").agg(F.count("*").alias("n"), least.alias("hub")).groupBy("key")
+        hubs = hubs.agg(F.max(F.struct("n", "component", "hub")).alias("x"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("joined"), F.count("*").alias("k"))
+        hubs = kept(hubs.where("k > 1").select("key", "x.hub", F.col("x.component").alias("of"), "n", "joined"), "jaccard-hubs")
+        rows, apart = hubs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("joined")) / 2), F.lit(0.0))).first()
+        if not rows:
+            discard(hubs)
+            break
+        last = turn == most_turns or apart <= 2 * rows or (before is not None and apart > 0.9 * before)
+        before = apart
+        if last:
+            tiles = F.ceil(F.col("n") / TILE)
+            own = at.join(hubs.select("key", tiles.alias("tiles")), "key").join(sketch, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")))
+            tiled = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+            x, y = sided(tiled, "a", "key", "component", "own", "other"), sided(tiled, "b", "key", "component", "own", "other")
+            here = (F.col("key_a") == F.col("key_b")) & (F.col("own_a") == F.col("other_b")) & (F.col("other_a") == F.col("own_b"))
+            pairs = x.join(y, here & (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & fits).select(F.col("node_a").alias("hub"), F.col("node_b").alias("node")).distinct()
+        else:
+            pairs = at.join(hubs, "key").where("component <> of").groupBy("node", "hub").count()
+            if turn == 0:  # the hub with which a node shares most keys
+                pairs = pairs.groupBy("node").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
+            pairs = pairs.join(sided(sketch, "a"), F.col("node") == F.col("node_a")).join(sided(sketch, "b"), (F.col("hub") == F.col("node_b")) & fits).select("hub", "node")
+        for past in checked:
+            pairs = pairs.join(past.select(F.least("hub", "node").alias("x"), F.greatest("hub", "node").alias("y")), (F.least("hub", "node") == F.col("x")) & (F.greatest("hub", "node") == F.col("y")), "left_anti")
+        pairs = kept(pairs, "jaccard-pairs")
+        stars = F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / STAR)).alias("star")
+        starred = pairs.join(pairs.groupBy("hub").count(), "hub").select("hub", "node", stars)
+        checked.append(kept(_verified(starred, held, n, numerator, denominator), "jaccard-links"))
+        links = checked[-1].where("linked")
+        links = links.join(named.withColumnRenamed("component", "b"), "node").join(named.select(F.col("node").alias("hub"), F.col("component").alias("a")), "hub").select("a", "b")
+        joined = components(links)
+        old, named = named, kept(named.join(joined.select(F.col("node").alias("component"), F.col("component").alias("into")), "component", "left").select("node", F.coalesce("into", "component").alias("component")), "jaccard-components")
+        discard(old, hubs, pairs, joined)
+        if last:
+            break
+    discard(*checked)
+    return named
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, numerator: int = 85, denominator: int = 100, most_turns: int = 6) -> DataFrame:
     """(id, n_shingles, component_id) for each row of df.
 
     Words are runs of non-space bytes with A-Z lower-cased; a text's set holds
@@ -225,83 +311,25 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     have an empty set and only reach themselves.  Repeated and null ids give a row
     each, which links by its own text; a group without any id has none;
     other columns of df are left out, so their names cannot clash.
-    Shingles are compared by 64-bit hashes.
+    Shingles are compared by 64-bit hashes.  most_turns bounds the turns
+    with hubs, not what is compared.
     """
     modest_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    table = kept(_index(docs, n, numerator, denominator, common_shingles(docs, "text", n, common_share)), "jaccard-index")
-
-    # Rows of an index key that has several nodes.  A key has a small part of all rows even if a third of all texts share it.
-    keyed = table.where("keys is not null").select("node", F.explode("keys").alias("key"))
-    by_key = Window.partitionBy("key")
-    buckets = keyed.select("key", "node", F.min("node").over(by_key).alias("hub"), F.max("node").over(by_key).alias("last")).where("hub <> last")
-    buckets = kept(buckets.groupBy("key", "node").agg(F.first("hub").alias("hub")), "jaccard-buckets")
+    buckets = _buckets(docs, n, numerator, denominator)
+    table = kept(docs.mapInArrow(_nodes(n), f"id long, n_shingles long, node long, packed binary, {', '.join(f'{p} long' for p in PARITY)}"), "jaccard-nodes")
 
     # One text for each node that has to be compared.
-    holders = table.where("node is not null").groupBy("node").agg(F.min("id").alias("id")).join(buckets.select("node").distinct(), "node", "left_semi")
-    # By id and node: rows that share an id, or have none, may have other texts.
-    noded = docs.mapInArrow(_noded(n), "id long, node long, text string")
-    texts = noded.join(holders.select(F.col("id").alias("of"), F.col("node").alias("held")), F.col("id").eqNullSafe(F.col("of")) & (F.col("node") == F.col("held"))).select("node", "text")
-    held = kept(texts.mapInArrow(_sketched(n), f"node long, packed binary, size long, {', '.join(f'{p} long' for p in PARITY)}").dropDuplicates(["node"]), "jaccard-texts")
-    sketch = held.drop("packed")
-
-    # Sketches of two nodes that link differ in no more bits than their sets may differ in members; so no link is lost here.
-    differ = sum(F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITY)
-    fits = (differ * (denominator + numerator) <= (denominator - numerator) * (F.col("size_a") + F.col("size_b"))) & (F.least("size_a", "size_b") * denominator >= numerator * F.greatest("size_a", "size_b"))
-
-    def sided(df: DataFrame, side: str, *columns: str) -> DataFrame:
-        return df.select(*(F.col(c).alias(f"{c}_{side}") for c in ("node", *columns, "size", *PARITY)))
-
-    def bounded(x: DataFrame, y: DataFrame) -> DataFrame:
-        """Pairs of x and y of one key, in different components, that fit."""
-        x, y = sided(x, "a", "key", "component"), sided(y, "b", "key", "component")
-        joined = x.join(y, (F.col("key_a") == F.col("key_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & fits)
-        return joined.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-
-    # First each node against the hub with which it shares most keys; then all hubs of its keys; then every pair of a key that is still apart.
-    shared = buckets.where("node <> hub").groupBy("hub", "node").count()
-    pairs = shared.groupBy("node").agg(F.max_by("hub", F.struct("count", F.col("hub"))).alias("hub")).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
-    pairs = pairs.join(sided(sketch, "a"), F.col("a") == F.col("node_a")).join(sided(sketch, "b"), (F.col("b") == F.col("node_b")) & fits).select("a", "b")
-    checked = kept(_verified(pairs, held, n, numerator, denominator), "jaccard-links")
-    for hubs_only in (True, False):
-        named = components(checked.where("linked"))
-        at = buckets.join(named, "node", "left").select("key", "node", "hub", F.coalesce("component", "node").alias("component"))
-        open_keys = at.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("key")
-        at = at.join(open_keys, "key", "left_semi").join(sketch, "node")
-        pairs = bounded(at.where("node = hub") if hubs_only else at, at).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        checked = kept(checked.union(_verified(pairs, held, n, numerator, denominator)), "jaccard-links")
-
-    named = components(checked.where("linked"))
-    rows = table.select("id", "n_shingles", "node").join(named, "node", "left").select("id", "n_shingles", F.coalesce("component", "node").alias("component"))
-    alone = rows.where("component is null").select("id", "n_shingles", F.col("id").alias("component_id"))
-    rows = rows.where("component is not null")
-    least = rows.groupBy("component").agg(F.min("id").alias("component_id"))
-    return rows.join(least, "component").select("id", "n_shingles", "component_id").union(alone)
-
-
-def _noded(n: int):
-    """(id, node, text) of the rows (id, text) that have a shingle."""
-
-    def run(batches):
-        for b in slices(batches, "text"):
-            nodes = pa.array([node_of(s) if len(s) else None for s in shingle_sets(b.column(1), n)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), nodes, b.column(1)], ["id", "node", "text"]).filter(nodes.is_valid())
-
-    return run
-
-
-def _sketched(n: int):
-    """(node, packed text, size, parity bits): bit i tells whether an odd number of members falls in bin i, so two sets differ in at least as many members as bits."""
-
-    def run(batches):
-        press = zstandard.ZstdCompressor(level=1)
-        for b in slices(batches, "text"):
-            sets = list(shingle_sets(b.column(1), n))
-            bits = np.zeros((len(sets), 64 * len(PARITY)), np.uint8)
-            for row, s in zip(bits, sets, strict=True):
-                row[:] = np.bincount((mix(s) >> U64(55)).astype(np.int64), minlength=len(row)) & 1
-            parity = np.packbits(bits, axis=1).view(np.int64)
-            packed = [press.compress(x.as_buffer() or b"") for x in b.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.ascontiguousarray(p)) for p in parity.T)], ["node", "packed", "size", *PARITY])
-
-    return run
+    held = table.where("packed is not null").join(buckets.select("node").distinct(), "node", "left_semi")
+    held = kept(held.select("node", "packed", F.col("n_shingles").alias("size"), *PARITY).dropDuplicates(["node"]), "jaccard-texts")
+    named = _components(buckets, held, n, numerator, denominator, most_turns)
+
+    # Ids are gathered by node, then by component, and only then met with the rows; each step adds up before it shuffles.
+    ids = table.where("node is not null").groupBy("node").agg(F.min("id").alias("least")).join(named, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    ids = kept(ids, "jaccard-ids")
+    least = ids.groupBy("component").agg(F.min("least").alias("component_id"))
+    labels = kept(ids.join(least, "component").select("node", "component_id"), "jaccard-labels")
+    rows = table.select("id", "n_shingles", "node")
+    out = kept(rows.join(labels, "node", "left").select("id", "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")), "jaccard-components")
+    discard(buckets, table, held, named, ids, labels)
+    return out

@@ -68,17 +68,25 @@ def plain_components(rows, n, percent):
 def test_jaccard_components_equal_all_pairs(spark, n, percent):
     rows = near_copies(random.Random(n), 60)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.id: (r.n_shingles, r.component_id) for r in ngram_jaccard.jaccard_components(df, n=n, numerator=percent, common_share=4).collect()}
+    got = {r.id: (r.n_shingles, r.component_id) for r in ngram_jaccard.jaccard_components(df, n=n, numerator=percent).collect()}
     want = plain_components(rows, n, percent)
     assert got == want and len({c for _, c in want.values()}) < len(want)
 
 
-def test_every_pair_within_the_threshold_shares_an_index_key():
+def test_every_pair_within_the_threshold_shares_a_key_that_neither_leaves_out():
     rng = np.random.default_rng(7)
-    common = np.zeros(0, U64)
     for t in ((85, 100), (80, 100)):
         table = ngram_jaccard.bands(*t, 4000)
         lows = np.array([b.low for b in table])
+
+        def left(s, order):
+            keys, band, spare = ngram_jaccard.keys_of(s, table, lows)
+            out = []
+            for b in set(band.tolist()):
+                mine = sorted(zip(keys[band == b].tolist(), spare[band == b].tolist(), strict=True), key=lambda x: order(x[0]))
+                out += [k for i, (k, most) in enumerate(mine) if i >= most]
+            return out
+
         for _ in range(400):
             size = int(rng.choice([6, 7, 9, 12, 20, 50, 200, 900]))
             s = np.unique(rng.integers(0, 2**63, size).astype(U64))
@@ -87,8 +95,25 @@ def test_every_pair_within_the_threshold_shares_an_index_key():
                 r = np.delete(r, rng.integers(len(r))) if rng.random() < 0.5 and len(r) > 1 else np.append(r, U64(rng.integers(0, 2**63)))
             r = np.unique(r)
             both = len(np.intersect1d(s, r))
+            salt = int(rng.integers(2**62))
+            order = lambda k: (k * 0x9E3779B97F4A7C15 ^ salt) % 2**64  # noqa: E731, B023  any one order of all keys will do
             if t[1] * both >= t[0] * (len(s) + len(r) - both) and both < max(len(s), len(r)):
-                assert len(np.intersect1d(ngram_jaccard.keys_of(s, table, lows, common), ngram_jaccard.keys_of(r, table, lows, common)))
+                assert set(left(s, order)) & set(left(r, order))
+
+
+@pytest.mark.parametrize("turns", [0, 1, 6])
+def test_jaccard_of_a_large_near_copy_group_of_long_texts(spark, turns):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(3000)}" for _ in range(3200)]
+    rows = []
+    for i in range(160):
+        text = list(base)
+        for _ in range(rng.choice([5, 60, 90, 120, 170])):
+            text[rng.randrange(len(text))] = f"v{rng.randrange(9000)}"
+        rows.append((i, " ".join(text)))
+    rows += [(1000 + i, " ".join(base[:60] + [f"u{rng.randrange(9000)}" for _ in range(60)])) for i in range(60)]
+    got = {r.id: (r.n_shingles, r.component_id) for r in ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), most_turns=turns).collect()}
+    assert got == plain_components(rows, 4, 85)
 
 
 def test_jaccard_of_odd_and_empty_tables(odd, empty):
