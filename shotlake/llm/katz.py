@@ -1,7 +1,6 @@
 """Katz back-off language model over words, counted and applied in partitioned tables.
 
-Model.  The vocabulary is the most frequent words, at most `vocabulary` of them;
-every other word is the unknown word, which has its own counts.  Contexts are
+Model.  Every distinct training word belongs to the vocabulary.  Contexts are
 the word before, or the start of the text.  Counts r <= 5 are discounted by
 Good-Turing: d_r = (r* / r - B) / (1 - B), r* = (r + 1) n_{r+1} / n_r,
 B = 6 n_6 / n_1; where that is not in (0, 1), by (r - 1/2) / r.  Then
@@ -12,35 +11,47 @@ B = 6 n_6 / n_1; where that is not in (0, 1), by (r - 1/2) / r.  Then
 
 so the probabilities of each context sum to one exactly.  s(h) is 1, or
 c(h) / (c(h) + 1) where no count of h is discounted, which leaves something to
-back off to.  P(w) is the same recursion one level down, to the unknown word.
-
-Tables.  Word counts and bigram counts are partitioned by hash, kept in the
-shared folder as sorted arrays, and grow with the corpus.  What is broadcast
-has a fixed bound: the vocabulary with counts and back-off weights
-(24 bytes * vocabulary) and the `frequent` commonest bigrams.  Those are looked
-up where the text is; all others are sent, as sorted delta-coded blocks, to the
-partition of the table that has them, and partial sums come back.  So a very
-common word or pair is never gathered in one task.
+back off to.  An unseen context has a(h) = 1.  P(w) is the same one level down:
+what discounting frees there, and one event more, is shared equally by U unseen
+words, U = n_1^2 / (2 n_2) (Chao's estimate).  Two levels are kept: a third
+would need each distinct word triple with its own key and the probability of its
+suffix, which alone is over three times the input on disk.
+
+Tables.  Word counts are partitioned by hash.  Words are numbered from the most
+to the least frequent, so a number tells its word's exact count by a short list
+of where each count begins.  The corpus is encoded once as numbers: the `cached`
+commonest words where the text is, all others by the partition that has them.
+Pair counts are partitioned by context, those of very common contexts by pair.
+A partition works out its contexts' weights and answers, for the blocks of the
+corpus, with sums by text; the `frequent` commonest pairs are looked up where
+the text is.  Both caches have a fixed size and change no result.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotlake.llm._store import kept, modest_batches
+from shotlake.llm._store import discard, kept, modest_batches
 from shotlake.llm._text import U64, mix, slices, words
 
 K = 5  # counts up to this are discounted
-BITS = 21  # of a word's number in a bigram key
+BITS = 31  # of a word's number in a pair
+MASK = (1 << BITS) - 1
+UNSEEN, END, START, FIRST = 0, 1, 2, 3  # numbers: unseen words, the end, the start, then words
 EXACT_BINS, FINE = 1024, 16
 SLICE = 8 << 20
+HELD = 1 << 21  # distinct keys that a task adds up before it sends them
 
 
 def dense(a: np.ndarray) -> bytes:
@@ -55,6 +66,7 @@ def undense(raw) -> np.ndarray:
 
 
 def press(a: np.ndarray) -> bytes:
+    """Any array as compressed byte planes."""
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a[:, None].view(np.uint8).reshape(-1, a.itemsize).T).tobytes() if len(a) else b"")
 
 
@@ -110,61 +122,43 @@ def good_turing(n: list[int]) -> np.ndarray:
     return d
 
 
+def unseen_types(n: list[int]) -> int:
+    """How many words are taken to be unseen, from how many were seen once and twice."""
+    return max(1, n[0] * n[0] // (2 * n[1]) if n[1] else n[0] * (n[0] - 1) // 2)
+
+
 @dataclass
 class Lexicon:
-    """Vocabulary and unigram level; numbers: 0 unknown, 1 the end, 2 the start, then words by hash."""
+    """The word level: what a number says of its word."""
 
-    hashes: np.ndarray
-    counts: np.ndarray  # exact, of the vocabulary words
+    hashes: np.ndarray  # of the cached words, sorted
+    numbers: np.ndarray  # theirs
+    begin: np.ndarray  # ascending numbers at which a count begins
+    count: np.ndarray  # that count
     tokens: int  # N, with ends
     types: int  # V, with the end
     texts: int
-    logs: np.ndarray  # log10 P by number
-    context: np.ndarray  # c(h) by number
-
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        return lookup(self.hashes, hashes) + 3 if len(self.hashes) else np.full(len(hashes), 2)
-
-
-def _lexicon(hashes, counts, tokens, types, texts, n) -> Lexicon:
-    unknown = tokens - texts - int(counts.sum())
-    raw = np.concatenate([[unknown, max(1, texts), 0], counts]).astype(np.float64)
-    d = np.where(raw <= K, good_turing(n)[np.minimum(raw, K).astype(int)], 1.0)
-    p = d * raw
-    p[0] = unknown + (raw[1:] - p[1:]).sum() + 1.0
-    p /= p.sum()
-    with np.errstate(divide="ignore"):
-        logs = np.log10(p)
-    context = raw.copy()
-    context[1], context[2] = 0, texts
-    return Lexicon(hashes, counts, tokens, types, texts, logs, context)
-
-
-def _numbers(lexicon: Lexicon, w) -> tuple[np.ndarray, np.ndarray]:
-    """(text, number) of every token and end, in order, each text led by the start; the numbers of unseen words are 0."""
-    seen, back = np.unique(w.hash, return_inverse=True)
-    number = lexicon.numbers(seen)
-    number[number == 2] = 0
-    n = len(w.first) - 1
-    at = np.arange(len(w.hash)) + 2 * w.text_of + 1
-    out = np.empty(len(w.hash) + 2 * n, np.int64)
-    out[at] = number[back]
-    out[w.first[:-1] + 2 * np.arange(n)] = 2
-    out[w.first[1:] + 2 * np.arange(n) + 1] = 1
-    return np.repeat(np.arange(n), np.diff(w.first) + 2), out
-
-
-def _bigrams(lexicon: Lexicon, w) -> tuple[np.ndarray, np.ndarray]:
-    text, number = _numbers(lexicon, w)
-    inside = text[1:] == text[:-1]
-    return text[1:][inside], (number[:-1] << BITS | number[1:])[inside]
-
-
-def _bigram_parts(keys: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
-    """A context's bigrams lie in one partition; those of a context with a large share of all text in all of them."""
-    head = keys >> BITS
-    spread = hot[head]
-    return part_of(mix(np.where(spread, keys, head).astype(U64) + spread.astype(U64)), parts)
+    discount: np.ndarray
+    unseen: float  # P of one unseen word
+    total: float
+
+    def counts(self, numbers: np.ndarray) -> np.ndarray:
+        """c(w); of the start it is c(h)."""
+        at = np.maximum(np.searchsorted(self.begin, numbers, "right") - 1, 0)
+        c = self.count[at] if len(self.begin) else np.zeros(len(numbers), np.int64)
+        return np.where(numbers >= FIRST, c, np.where(numbers == UNSEEN, 0, self.texts))
+
+    def p(self, numbers: np.ndarray) -> np.ndarray:
+        c = self.counts(numbers)
+        d = np.where((c <= K) & (numbers != END), self.discount[np.minimum(c, K)], 1.0)
+        return np.where(c > 0, d * c / self.total, self.unseen)
+
+
+def _lexicon(hashes, numbers, begin, count, tokens, types, texts, small) -> Lexicon:
+    d = good_turing(small)
+    freed = sum(n * r * (1 - d[r]) for r, n in enumerate(small[:K], 1)) + 1.0
+    total = tokens + 1.0
+    return Lexicon(hashes, numbers, begin, count, tokens, types, texts, d, freed / total / unseen_types(small), total)
 
 
 def _split(part: np.ndarray, *columns: np.ndarray):
@@ -180,13 +174,34 @@ def _rows(rows: list[tuple], schema: pa.Schema):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
+def _added(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(sorted keys, counts), added up over as many of found as HELD allows."""
+    held, size = [], 0
+    for keys, counts in found:
+        held.append((keys, counts))
+        size += len(keys)
+        if size > HELD:
+            held = [summed(*map(np.concatenate, zip(*held, strict=True)))]
+            size = len(held[0][0])
+            if size > HELD // 2:
+                yield held[0]
+                held, size = [], 0
+    if held:
+        yield summed(*map(np.concatenate, zip(*held, strict=True)))
+
+
 PAIRS = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-SENT = pa.schema([("part", pa.int32()), ("kind", pa.string()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("texts", pa.binary())])
-BACK = pa.schema([("block", pa.int64()), ("kind", pa.string()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+SENT = pa.schema([("part", pa.int32()), ("kind", pa.string()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+BACK = pa.schema([("block", pa.int64()), ("kind", pa.string()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 TABLE = "part int, keys binary, counts binary, n long, total long, small array<long>, bin array<long>, bin_n array<long>"
 
 
-def _counted(pairs: DataFrame, what: str) -> DataFrame:
+def _ddl(schema: pa.Schema) -> str:
+    names = {pa.int32(): "int", pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
+
+
+def _counted(pairs: DataFrame, parts: int, what: str) -> DataFrame:
     """One row for each partition: its distinct keys and counts, and how many keys have a count of 1 to K + 1 or of each bin."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -197,7 +212,7 @@ def _counted(pairs: DataFrame, what: str) -> DataFrame:
         small = [int((counts == r).sum()) for r in range(1, K + 2)]
         return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "keys": pa.array([dense(keys)], pa.binary()), "counts": pa.array([press(counts)], pa.binary()), "n": [len(keys)], "total": [int(counts.sum())], "small": [small], "bin": [bin_.tolist()], "bin_n": [bin_n.tolist()]})
 
-    return kept(pairs.groupBy("part").applyInArrow(run, TABLE), what)
+    return kept(pairs.repartition(parts, "part").groupBy("part").applyInArrow(run, TABLE), what)
 
 
 def _summary(table: DataFrame) -> tuple[int, int, list[int], dict[int, int]]:
@@ -207,54 +222,204 @@ def _summary(table: DataFrame) -> tuple[int, int, list[int], dict[int, int]]:
     return r[0] or 0, r[1] or 0, [x or 0 for x in r[2:]], {x.bin: x.n for x in found}
 
 
-def _largest(table: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys with counts of that bin or above, sorted by key; their number is bounded by the choice of least."""
+def _parts(docs: DataFrame, text_bytes: int) -> int:
+    """Partitions of the tables: about one for each 32 MB of text, and no fewer than the session's."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), text_bytes // (32 << 20) + 1)
+
+
+def _vocabulary(docs: DataFrame, parts: int) -> DataFrame:
+    """Counts of the training words, by the partition of their hash."""
 
     def run(batches):
+        def found():
+            for b in slices(batches, "text", SLICE):
+                seen, n = np.unique(words(b.column(0)).hash.view(np.int64), return_counts=True)
+                yield seen, n.astype(np.int64)
+
+        for keys, counts in _added(found()):
+            yield from _rows([(p, dense(k), press(c)) for p, k, c in _split(part_of(mix(keys.view(U64)), parts), keys, counts)], PAIRS)
+
+    return _counted(docs.where("train").select("text").mapInArrow(run, _ddl(PAIRS)), parts, "katz-words")
+
+
+def _numbered(table: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """Hashes and counts of the words in bin `least` or above, and of the rest (part, count, n, before): how many words of that count earlier partitions have."""
+
+    def common(batches):
         for b in batches:
             for keys, counts in zip(b.column(0), b.column(1), strict=True):
                 keys, counts = undense(keys.as_buffer()), unpress(counts.as_buffer(), np.int64)
                 big = bins(counts) >= least
                 yield pa.RecordBatch.from_arrays([pa.array(keys[big]), pa.array(counts[big])], ["key", "count"])
 
-    got = table.select("keys", "counts").mapInArrow(run, "key long, count long").toArrow()
+    def rest(batches):
+        for b in batches:
+            for part, counts in zip(b.column(0), b.column(1), strict=True):
+                counts = unpress(counts.as_buffer(), np.int64)
+                count, n = np.unique(counts[bins(counts) < least], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part.as_py(), np.int32)), pa.array(count), pa.array(n.astype(np.int64))], ["part", "count", "n"])
+
+    got = table.select("keys", "counts").mapInArrow(common, "key long, count long").toArrow()
     keys, counts = got.column(0).to_numpy(), got.column(1).to_numpy()
-    order = np.argsort(keys)
-    return keys[order], counts[order]
+    earlier = Window.partitionBy("count").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    by_count = table.select("part", "counts").mapInArrow(rest, "part int, count long, n long").withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    return keys, counts, kept(by_count, "katz-numbers")
+
+
+def _encoded(docs: DataFrame, table: DataFrame, numbers: DataFrame, shared, parts: int) -> DataFrame:
+    """(block, ids, train, n_words, numbers): the corpus in blocks of texts, whose words are numbers.
+
+    A block is named by its partition and all its bytes, so it has one name however often its task runs.
+    """
+
+    def send(batches):
+        lexicon, partition, names = shared.value, TaskContext.get().partitionId(), Counter()
+        for b in slices(batches, "text", SLICE):
+            w = words(b.column(2))
+            ids = _ids(b.column(0))
+            name = xxhash.xxh64_intdigest(ids + w.offsets.tobytes() + b.column(1).to_numpy(zero_copy_only=False).tobytes(), xxhash.xxh64_intdigest(np.ascontiguousarray(w.data)))
+            names[name] += 1
+            block = int(mix(np.array([name], U64) + mix(np.array([partition << 32 | names[name]], U64)))[0].view(np.int64))
+            seen, back = np.unique(w.hash, return_inverse=True)
+            at = lookup(lexicon.hashes, seen)
+            rare = np.flatnonzero(at < 0)
+            number = np.zeros(len(seen), np.int64)
+            number[at >= 0] = lexicon.numbers[at[at >= 0]]
+            number[rare] = -1 - np.arange(len(rare))  # by place among the rare ones
+            local = press(np.diff(w.first).astype(np.int64)) , press(number[back].astype(np.int32))
+            head = len(ids).to_bytes(8, "little") + ids + b.column(1).to_numpy(zero_copy_only=False).tobytes()
+            rows = [(abs(block) % parts, "local", block, head, *local)]
+            hashes = seen[rare].view(np.int64)
+            order = np.argsort(hashes)
+            for p, k, place in _split(part_of(mix(hashes[order].view(U64)), parts), hashes[order], order):
+                rows.append((p, "word", block, dense(k), press(place.astype(np.int32)), b""))
+            yield from _rows(rows, SENT)
+
+    sent = docs.select("id", "train", "text").mapInArrow(send, _ddl(SENT))
+    starts = numbers.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("count", "before"))).alias("x"))
+    starts = table.join(starts, "part", "left").select("part", F.lit("table").alias("kind"), F.lit(0).cast("long").alias("block"), F.col("keys").alias("a"), F.col("counts").alias("b"), F.to_json(F.struct(F.col("x.count").alias("count"), F.col("x.before").alias("before"))).cast("binary").alias("c"))
+
+    def answer(table: pa.Table) -> pa.Table:
+        import json
+
+        lexicon = shared.value
+        keys, number, out = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        for kind, a, b, c in zip(*(table.column(x) for x in ("kind", "a", "b", "c")), strict=True):
+            if kind.as_py() == "table":
+                keys, counts, before = undense(a.as_buffer()), unpress(b.as_buffer(), np.int64), json.loads(c.as_py())
+                if before.get("count"):
+                    at = lookup(np.array(before["count"], np.int64), counts)
+                    begin = lexicon.begin[::-1][np.searchsorted(lexicon.count[::-1], counts)] if len(lexicon.begin) else counts
+                    # Words of one count are numbered by partition, then by hash.
+                    order = np.argsort(counts, kind="stable")
+                    first = np.flatnonzero(np.append(True, np.diff(counts[order]) != 0))
+                    rank = np.empty(len(counts), np.int64)
+                    rank[order] = np.arange(len(counts)) - np.repeat(first, np.diff(np.append(first, len(counts))))
+                    number = np.where(at >= 0, begin + np.array(before["before"], np.int64)[np.maximum(at, 0)] + rank, UNSEEN)
+        for kind, block, a, b, c in zip(*(table.column(x) for x in ("kind", "block", "a", "b", "c")), strict=True):
+            kind = kind.as_py()
+            if kind == "local":
+                out.append((block.as_py(), kind, a.as_py(), b.as_py(), c.as_py()))
+            elif kind == "word":
+                at = lookup(keys, undense(a.as_buffer()))
+                out.append((block.as_py(), kind, b.as_py(), press(np.where(at >= 0, number[np.maximum(at, 0)] if len(number) else 0, UNSEEN).astype(np.int32)), b""))
+        return _table(out, BACK)
+
+    back = sent.unionByName(starts).repartition(parts, "part").groupBy("part").applyInArrow(answer, _ddl(BACK))
+
+    def gather(table: pa.Table) -> pa.Table:
+        head, places, values = None, [], []
+        for kind, a, b, c in zip(*(table.column(x) for x in ("kind", "a", "b", "c")), strict=True):
+            if kind.as_py() == "local":
+                head, n_words, number = a.as_py(), b.as_py(), unpress(c.as_buffer(), np.int32).copy()
+            else:
+                places.append(unpress(a.as_buffer(), np.int32))
+                values.append(unpress(b.as_buffer(), np.int32))
+        if places:
+            rare = np.zeros(sum(map(len, places)), np.int32)
+            rare[np.concatenate(places)] = np.concatenate(values)
+            number = np.where(number < 0, rare[np.clip(-1 - number, 0, len(rare) - 1)], number)
+        size = int.from_bytes(head[:8], "little")
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int64()), "ids": pa.array([head[8 : 8 + size]], pa.binary()), "train": pa.array([head[8 + size :]], pa.binary()), "n_words": pa.array([n_words], pa.binary()), "numbers": pa.array([press(number)], pa.binary())})
+
+    return kept(back.repartition(parts, "block").groupBy("block").applyInArrow(gather, "block long, ids binary, train binary, n_words binary, numbers binary"), "katz-corpus")
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
+
+
+def _ids(column: pa.Array) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("id", pa.int64())])) as out:
+        out.write_batch(pa.record_batch([column], names=["id"]))
+    return sink.getvalue().to_pybytes()
+
+
+def _pairs(numbers: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, pair) for each word and end of texts: the number before it and its own."""
+    n, first = len(n_words), np.append(0, np.cumsum(n_words))
+    text = np.repeat(np.arange(n), n_words)
+    out = np.full(len(numbers) + 2 * n, END, np.int64)
+    out[np.arange(len(numbers)) + 2 * text + 1] = numbers
+    out[first[:-1] + 2 * np.arange(n)] = START
+    of = np.repeat(np.arange(n), n_words + 2)
+    inside = of[1:] == of[:-1]
+    return of[1:][inside], (out[:-1] << BITS | out[1:])[inside]
+
+
+def _pair_parts(keys: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
+    """A context's pairs lie in one partition; those of a context with a large share of all text, by pair, in all of them."""
+    head = keys >> BITS
+    spread = lookup(hot, head) >= 0
+    return part_of(mix(np.where(spread, keys, head).astype(U64) + spread.astype(U64)), parts)
 
 
 @dataclass
-class Scorer:
-    lexicon: Lexicon
-    discount: np.ndarray
-    log_back: np.ndarray  # log10 a(h)
-    log_scale: np.ndarray  # log10 s(h)
-    frequent: np.ndarray
-    frequent_counts: np.ndarray
+class Contexts:
+    """s(h) and a(h) of sorted contexts."""
 
-    def seen(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 P of bigrams with these counts."""
-        head = keys >> BITS
-        return self.log_scale[head] + np.log10(self.discount[np.minimum(counts, K + 1)] * counts / self.lexicon.context[head])
+    heads: np.ndarray
+    scale: np.ndarray
+    back: np.ndarray
 
-    def backed_off(self, keys: np.ndarray) -> np.ndarray:
-        return self.log_back[keys >> BITS] + self.lexicon.logs[keys & ((1 << BITS) - 1)]
 
+def _sums(keys: np.ndarray, counts: np.ndarray, lexicon: Lexicon, discount: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(h, discounted counts of h, P of the words seen after h) of sorted pairs."""
+    head, back = np.unique(keys >> BITS, return_inverse=True)
+    return head, np.bincount(back, discount[np.minimum(counts, K + 1)] * counts, len(head)), np.bincount(back, lexicon.p(keys & MASK), len(head))
+
+
+def _contexts(head: np.ndarray, mass: np.ndarray, lower: np.ndarray, lexicon: Lexicon) -> Contexts:
+    c = lexicon.counts(head).astype(np.float64)
+    seen = mass / np.maximum(c, 1)
+    scale = np.where(seen > 1 - 1e-9, c / (c + 1), 1.0)
+    return Contexts(head, scale, (1 - scale * seen) / np.maximum(1 - lower, lexicon.unseen))
 
-def _parts(docs: DataFrame, text_bytes: int) -> int:
-    """Partitions of the tables: about one for each 32 MB of text, and no fewer than the session's."""
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), text_bytes // (32 << 20) + 1)
+
+def _seen(keys: np.ndarray, counts: np.ndarray, contexts: Contexts, lexicon: Lexicon, discount: np.ndarray) -> np.ndarray:
+    """log10 P of pairs with these counts, whose contexts are known."""
+    head = keys >> BITS
+    return np.log10(contexts.scale[lookup(contexts.heads, head)] * discount[np.minimum(counts, K + 1)] * counts / lexicon.counts(head))
+
+
+def _joined(*some: Contexts) -> Contexts:
+    heads = np.concatenate([x.heads for x in some])
+    order = np.argsort(heads)
+    return Contexts(heads[order], np.concatenate([x.scale for x in some])[order], np.concatenate([x.back for x in some])[order])
 
 
-def scored(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 1 << 19, frequent: int = 1 << 18) -> DataFrame:
+def scored(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", cached: int = 1 << 19, frequent: int = 1 << 18) -> DataFrame:
     """(id, train, n_tokens, n_known, train_tokens, base_score, score) for each row of df.
 
     train is a boolean column; null counts as false.  Tokens are the words
     (runs of non-space bytes, A-Z lower-cased) and one end.  base_score is the
     add-half unigram score with exact counts of all words; score is the model's
-    log10 probability.  Null and empty texts are the end alone.  Without
-    training texts every word is unknown.  Repeated rows are scored each; other
-    columns are left out.
+    log10 probability of the text, each unseen word being one of U.  Null and empty texts
+    are the end alone.  Without training texts every word is unseen.  Repeated
+    rows and ids, and null ids, are scored each by their own text; other columns are left out.
+    cached and frequent bound what is broadcast and change no result.  There may
+    be 2^31 distinct training words; more raise an error.
     """
     spark = df.sparkSession
     modest_batches(spark)
@@ -262,159 +427,140 @@ def scored(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
     texts, size = docs.agg(F.count(F.when(F.col("train"), 1)), F.sum(F.octet_length("text"))).first()
     parts = _parts(docs, size or 0)
 
-    def count_words(batches):
-        for b in slices(batches, "text", SLICE):
-            w = words(b.column(1))
-            seen, n = np.unique(w.hash[b.column(0).to_numpy(zero_copy_only=False)[w.text_of]], return_counts=True)
-            seen = seen.view(np.int64)
-            yield from _rows([(p, dense(np.sort(k)), press(c[np.argsort(k)].astype(np.int64))) for p, k, c in _split(part_of(mix(seen.view(U64)), parts), seen, n)], PAIRS)
-
-    vocabulary_table = _counted(docs.where("train").select("train", "text").mapInArrow(count_words, "part int, keys binary, counts binary"), "words")
-    types, tokens, small, found = _summary(vocabulary_table)
+    vocabulary = _vocabulary(docs, parts)
+    types, tokens, small, found = _summary(vocabulary)
+    if types >= MASK - FIRST:
+        raise ValueError("more than 2^31 distinct training words")
+    keys, counts, numbers = _numbered(vocabulary, least_bin(found, cached))
+    order = np.lexsort((keys, -counts))
+    common = counts[order]
+    begin = {int(c): FIRST + int(np.searchsorted(-common, -c)) for c in np.unique(common)}
+    at = FIRST + len(common)
+    for r in numbers.groupBy("count").agg(F.sum("n").alias("n")).orderBy(F.desc("count")).collect():
+        begin[r["count"]] = at
+        at += r["n"]
+    steps = sorted(begin.items(), key=lambda x: x[1])
+    by_hash = np.argsort(keys[order].view(U64))
     if texts:  # the end is a token of its own
         types, tokens = types + 1, tokens + texts
-    lexicon = _lexicon(*_by_hash(*_largest(vocabulary_table, max(2, least_bin(found, vocabulary)))), tokens, types, texts, small)
-    hot = np.append(lexicon.context, 0) * 8 * parts > max(1, tokens)
-    shared = spark.sparkContext.broadcast((lexicon, hot))
+    lexicon = _lexicon(keys[order].view(U64)[by_hash], (FIRST + np.arange(len(common)))[by_hash], np.array([b for _, b in steps], np.int64), np.array([c for c, _ in steps], np.int64), tokens, types, texts, small)
+    shared = spark.sparkContext.broadcast(lexicon)
+    corpus = _encoded(docs, vocabulary, numbers, shared, parts)
+
+    # Contexts with more than an eighth of a partition's share of all pairs; they are at most 8 * parts.
+    limit = max(1, tokens) / (8 * parts)
+    hot = np.sort(np.append(FIRST + np.flatnonzero(common > limit), [START] if texts > limit else []).astype(np.int64))
+
+    def count_pairs(batches):
+        def found():
+            for b in batches:
+                for train, n_words, number in zip(*(b.column(i) for i in range(3)), strict=True):
+                    n_words = unpress(n_words.as_buffer(), np.int64)
+                    mine = np.frombuffer(train.as_buffer(), bool)
+                    _, keys = _pairs(unpress(number.as_buffer(), np.int32)[np.repeat(mine, n_words)], n_words[mine])
+                    keys, n = np.unique(keys, return_counts=True)
+                    yield keys, n.astype(np.int64)
+
+        for keys, counts in _added(found()):
+            yield from _rows([(p, dense(k), press(c)) for p, k, c in _split(_pair_parts(keys, hot, parts), keys, counts)], PAIRS)
+
+    pairs = _counted(corpus.select("train", "n_words", "numbers").mapInArrow(count_pairs, _ddl(PAIRS)), parts, "katz-pairs")
+    _, _, small, found = _summary(pairs)
+    discount = np.append(good_turing(small), 1.0)
 
-    def count_bigrams(batches):
-        lexicon, hot = shared.value
-        for b in slices(batches, "text", SLICE):
-            _, keys = _bigrams(lexicon, words(b.column(0)))
-            keys, n = np.unique(keys, return_counts=True)
-            yield from _rows([(p, dense(k), press(c.astype(np.int64))) for p, k, c in _split(_bigram_parts(keys, hot, parts), keys, n)], PAIRS)
+    def hot_sums(batches):
+        for b in batches:
+            for keys, counts in zip(b.column(0), b.column(1), strict=True):
+                keys, counts = undense(keys.as_buffer()), unpress(counts.as_buffer(), np.int64)
+                mine = lookup(hot, keys >> BITS) >= 0
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _sums(keys[mine], counts[mine], shared.value, discount)], ["head", "mass", "lower"])
 
-    bigrams = _counted(docs.where("train").select("text").mapInArrow(count_bigrams, "part int, keys binary, counts binary"), "bigrams")
-    _, _, small, found = _summary(bigrams)
-    discount = np.append(good_turing(small), 1.0)
-    log_back, log_scale = _weights(bigrams, shared, lexicon, discount)
-    scorer = spark.sparkContext.broadcast(Scorer(lexicon, discount, log_back, log_scale, *_largest(bigrams, max(2, least_bin(found, frequent)))))
+    got = pairs.select("keys", "counts").mapInArrow(hot_sums, "head long, mass double, lower double").groupBy("head").agg(F.sum("mass"), F.sum("lower")).orderBy("head").toArrow()
+    hot_contexts = _contexts(*(x.to_numpy() for x in got.columns), lexicon)
+    least = least_bin(found, frequent)
+
+    def own_contexts(keys: np.ndarray, counts: np.ndarray, lexicon: Lexicon) -> Contexts:
+        mine = lookup(hot, keys >> BITS) < 0
+        return _joined(_contexts(*_sums(keys[mine], counts[mine], lexicon, discount), lexicon), hot_contexts)
+
+    def frequent_pairs(batches):
+        for b in batches:
+            for keys, counts in zip(b.column(0), b.column(1), strict=True):
+                keys, counts = undense(keys.as_buffer()), unpress(counts.as_buffer(), np.int64)
+                contexts, big = own_contexts(keys, counts, shared.value), bins(counts) >= least
+                yield pa.RecordBatch.from_arrays([pa.array(keys[big]), pa.array(_seen(keys[big], counts[big], contexts, shared.value, discount))], ["key", "value"])
+
+    got = pairs.select("keys", "counts").mapInArrow(frequent_pairs, "key long, value double").toArrow()
+    order = np.argsort(got.column(0).to_numpy())
+    near_by = spark.sparkContext.broadcast((got.column(0).to_numpy()[order], got.column(1).to_numpy()[order]))
 
     def send(batches):
-        s = scorer.value
-        hot = shared.value[1]
-        for b in slices(batches, "text", SLICE):
-            w = words(b.column(2))
-            n = b.num_rows
-            at = lookup(s.lexicon.hashes, w.hash)
-            common = at >= 0
-            text = w.text_of
-            base = np.bincount(text[common], np.log10(s.lexicon.counts[at[common]] + 0.5), n) + np.log10(s.lexicon.texts + 0.5)
-            known = np.bincount(text[common], minlength=n) + (s.lexicon.texts > 0)
-            of, keys = _bigrams(s.lexicon, w)
-            place = lookup(s.frequent, keys)
-            near = place >= 0
-            score = np.bincount(of[near], s.seen(keys[near], s.frequent_counts[place[near]]), n)
-            block = int(mix(np.array([len(w.data) + n], U64) + w.hash[:: max(1, len(w.hash) // 64)].sum(dtype=U64) + mix(b.column(0).fill_null(-1).to_numpy().view(U64)).sum(dtype=U64))[0].view(np.int64))
-            rows = [(block % parts, "local", block, _ids(b.column(0)), np.diff(w.first).astype(np.int64).tobytes() + b.column(1).to_numpy(zero_copy_only=False).tobytes(), base.tobytes() + known.astype(np.int64).tobytes() + score.tobytes())]
-            rare = w.hash[~common].view(np.int64)
-            for kind, part, key, doc in (("word", part_of(mix(rare.view(U64)), parts), rare, text[~common]), ("bigram", _bigram_parts(keys[~near], hot, parts), keys[~near], of[~near])):
-                order = np.argsort(key, kind="stable")
-                for p, k, d in _split(part[order], key[order], doc[order]):
+        lexicon, (near_keys, near_values) = shared.value, near_by.value
+        for b in batches:
+            for block, ids, train, n_words, number in zip(*(b.column(i) for i in range(5)), strict=True):
+                n_words, number = unpress(n_words.as_buffer(), np.int64), unpress(number.as_buffer(), np.int32).astype(np.int64)
+                block, n = block.as_py(), len(n_words)
+                text = np.repeat(np.arange(n), n_words)
+                c = lexicon.counts(number)
+                base = np.bincount(text, np.log10(c + 0.5), n) + np.log10(lexicon.texts + 0.5) - (n_words + 1) * math.log10(lexicon.tokens + 0.5 * (lexicon.types + 1))
+                known = np.bincount(text[c > 0], minlength=n) + (lexicon.texts > 0)
+                of, keys = _pairs(number, n_words)
+                place = lookup(near_keys, keys)
+                score = np.bincount(of[place >= 0], near_values[place[place >= 0]], n).astype(np.float64)
+                # Nothing was ever seen after an unseen word, so the word alone counts.
+                alone = (place < 0) & (lexicon.counts(keys >> BITS) == 0)
+                score += np.bincount(of[alone], np.log10(lexicon.p(keys[alone] & MASK)), n)
+                yield from _rows([(abs(block) % parts, "local", block, ids.as_py(), n_words.tobytes() + train.as_py(), base.tobytes() + known.astype(np.int64).tobytes() + score.tobytes())], SENT)
+                far = (place < 0) & ~alone
+                part, keys, of = _pair_parts(keys[far], hot, parts), keys[far], of[far]
+                order = np.argsort(keys, kind="stable")
+                rows = []
+                for p, k, d in _split(part[order], keys[order], of[order]):
                     first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-                    rows.append((p, kind, block, dense(k[first]), press(np.diff(np.append(first, len(k))).astype(np.uint32)), press(d.astype(np.uint32))))
-            yield from _rows(rows, SENT)
+                    rows.append((p, "pair", block, dense(k[first]), press(np.diff(np.append(first, len(k))).astype(np.uint32)), press(d.astype(np.uint32))))
+                yield from _rows(rows, SENT)
 
-    sent = docs.mapInArrow(send, "part int, kind string, block long, keys binary, counts binary, texts binary")
-    for kind, table in (("word table", vocabulary_table), ("bigram table", bigrams)):
-        sent = sent.unionByName(table.select("part", F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("block"), "keys", "counts", F.lit(b"").alias("texts")))
+    sent = corpus.mapInArrow(send, _ddl(SENT))
+    sent = sent.unionByName(pairs.select("part", F.lit("table").alias("kind"), F.lit(0).cast("long").alias("block"), F.col("keys").alias("a"), F.col("counts").alias("b"), F.lit(b"").alias("c")))
 
     def answer(table: pa.Table) -> pa.Table:
-        s = scorer.value
-        tables = {"word": (np.zeros(0, np.int64),) * 2, "bigram": (np.zeros(0, np.int64),) * 2}
-        columns = [table.column(c) for c in ("kind", "block", "keys", "counts", "texts")]
-        for kind, _, keys, counts, _ in zip(*columns, strict=True):
-            if kind.as_py().endswith(" table"):
-                tables[kind.as_py().removesuffix(" table")] = undense(keys.as_buffer()), unpress(counts.as_buffer(), np.int64)
-        out = []
-        for kind, block, keys, counts, docs_ in zip(*columns, strict=True):
+        lexicon, out = shared.value, []
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for kind, a, b in zip(*(table.column(x) for x in ("kind", "a", "b")), strict=True):
+            if kind.as_py() == "table":
+                keys, counts = undense(a.as_buffer()), unpress(b.as_buffer(), np.int64)
+        contexts = own_contexts(keys, counts, lexicon)
+        values = _seen(keys, counts, contexts, lexicon, discount)
+        for kind, block, a, b, c in zip(*(table.column(x) for x in ("kind", "block", "a", "b", "c")), strict=True):
             kind = kind.as_py()
             if kind == "local":
-                out.append((block.as_py(), kind, keys.as_py(), counts.as_py(), docs_.as_py(), b""))
-            elif kind in tables:
-                keys, times, text = undense(keys.as_buffer()), unpress(counts.as_buffer(), np.uint32), unpress(docs_.as_buffer(), np.uint32).astype(np.int64)
-                at = lookup(tables[kind][0], keys)
-                n = np.where(at >= 0, tables[kind][1][np.maximum(at, 0)], 0) if len(tables[kind][0]) else np.zeros(len(keys), np.int64)
-                if kind == "word":
-                    value = np.log10(n + 0.5)
-                else:
-                    value = s.backed_off(keys)
-                    value[n > 0] = s.seen(keys[n > 0], n[n > 0])
-                each = np.repeat(np.arange(len(keys)), times)
-                total = np.bincount(text, value[each])
+                out.append((block.as_py(), kind, a.as_py(), b.as_py(), c.as_py()))
+            elif kind == "pair":
+                asked, times, text = undense(a.as_buffer()), unpress(b.as_buffer(), np.uint32), unpress(c.as_buffer(), np.uint32).astype(np.int64)
+                at, of = lookup(keys, asked), lookup(contexts.heads, asked >> BITS)
+                value = np.log10(lexicon.p(asked & MASK)) + (np.where(of >= 0, np.log10(contexts.back[of]), 0.0) if len(contexts.back) else 0.0)
+                value[at >= 0] = values[at[at >= 0]]
+                total = np.bincount(text, value[np.repeat(np.arange(len(asked)), times)])
                 here = np.flatnonzero(np.bincount(text))
-                extra = np.bincount(text, (n > 0)[each])[here].astype(np.int64) if kind == "word" else np.zeros(0, np.int64)
-                out.append((block.as_py(), kind, dense(here), total[here].tobytes(), extra.tobytes(), b""))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), BACK, strict=True)], schema=BACK) if out else BACK.empty_table()
+                out.append((block.as_py(), kind, dense(here), total[here].tobytes(), b""))
+        return _table(out, BACK)
 
-    back = sent.groupBy("part").applyInArrow(answer, "block long, kind string, a binary, b binary, c binary, d binary")
+    back = sent.repartition(parts, "part").groupBy("part").applyInArrow(answer, _ddl(BACK))
 
     def gather(table: pa.Table) -> pa.Table:
-        lexicon = shared.value[0]
         rows = list(zip(*(table.column(c) for c in ("kind", "a", "b", "c")), strict=True))
-        out = []
-        local = [r for r in rows if r[0].as_py() == "local"]
-        # Blocks that are equal in all their rows share a name; each gets its part of the sums.
-        for _, ids, counts, sums in local:
-            ids = pa.ipc.open_stream(ids.as_buffer()).read_all().column(0).combine_chunks()
-            n = len(ids)
-            raw = counts.as_buffer()
-            n_words, trained = np.frombuffer(raw, np.int64, n), np.frombuffer(raw, bool, n, 8 * n)
-            raw = sums.as_buffer()
-            base, known, score = np.frombuffer(raw, np.float64, n).copy(), np.frombuffer(raw, np.int64, n, 8 * n).copy(), np.frombuffer(raw, np.float64, n, 16 * n).copy()
-            partial = np.zeros((3, n))
-            for kind, a, b, c in rows:
-                kind = kind.as_py()
-                if kind != "local":
-                    at = undense(a.as_buffer())
-                    partial[0 if kind == "word" else 1, at] += np.frombuffer(b.as_buffer(), np.float64)
-                    if kind == "word":
-                        partial[2, at] += np.frombuffer(c.as_buffer(), np.int64)
-            base += partial[0] / len(local) - (n_words + 1) * math.log10(lexicon.tokens + 0.5 * (lexicon.types + 1))
-            score += partial[1] / len(local)
-            known += np.round(partial[2] / len(local)).astype(np.int64)
-            out.append(pa.table({"id": ids, "train": pa.array(trained), "n_tokens": n_words + 1, "n_known": known, "train_tokens": np.full(n, lexicon.tokens), "base_score": base, "score": score}))
-        return pa.concat_tables(out)
-
-    return back.groupBy("block").applyInArrow(gather, "id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _ids(column: pa.Array) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, pa.schema([("id", pa.int64())])) as out:
-        out.write_batch(pa.record_batch([column], names=["id"]))
-    return sink.getvalue().to_pybytes()
-
-
-def _by_hash(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    hashes = keys.view(U64)
-    order = np.argsort(hashes)
-    return hashes[order], counts[order]
-
-
-def _weights(bigrams: DataFrame, shared, lexicon: Lexicon, discount: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 a(h) and log10 s(h) by number of h; contexts are at most the vocabulary, so their sums come to the driver."""
-
-    def run(batches):
-        p = 10.0 ** shared.value[0].logs
-        for b in batches:
-            for keys, counts in zip(b.column(0), b.column(1), strict=True):
-                keys, counts = undense(keys.as_buffer()), unpress(counts.as_buffer(), np.int64)
-                head, back = np.unique(keys >> BITS, return_inverse=True)
-                mass = np.bincount(back, discount[np.minimum(counts, K + 1)] * counts)
-                lower = np.bincount(back, p[keys & ((1 << BITS) - 1)])
-                yield pa.RecordBatch.from_arrays([pa.array(head), pa.array(mass), pa.array(lower)], ["head", "mass", "lower"])
-
-    got = bigrams.select("keys", "counts").mapInArrow(run, "head long, mass double, lower double").groupBy("head").agg(F.sum("mass"), F.sum("lower")).toArrow()
-    n = len(lexicon.context)
-    mass, lower = np.zeros(n), np.zeros(n)
-    head = got.column(0).to_numpy()
-    mass[head], lower[head] = got.column(1).to_numpy(), got.column(2).to_numpy()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        seen = np.where(lexicon.context > 0, mass / lexicon.context, 0.0)
-        scale = np.where((seen > 0) & (seen > 1 - 1e-9), lexicon.context / (lexicon.context + 1), 1.0)
-        rest = 1 - lower
-        full = rest < 1e-12  # every word follows h: nothing to back off to
-        scale = np.where(full, 1 / np.maximum(seen, 1e-300), scale)
-        back = np.where(full, 0.0, (1 - scale * seen) / np.where(full, 1.0, rest))
-        return np.log10(back), np.log10(scale)
+        _, ids, texts, sums = next(r for r in rows if r[0].as_py() == "local")
+        ids = pa.ipc.open_stream(ids.as_buffer()).read_all().column(0).combine_chunks()
+        n, raw = len(ids), texts.as_buffer()
+        n_words, trained = np.frombuffer(raw, np.int64, n), np.frombuffer(raw, bool, n, 8 * n)
+        raw = sums.as_buffer()
+        base, known, score = np.frombuffer(raw, np.float64, n), np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(raw, np.float64, n, 16 * n).copy()
+        for kind, a, b, _ in rows:
+            if kind.as_py() == "pair":
+                score[undense(a.as_buffer())] += np.frombuffer(b.as_buffer(), np.float64)
+        return pa.table({"id": ids, "train": pa.array(trained), "n_tokens": n_words + 1, "n_known": known, "train_tokens": np.full(n, tokens), "base_score": base, "score": score})
+
+    out = back.repartition(parts, "block").groupBy("block").applyInArrow(gather, "id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = kept(out, "katz-scores")
+    discard(vocabulary, numbers, corpus, pairs)
+    return out

@@ -421,24 +421,19 @@ def test_languages(spark, odd, empty):
     assert {r.lang_pred for r in language_id.identified(odd, empty).collect()} == {"und"}
 
 
-def plain_katz(texts, train, vocabulary=None):
-    """(base, score) of each text from the definitions, with plain dictionaries."""
+def plain_katz(texts, train):
+    """(tokens, known, N, base, score) of each text from the definitions, with plain dictionaries; the probability of a word after another; P of seen words; what follows each word."""
     words_of = [split(t) for t in texts]
     uni = collections.Counter(w for ws, t in zip(words_of, train, strict=True) if t for w in [*ws, "</e>"])
     total, types = sum(uni.values()), len(uni)
-    known = {w for w, n in uni.items() if n >= 2 and w != "</e>"} | {"</e>"}
-    name = lambda w: w if w in known else "<unk>"
-    d1 = katz.good_turing([sum(n == r for w, n in uni.items() if w != "</e>") for r in range(1, 7)])
-    counts = collections.Counter()
-    for w, n in uni.items():
-        counts[name(w)] += n
-    p = {w: (d1[n] if n <= 5 else 1) * n for w, n in counts.items() if w != "<unk>"}
-    p["<unk>"] = counts["<unk>"] + sum(counts[w] - p[w] for w in p) + 1
-    p = {w: x / sum(p.values()) for w, x in p.items()}
+    n1 = [sum(n == r for w, n in uni.items() if w != "</e>") for r in range(1, 7)]
+    d1 = katz.good_turing(n1)
+    p = {w: (d1[n] if n <= 5 and w != "</e>" else 1) * n / (total + 1) for w, n in uni.items()}
+    unseen = (1 - sum(p.values())) / katz.unseen_types(n1)
     pairs = collections.Counter()
     for ws, t in zip(words_of, train, strict=True):
         if t:
-            seq = ["<s>", *map(name, ws), "</e>"]
+            seq = ["<s>", *ws, "</e>"]
             pairs.update(zip(seq, seq[1:], strict=False))
     d = katz.good_turing([sum(n == r for n in pairs.values()) for r in range(1, 7)])
     after = collections.defaultdict(dict)
@@ -448,36 +443,51 @@ def plain_katz(texts, train, vocabulary=None):
     def prob(h, w):
         seen = after.get(h, {})
         if not seen:
-            return p[w]
+            return p.get(w, unseen)
         c = sum(seen.values())
         disc = {x: (d[n] if n <= 5 else 1) * n / c for x, n in seen.items()}
         scale = c / (c + 1) if sum(disc.values()) > 1 - 1e-9 else 1
         if w in seen:
             return scale * disc[w]
-        return (1 - scale * sum(disc.values())) / (1 - sum(p[x] for x in seen)) * p[w]
+        return (1 - scale * sum(disc.values())) / (1 - sum(p[x] for x in seen)) * p.get(w, unseen)
 
     out = []
     for ws in words_of:
-        seq = ["<s>", *map(name, ws), "</e>"]
+        seq = ["<s>", *ws, "</e>"]
         base = sum(math.log10((uni[w] + 0.5) / (total + 0.5 * (types + 1))) for w in [*ws, "</e>"])
         out.append((len(ws) + 1, sum(uni[w] > 0 for w in [*ws, "</e>"]), total, base, sum(math.log10(prob(h, w)) for h, w in zip(seq, seq[1:], strict=False))))
-    return out, prob, p, after
+    return out, prob, p, katz.unseen_types(n1), after
 
 
-def test_katz_equals_its_definition_and_sums_to_one(spark):
+def katz_texts():
     rng = random.Random(12)
-    texts = [" ".join(f"w{min(int(rng.expovariate(0.12)), 60)}" for _ in range(rng.randrange(0, 40))) for _ in range(120)] + ["w1 w1 w2", "new words only", None]
-    train = [i % 5 != 1 for i in range(len(texts))]
-    df = spark.createDataFrame([(i, t, r, "clash", 0) for i, (t, r) in enumerate(zip(texts, train, strict=True))], "doc_id long, text string, tr boolean, part string, block int").repartition(3)
-    want, prob, p, after = plain_katz(texts, train)
-    for frequent in (1 << 18, 10):
-        got = {r.id: r for r in katz.scored(df, F.col("tr"), frequent=frequent).collect()}
-        for i, (n, known, total, base, score) in enumerate(want):
-            r = got[i]
-            assert (r.train, r.n_tokens, r.n_known, r.train_tokens) == (train[i], n, known, total)
-            assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9)
+    texts = [" ".join(f"w{min(int(rng.expovariate(0.12)), 60)}" for _ in range(rng.randrange(0, 40))) for _ in range(120)] + ["w1 w1 w2", "new words only", None, "w1 w1 w2"]
+    return texts, [i % 5 != 1 for i in range(len(texts))]
+
+
+@pytest.mark.parametrize(("cached", "frequent", "pieces"), [(1 << 19, 1 << 18, 3), (0, 0, 1), (7, 10, 5)])
+def test_katz_equals_its_definition_and_sums_to_one(spark, cached, frequent, pieces):
+    texts, train = katz_texts()
+    df = spark.createDataFrame([(i, t, r, "clash", 0) for i, (t, r) in enumerate(zip(texts, train, strict=True))], "doc_id long, text string, tr boolean, part string, block int").repartition(pieces)
+    want, prob, p, unseen, after = plain_katz(texts, train)
+    got = {r.id: r for r in katz.scored(df, F.col("tr"), cached=cached, frequent=frequent).collect()}
+    for i, (n, known, total, base, score) in enumerate(want):
+        r = got[i]
+        assert (r.train, r.n_tokens, r.n_known, r.train_tokens) == (train[i], n, known, total)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9)
     for h in list(after)[:20]:
-        assert math.isclose(sum(prob(h, w) for w in p), 1, rel_tol=1e-9)
+        assert math.isclose(sum(prob(h, w) for w in p) + unseen * prob(h, "never seen"), 1, rel_tol=1e-9)
+
+
+def test_katz_scores_repeated_and_null_ids_by_their_own_texts(spark):
+    a = [f"w{i}" for i in range(200)]
+    b = [f"v{i}" if i in (1, 4, 7) else w for i, w in enumerate(a)]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (1, " ".join(a)), (None, " ".join(a)), (None, " ".join(b[:20]))] + [(i, f"w{i} w{i + 1}") for i in range(10, 30)]
+    want = collections.Counter((i, *x[:3], round(x[3], 6), round(x[4], 6)) for (i, _), x in zip(rows, plain_katz([t for _, t in rows], [i is None or i != 12 for i, _ in rows])[0], strict=True))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for layout in (df.coalesce(1), df.repartition(2), df.repartition(len(rows)), df.repartition(3, "text")):
+        got = katz.scored(layout, F.col("doc_id").isNull() | (F.col("doc_id") != 12))
+        assert collections.Counter((r.id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got.collect()) == want
 
 
 def test_katz_of_odd_and_empty_tables(odd, empty):
