@@ -22,6 +22,7 @@ from shotlake.llm._store import kept, modest_batches
 from shotlake.llm._text import SPACE, U64, Words, _hashes, mix, ngrams, slices, words
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+CELLS = 1 << 26
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -75,33 +76,48 @@ def features(w: Words, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counts(docs: DataFrame, buckets: int) -> np.ndarray:
-    """[half, corpus or trusted, bucket] counts over all of docs (half, text, trusted)."""
+    """[half, bucket] counts over all of docs (half, text)."""
 
     def run(batches):
-        total = np.zeros((2, 2, buckets), np.int64)
+        total = np.zeros((2, buckets), np.int64)
         for b in slices(batches, "text"):
-            half, trusted = b.column(0).to_numpy().astype(np.int64), b.column(2).to_numpy(zero_copy_only=False)
             text, cell = features(words(b.column(1), lower=False), buckets)
-            for h in (0, 1):
-                mine = half[text] == h
-                total[h, 0] += np.bincount(cell[mine], minlength=buckets)
-                total[h, 1] += np.bincount(cell[mine & trusted[text]], minlength=buckets)
+            total += np.bincount(b.column(0).to_numpy().astype(np.int64)[text] * buckets + cell, minlength=2 * buckets).reshape(2, buckets)
         flat = total.reshape(-1)
         at = np.flatnonzero(flat)
         for i in range(0, len(at), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + (1 << 16)]), pa.array(flat[at[i : i + (1 << 16)]])], ["cell", "n"])
 
-    summed = docs.select("half", "text", "trusted").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(4 * buckets, np.int64)
+    summed = docs.select("half", "text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(2 * buckets, np.int64)
     out[summed.column("cell").to_numpy()] = summed.column("n").to_numpy()
-    return out.reshape(2, 2, buckets)
+    return out.reshape(2, buckets)
 
 
-def ratios(count: np.ndarray, prior: float) -> np.ndarray:
+def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose id is in ids; texts of others are not moved, but for some that share a cell of a filter.
+
+    The filter has CELLS bits, so it takes 8 MB at most however many ids there are.
+    """
+    cell = F.pmod(F.xxhash64("id"), F.lit(CELLS))
+    held = ids.select(cell.alias("cell")).groupBy(F.floor(F.col("cell") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(pmod(cell, 64) AS INT))")).alias("bits")).toArrow()
+    bits = np.zeros(CELLS // 64, np.int64)
+    bits[held.column(0).to_numpy()] = held.column(1).to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def maybe(cells: pa.Array) -> pa.Array:
+        at = cells.to_numpy()
+        return pa.array((shared.value[at >> 6] >> (at & 63) & 1).astype(bool))
+
+    return docs.where(maybe(cell)).join(ids, "id", "left_semi")
+
+
+def ratios(of_all: np.ndarray, of_trusted: np.ndarray, prior: float) -> np.ndarray:
     """[half, bucket] log-likelihood ratios for documents of each half, from the other half's counts."""
-    out = np.zeros((2, count.shape[2]))
+    out = np.zeros(of_all.shape)
     for half in (0, 1):
-        corpus, trusted = count[1 - half]
+        corpus, trusted = of_all[1 - half], of_trusted[1 - half]
         if trusted.sum():
             logs = [np.log((c + prior) / (c.sum() + prior * len(c))) for c in (trusted, corpus)]
             out[half] = logs[0] - logs[1]
@@ -124,10 +140,9 @@ def judged(
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"))
     docs = docs.withColumn("half", F.pmod(F.xxhash64("id"), F.lit(2)))
     label = labels.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
-    trust = label.where("q = 1 and t = 0").select("id", F.lit(True).alias("trusted"))
+    trust = label.where("q = 1 and t = 0").select("id")
     sided = label.where("q = 0 or q = 1 and t = 0").select("id", (F.col("q") == 1).alias("trusted"))
-    marked = docs.join(trust, "id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    shared = df.sparkSession.sparkContext.broadcast(ratios(counts(marked, buckets), prior))
+    shared = df.sparkSession.sparkContext.broadcast(ratios(counts(docs, buckets), counts(of_ids(docs, trust), buckets), prior))
 
     def run(batches):
         ratio = shared.value

@@ -20,6 +20,7 @@ from shotlake.llm import _tokens, bitplanes, chat, decontaminate, katz, language
 from shotlake.llm._components import components
 from shotlake.llm._store import new_path
 from shotlake.llm._text import U64, words
+from tests.compare import SF
 from tests.llm.conftest import ODD
 
 FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -318,11 +319,40 @@ def test_quality_on_labelled_rows(spark, size, lost, passed):
 
 
 def test_likelihood_ratio_equals_its_definition():
-    count = np.array([[[3, 1, 0, 0], [2, 0, 0, 0]], [[5, 5, 2, 0], [4, 1, 0, 0]]], np.int64)
-    got = quality.ratios(count, 0.5)
+    of_all, of_trusted = np.array([[3, 1, 0, 0], [5, 5, 2, 0]], np.int64), np.array([[2, 0, 0, 0], [4, 1, 0, 0]], np.int64)
+    got = quality.ratios(of_all, of_trusted, 0.5)
     assert np.isclose(got[0, 1], math.log(1.5 / 7) - math.log(5.5 / 14)) and np.isclose(got[1, 0], math.log(2.5 / 4) - math.log(3.5 / 6))
 
 
+def test_quality_scores_and_verdicts_equal_a_plain_restatement(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(2)).alias("half")).collect()
+    marks = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    trusted = {i for i, r in marks.items() if r.quality == 1 and r.toxic == 0}
+    cells, n = {}, 1 << 16
+    for r in docs:
+        cells[r.doc_id] = quality.features(words(pa.array([r.text], pa.string()), lower=False), n)[1].tolist()
+    total = {(h, t): collections.Counter(c for r in docs if r.half == h and (not t or r.doc_id in trusted) for c in cells[r.doc_id]) for h in (0, 1) for t in (False, True)}
+    want = {}
+    for r in docs:
+        every, good = total[1 - r.half, False], total[1 - r.half, True]
+        sums = [sum(x.values()) + 0.5 * n for x in (good, every)]
+        ratio = [math.log((good[c] + 0.5) / sums[0]) - math.log((every[c] + 0.5) / sums[1]) for c in cells[r.doc_id]]
+        want[r.doc_id] = sum(ratio) / max(1, len(ratio))
+    got = {r.id: r for r in quality.judged(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    assert all(math.isclose(got[i].score, x, abs_tol=1e-9) for i, x in want.items())
+    judged = [(math.floor(want[i] * 1000), i in trusted) for i, r in marks.items() if i in got and not got[i].base_failed and (r.quality == 0 or i in trusted)]
+    good, bad = sum(t for _, t in judged), sum(not t for _, t in judged)
+    loss = lambda at: sum(t for s, t in judged if s < at) * bad + sum(not t for s, t in judged if s >= at) * good
+    best = min([-(10**6), *sorted({s + 1 for s, _ in judged})], key=loss)
+    assert {i for i, r in got.items() if r.kept} == {i for i, r in got.items() if not r.base_failed and want[i] >= best / 1000}
+
+
+def test_only_rows_of_the_ids_pass_the_filter(spark, odd):
+    docs = odd.select(F.col("doc_id").alias("id"), "text")
+    assert sorted(r.id for r in quality.of_ids(docs, spark.createDataFrame([(2,), (9,), (77,)], "id long")).collect()) == [2, 2, 9]
+    assert quality.of_ids(docs, docs.where("false").select("id")).count() == 0
+
+
 def plain_pieces(word, pieces):
     n, at = 0, 0
     while at < len(word):
