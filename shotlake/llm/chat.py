@@ -1,7 +1,10 @@
 """Chat formatting in token-budgeted windows of whole turns, with a loss mask, and its exact inverse.
 
 A conversation's turns, in order, are cut into windows by the prefix sums of
-their token counts: a window takes turns while they fit into the budget.  Every
+their token counts: a window takes turns while they fit into the budget.  A
+turn counts as it is written, with its marks and escapes, and a window's own
+marks count too; all marks stand between line breaks, across which a tokenizer
+never joins, so the counts of the parts add up to that of the window.  Every
 window after the first repeats the system turn and up to `history` turns from
 before it, as far as they fit into `history_share` of the budget.  The system
 turn goes first and history takes what is left; a window goes without the system
@@ -10,7 +13,7 @@ turns stay whole and only a single turn may be over it.  The loss mask
 covers the text of assistant turns, and none that is repeated, so each is
 learned once.  A single turn over the budget gets a window of its own, whole.
 
-Template: <s>[TURN role]text[/TURN]...</s>.  A control string inside a text gets
+Template, where / is a line break: <s>/[TURN role]/text/[/TURN]/...</s>.  A control string inside a text gets
 a backslash after its first character and a backslash becomes two, so the
 template's own marks are the only ones and parsing restores the text exactly.
 
@@ -36,8 +39,8 @@ from shotlake.llm._tokens import encoder
 
 CONTROL = ["<s>", "</s>", "[TURN ", "[/TURN]", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|startoftext|>"]
 _CONTROL = re.compile("|".join(map(re.escape, [*CONTROL, "\\"])))
-_TURN = re.compile(r"\[TURN ((?:[^\]\\]|\\.)*)\](.*?)\[/TURN\]", re.S)
-TURN_TOKENS = 4  # of the marks around a turn
+_TURN = re.compile(r"\[TURN ((?:[^\]\\]|\\.)*)\]\n(.*?)\n\[/TURN\]", re.S)
+BEGIN, CLOSE, FINISH = "<s>\n", "\n[/TURN]\n", "</s>"
 
 WINDOWS = "conv_id long, window long, text string, first_turn long, repeated int, n_tokens long, loss array<struct<start:long,end:long>>"
 
@@ -55,14 +58,15 @@ def parse(window: str) -> list[tuple[str, str]]:
     return [(re.sub(r"\\(.)", r"\1", role, flags=re.S), unescape(text)) for role, text in _TURN.findall(window)]
 
 
+def head(role: str) -> str:
+    return "[TURN " + re.sub(r"([\]\\])", r"\\\1", role) + "]\n"
+
+
 @dataclass
 class Turn:
     role: str
-    text: str
-    tokens: int
-
-    def head(self) -> str:
-        return "[TURN " + re.sub(r"([\]\\])", r"\\\1", self.role) + "]"
+    escaped: str
+    tokens: int  # as written
 
 
 @dataclass
@@ -73,18 +77,19 @@ class Windows:
     budget: int
     history: int
     history_share: float
+    frame: int = 0  # tokens of a window's own marks
     seen: int = 0  # turns so far
     made: int = 0  # windows so far
     system: Turn | None = None
     recent: list[Turn] = field(default_factory=list)
     repeated: list[Turn] = field(default_factory=list)
     fresh: list[Turn] = field(default_factory=list)
-    tokens: int = 0
+    tokens: int = 0  # of turns
 
     def add(self, turn: Turn) -> dict | None:
         """Takes a turn; gives the window that it completes, if any."""
         done = None
-        if self.fresh and self.tokens + turn.tokens > self.budget:
+        if self.fresh and self.frame + self.tokens + turn.tokens > self.budget:
             done = self.close()
         if not self.fresh and self.seen:
             self._repeat(turn.tokens)
@@ -97,7 +102,7 @@ class Windows:
 
     def _repeat(self, coming: int) -> None:
         """Chooses what the next window repeats, for a first turn of that many tokens."""
-        room = self.budget - coming
+        room = self.budget - self.frame - coming
         self.repeated = [self.system] if self.system and self.system.tokens <= room else []
         room = min(room - sum(t.tokens for t in self.repeated), int(self.budget * self.history_share))
         kept: list[Turn] = []
@@ -113,14 +118,14 @@ class Windows:
         """The window under way."""
         if not self.fresh:
             return None
-        parts, at, loss = ["<s>"], 3, []
+        parts, at, loss = [BEGIN], len(BEGIN), []
         for i, turn in enumerate([*self.repeated, *self.fresh]):
-            head, text = turn.head(), escape(turn.text)
+            start = at + len(named := head(turn.role))
             if turn.role == "assistant" and i >= len(self.repeated):
-                loss.append({"start": at + len(head), "end": at + len(head) + len(text)})
-            parts += [head, text, "[/TURN]"]
-            at += len(head) + len(text) + 7
-        out = {"conv_id": self.conv_id, "window": self.made, "text": "".join([*parts, "</s>"]), "first_turn": self.seen - len(self.fresh), "repeated": len(self.repeated), "n_tokens": self.tokens, "loss": loss}
+                loss.append({"start": start, "end": start + len(turn.escaped)})
+            parts += [named, turn.escaped, CLOSE]
+            at = start + len(turn.escaped) + len(CLOSE)
+        out = {"conv_id": self.conv_id, "window": self.made, "text": "".join([*parts, FINISH]), "first_turn": self.seen - len(self.fresh), "repeated": len(self.repeated), "n_tokens": self.frame + self.tokens, "loss": loss}
         self.recent = [*self.recent, *self.fresh][-self.history :] if self.history else []
         self.made += 1
         self.repeated, self.fresh, self.tokens = [], [], 0
@@ -154,15 +159,19 @@ def format_conversations(df: DataFrame, vocabulary: str, budget: int = 1024, his
     def run(batches):
         encode = encoder(vocabulary)
 
+        def sizes(texts: list[str]) -> np.ndarray:
+            return np.diff(encode(pa.array(texts, pa.string()))[1])
+
         def windows():
-            now = None
+            now, (close, *frame) = None, sizes([CLOSE, BEGIN, FINISH]).tolist()
             for b in slices(batches, "text", 2 << 20):
-                tokens = np.diff(encode(b.column(3))[1]) + TURN_TOKENS
-                for conv_id, role, text, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), tokens.tolist(), strict=True):
+                roles, escaped = b.column(2).to_pylist(), [escape(x) for x in b.column(3).to_pylist()]
+                tokens = sizes(escaped) + sizes([head(x) for x in roles]) + close
+                for conv_id, role, text, n in zip(b.column(0).to_pylist(), roles, escaped, tokens.tolist(), strict=True):
                     if now is None or conv_id != now.conv_id:
                         if now and (last := now.close()):
                             yield last
-                        now = Windows(conv_id, budget, history, history_share)
+                        now = Windows(conv_id, budget, history, history_share, sum(frame))
                     if done := now.add(Turn(role, text, n)):
                         yield done
             if now and (last := now.close()):

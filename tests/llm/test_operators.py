@@ -253,8 +253,10 @@ def test_windows_keep_turns_whole_repeat_history_and_learn_once(spark, vocabular
         said = "".join(x for _, r, x in turns if r == "assistant")
         assert got[c].n_turns == len(turns) and got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
         assert got[c].loss_chars == len(said) and got[c].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    plain = Tokenizer.from_file(vocabulary)
     for w in windows.collect():
         turns = chat.parse(w.text)
+        assert w.n_tokens == len(plain.encode(w.text, add_special_tokens=False).ids)
         assert w.n_tokens <= 120 or len(turns) == 1
         if w.window and by[w.conv_id][0][1] == "system" and w.n_tokens < 60:
             assert turns[0][0] == "system" and w.repeated >= 1
@@ -262,6 +264,13 @@ def test_windows_keep_turns_whole_repeat_history_and_learn_once(spark, vocabular
     assert chat.format_conversations(df.where("false"), vocabulary).count() == 0
 
 
+def test_written_windows_of_all_conversations_keep_the_budget(spark, vocabulary):
+    plain = Tokenizer.from_file(vocabulary)
+    for w in chat.format_conversations(spark.read.parquet(f"{SF}/conversations.parquet"), vocabulary).collect():
+        n = len(plain.encode(w.text, add_special_tokens=False).ids)
+        assert w.n_tokens == n and (n <= 1024 or len(chat.parse(w.text)) == 1)
+
+
 def test_a_window_goes_without_the_system_turn_only_where_it_cannot_fit():
     def made(system, sizes):
         w = chat.Windows(1, 100, 2, 0.5)
