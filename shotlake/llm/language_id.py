@@ -2,11 +2,17 @@
 
 For each language a suffix automaton of a bounded sample of its labelled text
 recognises every substring of the sample.  A text is parsed from left to right
-into phrases, each the longest that occurs in the sample (or one unseen byte);
-the language whose sample needs the fewest phrases per byte wins.  Samples have
-the same size for all languages, so counts compare.  Parsing restarts every
-`block` bytes, so all blocks of all texts of a batch step through the automata
-together with array operations; no text is cut.
+into phrases, each the longest that occurs in the sample (or one unseen byte).
+A phrase takes log2 of the sample's size in bits to point at, so phrases times
+that, the cross-parsing entropy times the text's length, compares samples of
+unlike sizes; the language with the least wins.
+
+All blocks of all texts of a batch step through the automata together with array
+operations.  Each block is first parsed from its own start and beyond its end to
+the end of the last phrase.  Then it is parsed again from where the block before
+ended its last phrase, until both parses begin a phrase at the same byte, from
+which on they are the same.  So phrases cross blocks and the count is that of
+one parse of the whole text.
 """
 
 from __future__ import annotations
@@ -25,7 +31,8 @@ from shotlake.llm._text import slices, utf8
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 FOLD[[c for c in range(128) if not chr(c).isalpha()]] = 32
-PAD, UNSEEN = 0, 1
+UNSEEN = 0  # the symbol of bytes that no sample has
+LEAST = 1024  # a shorter sample counts as one of so many bytes
 
 
 def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,88 +76,136 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
 @dataclass
 class Model:
     languages: list[str]
-    symbols: np.ndarray  # of each folded byte; PAD is none of them
+    symbols: np.ndarray  # of each folded byte
     width: int
-    tables: list[np.ndarray]  # state * width + symbol -> (next state * width) * 4 + phrases that end
+    tables: list[np.ndarray]  # state * width + symbol -> next state * width * 2, and 1 if a phrase begins with this byte
+    bits: np.ndarray  # to point at a place of each sample
 
 
 def fit(samples: dict[str, bytes]) -> Model:
-    """A model of equally long samples by language."""
+    """A model of samples by language."""
     texts = {k: folded(np.frombuffer(v, np.uint8), np.zeros(1, np.int64))[0].tobytes() for k, v in sorted(samples.items()) if v}
     seen = sorted(set(b"".join(texts.values())))
     symbols = np.full(256, UNSEEN, np.uint8 if len(seen) < 254 else np.uint16)
-    symbols[seen] = np.arange(len(seen)) + 2
-    width, tables = len(seen) + 2, []
+    symbols[seen] = np.arange(len(seen)) + 1
+    width, tables = len(seen) + 1, []
     for text in texts.values():
         moves = suffix_automaton(text)
-        table = np.zeros((len(moves), width), np.int32)
+        table = np.empty((len(moves), width), np.int32)
         start = np.zeros(width, np.int64)
         for c, to in moves[0].items():
             start[symbols[c]] = to
-        # A byte that cannot extend a phrase ends it and begins the next; one that cannot begin a phrase is one by itself.
-        fresh = np.where(start > 0, start * width * 4, 0)
-        table[:] = fresh + 1 + (start == 0)
-        table[0] = fresh + (start == 0)
-        for state, to in enumerate(moves):
+        # A byte that cannot extend a phrase begins the next; one that cannot begin a phrase is one by itself.
+        table[:] = start * width * 2 + 1
+        for state, to in enumerate(moves[1:], 1):
             for c, target in to.items():
-                table[state, symbols[c]] = target * width * 4
-        table[:, PAD] = np.arange(len(moves)) * width * 4
+                table[state, symbols[c]] = target * width * 2
         tables.append(table.reshape(-1))
-    return Model(list(texts), symbols, width, tables)
+    return Model(list(texts), symbols, width, tables, np.array([np.log2(max(len(t), LEAST)) for t in texts.values()]))
+
+
+def _parse(table: np.ndarray, symbols: np.ndarray, at: np.ndarray, state: np.ndarray, stop: np.ndarray, end: np.ndarray, met: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Parses on from each of at until a phrase begins at stop or later, or where met holds, or to end: where that is, and how many phrases begin before."""
+    lanes, out, begun = np.flatnonzero(at < end), end.copy(), np.zeros(len(at), np.int64)
+    at, state = at[lanes], state[lanes]
+    while len(lanes):
+        moved = table[state + symbols[at]]
+        begins = (moved & 1).astype(bool)
+        halt = begins & (at >= stop[lanes] if met is None else (at >= stop[lanes]) | met[at])
+        out[lanes[halt]] = at[halt]
+        begun[lanes] += begins & ~halt
+        at += 1
+        state = moved >> 1
+        if halt.any() or (at >= end[lanes]).any():
+            on = ~halt & (at < end[lanes])
+            lanes, at, state = lanes[on], at[on], state[on]
+    return out, begun
+
+
+@dataclass
+class Blocks:
+    """The blocks [begin, stop) of texts that end at end, and their bytes' places and symbols step by step, longest block first."""
+
+    text: np.ndarray
+    begin: np.ndarray
+    stop: np.ndarray
+    end: np.ndarray
+    symbols: np.ndarray
+
+    def __post_init__(self):
+        size = self.stop - self.begin
+        self.order = np.argsort(-size, kind="stable")
+        self.live = np.searchsorted(-size[self.order], -np.arange(size.max(initial=0)), "left")  # blocks longer than t
+        at = self.begin[self.order]
+        self.places = [at[:n] + t for t, n in enumerate(self.live.tolist())]
+        self.steps = [self.symbols[x] for x in self.places]
+        self.places = np.concatenate(self.places) if self.places else np.zeros(0, np.int64)
+
+
+def _begun(table: np.ndarray, blocks: Blocks) -> np.ndarray:
+    """Phrases that begin in each block."""
+    state, found = np.zeros(len(blocks.order), np.int32), []
+    for now in blocks.steps:
+        n = len(now)
+        moved = table[state[:n] + now]
+        found.append(moved & 1)
+        state[:n] = moved >> 1
+    marks = np.zeros(len(blocks.symbols) + 1, bool)  # where phrases begin in the blocks' own parses
+    marks[blocks.places] = np.concatenate(found) if found else False
+    ran = np.empty_like(state)
+    ran[blocks.order] = state
+    begin, stop, end = blocks.begin, blocks.stop, blocks.end
+    own_leave, _ = _parse(table, blocks.symbols, stop, ran, stop, end)
+    before = np.append(0, np.cumsum(marks))
+    count, entered, leave = before[stop] - before[begin], begin.copy(), own_leave.copy()
+    later = np.flatnonzero(blocks.text[1:] == blocks.text[:-1]) + 1
+    while len(todo := later[leave[later - 1] != entered[later]]):
+        entered[todo] = leave[todo - 1]
+        through = entered[todo] >= stop[todo]  # a phrase covers the whole block
+        count[todo[through]], leave[todo[through]] = 0, entered[todo[through]]
+        todo = todo[~through]
+        meet, fresh = _parse(table, blocks.symbols, entered[todo], np.zeros(len(todo), np.int32), stop[todo], end[todo], marks)
+        same = meet < stop[todo]
+        count[todo] = fresh + np.where(same, before[stop[todo]] - before[np.minimum(meet, stop[todo])], 0)
+        leave[todo] = np.where(same, own_leave[todo], meet)
+    return count
 
 
 def phrases(model: Model, column: pa.Array, block: int) -> np.ndarray:
     """Number of phrases of each text for each language."""
     data, offsets = folded(*utf8(column))
     length = np.diff(offsets)
-    blocks = -(-length // block)
-    text = np.repeat(np.arange(len(length)), blocks)
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    begin = offsets[text] + nth * block
-    size = np.minimum(block, offsets[text + 1] - begin)
-    order = np.argsort(-size, kind="stable")
-    text, begin, size = text[order], begin[order], size[order]
-    symbols = model.symbols[data]
+    number = -(-length // block)
+    text = np.repeat(np.arange(len(length)), number)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number)
+    begin, end = offsets[text] + nth * block, offsets[text + 1]
+    blocks = Blocks(text, begin, np.minimum(begin + block, end), end, model.symbols[data].astype(np.int32))
     out = np.zeros((len(length), len(model.languages)), np.int64)
-    steps = int(size[0]) if len(size) else 0
-    live = np.searchsorted(-size, -np.arange(steps), "left")  # blocks longer than t
-    states = [np.zeros(len(text), np.int32) for _ in model.tables]
-    ended = [np.zeros(len(text), np.int32) for _ in model.tables]
-    for t in range(steps):
-        n = live[t]
-        now = symbols[begin[:n] + t].astype(np.int32)
-        for table, state, count in zip(model.tables, states, ended, strict=True):
-            moved = table[state[:n] + now]
-            count[:n] += moved & 3
-            state[:n] = moved >> 2
-    for j, (state, count) in enumerate(zip(states, ended, strict=True)):
-        out[:, j] = np.bincount(text, weights=count + (state > 0), minlength=len(length))
+    for j, table in enumerate(model.tables):
+        out[:, j] = np.bincount(text, weights=_begun(table, blocks), minlength=len(length))
     return out
 
 
 def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample_bytes: int, row_chars: int) -> dict[str, bytes]:
-    """At most sample_bytes of labelled text for each language, the same number for all, from rows drawn by a hash of their id.
+    """At most sample_bytes of labelled text for each language, from rows drawn by a hash of their id and text; equal beginnings count once.
 
     Each drawn row gives its first row_chars characters, so about
     4 * sample_bytes / row_chars rows of each language reach the driver.
     """
-    labelled = df.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    rows = {r[0]: (r[1], r[2]) for r in labelled.groupBy(lang_col).agg(F.count("*"), F.avg(F.least(F.length(text_col), F.lit(row_chars)))).collect()}
+    labelled = df.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, row_chars).alias("text"), F.xxhash64(id_col, text_col, F.lit("language sample")).alias("drawn"))
+    rows = {r[0]: (r[1], r[2]) for r in labelled.groupBy("lang").agg(F.count("*"), F.avg(F.length("text"))).collect()}
     if not rows:
         return {}
     share = {k: min(1.0, 4 * sample_bytes / (n * mean)) for k, (n, mean) in rows.items()}
     limit = F.create_map(*(F.lit(x) for kv in ((k, int(v * 2**30)) for k, v in share.items()) for x in kv))
-    drawn = F.pmod(F.xxhash64(id_col, F.lit("language sample")), F.lit(2**30))
-    got = labelled.where(drawn < limit[F.col(lang_col)]).select(lang_col, drawn, id_col, F.substring(text_col, 1, row_chars)).collect()
-    texts: dict[str, list[bytes]] = {}
-    for lang, _, _, text in sorted(got, key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0, r[3])):
-        texts.setdefault(lang, []).append(text.encode())
-    joined = {k: b"\n".join(v)[:sample_bytes] for k, v in texts.items()}
-    least = min(map(len, joined.values()), default=0)
-    return {k: v[: max(least, 1024)] for k, v in joined.items()}
+    got = labelled.where(F.pmod("drawn", F.lit(2**30)) < limit[F.col("lang")]).collect()
+    texts: dict[str, dict[str, None]] = {}
+    for r in sorted(got, key=lambda r: (r["lang"], r["drawn"], r["text"])):
+        texts.setdefault(r["lang"], {})[r["text"]] = None
+    return {k: "\n".join(v).encode()[:sample_bytes] for k, v in texts.items()}
 
 
-def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", block: int = 256) -> DataFrame:
+def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", block: int = 512) -> DataFrame:
     """df with lang_pred and score (0.5: two languages alike, towards 1: clear), replacing columns of these names.
 
     A text that is null or without a letter is "und" with score 0; so is every
@@ -164,13 +219,13 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         model = shared.value
-        for b in slices(batches, f"{spare}text", 1 << 20):
-            found = phrases(model, b.column(b.num_columns - 2), block)
+        for b in slices(batches, f"{spare}text", 2 << 20):
+            found = phrases(model, b.column(b.num_columns - 2), block) * model.bits
             usable = np.array(b.column(b.num_columns - 1).to_pylist(), bool) & bool(model.languages)
             if model.languages:
                 best = found.argmin(axis=1)
                 ordered = np.sort(found, axis=1)
-                score = ordered[:, 1] / np.maximum(1, ordered[:, 0] + ordered[:, 1]) if found.shape[1] > 1 else np.ones(len(found))
+                score = ordered[:, 1] / np.maximum(1e-9, ordered[:, 0] + ordered[:, 1]) if found.shape[1] > 1 else np.ones(len(found))
                 names = [model.languages[i] if ok else "und" for i, ok in zip(best.tolist(), usable.tolist(), strict=True)]
             else:
                 names, score = ["und"] * b.num_rows, np.zeros(b.num_rows)
@@ -186,6 +241,6 @@ def held_out(id_col: str, folds: int, fold: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def identified(df: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_bytes: int = 16384, row_chars: int = 2048, block: int = 256) -> DataFrame:
+def identified(df: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_bytes: int = 16384, row_chars: int = 512, block: int = 512) -> DataFrame:
     """df with lang_pred and score, learned from the labelled rows of train."""
     return predict(df, fit(sample(train, id_col, text_col, lang_col, sample_bytes, row_chars)), id_col, text_col, block)

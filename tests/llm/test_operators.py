@@ -429,26 +429,36 @@ def test_warc_reads_other_archives_and_refuses_damage(tmp_path):
         list(warc.records(file, payload="check"))
 
 
-def test_phrases_are_longest_matches():
+@pytest.mark.parametrize("block", [1, 2, 7, 16, 1000])
+def test_phrases_are_longest_matches_of_the_whole_text_whatever_the_block(block):
     rng = random.Random(11)
     sample = {k: "".join(rng.choices(a, k=300)) for k, a in (("x", "ab "), ("y", "abc "))}
     model = language_id.fit({k: v.encode() for k, v in sample.items()})
-    texts = ["".join(rng.choices("abcd ", k=rng.randrange(0, 70))) for _ in range(40)]
-    got = language_id.phrases(model, pa.array(texts), block=16)
-    squeeze = lambda s: re.sub(" +", " ", s)
-    for row, text in zip(got, map(squeeze, texts), strict=True):
+    texts = ["".join(rng.choices("abcd ", k=rng.randrange(0, 120))) for _ in range(40)]
+    texts += [sample["x"][:200], sample["y"][40:160] * 2, "é" * 33, None, "a" * 90]  # phrases longer than a block, and characters of two bytes
+    got = language_id.phrases(model, pa.array(texts, pa.string()), block=block)
+    squeeze = lambda s: re.sub(" +", " ", s).encode()
+    for row, text in zip(got, (squeeze(t or "") for t in texts), strict=True):
         for n, source in zip(row, map(squeeze, sample.values()), strict=True):
-            want = 0
-            for block in (text[i : i + 16] for i in range(0, len(text), 16)):
-                at = 0
-                while at < len(block):
-                    end = at + 1
-                    while end < len(block) and block[at : end + 1] in source:
-                        end += 1
-                    at, want = end, want + 1
+            at = want = 0
+            while at < len(text):
+                end = at + 1
+                while end < len(text) and text[at : end + 1] in source:
+                    end += 1
+                at, want = end, want + 1
             assert n == want
 
 
+def test_a_rare_language_does_not_shorten_the_samples_of_others(spark):
+    rng = random.Random(3)
+    rows = [(i, "en", " ".join(rng.choices("the cat sat on a mat while it rained and we were at home".split(), k=60))) for i in range(200)]
+    rows += [(500 + i, "en", rows[0][2]) for i in range(300)] + [(900, "rare", "kzq wvx")]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = language_id.sample(df, "doc_id", "text", "lang", 8192, 512)
+    assert len(got["en"]) == 8192 and got["rare"] == b"kzq wvx" and got["en"].count(rows[0][2].encode()) <= 1
+    assert {r.doc_id for r in language_id.identified(df, df, sample_bytes=8192).where("lang_pred = 'rare'").collect()} == {900}
+
+
 def test_languages(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     out = language_id.held_out("doc_id", 3, 1)
