@@ -224,6 +224,28 @@ def test_token_file(spark, odd, empty, vocabulary, kind):
     assert bitplanes.read_token_file(spark, path).count() == 0
 
 
+def test_token_file_rolls_shards_reads_by_parts_and_prunes_by_id(spark, vocabulary):
+    rows = [(None if i < 40 else 7 if i < 140 else i, f"w{i} " * (i % 30)) for i in range(400)]
+    path = new_path(spark, "t")
+    bitplanes.write_token_file(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, vocabulary, block_ids=64, shard_ids=3000, split_ids=500)
+    back = bitplanes.read_token_file(spark, path)
+    found = sorted((r.start, r.doc_id, bytes(r.ids)) for r in back.collect() if r.doc_id is not None)
+    assert back.count() == 400 and back.rdd.getNumPartitions() > 12
+    shards = pyarrow.fs.LocalFileSystem().get_file_info(pyarrow.fs.FileSelector(path.removeprefix("file:")))
+    assert sum(x.path.endswith(".sltp") for x in shards) > 3
+    assert [i for _, i, _ in found] == sorted(i for i, _ in rows if i is not None)
+    for where, want in (("doc_id = 7", lambda i: i == 7), ("doc_id >= 390", lambda i: i >= 390), ("doc_id in (150, 333, 8)", lambda i: i in (150, 333, 8)), ("doc_id < 141 and doc_id > 7", lambda i: i == 140)):
+        some = back.where(where)
+        assert sorted((r.start, r.doc_id, bytes(r.ids)) for r in some.collect()) == [x for x in found if want(x[1])]
+        assert some.rdd.getNumPartitions() < back.rdd.getNumPartitions() / 2
+    assert back.where("doc_id = 5").count() == 0
+
+    file = pa.PythonFile(io.BytesIO(b"".join(bitplanes.encode_shard(((i, np.full(100, i, np.uint32)) for i in range(100)), block_ids=64))), "r")
+    reads, read = [], file.read
+    seen = type("Counted", (), {"size": file.size, "seek": file.seek, "read": lambda self, n: reads.append(n) or read(n)})()
+    assert [(i, s) for i, s, _ in bitplanes.decode_shard(seen, wanted=lambda i: i == 50)] == [(50, 5000)] and len(reads) <= 5
+
+
 def test_escaping_is_reversible_and_leaves_no_control_string():
     rng = random.Random(5)
     bits = [*chat.CONTROL, "\\", "\\\\", "<", "[", "s>", "/", "a", "\n", "]"]
