@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shotlake.llm._filter import maybe_in
 from shotlake.llm._store import kept, modest_batches
 from shotlake.llm._text import SPACE, U64, Words, _hashes, mix, ngrams, slices, words
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-CELLS = 1 << 26
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -95,22 +95,8 @@ def counts(docs: DataFrame, buckets: int) -> np.ndarray:
 
 
 def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in ids; texts of others are not moved, but for some that share a cell of a filter.
-
-    The filter has CELLS bits, so it takes 8 MB at most however many ids there are.
-    """
-    cell = F.pmod(F.xxhash64("id"), F.lit(CELLS))
-    held = ids.select(cell.alias("cell")).groupBy(F.floor(F.col("cell") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(pmod(cell, 64) AS INT))")).alias("bits")).toArrow()
-    bits = np.zeros(CELLS // 64, np.int64)
-    bits[held.column(0).to_numpy()] = held.column(1).to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-
-    @F.arrow_udf("boolean")
-    def maybe(cells: pa.Array) -> pa.Array:
-        at = cells.to_numpy()
-        return pa.array((shared.value[at >> 6] >> (at & 63) & 1).astype(bool))
-
-    return docs.where(maybe(cell)).join(ids, "id", "left_semi")
+    """The rows of docs whose id is in ids; texts of others are not moved, but for some that the filter lets through."""
+    return docs.where(maybe_in(docs.sparkSession, "id", ids)).join(ids, "id", "left_semi")
 
 
 def ratios(of_all: np.ndarray, of_trusted: np.ndarray, prior: float) -> np.ndarray:

@@ -24,14 +24,17 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThanOrEqual, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThanOrEqual, StringStartsWith, WriterCommitMessage
 
-from shotlake.llm._store import filesystem, kept, write_atomically
+from shotlake.llm._filter import maybe_in
+from shotlake.llm._store import discard, filesystem, kept, modest_batches, write_atomically
 
 SCHEMA = "page_id long, type string, target_uri string, payload_bytes long, payload_digest string, refers_to long, content binary"
+ARROW = pa.schema([("page_id", pa.int64()), ("type", pa.string()), ("target_uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("content", pa.binary())])
 COLUMNS = ["page_id", "type", "target_uri", "payload_bytes", "payload_digest", "refers_to"]
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -112,9 +115,11 @@ def records(file, wanted=lambda head: True, payload: str = "none") -> Iterator[d
     """Header columns and content of each record of an archive whose header is wanted."""
     at, size = 0, file.size()
     while at < size:
-        stream, data = _Stream(file, at), b""
-        while (cut := data.find(b"\r\n\r\n")) < 0 and (x := stream.more()):
+        stream, data, cut = _Stream(file, at), bytearray(), -1
+        while cut < 0 and (x := stream.more()):
+            looked = max(0, len(data) - 3)
             data += x
+            cut = data.find(b"\r\n\r\n", looked)
         if cut < 0:
             if data.strip(b"\r\n"):
                 raise ValueError(f"no WARC header at {at}")
@@ -126,8 +131,9 @@ def records(file, wanted=lambda head: True, payload: str = "none") -> Iterator[d
         if keep and payload != "none" and row["type"] == "response":
             while len(data) < need and (x := stream.more()):
                 data += x
-            body = data[:need]
-            row["content"] = body[body.index(b"\r\n\r\n") + 4 :] if body.startswith(b"HTTP/") else body
+            body = memoryview(data)[:need]
+            # Without a blank line there is an HTTP header and no payload.
+            row["content"] = bytes(body[http + 4 if (http := data.find(b"\r\n\r\n", 0, need)) >= 0 else len(body) :] if data.startswith(b"HTTP/") else body)
             if row["payload_digest"] and base64.b32encode(hashlib.sha1(row["content"]).digest()).decode() != row["payload_digest"]:
                 raise ValueError(f"payload of page {row['page_id']} does not match its digest")
             if payload == "check":
@@ -215,11 +221,18 @@ class WarcReader(DataSourceReader):
             return all(self.judges[kind](row[name], value) for name, kind, value in self.tests)
 
         with fs.open_input_file(path) as file:
+            rows, held = [], 0
             for row in records(file, wanted, self.payload):
-                yield tuple(row[c] for c in (*COLUMNS, "content"))
+                rows.append(row)
+                held += 500 + len(row["content"] or b"")
+                if held > 4 << 20:
+                    yield pa.RecordBatch.from_pylist(rows, ARROW)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, ARROW)
 
 
-class WarcWriter(DataSourceWriter):
+class WarcWriter(DataSourceArrowWriter):
     """Rows (page_id, url, html, sha1, refers_to); one archive for each task."""
 
     def __init__(self, options: dict):
@@ -230,10 +243,12 @@ class WarcWriter(DataSourceWriter):
         done.name = f"pages-{done.order:06d}-{uuid.uuid4().hex}.warc.gz"
 
         def members():
-            for row in iterator:
-                done.records += 1
-                digest = base64.b32encode(bytes.fromhex(row.sha1)).decode()
-                yield member(record(row.page_id, row.url, (row.html or "").encode(), digest, row.refers_to), self.level)
+            for batch in iterator:
+                done.records += batch.num_rows
+                ids, urls, sums, first = (batch.column(c).to_pylist() for c in ("page_id", "url", "sha1", "refers_to"))
+                for page_id, url, html, sha1, refers_to in zip(ids, urls, batch.column("html").cast(pa.binary()), sums, first, strict=True):
+                    digest = base64.b32encode(bytes.fromhex(sha1)).decode()
+                    yield member(record(page_id, url, html.as_buffer().to_pybytes(), digest, refers_to), self.level)
 
         write_atomically(f"{self.path}/{done.name}", members())
         return done
@@ -273,14 +288,19 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     id counts as larger than any.  Other columns are left out.
     """
     spark = df.sparkSession
+    modest_batches(spark)
     spark.dataSource.register(Warc)
     rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha1", F.sha1(F.encode("html", "UTF-8")))
     # Written before the join, so that its exchange can be split where one payload has many rows.
     first = kept(rows.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("sha1", "first"), "payloads")
-    rows = rows.join(first, "sha1", "left")
+    # Only pages whose payload may have copies are moved; all others are written where they are read.
     again = (F.octet_length("html") >= least_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    rows.select("page_id", "url", "html", "sha1", F.when(again, F.col("first")).alias("refers_to")).write.format("warc").mode("append").option("path", path).save()
+    marked = rows.withColumn("shared", maybe_in(spark, "sha1", first))
+    alone = marked.where("not shared").select("page_id", "url", "html", "sha1", F.lit(None).cast("long").alias("refers_to"))
+    shared = marked.where("shared").join(first, "sha1", "left").select("page_id", "url", "html", "sha1", F.when(again, F.col("first")).alias("refers_to"))
+    alone.union(shared).write.format("warc").mode("append").option("path", path).save()
+    discard(first)
 
 
 def read_warc(spark, path: str, payload: str = "full") -> DataFrame:

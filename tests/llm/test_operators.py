@@ -446,6 +446,12 @@ def test_warc_reads_other_archives_and_refuses_damage(tmp_path):
             assert [r["content"] for r in warc.records(file, payload="full")] == [b"abc", b"abc"], name
         with pyarrow.fs.LocalFileSystem().open_input_file(str(tmp_path / name)) as file:
             assert list(warc.records(file, lambda h: h["type"] == "request")) == []
+    for body, payload in ((b"HTTP/1.1 200 OK\r\nX: y", b""), (b"HTTP/1.1 200 OK\r\n\r\n\r\n\r\nz", b"\r\n\r\nz"), (b"", b""), (b"\r\n\r\n", b"\r\n\r\n"), (b"q" * 300_000, b"q" * 300_000)):
+        odd = b"WARC/1.0\r\nwarc-type: response\r\nWARC-Record-ID: <urn:uuid:1-2>\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+        for name, data in (("odd.warc", odd + raw), ("odd.warc.gz", gzip.compress(odd) + gzip.compress(raw)), ("odd2.warc.gz", warc.member(odd) + warc.member(raw))):
+            (tmp_path / name).write_bytes(data)
+            with pyarrow.fs.LocalFileSystem().open_input_file(str(tmp_path / name)) as file:
+                assert [(r["page_id"], r["content"]) for r in warc.records(file, payload="full")] == [(None, payload), (1, b"abc")], name
     (tmp_path / "bad.warc").write_bytes(raw.replace(b"abc", b"abd"))
     with pyarrow.fs.LocalFileSystem().open_input_file(str(tmp_path / "bad.warc")) as file, pytest.raises(ValueError, match="digest"):
         list(warc.records(file, payload="check"))
