@@ -1,7 +1,9 @@
 """Exact encoding of whole texts with the tokenizers library, through a cache of space-separated pieces.
 
 The tokenizer's rules never join or look across ASCII white space, so a text's
-ids are those of its pieces in order.  Each worker encodes a piece once and
+ids are those of its pieces in order.  Where the vocabulary file's normaliser
+lower-cases, pieces that differ in A-Z alone are one.  A tokenizer that does
+look at white space, as byte-level ones do, encodes each text as a whole.  Each worker encodes a piece once and
 keeps its ids; a text is then put together from the kept ids with array
 operations.  The kept table starts afresh beyond `most` pieces, so memory is
 bounded.  Pieces are told apart by 64-bit hashes of their bytes.
@@ -9,6 +11,7 @@ bounded.  Pieces are told apart by 64-bit hashes of their bytes.
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -26,12 +29,23 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _lowers(normalizer: dict | None) -> bool:
+    """Whether a normaliser of a vocabulary file lower-cases."""
+    if not normalizer:
+        return False
+    return normalizer["type"] == "Lowercase" or bool(normalizer.get("lowercase")) or any(map(_lowers, normalizer.get("normalizers", [])))
+
+
 class Encoder:
     def __init__(self, path: str, most: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        with open(path, encoding="utf-8") as file:
+            self.lower = _lowers(json.load(file).get("normalizer"))
+        whole, *parts = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in (" a b\n\tc,", "a", "b", "c,"))
+        self.apart = whole == sum(parts, [])
         self._clear()
 
     def _clear(self) -> None:
@@ -53,8 +67,11 @@ class Encoder:
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, uint32, and where each text's begin; one more offset than texts.  Null counts as empty."""
+        if not self.apart:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(column.fill_null("").to_pylist(), add_special_tokens=False)]
+            return np.fromiter((x for ids in found for x in ids), np.uint32), np.append(0, np.cumsum([len(ids) for ids in found])).astype(np.int64)
         special = b"<|" in utf8(column)[0].tobytes()  # then a special token's string could arise from capitals
-        w = words(column, lower=not special)
+        w = words(column, lower=self.lower and not special)
         seen, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
         if len(self.known) > self.most:
             self._clear()

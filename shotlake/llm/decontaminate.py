@@ -6,7 +6,9 @@ within k = floor(share * L) word edits of it, k at most (L - 3) // 3.
 
 * Windows: a run within k edits shares at least L - 2 - 3k word trigrams with
   the item, so only item-sized windows with that many of an item's trigrams go
-  on; none that qualifies is lost.
+  on; none that qualifies is lost.  Of an item's trigrams at most 3k are broken,
+  so its 3k + 1 rarest among all items are looked up first, and all of them are
+  counted only around a place that has one of these.
 * CGK embedding: a window is walked in 3L steps; step j writes out the current
   word and a random bit of (j, word) decides whether to move on.  Few edits
   become a small Hamming distance.
@@ -17,8 +19,9 @@ within k = floor(share * L) word edits of it, k at most (L - 3) // 3.
 * Proposed pairs are verified by the edit distance of the item to all runs
   around the window.
 
-Items are collected in blocks of at most block_items, each looked for in one
-pass over the documents, so what is sent to workers is bounded.
+Items with equal words are one.  They are collected in blocks of about
+block_items, each looked for in one pass over the documents, so what is sent to
+workers is bounded.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ def edits_allowed(length: int, share: float) -> int:
 def repetitions_for(share: float, sampled: int, spread: float, recall: float) -> int:
     """Tables needed so that a pair at the largest distance meets in one of them with probability recall."""
     alike = max(0.05, 1 - share * spread / 3) ** sampled
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - alike)))
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - alike))) if alike < 1 else 1
 
 
 @dataclass
@@ -65,10 +68,16 @@ class Items:
         self.gram = np.minimum(3, self.lengths)
         self.kind = np.searchsorted(self.lengths, [len(t) for t in self.texts])
         self.needed = np.maximum(1, self.lengths - self.gram + 1 - self.gram * self.allowed)
-        # For each gram length the known grams, and the items of gram i as holders[q][at[q][i] : at[q][i + 1]].
-        self.grams, self.holders, self.at = {}, {}, {}
+        # For each gram length the known grams, and the items that are looked up by gram i as holders[q][at[q][i] : at[q][i + 1]].
+        self.grams, self.holders, self.at, self.own = {}, {}, {}, [np.unique(ngrams(t, min(3, len(t)))) for t in self.texts]
         for q in set(self.gram.tolist()):
-            of = [(g, i) for i, t in enumerate(self.texts) if min(3, len(t)) == q for g in set(ngrams(t, q).tolist())]
+            mine = [i for i, t in enumerate(self.texts) if min(3, len(t)) == q]
+            known, often = np.unique(np.concatenate([self.own[i] for i in mine]), return_counts=True)
+            of = []
+            for i in mine:
+                here = ngrams(self.texts[i], q)
+                rare = here[np.lexsort((here, often[np.searchsorted(known, here)]))]
+                of += [(g, i) for g in set(rare[: q * int(self.allowed[self.kind[i]]) + 1].tolist())]
             of.sort()
             grams, self.holders[q] = np.array([g for g, _ in of], U64), np.array([i for _, i in of], np.int64)
             self.grams[q], first = np.unique(grams, return_index=True)
@@ -123,34 +132,40 @@ def nearest_run(item: np.ndarray, run: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(start[end]), end
 
 
-def _hits(items: Items, q: int, hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, item) of the runs of q words inside a text that items with that gram length have."""
-    grams = ngrams(hashes, q)
+def _near(items: Items, q: int, grams: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, item), once each, of the texts that have one of the q-grams by which an item is looked up."""
     place = np.flatnonzero(items.marked[q][grams >> U64(44)])
     known = items.grams[q]
     near = np.minimum(np.searchsorted(known, grams[place]), len(known) - 1)
     good = (known[near] == grams[place]) & (text[place] == text[place + q - 1])
-    place, near = place[good], near[good]
-    count = items.at[q][near + 1] - items.at[q][near]
-    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return np.repeat(place, count), items.holders[q][np.repeat(items.at[q][near], count) + nth]
+    # A gram that a text repeats brings its items once.
+    pairs = np.unique(np.stack([text[place[good]], near[good]], 1), axis=0) if good.any() else np.zeros((0, 2), np.int64)
+    out = [np.zeros(0, np.int64)]
+    count = items.at[q][pairs[:, 1] + 1] - items.at[q][pairs[:, 1]]
+    ends = np.cumsum(count)
+    i = 0
+    while i < len(pairs):  # of many items with one gram, so many at a time
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (1 << 20), "right")))
+        n = count[i:j]
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out.append(np.unique(np.repeat(pairs[i:j, 0], n) * len(items.texts) + items.holders[q][np.repeat(items.at[q][pairs[i:j, 1]], n) + nth]))
+        i = j
+    found = np.unique(np.concatenate(out))
+    return found // len(items.texts), found % len(items.texts)
 
 
 def _windows(items: Items, w: Words) -> tuple[np.ndarray, np.ndarray]:
     """(first word, item) of the item-sized windows that have enough of the item's grams; they are inside a text unless it is shorter."""
-    text, begins, whose = w.text_of, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    text_of, begins, whose = w.text_of, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for q in items.grams:
-        place, item = _hits(items, q, w.hash, text)
-        group = text[place] * len(items.texts) + item
-        order = np.argsort(group, kind="stable")
-        place, group = place[order], group[order]
-        first = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(group)])
-        for lo, hi in zip(first, np.append(first, len(group))[1:], strict=True):
-            i = int(group[lo] % len(items.texts))
-            n, need = len(items.texts[i]), int(items.needed[items.kind[i]])
-            if hi - lo < need:
+        grams = ngrams(w.hash, q)
+        for text, i in zip(*(x.tolist() for x in _near(items, q, grams, text_of)), strict=True):
+            n, need, own = len(items.texts[i]), int(items.needed[items.kind[i]]), items.own[i]
+            a, b = int(w.first[text]), int(w.first[text + 1])
+            here = grams[a : max(a, b - q + 1)]
+            at = a + np.flatnonzero(own[np.minimum(np.searchsorted(own, here), len(own) - 1)] == here)
+            if len(at) < need:
                 continue
-            at, a, b = place[lo:hi], *w.first[text[place[lo]] :][:2]
             # A window holds hits j to j + need - 1 if it begins in this range.
             left, right = at[need - 1 :] - (n - q), at[: len(at) - need + 1]
             starts = [np.arange(x, y + 1) for x, y in zip(left[left <= right], right[left <= right], strict=True)]
@@ -199,6 +214,19 @@ def _found(items: Items, w: Words) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
+def _blocks(benchmark: DataFrame, item_text_col: str, share: float, recall: float, sampled: int, spread: float, block_items: int):
+    """A broadcast block of distinct items at a time; an item is named by the hash of its text."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item_text_col).cast("string").alias("text")).where("text is not null").select(F.xxhash64("text").alias("item"), "text").dropDuplicates(["item"])
+    blocks = -(-items.count() // block_items)
+    for block in range(blocks):
+        rows = items.where(F.pmod("item", F.lit(blocks)) == block).orderBy("item").collect()
+        w = words(pa.array([r["text"] for r in rows], pa.string()), space=SEPARATOR)
+        texts = [(r["item"], w.hash[a:b].copy()) for r, a, b in zip(rows, w.first[:-1], w.first[1:], strict=True) if b > a]
+        if texts:
+            yield spark.sparkContext.broadcast(Items([x for x, _ in texts], [x for _, x in texts], share, sampled, repetitions_for(share, sampled, spread, recall)))
+
+
 def contaminated(
     df: DataFrame,
     benchmark: DataFrame,
@@ -217,21 +245,37 @@ def contaminated(
     Null and blank texts hold nothing and null and blank items are in nothing.
     Repeated documents and items give rows each.  Other columns are left out.
     """
-    spark = df.sparkSession
-    modest_batches(spark)
+    modest_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
-    schema = "id long, item_id long, start_word long, end_word long, edits long"
-    out = spark.createDataFrame([], schema)
-    blocks = -(-items.count() // block_items)
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        w = words(pa.array([r.text for r in rows], pa.string()), space=SEPARATOR)
-        texts = [(r.item_id, w.hash[a:b].copy()) for r, a, b in zip(rows, w.first[:-1], w.first[1:], strict=True) if b > a]
-        if texts:
-            held = Items([x for x, _ in texts], [x for _, x in texts], share, sampled, repetitions_for(share, sampled, spread, recall))
-            out = out.union(docs.mapInArrow(_search(spark.sparkContext.broadcast(held)), schema))
-    return out
+    schema = "id long, item long, start_word long, end_word long, edits long"
+    out = df.sparkSession.createDataFrame([], schema)
+    for shared in _blocks(benchmark, item_text_col, share, recall, sampled, spread, block_items):
+        out = out.union(docs.mapInArrow(_search(shared), schema))
+    named = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), F.xxhash64(F.col(item_text_col).cast("string")).alias("item"))
+    return out.join(named, "item").select("id", "item_id", "start_word", "end_word", "edits")
+
+
+def uncontaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", share: float = 0.2, recall: float = 0.99, sampled: int = 3, spread: float = 5.0, block_items: int = 20_000) -> DataFrame:
+    """The rows of df whose text holds no item of the benchmark; each is judged on its own text, and all columns stay.
+
+    Null and blank texts stay.
+    """
+    modest_batches(df.sparkSession)
+    spare = "_" * (1 + max(map(len, df.columns), default=0))  # longer than any column, so none clashes
+    out = df.withColumn(spare, F.col(text_col).cast("string"))
+    for shared in _blocks(benchmark, item_text_col, share, recall, sampled, spread, block_items):
+        out = out.mapInArrow(_clean(shared, spare), out.schema)
+    return out.select(*df.columns)
+
+
+def _clean(shared, column: str):
+    def run(batches):
+        for b in slices(batches, column):
+            stays = np.ones(b.num_rows, bool)
+            stays[[t for t, *_ in _found(shared.value, words(b.column(b.num_columns - 1), space=SEPARATOR))]] = False
+            yield b.filter(pa.array(stays))
+
+    return run
 
 
 def _search(shared):
@@ -241,6 +285,6 @@ def _search(shared):
             found = _found(items, words(b.column(1), space=SEPARATOR))
             if found:
                 text, item, first, end, edits = (list(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text)), pa.array([items.ids[i] for i in item], pa.int64()), *(pa.array(x, pa.int64()) for x in (first, end, edits))], ["id", "item_id", "start_word", "end_word", "edits"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text)), pa.array([items.ids[i] for i in item], pa.int64()), *(pa.array(x, pa.int64()) for x in (first, end, edits))], ["id", "item", "start_word", "end_word", "edits"])
 
     return run

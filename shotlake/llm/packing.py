@@ -7,8 +7,9 @@ matched with the longest other that fits.  The rest go, longest first, into the
 smallest gap that holds them.  Equal lengths move in runs, so the plan is a
 short table of runs (length, range of ranks, first sequence, pieces per
 sequence, offset), and each piece finds its place from its rank among the
-pieces of its length.  Ranks come from counts by (length, salt), so a common
-length is spread over many tasks.
+pieces of its length.  Ranks come from counts by (length, salt), and a length
+has a salt for each SALTED of its pieces, so a common one is spread over many
+tasks whose size does not grow.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from shotlake.llm._store import kept, modest_batches
 from shotlake.llm._text import slices
 from shotlake.llm._tokens import encoder, with_end
 
-SALTS = 64
+SALTED = 1 << 15
 
 
 @dataclass
@@ -139,12 +140,14 @@ def pack(pieces: DataFrame, capacity: int, key: list[str]) -> DataFrame:
     them may change places.  pieces is read three times, so pass a written table.
     No sequence holds more than capacity; its pieces lie without gaps from 0.
     """
-    shared = pieces.sparkSession.sparkContext.broadcast(plan({r[0]: r[1] for r in pieces.groupBy("length").count().collect()}, capacity).arrays())
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)))
+    histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
+    shared = pieces.sparkSession.sparkContext.broadcast(plan(histogram, capacity).arrays())
+    salts = F.array(*(F.lit(-(-histogram.get(n, 1) // SALTED)).cast("long") for n in range(1, capacity + 1)))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*key), F.element_at(salts, F.col("length").cast("int"))))
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = counts.select(F.col("length").alias("_length"), F.col("_salt").alias("_of"), (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
     ranked = salted.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*key)))
-    ranked = ranked.join(F.broadcast(before), (F.col("length") == F.col("_length")) & (F.col("_salt") == F.col("_of")))
+    ranked = ranked.join(before, (F.col("length") == F.col("_length")) & (F.col("_salt") == F.col("_of")))
     ranked = ranked.select(*pieces.columns, (F.col("_before") + F.col("_row") - 1).alias("_rank"))
 
     @F.pandas_udf("sequence_id long, offset long")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotlake.llm._filter import maybe_in
-from shotlake.llm._store import kept, modest_batches
+from shotlake.llm._store import discard, kept, modest_batches
 from shotlake.llm._text import SPACE, U64, Words, _hashes, mix, ngrams, slices, words
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -110,42 +110,62 @@ def ratios(of_all: np.ndarray, of_trusted: np.ndarray, prior: float) -> np.ndarr
     return out
 
 
-def judged(
-    df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 16, prior: float = 0.5, slack: float = 0.002, min_words: int = 20, most_repeat_percent: int = 30, row_col: str | None = None
+def _scored(docs: DataFrame, shared, text_col: str, half_col: str, prefix: str = "") -> DataFrame:
+    """docs without half_col, its last column, and with BASE and score, their names led by prefix."""
+    columns, names = docs.columns[:-1], [prefix + c for c in (*BASE, "score")]
+    place = columns.index(text_col)
+
+    def run(batches):
+        ratio = shared.value
+        for b in slices(batches, text_col):
+            w = words(b.column(place), lower=False)
+            stats = base_stats(w)
+            text, cell = features(w, ratio.shape[1])
+            half = b.column(b.num_columns - 1).to_numpy().astype(np.int64)
+            n = np.bincount(text, minlength=b.num_rows)
+            score = np.bincount(text, weights=ratio[half[text], cell], minlength=b.num_rows) / np.maximum(1, n)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(stats[c].astype(np.int64)) for c in BASE), pa.array(score)], [*columns, *names])
+
+    schema = docs.select(*columns).schema
+    for name in names[:-1]:
+        schema = schema.add(name, "long")
+    return docs.mapInArrow(run, schema.add(names[-1], "double"))
+
+
+def verdicts(
+    df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 16, prior: float = 0.5, slack: float = 0.002, min_words: int = 20, most_repeat_percent: int = 30, prefix: str = ""
 ) -> DataFrame:
-    """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept) for each row of df.
+    """df with the columns BASE, base_failed, score and kept, led by prefix; they must not be columns of it yet.  text_col is a string.
 
     labels has (doc_id, quality, toxic); trusted are ids with quality 1 that no
     row calls toxic or of quality 0.  Texts labelled toxic but of quality 1 are on
     neither side.  Null and blank texts have no words and
     fail the base rules.  Without trusted texts all scores are 0 and the base
-    rules decide.  Repeated ids are judged each; other columns are left out,
-    but that of row_col, a long that names the row, follows as row where given.
+    rules decide.  Each row is judged on its own text, whether its id repeats or is null.
+    df is read three times; of its texts, only those with a label are moved.
     """
     modest_batches(df.sparkSession)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"))
-    docs = docs.withColumn("half", F.pmod(F.xxhash64("id"), F.lit(2)))
+    half = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(2))
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), half.alias("half"))
     label = labels.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
-    trust = label.where("q = 1 and t = 0").select("id")
-    sided = label.where("q = 0 or q = 1 and t = 0").select("id", (F.col("q") == 1).alias("trusted"))
-    shared = df.sparkSession.sparkContext.broadcast(ratios(counts(docs, buckets), counts(of_ids(docs, trust), buckets), prior))
+    sided = kept(label.where("q = 0 or q = 1 and t = 0").select("id", (F.col("q") == 1).alias("trusted")), "quality-labels")
+    labelled = kept(of_ids(docs, sided).join(sided, "id").select("trusted", "text", "half"), "quality-labelled")
+    shared = df.sparkSession.sparkContext.broadcast(ratios(counts(docs, buckets), counts(labelled.where("trusted"), buckets), prior))
+
+    def failed(prefix: str = ""):
+        return (F.col(f"{prefix}n_words") < min_words) | (100 * F.col(f"{prefix}n_repeat_words") > most_repeat_percent * F.col(f"{prefix}n_words"))
+
+    threshold = _threshold(_scored(labelled, shared, "text", "half").where(~failed()).select("trusted", "score"), slack)
+    discard(sided, labelled)
+    spare = "_" * (1 + max(map(len, [*df.columns, prefix]), default=0))  # longer than any column, so none clashes
+    scored = _scored(df.withColumn(spare, half), shared, text_col, spare, prefix)
+    return scored.withColumn(f"{prefix}base_failed", failed(prefix)).withColumn(f"{prefix}kept", ~failed(prefix) & (F.col(f"{prefix}score") >= F.lit(threshold)))
 
-    def run(batches):
-        ratio = shared.value
-        for b in slices(batches, "text"):
-            w = words(b.column(1), lower=False)
-            stats = base_stats(w)
-            text, cell = features(w, buckets)
-            half = b.column(2).to_numpy().astype(np.int64)
-            n = np.bincount(text, minlength=b.num_rows)
-            score = np.bincount(text, weights=ratio[half[text], cell], minlength=b.num_rows) / np.maximum(1, n)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(stats[c].astype(np.int64)) for c in BASE), pa.array(score), b.column(3)], ["id", *BASE, "score", "row"])
 
-    scored = kept(docs.select("id", "text", "half", "row").mapInArrow(run, f"id long, {', '.join(f'{c} long' for c in BASE)}, score double, row long"), "quality")
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words"))
-    sides = scored.where(~failed).join(sided, "id").select("trusted", "score")
-    threshold = _threshold(sides, slack)
-    return scored.select("id", *BASE, failed.alias("base_failed"), "score", (~failed & (F.col("score") >= F.lit(threshold))).alias("kept"), *(["row"] if row_col else []))
+def judged(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
+    """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept) for each row of df; see verdicts.  Other columns are left out."""
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return verdicts(docs, labels, "id", "text", **rules).select("id", *BASE, "base_failed", "score", "kept")
 
 
 def _threshold(sides: DataFrame, slack: float) -> float:

@@ -6,7 +6,8 @@ longest match is bound to take from its string and continues at the node of what
 is left: its failure link.  Links and popped counts are computed once, breadth
 first, from the parent's.  A word then costs one move per byte plus one failure
 move per popped group, with no look back.  All distinct words of a batch move
-together with array operations.
+together with array operations; the few that are left when others have ended, as
+a very long word is, go on alone from the node that they have reached.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from shotlake.llm._store import modest_batches
 from shotlake.llm._text import slices, words
 
 ROOT, NONE = 0, -1
+FEW = 8  # words that go on alone
 
 
 class Automaton:
@@ -56,6 +58,7 @@ class Automaton:
         order = np.argsort(keys)
         self.keys, self.to = keys[order], np.array([t for to in children for t in to.values()], np.int64)[order]
         self.fail, self.pops = np.array(fail, np.int64), np.array(pops, np.int64)
+        self.children = children
 
     def _move(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
         key = node * 256 + byte
@@ -77,7 +80,8 @@ class Automaton:
             bad[who[lost]], node[who[lost]] = True, ROOT
             return who[~lost]
 
-        for t in range(int(size[0]) if len(size) else 0):
+        few = int(size[FEW]) if len(size) > FEW else 0
+        for t in range(few):
             who = np.arange(np.searchsorted(-size, -t, "left"))
             who = who[~bad[who]]
             while len(who):
@@ -85,6 +89,18 @@ class Automaton:
                 ok = moved != NONE
                 node[who[ok]] = moved[ok]
                 who = follow(who[~ok])
+        fail, pops, children = self.fail, self.pops, self.children
+        for i in np.flatnonzero((size > few) & ~bad).tolist():
+            at, popped = int(node[i]), int(count[i])
+            for c in data[begin[i] + few : begin[i] + size[i]].tobytes():
+                while at != NONE and c not in children[at]:
+                    popped += int(pops[at])
+                    at = int(fail[at])
+                if at == NONE:
+                    bad[i], at = True, ROOT
+                    break
+                at = children[at][c]
+            node[i], count[i] = at, popped
         who = np.flatnonzero((node != ROOT) & ~bad)
         while len(who):
             who = follow(who)
