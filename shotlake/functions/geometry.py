@@ -33,6 +33,11 @@ def person_box_from_face(face: Column, width: Column, height: Column) -> Column:
     return F.when((box["x2"] - box["x1"] >= 8) & (box["y2"] - box["y1"] >= 8), box)
 
 
+def croppable(box: Column, width: int = 32, height: int = 64) -> Column:
+    """Whether a box is there and large enough to cut out."""
+    return F.coalesce((box["x2"] - box["x1"] >= width) & (box["y2"] - box["y1"] >= height), F.lit(False))
+
+
 def crop_rect(box: Column, keypoints: Column, confidence: float, margin: float, width: Column, height: Column) -> Column:
     """Union of the box and visible keypoints, widened by margin, rounded half to even, clamped; null below one pixel."""
     seen = F.filter(keypoints, lambda k: k["conf"] >= confidence)

@@ -83,6 +83,11 @@ def matched(samples: DataFrame, cam_threshold: float = 0.30, eres_threshold: flo
     return rows.groupBy(F.lit(0).alias("all")).applyInPandas(run, "seq long, video string, cluster long, speaker_id string")
 
 
+def counts_by(runs: DataFrame, key: list[str], status: str) -> DataFrame:
+    """(key, status, n): how many of each status there are."""
+    return runs.groupBy(*key, status).agg(F.count("*").alias("n"))
+
+
 def nearest_center(samples: DataFrame, centers: DataFrame, most_centers: int = 100_000) -> DataFrame:
     """(sample_id, center_id, similarity): the most similar centre, the first on ties.
 

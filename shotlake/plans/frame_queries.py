@@ -13,8 +13,7 @@ FPS = 25.0
 
 
 def frame_quality_scores(spark, d):
-    q = A.quality(spark, d)
-    return q.select("stream", "frame_index", F.round("sharpness_median", 6).alias("sharpness_median"), F.round("quality_score", 6).alias("quality_score"), "is_black", "is_white", "is_blur", "is_low_info", "bad")
+    return A.quality(spark, d).select("stream", "frame_index", "sharpness_median", "quality_score", "is_black", "is_white", "is_blur", "is_low_info", "bad")
 
 
 _LITERAL = "(-1, 3.0, 2.0, 1.0), (-2, 250.0, 1.0, 1.0), (-3, 128.0, 5.0, 9.0)"
@@ -100,7 +99,7 @@ def run_stats_rollup(spark, d):
 QUERIES = [frame_quality_scores, frame_invalid_reason, valid_range_trim, uniform_sample_frames, storyboard_cells, window_best_frame, candidate_group_best, cut_adaptive_ratio, segment_split_over_max, segment_method_label, segment_build, pair_motion_aggregate, cumulative_transform, run_stats_rollup]
 
 ORACLE_SQL = {
-    "frame_quality_scores": f"WITH {A.QUALITY_SQL} SELECT stream, frame_index, round(sharpness_median, 6) AS sharpness_median, round(quality_score, 6) AS quality_score, is_black, is_white, is_blur, is_low_info, bad FROM v_quality",
+    "frame_quality_scores": f"WITH {A.QUALITY_SQL} SELECT stream, frame_index, sharpness_median, quality_score, is_black, is_white, is_blur, is_low_info, bad FROM v_quality",
     "frame_invalid_reason": "WITH "
     + A.QUALITY_SQL.replace("FROM events)", f"FROM events UNION ALL SELECT s, 0, '', i, m, sd, sh FROM (VALUES {_LITERAL}) t(s, m, sd, sh), (SELECT unnest(generate_series(0, 9)) AS i))")
     + """ SELECT stream, count(*) AS frames, round(avg(CASE WHEN bad THEN 1 ELSE 0 END), 6) AS bad_ratio, CASE WHEN avg(CASE WHEN bad THEN 1 ELSE 0 END) > 0.9 THEN 'invalid' ELSE 'ok' END AS status,

@@ -60,9 +60,10 @@ def topk_per_person(spark, d):
 
 
 def voiceprint_match(spark, d):
+    """Every row as a sample, and every twentieth as a registered centre, so the registry grows with the table."""
     e = A.table(spark, d, "embeddings")
-    centers = e.where("vec_id < 20").select(F.col("vec_id").alias("center_id"), F.col("embedding").alias("center"))
-    out = R.nearest_center(e.where("vec_id >= 20").select(F.col("vec_id").alias("sample_id"), "embedding"), centers)
+    centers = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("center_id"), F.col("embedding").alias("center"))
+    out = R.nearest_center(e.select(F.col("vec_id").alias("sample_id"), "embedding"), centers)
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -140,11 +141,11 @@ ORACLE_SQL = {
   SELECT *, 'person_' || lpad(CAST(row_number() OVER (PARTITION BY stream ORDER BY num_images DESC, frame_start, person) AS VARCHAR), 3, '0') AS person_id FROM v_p""",
     "topk_per_person": f"WITH {_SCORE_SQL} SELECT * FROM (SELECT stream, person, record, row_number() OVER (PARTITION BY stream, person ORDER BY score DESC, record) AS rank, round(score, 6) AS score FROM v_score) WHERE rank <= 3",
     "voiceprint_match": """WITH f AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(generate_series(0, len(embedding) - 1)) AS pos FROM embeddings), n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM f GROUP BY vec_id),
-  s AS (SELECT a.vec_id AS sample_id, b.vec_id AS center_id, sum(a.x * b.x) AS dot FROM f a JOIN f b ON a.pos = b.pos AND a.vec_id >= 20 AND b.vec_id < 20 GROUP BY 1, 2),
+  s AS (SELECT a.vec_id AS sample_id, b.vec_id AS center_id, sum(a.x * b.x) AS dot FROM f a JOIN f b ON a.pos = b.pos AND b.vec_id % 20 = 0 GROUP BY 1, 2),
   r AS (SELECT sample_id, center_id, dot / (p.n * q.n) AS similarity, row_number() OVER (PARTITION BY sample_id ORDER BY dot / (p.n * q.n) DESC, center_id) AS k FROM s JOIN n p ON p.vec_id = sample_id JOIN n q ON q.vec_id = center_id)
   SELECT sample_id, center_id, round(similarity, 6) AS similarity FROM r WHERE k = 1""",
-    "face_owner_containment": """WITH f AS (SELECT p_brand AS frame, p_partkey AS face_no, p_partkey * 37 % 100 AS x, p_partkey * 53 % 100 AS y FROM part WHERE p_partkey <= 2000 AND p_partkey % 2 = 0),
-  b AS (SELECT p_brand AS frame, p_partkey AS box_no, p_partkey * 11 % 80 AS x1, p_partkey * 7 % 80 AS y1, p_partkey * 11 % 80 + 5 + p_size AS x2, p_partkey * 7 % 80 + 5 + p_size AS y2 FROM part WHERE p_partkey <= 2000 AND p_partkey % 2 = 1),
+    "face_owner_containment": """WITH f AS (SELECT p_brand AS frame, p_partkey AS face_no, p_partkey * 37 % 100 AS x, p_partkey * 53 % 100 AS y FROM part WHERE p_partkey % 2 = 0),
+  b AS (SELECT p_brand AS frame, p_partkey AS box_no, p_partkey * 11 % 80 AS x1, p_partkey * 7 % 80 AS y1, p_partkey * 11 % 80 + 5 + p_size AS x2, p_partkey * 7 % 80 + 5 + p_size AS y2 FROM part WHERE p_partkey % 2 = 1),
   r AS (SELECT f.frame, face_no, box_no, row_number() OVER (PARTITION BY f.frame, face_no ORDER BY (x2 - x1) * (y2 - y1), box_no) AS k FROM f JOIN b ON f.frame = b.frame AND x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2)
   SELECT frame, face_no, box_no FROM r WHERE k = 1""",
     "crop_and_level": """WITH k AS (SELECT p_partkey AS part, p_size, i, p_partkey * (i + 3) % 640 AS x, p_partkey * (i + 5) % 360 AS y, (p_partkey + i * 7) % 17 / 16.0::DOUBLE AS conf FROM part, (SELECT unnest(generate_series(0, 16)) AS i)),

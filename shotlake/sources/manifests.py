@@ -37,6 +37,11 @@ def chosen_items(items: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFr
     return items.join(chosen.select(*keys).distinct(), keys, "left_semi")
 
 
+def jobs_with_stems(jobs: DataFrame, stems: DataFrame, columns: list[str], key: str = "stem") -> DataFrame:
+    """jobs with the columns of their separated stems and separated, false where there are none; every job stays."""
+    return jobs.join(stems.withColumn("separated", F.lit(True)).select(key, *columns, "separated"), key, "left").withColumn("separated", F.coalesce("separated", F.lit(False)))
+
+
 def describable(shots: DataFrame) -> DataFrame:
     """Shots that are not invalid; all of them if every one is."""
     any_ok = shots.agg(F.coalesce(F.max(F.col("status") != "invalid"), F.lit(False)).alias("_any"))
