@@ -52,7 +52,9 @@ def scored(df: DataFrame, rules: QualityRules = RULES) -> DataFrame:
     """Adds the stream's exact median sharpness, flags and quality_score, the product of exposure, contrast and relative sharpness."""
     clip = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     median = F.col("sharpness_median")
-    df = flags(df.withColumn("sharpness_median", F.percentile("sharpness", 0.5).over(Window.partitionBy("stream"))), rules)
+    # Aggregated once and joined back, so that a stream's values are held as counts and not for each row.
+    medians = df.groupBy("stream").agg(F.percentile("sharpness", 0.5).alias("sharpness_median")).withColumnRenamed("stream", "_of")
+    df = flags(df.join(medians, F.col("stream").eqNullSafe(F.col("_of"))).drop("_of"), rules)
     df = df.withColumn("is_blur", F.col("sharpness") < rules.blur_share * median)
     sharp = F.when(median > 0, clip(F.col("sharpness") / (1.5 * median))).otherwise(F.lit(0.0))
     return df.withColumn("bad", F.col("is_black") | F.col("is_white") | F.col("is_low_info") | F.col("is_blur")).withColumn(
@@ -134,12 +136,12 @@ def group_best(df: DataFrame, fps: float, size: int = 3) -> DataFrame:
     return best.withColumn("time_sec", F.col("group") / fps)
 
 
-def cut_scores(df: DataFrame, threshold: float = 3.0, min_content: float = 15.0, reach: int = 2) -> DataFrame:
-    """(stream, frame_index, content, ratio, is_cut): change against the frame before, over the mean change of the neighbours."""
-    order = Window.partitionBy("stream").orderBy("frame_index")
-    df = df.select("stream", "frame_index", F.abs(F.col("luma_mean") - F.coalesce(F.lag("luma_mean").over(order), F.col("luma_mean"))).alias("content"))
+def cut_scores(df: DataFrame, threshold: float = 3.0, min_content: float = 15.0, reach: int = 2, key: tuple[str, ...] = ("stream",)) -> DataFrame:
+    """(*key, frame_index, content, ratio, is_cut): change against the frame before, over the mean change of the neighbours, each within key."""
+    order = Window.partitionBy(*key).orderBy("frame_index")
+    df = df.select(*key, "frame_index", F.abs(F.col("luma_mean") - F.coalesce(F.lag("luma_mean").over(order), F.col("luma_mean"))).alias("content"))
     near, x = order.rowsBetween(-reach, reach), F.col("content")
     mean = F.try_divide(F.sum(x).over(near) - x, F.count(x).over(near) - 1)
     df = df.withColumn("_mean", F.coalesce(mean, F.lit(0.0)))
     ratio = F.when(F.col("_mean") > 1e-9, x / F.col("_mean")).when(x >= min_content, F.lit(255.0)).otherwise(F.lit(0.0))
-    return df.select("stream", "frame_index", "content", ratio.alias("ratio"), ((ratio >= threshold) & (x >= min_content)).alias("is_cut"))
+    return df.select(*key, "frame_index", "content", ratio.alias("ratio"), ((ratio >= threshold) & (x >= min_content)).alias("is_cut"))

@@ -5,9 +5,83 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shotlake.operators import frames as FR
+
+#: What a cut's ratio must reach for each sensitivity, and the name of that way of cutting.
+SENSITIVITY = {"low": 4.5, "medium": 3.0, "high": 2.0}
+DETECTED = "pyscenedetect_adaptive"
+
+
+def sensitivity(name: str | None) -> float:
+    """The ratio to reach; an unknown name counts as medium."""
+    return SENSITIVITY.get((name or "medium").strip().lower(), SENSITIVITY["medium"])
+
+
+def spaced(cuts: Column, start: Column, least: Column) -> Column:
+    """The ascending cuts that lie at least least behind the one taken before, or behind start."""
+
+    def one(frames, at, gap):
+        out = []
+        for f in () if frames is None else frames:
+            if f - at >= gap:
+                out.append(int(f))
+                at = f
+        return out
+
+    @F.pandas_udf("array<long>")
+    def run(cuts: pd.Series, start: pd.Series, least: pd.Series) -> pd.Series:
+        return pd.Series([one(*x) for x in zip(cuts, start, least, strict=True)])
+
+    return run(cuts, start, least)
+
+
+def _min_frames(min_scene_sec: float, fps: Column) -> Column:
+    return F.greatest(F.lit(1), F.bround(F.lit(float(min_scene_sec)) * fps)).cast("long")
+
+
+def cut_list(frames: DataFrame, fps: float = 25.0, level: str = "medium", min_scene_sec: float = 0.5) -> DataFrame:
+    """(stream, total, fps, cuts) of frames (stream, frame_index, luma_mean): ascending cuts, with 0 and total.
+
+    A scene is at least min_scene_sec long, so a cut counts only that far behind the one before.
+    """
+    scores = FR.cut_scores(frames, sensitivity(level))
+    rows = scores.groupBy("stream").agg((F.max("frame_index") + 1).alias("total"), F.lit(float(fps)).alias("fps"), F.array_sort(F.collect_list(F.when(F.col("is_cut"), F.col("frame_index")))).alias("_c"))
+    inside = spaced(F.col("_c"), F.lit(0).cast("long"), _min_frames(min_scene_sec, F.col("fps")))
+    return rows.select("stream", "total", "fps", F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("long"), F.col("total")), inside))).alias("cuts"))
+
+
+def subdetected(streams: DataFrame, frames: DataFrame, max_sec: float = 15.0, level: str = "high", min_scene_sec: float = 0.5) -> DataFrame:
+    """streams (stream, total, fps, cuts) with the cuts found inside of intervals longer than max_sec added.
+
+    Such an interval is looked at apart, at its own sensitivity, and gives cuts
+    strictly inside.  Frames meet their interval in one sorted pass.
+    """
+    long = intervals(streams).join(streams.select("stream", "fps"), "stream").where(F.col("end") - F.col("start") > F.bround(F.lit(float(max_sec)) * F.col("fps")))
+    marks = intervals(streams).select("stream", F.col("start").alias("frame_index"), F.col("start").alias("start"), F.lit(None).cast("double").alias("luma_mean"))
+    rows = marks.unionByName(frames.select("stream", F.col("frame_index").cast("long"), F.lit(None).cast("long").alias("start"), "luma_mean"))
+    before = Window.partitionBy("stream").orderBy("frame_index", F.col("start").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("start", F.max("start").over(before)).where("luma_mean is not null").join(long.select("stream", "start", "end", "fps"), ["stream", "start"])
+    found = FR.cut_scores(placed, sensitivity(level), key=("stream", "start", "end", "fps")).where("is_cut and frame_index > start and frame_index < end")
+    extra = found.groupBy("stream", "start", "fps").agg(F.array_sort(F.collect_list("frame_index")).alias("_c"))
+    extra = extra.select("stream", spaced(F.col("_c"), F.col("start"), _min_frames(min_scene_sec, F.col("fps"))).alias("_c")).groupBy("stream").agg(F.flatten(F.collect_list("_c")).alias("_more"))
+    none = F.array().cast("array<long>")
+    merged = F.array_sort(F.array_distinct(F.concat(F.coalesce("cuts", none), F.coalesce("_more", none))))
+    return streams.join(extra, "stream", "left").select("stream", "total", "fps", merged.alias("cuts"))
+
+
+def whole(streams: DataFrame) -> DataFrame:
+    """One segment for each stream (stream, total, fps), in place of built() where cutting is turned off."""
+    fps = F.when(F.col("fps") > 0, F.col("fps")).otherwise(F.lit(25.0))
+    end = F.col("total") / fps
+    one = lambda x, t: F.lit(x).cast(t)
+    return streams.select(
+        "stream", one(1, "int").alias("index"), F.lit("shot_0001").alias("shot_id"), one(0, "long").alias("start_frame"), F.col("total").cast("long").alias("end_frame"), F.lit(0.0).alias("start_sec"), end.alias("end_sec"), end.alias("duration_sec"),
+        F.lit(False).alias("below_min"), F.lit("none").alias("method"), one(0, "int").alias("split_iterations"), F.lit(False).alias("fallback"), one(1, "int").alias("detected_shot_count"),
+    )
+
 
 def intervals(df: DataFrame) -> DataFrame:
     """(stream, start, end) between neighbouring bounds of (stream, total, cuts): 0, total and the cuts inside."""
@@ -32,7 +106,7 @@ def labelled(df: DataFrame) -> DataFrame:
     method = (
         F.when(F.size(F.coalesce(F.col("cuts"), F.array().cast("array<long>"))) < 2, "equal_split")
         .when(F.exists(known, lambda c: (c > F.col("start")) & (c < F.col("end"))), "merge")
-        .when(F.array_contains(known, F.col("start")) & F.array_contains(known, F.col("end")), "detected")
+        .when(F.array_contains(known, F.col("start")) & F.array_contains(known, F.col("end")), DETECTED)
         .otherwise("equal_split")
     )
     return df.withColumn("method", method)
@@ -116,7 +190,7 @@ def built(df: DataFrame, min_sec: float = 1.0, max_sec: float = 15.0, rounds: in
                     elif any(a < c < b for c in known):
                         method = "merge"
                     else:
-                        method = "detected" if a in known and b in known else "equal_split"
+                        method = DETECTED if a in known and b in known else "equal_split"
                     out.append((s.stream, i, f"shot_{i:04d}", a, b, a / fps, b / fps, (b - a) / fps, b - a < least, method, used, fallback, shots))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SEGMENTS.split(", ")])
 

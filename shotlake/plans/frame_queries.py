@@ -61,6 +61,13 @@ def _streams(spark, d):
     return f.groupBy("stream").agg(F.count("*").alias("total"), F.lit(FPS).alias("fps"), F.sort_array(F.collect_list(F.when(F.col("event_id") % 9 == 0, F.col("frame_index")))).alias("cuts"))
 
 
+_CUT_LIST_SQL = A.FRAMES_SQL + """, v_content AS (SELECT stream, frame_index, abs(luma_mean - coalesce(lag(luma_mean) OVER (PARTITION BY stream ORDER BY frame_index), luma_mean)) AS content FROM v_frames),
+  v_mean AS (SELECT *, CASE WHEN count(*) OVER w > 1 THEN (sum(content) OVER w - content) / (count(*) OVER w - 1) ELSE 0 END AS m FROM v_content WINDOW w AS (PARTITION BY stream ORDER BY frame_index ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+  v_cut AS (SELECT stream, frame_index FROM v_mean WHERE content >= 15 AND CASE WHEN m > 1e-9 THEN content / m ELSE 255.0 END >= 4.5),
+  v_taken AS (SELECT DISTINCT stream, CAST(0 AS BIGINT) AS c FROM v_frames UNION ALL SELECT t.stream, min(k.frame_index) FROM v_taken t JOIN v_cut k ON k.stream = t.stream AND k.frame_index >= t.c + 5 GROUP BY t.stream, t.c),
+  v_list AS (SELECT stream, total, list_sort(list_distinct(list_concat(list(c), [any_value(total)]))) AS cuts FROM v_taken JOIN (SELECT stream, count(*) AS total FROM v_frames GROUP BY stream) USING (stream) GROUP BY stream, total)"""
+
+
 _CUTS_SQL = A.FRAMES_SQL + """, v_streams AS (SELECT stream, count(*) AS total, coalesce(list(frame_index ORDER BY frame_index) FILTER (WHERE event_id % 9 = 0), []) AS cuts FROM v_frames GROUP BY stream),
 v_bounds AS (SELECT stream, total, cuts, unnest(list_sort(list_distinct(list_concat([0, total], list_filter(cuts, lambda c: c > 0 AND c < total))))) AS b FROM v_streams),
 v_intervals AS (SELECT * FROM (SELECT stream, total, cuts, b AS s, lead(b) OVER (PARTITION BY stream ORDER BY b) AS e FROM v_bounds) WHERE e IS NOT NULL),
@@ -76,6 +83,19 @@ def segment_method_label(spark, d):
     return S.labelled(S.split_over(S.intervals(_streams(spark, d)), 6)).groupBy("stream", "method").agg(F.count("*").alias("segments"), F.sum(F.col("end") - F.col("start")).alias("frames"))
 
 
+def cut_list(spark, d):
+    return S.cut_list(A.frames(spark, d), FPS, "low", 0.2).select("stream", "total", F.array_join("cuts", ",").alias("cuts"))
+
+
+def segment_subdetect(spark, d):
+    f = A.frames(spark, d)
+    return S.subdetected(S.cut_list(f, FPS, "low", 0.2), f, 0.4, "high", 0.12).select("stream", "total", F.array_join("cuts", ",").alias("cuts"))
+
+
+def segment_whole(spark, d):
+    return S.whole(_streams(spark, d))
+
+
 def segment_build(spark, d):
     return S.built(_streams(spark, d), min_sec=0.2, max_sec=0.6)
 
@@ -96,7 +116,7 @@ def run_stats_rollup(spark, d):
     return e.groupBy(F.col("event_type").alias("stage")).agg(F.round(F.sum("value"), 4).alias("seconds"), F.count("*").alias("calls"), F.round(F.min("value"), 6).alias("shortest"), F.round(F.max("value"), 6).alias("longest"))
 
 
-QUERIES = [frame_quality_scores, frame_invalid_reason, valid_range_trim, uniform_sample_frames, storyboard_cells, window_best_frame, candidate_group_best, cut_adaptive_ratio, segment_split_over_max, segment_method_label, segment_build, pair_motion_aggregate, cumulative_transform, run_stats_rollup]
+QUERIES = [frame_quality_scores, frame_invalid_reason, valid_range_trim, uniform_sample_frames, storyboard_cells, window_best_frame, candidate_group_best, cut_adaptive_ratio, segment_split_over_max, segment_method_label, cut_list, segment_subdetect, segment_whole, segment_build, pair_motion_aggregate, cumulative_transform, run_stats_rollup]
 
 ORACLE_SQL = {
     "frame_quality_scores": f"WITH {A.QUALITY_SQL} SELECT stream, frame_index, sharpness_median, quality_score, is_black, is_white, is_blur, is_low_info, bad FROM v_quality",
@@ -123,9 +143,17 @@ ORACLE_SQL = {
   v_mean AS (SELECT *, CASE WHEN count(*) OVER w > 1 THEN (sum(content) OVER w - content) / (count(*) OVER w - 1) ELSE 0 END AS m FROM v_content WINDOW w AS (PARTITION BY stream ORDER BY frame_index ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
   v_ratio AS (SELECT *, CASE WHEN m > 1e-9 THEN content / m WHEN content >= 15 THEN 255.0 ELSE 0.0 END AS ratio FROM v_mean)
   SELECT stream, frame_index, content, round(ratio, 6) AS ratio, ratio >= 3.0 AND content >= 15 AS is_cut FROM v_ratio""",
+    "cut_list": f"WITH RECURSIVE {_CUT_LIST_SQL} SELECT stream, total, array_to_string(cuts, ',') AS cuts FROM v_list",
+    "segment_subdetect": f"""WITH RECURSIVE {_CUT_LIST_SQL}, v_long AS (SELECT * FROM (SELECT stream, c AS s, lead(c) OVER (PARTITION BY stream ORDER BY c) AS e FROM (SELECT stream, unnest(cuts) AS c FROM v_list)) WHERE e - s > 10),
+  v_in AS (SELECT f.stream, s, e, f.frame_index, abs(luma_mean - coalesce(lag(luma_mean) OVER (PARTITION BY f.stream, s ORDER BY f.frame_index), luma_mean)) AS content FROM v_frames f JOIN v_long l ON f.stream = l.stream AND f.frame_index >= s AND f.frame_index < e),
+  v_m2 AS (SELECT *, CASE WHEN count(*) OVER w > 1 THEN (sum(content) OVER w - content) / (count(*) OVER w - 1) ELSE 0 END AS m FROM v_in WINDOW w AS (PARTITION BY stream, s ORDER BY frame_index ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+  v_k2 AS (SELECT stream, s, frame_index FROM v_m2 WHERE content >= 15 AND frame_index > s AND CASE WHEN m > 1e-9 THEN content / m ELSE 255.0 END >= 2.0),
+  v_g2 AS (SELECT DISTINCT stream, s, s AS c FROM v_k2 UNION ALL SELECT g.stream, g.s, min(k.frame_index) FROM v_g2 g JOIN v_k2 k ON k.stream = g.stream AND k.s = g.s AND k.frame_index >= g.c + 3 GROUP BY g.stream, g.s, g.c)
+  SELECT stream, any_value(total) AS total, array_to_string(list_sort(list_distinct(list_concat(any_value(cuts), coalesce(list(c) FILTER (WHERE c IS NOT NULL), [])))), ',') AS cuts FROM v_list LEFT JOIN v_g2 USING (stream) GROUP BY stream""",
+    "segment_whole": f"""WITH {_CUTS_SQL} SELECT stream, 1 AS index, 'shot_0001' AS shot_id, 0 AS start_frame, total AS end_frame, 0.0 AS start_sec, total / 25.0::DOUBLE AS end_sec, total / 25.0::DOUBLE AS duration_sec, false AS below_min, 'none' AS method, 0 AS split_iterations, false AS fallback, 1 AS detected_shot_count FROM v_streams""",
     "segment_split_over_max": f'WITH {_CUTS_SQL} SELECT stream, start, "end" FROM v_parts WHERE "end" > start',
     "segment_method_label": f"""WITH {_CUTS_SQL} SELECT stream, CASE WHEN len(cuts) < 2 THEN 'equal_split' WHEN len(list_filter(cuts, lambda c: c > start AND c < "end")) > 0 THEN 'merge'
-    WHEN (start IN (0, total) OR list_contains(cuts, start)) AND ("end" IN (0, total) OR list_contains(cuts, "end")) THEN 'detected' ELSE 'equal_split' END AS method, count(*) AS segments, CAST(sum("end" - start) AS BIGINT) AS frames
+    WHEN (start IN (0, total) OR list_contains(cuts, start)) AND ("end" IN (0, total) OR list_contains(cuts, "end")) THEN 'pyscenedetect_adaptive' ELSE 'equal_split' END AS method, count(*) AS segments, CAST(sum("end" - start) AS BIGINT) AS frames
   FROM v_parts WHERE "end" > start GROUP BY 1, 2""",
     "pair_motion_aggregate": f"""WITH {A.PAIRS_SQL}, v_a AS (SELECT *, success AND inlier_ratio >= 0.3 AS ua FROM v_pairs), v_b AS (SELECT *, CASE WHEN count(*) FILTER (WHERE ua) OVER (PARTITION BY stream) < 2 THEN success ELSE ua END AS ub FROM v_a),
   v_m AS (SELECT stream, quantile_cont(greatest(scale_step, 1e-9), 0.5) AS med, count(*) AS nb FROM v_b WHERE ub GROUP BY stream),
