@@ -247,6 +247,24 @@ def _verified(pairs: DataFrame, held: DataFrame, n: int, numerator: int, denomin
     return hubs.union(members).repartition("hub", "star").sortWithinPartitions("hub", "star", "node").mapInArrow(run, "hub long, node long, linked boolean")
 
 
+def _tiled(at: DataFrame, hubs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """(bucket, node, component, own, other, sketch): where nodes that are still apart meet, in tiles of a bounded size.
+
+    Nodes meet in each key that they share; a group of near copies shares
+    many, so there keys with the same largest component are one bucket, if
+    that has no more pairs than its keys have.
+    """
+    met = at.join(hubs.select("key", "of", "n"), "key")
+    width = met.select("of", "node").distinct().groupBy("of").agg(F.count("*").alias("width"))
+    pairs = hubs.groupBy("of").agg(F.sum((F.col("n") * F.col("n") - F.col("joined")) / 2).alias("pairs"))
+    dense = width.join(pairs, "of").select("of", F.when(F.col("width") * F.col("width") / 2 <= F.col("pairs"), F.col("width")).alias("width"))
+    met = met.join(dense, "of")
+    bucket = F.when(F.col("width").isNotNull(), F.xxhash64(F.lit("of"), "of")).otherwise(F.xxhash64(F.lit("key"), "key"))
+    tiles = F.ceil(F.coalesce("width", "n") / TILE)
+    met = met.select(bucket.alias("bucket"), "node", "component", tiles.alias("tiles")).distinct().join(sketch, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    return met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+
+
 def _components(buckets: DataFrame, held: DataFrame, n: int, numerator: int, denominator: int, most_turns: int) -> DataFrame:
     """(node, component) for the nodes of buckets."""
     sketch = held.drop("packed")
@@ -270,14 +288,12 @@ def _components(buckets: DataFrame, held: DataFrame, n: int, numerator: int, den
         if not rows:
             discard(hubs)
             break
-        last = turn == most_turns or apart <= 2 * rows or (before is not None and apart > 0.9 * before)
+        last = turn == most_turns or apart <= 2 * rows or (turn > 1 and apart > 0.9 * before)
         before = apart
         if last:
-            tiles = F.ceil(F.col("n") / TILE)
-            own = at.join(hubs.select("key", tiles.alias("tiles")), "key").join(sketch, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")))
-            tiled = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-            x, y = sided(tiled, "a", "key", "component", "own", "other"), sided(tiled, "b", "key", "component", "own", "other")
-            here = (F.col("key_a") == F.col("key_b")) & (F.col("own_a") == F.col("other_b")) & (F.col("other_a") == F.col("own_b"))
+            tiled = _tiled(at, hubs, sketch)
+            x, y = sided(tiled, "a", "bucket", "component", "own", "other"), sided(tiled, "b", "bucket", "component", "own", "other")
+            here = (F.col("bucket_a") == F.col("bucket_b")) & (F.col("own_a") == F.col("other_b")) & (F.col("other_a") == F.col("own_b"))
             pairs = x.join(y, here & (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & fits).select(F.col("node_a").alias("hub"), F.col("node_b").alias("node")).distinct()
         else:
             pairs = at.join(hubs, "key").where("component <> of").groupBy("node", "hub").count()

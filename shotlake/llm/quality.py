@@ -95,8 +95,12 @@ def counts(docs: DataFrame, buckets: int) -> np.ndarray:
 
 
 def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in ids; texts of others are not moved, but for some that the filter lets through."""
-    return docs.where(maybe_in(docs.sparkSession, "id", ids)).join(ids, "id", "left_semi")
+    """The rows of docs whose id is in ids, which are distinct, with ids' other columns.
+
+    Texts of others are not moved, but for some that the filter lets through.
+    The join sorts and merges whatever the size of ids, so that cost grows evenly with the input.
+    """
+    return docs.where(maybe_in(docs.sparkSession, "id", ids)).join(ids.hint("merge"), "id")
 
 
 def ratios(of_all: np.ndarray, of_trusted: np.ndarray, prior: float) -> np.ndarray:
@@ -149,7 +153,7 @@ def verdicts(
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), half.alias("half"))
     label = labels.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
     sided = kept(label.where("q = 0 or q = 1 and t = 0").select("id", (F.col("q") == 1).alias("trusted")), "quality-labels")
-    labelled = kept(of_ids(docs, sided).join(sided, "id").select("trusted", "text", "half"), "quality-labelled")
+    labelled = kept(of_ids(docs, sided).select("trusted", "text", "half"), "quality-labelled")
     shared = df.sparkSession.sparkContext.broadcast(ratios(counts(docs, buckets), counts(labelled.where("trusted"), buckets), prior))
 
     def failed(prefix: str = ""):
