@@ -9,7 +9,7 @@ from typing import Any
 
 #: Defaults of the data model.
 DEFAULTS: dict[str, Any] = {
-    "segmentation": {"enabled": True, "min_segment_sec": 1.0, "max_segment_sec": 15.0, "max_split_iterations": 5, "threshold": 3.0},
+    "segmentation": {"enabled": True, "min_segment_sec": 1.0, "max_segment_sec": 15.0, "max_split_iterations": 5, "sensitivity": "medium", "min_scene_len_sec": 0.5, "long_shot_subdetect": True, "long_shot_subdetect_sensitivity": "high"},
     "frame_quality": {"black_mean": 15, "black_std": 10, "white_mean": 240, "white_std": 10, "low_info_std": 8},
     "trim": {"trim_tolerance_frames": 2, "min_valid_frames": 2, "invalid_black_ratio": 0.9},
     "sampling": {"k_short": 7, "k_normal": 10, "k_long": 14},

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,8 @@ def motion_summary(pairs: DataFrame, diagonal: float, low_inlier: float = 0.3) -
         F.avg(when(ok, F.col("inlier_ratio"))).alias("avg_inlier_ratio"),
         F.avg(when(ok, (F.col("inlier_ratio") < low_inlier).cast("int"))).alias("low_inlier_rate"),
         F.avg((~ok).cast("int")).alias("match_fail_rate"),
+        *(F.avg(when(ok, F.col(c))).alias(name) for c, name in (("perspective_error", "perspective_avg"), ("flow_magnitude", "flow_magnitude_avg"), ("h_inlier_ratio", "h_inlier_ratio_avg"), ("parallax_cv", "parallax_cv_avg")) if c in pairs.columns),
+        *([F.min(when(ok, F.col("h_inlier_ratio"))).alias("h_inlier_ratio_min")] if "h_inlier_ratio" in pairs.columns else []),
         F.count(when(use, 1)).alias("usable"),
         F.coalesce(F.sum(when(use, F.abs(F.ln(F.greatest("scale_step", F.lit(EPS)))))), F.lit(0.0)).alias("zoom_path"),
         F.coalesce(F.sum(when(use, F.abs("rotation_step_deg"))), F.lit(0.0)).alias("rotation_path_deg"),
@@ -54,36 +58,56 @@ def motion_summary(pairs: DataFrame, diagonal: float, low_inlier: float = 0.3) -
     )
 
 
+def _folded(rows, width: float, height: float):
+    """Arrays (scale, rotation, tx, ty, homography) of one stream's ordered pairs (usable, affine, homography)."""
+    affine, flat, out = np.eye(3), np.eye(3), []
+    center = np.array([width / 2, height / 2, 1.0])
+    for usable, step, h in rows:
+        if usable:
+            affine = np.vstack([np.asarray(step, np.float64).reshape(2, 3), [0, 0, 1]]) @ affine
+            if h is not None:
+                flat = np.asarray(h, np.float64).reshape(3, 3) @ flat
+        moved = affine @ center - center
+        out.append((math.hypot(affine[0, 0], affine[1, 0]), math.degrees(math.atan2(affine[1, 0], affine[0, 0])), moved[0], moved[1], flat.reshape(-1).tolist()))
+    return out
+
+
 def cumulative_transform(pairs: DataFrame, width: float, height: float) -> DataFrame:
-    """(stream, pair_no, cum_scale, cum_rotation_deg, cum_tx, cum_ty): the ordered product of the usable affine steps so far.
+    """(stream, pair_no, cum_scale, cum_rotation_deg, cum_tx, cum_ty, cum_homography): the ordered products of the usable steps so far.
 
-    The product runs inside the JVM over the stream's ordered list of steps, each
-    a row-major 2x3 affine (a, b, tx, c, d, ty); displacement is that of the frame's centre.
+    pairs has affine, a row-major 2x3, and may have homography, a row-major 3x3,
+    which is passed over where null.  Displacement is that of the frame's centre.
+    A stream's pairs are folded together, in time and memory linear in them.
     """
-    steps = pairs.groupBy("stream").agg(F.array_sort(F.collect_list(F.struct("pair_no", "usable", F.col("affine").cast("array<double>").alias("m")))).alias("steps"))
-    zero = F.array(*(F.lit(float(x)) for x in (1, 0, 0, 0, 1, 0)))
-    at = lambda m, i: F.get(m, F.lit(i))
-
-    def times(x, y):
-        """The affine that applies y, then x."""
-        return F.array(
-            at(x, 0) * at(y, 0) + at(x, 1) * at(y, 3), at(x, 0) * at(y, 1) + at(x, 1) * at(y, 4), at(x, 0) * at(y, 2) + at(x, 1) * at(y, 5) + at(x, 2),
-            at(x, 3) * at(y, 0) + at(x, 4) * at(y, 3), at(x, 3) * at(y, 1) + at(x, 4) * at(y, 4), at(x, 3) * at(y, 2) + at(x, 4) * at(y, 5) + at(x, 5),
-        )
-
-    start = F.struct(F.array().cast("array<struct<no:long,m:array<double>>>").alias("out"), zero.alias("now"))
-
-    def fold(acc, s):
-        now = F.when(s["usable"], times(s["m"], acc["now"])).otherwise(acc["now"])
-        return F.struct(F.concat(acc["out"], F.array(F.struct(s["pair_no"].cast("long").alias("no"), now.alias("m")))).alias("out"), now.alias("now"))
-
-    rows = steps.select("stream", F.explode(F.aggregate("steps", start, fold, lambda acc: acc["out"])).alias("s")).select("stream", F.col("s.no").alias("pair_no"), F.col("s.m").alias("m"))
-    m, cx, cy = F.col("m"), width / 2, height / 2
-    return rows.select(
+    homography = F.col("homography") if "homography" in pairs.columns else F.lit(None)
+    rows = pairs.select("stream", F.col("pair_no").cast("long"), F.coalesce("usable", F.lit(False)).alias("usable"), F.col("affine").cast("array<double>"), homography.cast("array<double>").alias("homography"))
+    kind = dict(rows.dtypes)["stream"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pair_no")
+        found = pd.DataFrame(_folded(zip(pdf.usable, pdf.affine, pdf.homography, strict=True), width, height), columns=["cum_scale", "cum_rotation_deg", "cum_tx", "cum_ty", "cum_homography"], index=pdf.index)
+        return pd.concat([pdf[["stream", "pair_no"]], found], axis=1)
+
+    return rows.groupBy("stream").applyInPandas(run, f"stream {kind}, pair_no long, cum_scale double, cum_rotation_deg double, cum_tx double, cum_ty double, cum_homography array<double>")
+
+
+def motion_totals(pairs: DataFrame, width: float, height: float) -> DataFrame:
+    """One row for each stream, on top of motion_summary: where its usable steps lead in all, and scores of zoom, rotation and translation (1: noticeable)."""
+    diagonal = math.hypot(width, height)
+    last = cumulative_transform(usable_pairs(pairs), width, height).groupBy("stream").agg(F.max_by(F.struct("cum_scale", "cum_rotation_deg", "cum_tx", "cum_ty"), "pair_no").alias("t"))
+    step = F.sqrt(F.col("tx") * F.col("tx") + F.col("ty") * F.col("ty"))
+    path = usable_pairs(pairs).groupBy("stream").agg(F.coalesce(F.sum(F.when(F.col("usable"), step)), F.lit(0.0)).alias("path"))
+    moved = F.sqrt(F.col("t.cum_tx") * F.col("t.cum_tx") + F.col("t.cum_ty") * F.col("t.cum_ty"))
+    norm = moved / (diagonal + EPS)
+    return last.join(path, "stream").select(
         "stream",
-        "pair_no",
-        F.sqrt(at(m, 0) * at(m, 0) + at(m, 3) * at(m, 3)).alias("cum_scale"),
-        (F.atan2(at(m, 3), at(m, 0)) * F.lit(180 / math.pi)).alias("cum_rotation_deg"),
-        (at(m, 0) * cx + at(m, 1) * cy + at(m, 2) - cx).alias("cum_tx"),
-        (at(m, 3) * cx + at(m, 4) * cy + at(m, 5) - cy).alias("cum_ty"),
+        F.col("t.cum_scale").alias("scale_total"),
+        F.col("t.cum_rotation_deg").alias("rotation_deg_total"),
+        F.col("t.cum_tx").alias("tx_total"),
+        F.col("t.cum_ty").alias("ty_total"),
+        norm.alias("translation_norm"),
+        (F.col("path") / (moved + EPS)).alias("translation_path_ratio"),
+        (F.abs(F.ln(F.greatest("t.cum_scale", F.lit(EPS)))) / 0.10).alias("score_zoom"),
+        (F.abs("t.cum_rotation_deg") / 3.0).alias("score_rotation"),
+        (norm / 0.03).alias("score_translation"),
     )

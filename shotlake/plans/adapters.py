@@ -119,7 +119,8 @@ PAIRS_SQL = (
     FRAMES_SQL
     + """, v_pairs AS (SELECT stream, frame_index AS pair_no, event_id % 9 <> 0 AS success, CAST(event_id % 200 AS DOUBLE) AS match_count, CAST(event_id % 120 AS DOUBLE) AS inlier_count,
     (event_id * 7 % 100) / 100.0::DOUBLE AS inlier_ratio, 0.9::DOUBLE + (event_id * 31 % 41) / 100.0::DOUBLE AS scale_step, (event_id % 13) / 2.0::DOUBLE - 3 AS rotation_step_deg,
-    CAST(event_id * 17 % 61 AS DOUBLE) - 30 AS tx, CAST(event_id * 29 % 47 AS DOUBLE) - 23 AS ty, CAST(luma_std AS DOUBLE) AS flow_magnitude, (event_id * 3 % 100) / 100.0::DOUBLE AS center_inlier_ratio FROM v_frames)"""
+    CAST(event_id * 17 % 61 AS DOUBLE) - 30 AS tx, CAST(event_id * 29 % 47 AS DOUBLE) - 23 AS ty, CAST(luma_std AS DOUBLE) AS flow_magnitude, (event_id * 3 % 100) / 100.0::DOUBLE AS center_inlier_ratio,
+    (event_id * 11 % 90) / 30.0::DOUBLE AS perspective_error, (event_id * 19 % 100) / 100.0::DOUBLE AS h_inlier_ratio, (event_id * 23 % 70) / 70.0::DOUBLE AS parallax_cv, radians((event_id % 13) / 2.0::DOUBLE - 3) AS angle, event_id FROM v_frames)"""
 )
 
 
@@ -140,6 +141,10 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         tx.alias("tx"),
         ty.alias("ty"),
         F.col("luma_std").alias("flow_magnitude"),
+        ((e * 11 % 90) / 30.0).alias("perspective_error"),
+        ((e * 19 % 100) / 100.0).alias("h_inlier_ratio"),
+        ((e * 23 % 70) / 70.0).alias("parallax_cv"),
         ((e * 3 % 100) / 100.0).alias("center_inlier_ratio"),
         F.array(scale * F.cos(turn), -scale * F.sin(turn), tx, scale * F.sin(turn), scale * F.cos(turn), ty).alias("affine"),
+        F.when(e % 5 != 0, F.array(F.lit(1.0), (e % 7) / 100.0, tx / 10, F.lit(0.0), F.lit(1.0), ty / 10, F.lit(0.0), (e % 3) / 1000.0, F.lit(1.0))).alias("homography"),
     )

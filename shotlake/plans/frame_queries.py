@@ -61,6 +61,23 @@ def _streams(spark, d):
     return f.groupBy("stream").agg(F.count("*").alias("total"), F.lit(FPS).alias("fps"), F.sort_array(F.collect_list(F.when(F.col("event_id") % 9 == 0, F.col("frame_index")))).alias("cuts"))
 
 
+_USABLE_SQL = """v_a AS (SELECT *, success AND inlier_ratio >= 0.3 AS ua FROM v_pairs), v_b AS (SELECT *, CASE WHEN count(*) FILTER (WHERE ua) OVER (PARTITION BY stream) < 2 THEN success ELSE ua END AS ub FROM v_a),
+  v_m AS (SELECT stream, quantile_cont(greatest(scale_step, 1e-9), 0.5) AS med, count(*) AS nb FROM v_b WHERE ub GROUP BY stream),
+  v_c AS (SELECT b.*, nb, ub AND abs(ln(greatest(scale_step, 1e-9) / med)) < 0.25 AS uc FROM v_b b LEFT JOIN v_m USING (stream)),
+  v_u AS (SELECT *, CASE WHEN nb >= 3 AND count(*) FILTER (WHERE uc) OVER (PARTITION BY stream) >= 2 THEN uc ELSE ub END AS use, sqrt(tx * tx + ty * ty) AS step FROM v_c),"""
+
+#: Affine (a b x / c d y) and homography h0 .. h8 so far, pair by pair.
+_PRODUCT_SQL = A.PAIRS_SQL + ", " + _USABLE_SQL.rstrip().rstrip(",") + """, v_s AS (SELECT stream, pair_no, coalesce(use, false) AS use, event_id % 5 <> 0 AS flat, scale_step * cos(angle) AS c, scale_step * sin(angle) AS s, tx, ty, (event_id % 7) / 100.0::DOUBLE AS g1, (event_id % 3) / 1000.0::DOUBLE AS g7 FROM v_u),
+  v_p AS (SELECT DISTINCT stream, CAST(-1 AS BIGINT) AS pair_no, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS x, 0.0::DOUBLE AS cc, 1.0::DOUBLE AS d, 0.0::DOUBLE AS y, 1.0::DOUBLE AS h0, 0.0::DOUBLE AS h1, 0.0::DOUBLE AS h2, 0.0::DOUBLE AS h3, 1.0::DOUBLE AS h4, 0.0::DOUBLE AS h5, 0.0::DOUBLE AS h6, 0.0::DOUBLE AS h7, 1.0::DOUBLE AS h8 FROM v_s
+    UNION ALL SELECT p.stream, s.pair_no,
+      CASE WHEN use THEN c * a - s * cc ELSE a END, CASE WHEN use THEN c * b - s * d ELSE b END, CASE WHEN use THEN c * x - s * y + tx ELSE x END,
+      CASE WHEN use THEN s * a + c * cc ELSE cc END, CASE WHEN use THEN s * b + c * d ELSE d END, CASE WHEN use THEN s * x + c * y + ty ELSE y END,
+      CASE WHEN use AND flat THEN h0 + g1 * h3 + tx / 10 * h6 ELSE h0 END, CASE WHEN use AND flat THEN h1 + g1 * h4 + tx / 10 * h7 ELSE h1 END, CASE WHEN use AND flat THEN h2 + g1 * h5 + tx / 10 * h8 ELSE h2 END,
+      CASE WHEN use AND flat THEN h3 + ty / 10 * h6 ELSE h3 END, CASE WHEN use AND flat THEN h4 + ty / 10 * h7 ELSE h4 END, CASE WHEN use AND flat THEN h5 + ty / 10 * h8 ELSE h5 END,
+      CASE WHEN use AND flat THEN g7 * h3 + h6 ELSE h6 END, CASE WHEN use AND flat THEN g7 * h4 + h7 ELSE h7 END, CASE WHEN use AND flat THEN g7 * h5 + h8 ELSE h8 END
+    FROM v_p p JOIN v_s s ON s.stream = p.stream AND s.pair_no = p.pair_no + 1),
+  v_total AS (SELECT *, sqrt(a * a + cc * cc) AS cum_scale, degrees(atan2(cc, a)) AS cum_rotation_deg, a * 640 + b * 360 + x - 640 AS cum_tx, cc * 640 + d * 360 + y - 360 AS cum_ty FROM v_p WHERE pair_no >= 0)"""
+
 _CUT_LIST_SQL = A.FRAMES_SQL + """, v_content AS (SELECT stream, frame_index, abs(luma_mean - coalesce(lag(luma_mean) OVER (PARTITION BY stream ORDER BY frame_index), luma_mean)) AS content FROM v_frames),
   v_mean AS (SELECT *, CASE WHEN count(*) OVER w > 1 THEN (sum(content) OVER w - content) / (count(*) OVER w - 1) ELSE 0 END AS m FROM v_content WINDOW w AS (PARTITION BY stream ORDER BY frame_index ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
   v_cut AS (SELECT stream, frame_index FROM v_mean WHERE content >= 15 AND CASE WHEN m > 1e-9 THEN content / m ELSE 255.0 END >= 4.5),
@@ -107,7 +124,16 @@ def pair_motion_aggregate(spark, d):
 
 def cumulative_transform(spark, d):
     out = M.cumulative_transform(M.usable_pairs(A.pairs(spark, d)), 1280.0, 720.0)
-    return out.select("stream", "pair_no", *(F.round(c, 6).alias(c) for c in ("cum_scale", "cum_rotation_deg", "cum_tx", "cum_ty")))
+    return out.select("stream", "pair_no", "cum_scale", "cum_rotation_deg", "cum_tx", "cum_ty")
+
+
+def cumulative_homography(spark, d):
+    out = M.cumulative_transform(M.usable_pairs(A.pairs(spark, d)), 1280.0, 720.0)
+    return out.select("stream", "pair_no", *(F.get("cum_homography", F.lit(i)).alias(f"h{i}") for i in (0, 1, 2, 5, 7)))
+
+
+def motion_totals(spark, d):
+    return M.motion_totals(A.pairs(spark, d), 1280.0, 720.0)
 
 
 def run_stats_rollup(spark, d):
@@ -116,7 +142,7 @@ def run_stats_rollup(spark, d):
     return e.groupBy(F.col("event_type").alias("stage")).agg(F.round(F.sum("value"), 4).alias("seconds"), F.count("*").alias("calls"), F.round(F.min("value"), 6).alias("shortest"), F.round(F.max("value"), 6).alias("longest"))
 
 
-QUERIES = [frame_quality_scores, frame_invalid_reason, valid_range_trim, uniform_sample_frames, storyboard_cells, window_best_frame, candidate_group_best, cut_adaptive_ratio, segment_split_over_max, segment_method_label, cut_list, segment_subdetect, segment_whole, segment_build, pair_motion_aggregate, cumulative_transform, run_stats_rollup]
+QUERIES = [frame_quality_scores, frame_invalid_reason, valid_range_trim, uniform_sample_frames, storyboard_cells, window_best_frame, candidate_group_best, cut_adaptive_ratio, segment_split_over_max, segment_method_label, cut_list, segment_subdetect, segment_whole, segment_build, pair_motion_aggregate, cumulative_transform, cumulative_homography, motion_totals, run_stats_rollup]
 
 ORACLE_SQL = {
     "frame_quality_scores": f"WITH {A.QUALITY_SQL} SELECT stream, frame_index, sharpness_median, quality_score, is_black, is_white, is_blur, is_low_info, bad FROM v_quality",
@@ -155,17 +181,21 @@ ORACLE_SQL = {
     "segment_method_label": f"""WITH {_CUTS_SQL} SELECT stream, CASE WHEN len(cuts) < 2 THEN 'equal_split' WHEN len(list_filter(cuts, lambda c: c > start AND c < "end")) > 0 THEN 'merge'
     WHEN (start IN (0, total) OR list_contains(cuts, start)) AND ("end" IN (0, total) OR list_contains(cuts, "end")) THEN 'pyscenedetect_adaptive' ELSE 'equal_split' END AS method, count(*) AS segments, CAST(sum("end" - start) AS BIGINT) AS frames
   FROM v_parts WHERE "end" > start GROUP BY 1, 2""",
-    "pair_motion_aggregate": f"""WITH {A.PAIRS_SQL}, v_a AS (SELECT *, success AND inlier_ratio >= 0.3 AS ua FROM v_pairs), v_b AS (SELECT *, CASE WHEN count(*) FILTER (WHERE ua) OVER (PARTITION BY stream) < 2 THEN success ELSE ua END AS ub FROM v_a),
-  v_m AS (SELECT stream, quantile_cont(greatest(scale_step, 1e-9), 0.5) AS med, count(*) AS nb FROM v_b WHERE ub GROUP BY stream),
-  v_c AS (SELECT b.*, nb, ub AND abs(ln(greatest(scale_step, 1e-9) / med)) < 0.25 AS uc FROM v_b b LEFT JOIN v_m USING (stream)),
-  v_u AS (SELECT *, CASE WHEN nb >= 3 AND count(*) FILTER (WHERE uc) OVER (PARTITION BY stream) >= 2 THEN uc ELSE ub END AS use, sqrt(tx * tx + ty * ty) AS step FROM v_c),
+    "pair_motion_aggregate": f"""WITH {A.PAIRS_SQL}, {_USABLE_SQL}
   v_t AS (SELECT *, lag(tx) OVER w AS px, lag(ty) OVER w AS py FROM v_u WHERE use AND step > 2.0 WINDOW w AS (PARTITION BY stream ORDER BY pair_no)),
   v_turn AS (SELECT stream, sum(CASE WHEN step * sqrt(px * px + py * py) < 1e-9 THEN 0 ELSE degrees(acos(greatest(-1, least(1, (tx * px + ty * py) / (step * sqrt(px * px + py * py)))))) END) AS turn FROM v_t WHERE px IS NOT NULL GROUP BY stream)
   SELECT stream, count(*) AS pairs, count(*) FILTER (WHERE use) AS usable, round(avg(match_count), 6) AS avg_match_count, round(avg(inlier_count) FILTER (WHERE success), 6) AS avg_inlier_count, round(avg(inlier_ratio) FILTER (WHERE success), 6) AS avg_inlier_ratio,
     round(avg(CASE WHEN inlier_ratio < 0.3 THEN 1.0 ELSE 0.0 END) FILTER (WHERE success), 6) AS low_inlier_rate, round(avg(CASE WHEN success THEN 0.0 ELSE 1.0 END), 6) AS match_fail_rate,
     round(coalesce(sum(abs(ln(greatest(scale_step, 1e-9)))) FILTER (WHERE use), 0), 6) AS zoom_path, round(coalesce(sum(abs(rotation_step_deg)) FILTER (WHERE use), 0), 6) AS rotation_path_deg, round(coalesce(sum(step) FILTER (WHERE use), 0), 6) AS translation_path,
     round(coalesce(any_value(turn), 0), 6) AS direction_change_deg, round(coalesce(max(step / (100.0 + 1e-9)) FILTER (WHERE success), 0), 6) AS max_translation_step_norm, round(coalesce(max(flow_magnitude) FILTER (WHERE success), 0), 6) AS max_flow_magnitude,
+    round(avg(perspective_error) FILTER (WHERE success), 6) AS perspective_avg, round(avg(flow_magnitude) FILTER (WHERE success), 6) AS flow_magnitude_avg, round(avg(h_inlier_ratio) FILTER (WHERE success), 6) AS h_inlier_ratio_avg, round(min(h_inlier_ratio) FILTER (WHERE success), 6) AS h_inlier_ratio_min, round(avg(parallax_cv) FILTER (WHERE success), 6) AS parallax_cv_avg,
     round(avg(center_inlier_ratio) FILTER (WHERE success), 6) AS center_inlier_ratio_mean, round(stddev_pop(center_inlier_ratio) FILTER (WHERE success), 6) AS center_inlier_ratio_std
   FROM v_u LEFT JOIN v_turn USING (stream) GROUP BY stream""",
+    "cumulative_transform": f"WITH RECURSIVE {_PRODUCT_SQL} SELECT stream, pair_no, cum_scale, cum_rotation_deg, cum_tx, cum_ty FROM v_total",
+    "cumulative_homography": f"WITH RECURSIVE {_PRODUCT_SQL} SELECT stream, pair_no, h0, h1, h2, h5, h7 FROM v_total",
+    "motion_totals": f"""WITH RECURSIVE {_PRODUCT_SQL}, v_path AS (SELECT stream, coalesce(sum(step) FILTER (WHERE use), 0) AS path, max(pair_no) AS pair_no FROM v_u GROUP BY stream),
+  v_end AS (SELECT *, sqrt(cum_tx * cum_tx + cum_ty * cum_ty) AS moved, sqrt(1280.0::DOUBLE * 1280 + 720 * 720) AS diag FROM v_total JOIN v_path USING (stream, pair_no))
+  SELECT stream, cum_scale AS scale_total, cum_rotation_deg AS rotation_deg_total, cum_tx AS tx_total, cum_ty AS ty_total, moved / (diag + 1e-9) AS translation_norm, path / (moved + 1e-9) AS translation_path_ratio,
+    abs(ln(greatest(cum_scale, 1e-9))) / 0.1 AS score_zoom, abs(cum_rotation_deg) / 3.0 AS score_rotation, moved / (diag + 1e-9) / 0.03 AS score_translation FROM v_end""",
     "run_stats_rollup": "SELECT event_type AS stage, round(sum(value), 4) AS seconds, count(*) AS calls, round(min(value), 6) AS shortest, round(max(value), 6) AS longest FROM events GROUP BY event_type",
 }

@@ -38,7 +38,21 @@ def _rules(cfg: dict) -> FR.QualityRules:
 
 def _segments(r: Relations, cfg: dict) -> DataFrame:
     s = cfg["segmentation"]
-    return SG.built(r["streams"], s["min_segment_sec"], s["max_segment_sec"], s["max_split_iterations"])
+    if not s["enabled"]:
+        return SG.whole(r["streams"])
+    cuts = r["cuts"]
+    if s["long_shot_subdetect"] and "frames" in r:
+        cuts = SG.subdetected(cuts, r["frames"], s["max_segment_sec"], s["long_shot_subdetect_sensitivity"], s["min_scene_len_sec"])
+    return SG.built(cuts, s["min_segment_sec"], s["max_segment_sec"], s["max_split_iterations"])
+
+
+def _cuts(r: Relations, cfg: dict) -> DataFrame:
+    """The streams' own cuts, where they bring some, else those found in their frames."""
+    s, streams = cfg["segmentation"], r["streams"]
+    if "cuts" in streams.columns or "frames" not in r:
+        return streams.select("stream", "total", "fps", "cuts")
+    found = SG.cut_list(r["frames"], 25.0, s["sensitivity"], s["min_scene_len_sec"]).select("stream", "cuts")
+    return streams.select("stream", "total", "fps").join(found, "stream", "left")
 
 
 def _ranges(r: Relations, cfg: dict) -> DataFrame:
@@ -58,7 +72,8 @@ def _persons(r: Relations, cfg: dict) -> DataFrame:
 
 
 STAGES = [
-    Stage("segments", ("streams",), _segments, lambda cfg: cfg["segmentation"]["enabled"]),
+    Stage("cuts", ("streams",), _cuts, lambda cfg: cfg["segmentation"]["enabled"]),
+    Stage("segments", ("streams",), _segments),
     Stage("quality", ("frames",), lambda r, cfg: FR.scored(r["frames"], _rules(cfg))),
     Stage("ranges", ("quality", "streams"), _ranges),
     Stage("storyboard", ("quality", "ranges"), _storyboard),
