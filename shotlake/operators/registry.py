@@ -6,12 +6,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotlake.functions import vectors as V
 
-STATE = "speaker_id string, cam_center array<double>, eres_center array<double>, samples long, videos array<string>"
+STATE = "speaker_id string, number long, cam_center array<double>, eres_center array<double>, samples long, videos array<string>"
+SEEN = "video string, cluster long, speaker_id string"
 
 
 def _unit(v) -> np.ndarray:
@@ -66,21 +68,73 @@ class Registry:
         return name
 
 
-def matched(samples: DataFrame, cam_threshold: float = 0.30, eres_threshold: float = 0.55) -> DataFrame:
-    """(seq, video, cluster, speaker_id) of samples (seq, video, cluster, cam_emb, eres_emb), by seq.
+def _folded(samples: DataFrame, start: Registry, cam_threshold: float, eres_threshold: float) -> DataFrame:
+    """Rows of FOLDED: kind 'sample' for each of samples (seq, video, cluster, cam_emb, eres_emb) in order of seq, then kind 'speaker' for each speaker.
 
-    Each decision depends on all before, so this is one ordered fold over what
-    is a sample for each speaker of a source, never a row for each frame.
+    Each decision depends on all before, so samples stream through one task in
+    order; it holds the speakers, never the samples.
     """
+    known = {k: {**v, "videos": list(v["videos"])} for k, v in start.speakers.items()}
+    columns = [c.split()[0] for c in FOLDED.split(", ")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        registry = Registry(cam_threshold, eres_threshold)
-        pdf = pdf.sort_values("seq")
-        names = [registry.match(r.cam_emb, r.eres_emb, r.video, r.cluster) for r in pdf.itertuples()]
-        return pd.DataFrame({"seq": pdf.seq, "video": pdf.video, "cluster": pdf.cluster, "speaker_id": names})
+    def run(frames):
+        registry = Registry(cam_threshold, eres_threshold, {k: {**v, "videos": list(v["videos"])} for k, v in known.items()})
+        for pdf in frames:
+            out = [("sample", r.seq, r.video, r.cluster, registry.match(r.cam_emb, r.eres_emb, r.video, None if pd.isna(r.cluster) else r.cluster), None, None, None, None) for r in pdf.itertuples()]
+            yield pd.DataFrame(out, columns=columns)
+        rest = [("speaker", i, None, None, name, s["cam"], s["eres"], s["samples"], s["videos"]) for i, (name, s) in enumerate(registry.speakers.items())]
+        yield pd.DataFrame(rest, columns=columns)
 
     rows = samples.select(F.col("seq").cast("long"), F.col("video").cast("string"), F.col("cluster").cast("long"), "cam_emb", "eres_emb")
-    return rows.groupBy(F.lit(0).alias("all")).applyInPandas(run, "seq long, video string, cluster long, speaker_id string")
+    return rows.repartition(1).sortWithinPartitions("seq").mapInPandas(run, FOLDED)
+
+
+FOLDED = "kind string, seq long, video string, cluster long, speaker_id string, cam_center array<double>, eres_center array<double>, samples long, videos array<string>"
+
+
+def matched(samples: DataFrame, cam_threshold: float = 0.30, eres_threshold: float = 0.55) -> DataFrame:
+    """(seq, video, cluster, speaker_id) of samples (seq, video, cluster, cam_emb, eres_emb), by seq, from an empty registry."""
+    return _folded(samples, Registry(), cam_threshold, eres_threshold).where("kind = 'sample'").select("seq", "video", "cluster", "speaker_id")
+
+
+def load(spark: SparkSession, path: str) -> tuple[int, DataFrame, DataFrame]:
+    """(version, speakers, seen) of the newest version under path that was written whole; version 0 and empty tables if there is none."""
+    try:
+        version = spark.read.schema("version long").parquet(f"{path}/versions").agg(F.max("version")).first()[0] or 0
+    except AnalysisException:
+        version = 0
+    if not version:
+        return 0, spark.createDataFrame([], STATE), spark.createDataFrame([], SEEN)
+    return version, spark.read.schema(STATE).parquet(f"{path}/speakers-{version}"), spark.read.schema(SEEN).parquet(f"{path}/seen-{version}")
+
+
+def resolve(samples: DataFrame, path: str, cam_threshold: float = 0.30, eres_threshold: float = 0.55) -> DataFrame:
+    """(seq, video, cluster, speaker_id) of samples, by the registry under path, which is brought up to date.
+
+    A (video, cluster) that an earlier call has seen keeps its speaker and changes
+    nothing, so a batch may be given again.  A new version becomes current by a
+    row in versions, written after its tables; what is cut short leaves the old one.
+    """
+    spark = samples.sparkSession
+    version, speakers, seen = load(spark, path)
+    start = Registry(cam_threshold, eres_threshold)
+    for r in speakers.orderBy("number").toLocalIterator():
+        start.speakers[r["speaker_id"]] = {"cam": np.asarray(r["cam_center"]), "eres": None if r["eres_center"] is None else np.asarray(r["eres_center"]), "samples": r["samples"], "videos": r["videos"]}
+    key = ["video", "cluster"]
+    rows = samples.select(F.col("seq").cast("long").alias("seq"), F.col("video").cast("string").alias("video"), F.col("cluster").cast("long").alias("cluster"), "cam_emb", "eres_emb")
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"o.{c}")) for c in key]
+    known = rows.alias("s").join(seen.alias("o"), same).select("s.seq", "s.video", "s.cluster", "o.speaker_id")
+    fresh = rows.alias("s").join(seen.alias("o"), same, "left_anti")
+    at = f"{path}/folded-{version + 1}"
+    _folded(fresh, start, cam_threshold, eres_threshold).write.mode("overwrite").parquet(at)
+    folded = spark.read.schema(FOLDED).parquet(at)
+    folded.where("kind = 'speaker'").select("speaker_id", F.col("seq").alias("number"), "cam_center", "eres_center", "samples", "videos").write.mode("overwrite").parquet(f"{path}/speakers-{version + 1}")
+    new = folded.where("kind = 'sample'").select("seq", *key, "speaker_id")
+    seen.unionByName(new.where("cluster is not null and speaker_id is not null").select(*key, "speaker_id")).dropDuplicates(key).write.mode("overwrite").parquet(f"{path}/seen-{version + 1}")
+    out = known.unionByName(new)
+    out.write.mode("overwrite").parquet(f"{path}/out-{version + 1}")
+    spark.createDataFrame([(version + 1,)], "version long").coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    return spark.read.schema(out.schema).parquet(f"{path}/out-{version + 1}")
 
 
 def counts_by(runs: DataFrame, key: list[str], status: str) -> DataFrame:
@@ -89,16 +143,34 @@ def counts_by(runs: DataFrame, key: list[str], status: str) -> DataFrame:
 
 
 def nearest_center(samples: DataFrame, centers: DataFrame, most_centers: int = 100_000) -> DataFrame:
-    """(sample_id, center_id, similarity): the most similar centre, the first on ties.
+    """(sample_id, center_id, similarity): the most similar centre by cosine, the first on ties.
 
-    centers are broadcast; they are counted first, and beyond most_centers they
-    are taken in blocks of at most that many, with the best of all blocks kept.
+    Centres are counted first and sent to the tasks in blocks of about
+    most_centers at most, each met by one pass over the samples as a matrix
+    product for a batch at a time; the best of all blocks is kept.
     """
+    spark = samples.sparkSession
     blocks = -(-centers.count() // most_centers) or 1
-    best = None
+    rows = samples.select(F.col("sample_id").cast("long").alias("sample_id"), V.doubles("embedding").alias("embedding"))
+    schema, best = "sample_id long, center_id long, similarity double", None
     for i in range(blocks):
-        block = centers.where(F.pmod(F.xxhash64("center_id"), F.lit(blocks)) == i) if blocks > 1 else centers
-        pairs = samples.join(F.broadcast(block)).withColumn("similarity", V.cosine("embedding", "center"))
-        found = pairs.groupBy("sample_id").agg(F.max_by(F.struct("center_id", "similarity"), F.struct("similarity", -F.col("center_id"))).alias("b")).select("sample_id", "b.*")
+        block = centers.where(F.pmod(F.xxhash64("center_id"), F.lit(blocks)) == i).select(F.col("center_id").cast("long"), V.doubles("center").alias("center")).orderBy("center_id").toPandas()
+        shared = spark.sparkContext.broadcast((block["center_id"].to_numpy(), np.stack(block["center"].to_list()) if len(block) else np.zeros((0, 1))))
+
+        def run(frames, shared=shared):
+            ids, table = shared.value
+            norms = np.linalg.norm(table, axis=1)
+            for pdf in frames:
+                for j in range(0, len(pdf) if len(ids) else 0, 256):
+                    part = pdf.iloc[j : j + 256]
+                    x = np.stack(part["embedding"].to_list())
+                    scale = np.linalg.norm(x, axis=1)[:, None] * norms
+                    like = np.where(scale > 1e-9, (x @ table.T) / np.maximum(scale, 1e-9), 0.0)
+                    place = like.argmax(axis=1)
+                    yield pd.DataFrame({"sample_id": part["sample_id"], "center_id": ids[place], "similarity": like[np.arange(len(part)), place]})
+
+        found = rows.mapInPandas(run, schema)
         best = found if best is None else best.unionByName(found)
-    return best.groupBy("sample_id").agg(F.max_by(F.struct("center_id", "similarity"), F.struct("similarity", -F.col("center_id"))).alias("b")).select("sample_id", "b.*") if blocks > 1 else best
+    if blocks == 1:
+        return best
+    return best.groupBy("sample_id").agg(F.max_by(F.struct("center_id", "similarity"), F.struct("similarity", -F.col("center_id"))).alias("b")).select("sample_id", "b.*")

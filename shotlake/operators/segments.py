@@ -160,7 +160,7 @@ def fold_segments(total: int, cuts: list[int], least: int, most: int, rounds: in
     return parts, used, True
 
 
-SEGMENTS = "stream long, index int, shot_id string, start_frame long, end_frame long, start_sec double, end_sec double, duration_sec double, below_min boolean, method string, split_iterations int, fallback boolean, detected_shot_count int"
+SEGMENTS = "index int, shot_id string, start_frame long, end_frame long, start_sec double, end_sec double, duration_sec double, below_min boolean, method string, split_iterations int, fallback boolean, detected_shot_count int"
 
 
 def built(df: DataFrame, min_sec: float = 1.0, max_sec: float = 15.0, rounds: int = 5) -> DataFrame:
@@ -192,6 +192,6 @@ def built(df: DataFrame, min_sec: float = 1.0, max_sec: float = 15.0, rounds: in
                     else:
                         method = DETECTED if a in known and b in known else "equal_split"
                     out.append((s.stream, i, f"shot_{i:04d}", a, b, a / fps, b / fps, (b - a) / fps, b - a < least, method, used, fallback, shots))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in SEGMENTS.split(", ")])
+            yield pd.DataFrame(out, columns=["stream", *(c.split()[0] for c in SEGMENTS.split(", "))])
 
-    return df.select("stream", "total", "fps", "cuts").mapInPandas(run, SEGMENTS)
+    return df.select("stream", "total", "fps", "cuts").mapInPandas(run, f"stream {dict(df.dtypes)['stream']}, {SEGMENTS}")

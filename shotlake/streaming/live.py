@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shotlake.operators import frames as FR
-from shotlake.operators.registry import Registry
+from shotlake.operators.registry import Registry, resolve
 
 
 def live_window_best(frames: DataFrame, width: str = "1 second", late: str = "10 seconds", rules: FR.QualityRules = FR.RULES) -> DataFrame:
@@ -40,3 +40,17 @@ def live_registry(samples: DataFrame, cam_threshold: float = 0.30, eres_threshol
 
     keyed = samples.select(F.lit(0).alias("all"), F.col("seq").cast("long"), F.col("video").cast("string"), F.col("cluster").cast("long"), "cam_emb", "eres_emb")
     return keyed.groupBy("all").applyInPandasWithState(run, "seq long, video string, cluster long, speaker_id string", "registry binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def live_resolved(samples: DataFrame, path: str, sink: str, cam_threshold: float = 0.30, eres_threshold: float = 0.55):
+    """A stream writer that resolves each micro-batch by the registry under path and appends (seq, video, cluster, speaker_id) to sink, by batch.
+
+    Speakers and what was seen are tables, not operator state, so they outlive
+    the query and are shared with batch runs.  A batch that is given again
+    replaces its own output and finds its samples seen.
+    """
+
+    def take(batch: DataFrame, number: int) -> None:
+        resolve(batch, path, cam_threshold, eres_threshold).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    return samples.writeStream.foreachBatch(take)

@@ -48,3 +48,60 @@ def test_registry_stream_equals_batch(spark, tmp_path):
     registry = Registry()
     order = [s for s, *_ in rows]
     assert got == {s: registry.match(c, e, v, k) for s, v, k, c, e in rows} and order == sorted(got)
+
+
+def samples_of(spark, n=40):
+    rng = np.random.default_rng(8)
+    people = rng.normal(size=(6, 8))
+    rows = [(i, f"v{i % 4}", i if i % 9 else None, (people[i % 6] + 0.3 * rng.normal(size=8)).tolist() if i != 7 else None, (people[i % 6][:4] + 0.2 * rng.normal(size=4)).tolist() if i % 2 else None) for i in range(n)]
+    return rows, "seq long, video string, cluster long, cam_emb array<double>, eres_emb array<double>"
+
+
+def test_registry_in_two_runs_equals_one_and_running_again_changes_nothing(spark, tmp_path):
+    from shotlake.operators import registry as R
+
+    rows, schema = samples_of(spark)
+    whole = {r.seq: r.speaker_id for r in R.matched(spark.createDataFrame(rows, schema)).collect()}
+    path, got = str(tmp_path / "registry"), {}
+    for part in (rows[:17], rows[17:]):
+        got |= {r.seq: r.speaker_id for r in R.resolve(spark.createDataFrame(part, schema).repartition(3), path).collect()}
+    assert got == whole and len(set(whole.values()) - {None}) > 2 and whole[7] is None
+    version, speakers, seen = R.load(spark, path)
+    before = sorted((r.speaker_id, r.samples, tuple(r.videos)) for r in speakers.collect())
+    named = [r for r in rows if r[2] is not None]
+    again = {r.seq: r.speaker_id for r in R.resolve(spark.createDataFrame(named, schema), path).collect()}
+    assert again == {s: whole[s] for s, *_ in named}
+    version_now, speakers, _ = R.load(spark, path)
+    assert (version, version_now) == (2, 3) and sorted((r.speaker_id, r.samples, tuple(r.videos)) for r in speakers.collect()) == before
+    assert R.resolve(spark.createDataFrame([], schema), path).count() == 0
+
+
+def test_registry_tables_follow_a_stream(spark, tmp_path):
+    from shotlake.operators import registry as R
+
+    rows, schema = samples_of(spark)
+    for n in range(2):
+        spark.createDataFrame(rows[20 * n : 20 * n + 20], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    source = spark.readStream.schema(spark.createDataFrame(rows, schema).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    q = live.live_resolved(source, str(tmp_path / "registry"), str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = {r.seq: r.speaker_id for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {r.seq: r.speaker_id for r in R.matched(spark.createDataFrame(rows, schema)).collect()}
+
+
+def test_nearest_center_in_blocks_equals_one_pass(spark):
+    from shotlake.operators import registry as R
+
+    rng = np.random.default_rng(3)
+    c = [(i, rng.normal(size=5).tolist()) for i in range(23)] + [(90, [0.0] * 5)]
+    x = [(i, rng.normal(size=5).tolist()) for i in range(40)] + [(91, [0.0] * 5)]
+    centers, samples = spark.createDataFrame(c, "center_id long, center array<double>"), spark.createDataFrame(x, "sample_id long, embedding array<double>")
+    cos = lambda a, b: float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))) if np.linalg.norm(a) * np.linalg.norm(b) > 1e-9 else 0.0
+    want = {i: max(((cos(a, b), -k) for k, b in c)) for i, a in x}
+    for most in (100_000, 7):
+        got = {r.sample_id: (r.similarity, -r.center_id) for r in R.nearest_center(samples, centers, most).collect()}
+        assert set(got) == set(want) and all(got[i][1] == want[i][1] and abs(got[i][0] - want[i][0]) < 1e-9 for i in want)
+    assert R.nearest_center(samples, centers.where("false")).count() == 0
