@@ -102,12 +102,12 @@ def test_every_pair_within_the_threshold_shares_a_key_that_neither_leaves_out():
                 assert set(left(s, order)) & set(left(r, order))
 
 
-@pytest.mark.parametrize("turns", [0, 1, 6])
+@pytest.mark.parametrize("turns", [0, 6])
 def test_jaccard_of_a_large_near_copy_group_of_long_texts(spark, turns):
     rng = random.Random(4)
     base = [f"w{rng.randrange(3000)}" for _ in range(3200)]
     rows = []
-    for i in range(160):
+    for i in range(120):
         text = list(base)
         for _ in range(rng.choice([5, 60, 90, 120, 170])):
             text[rng.randrange(len(text))] = f"v{rng.randrange(9000)}"
