@@ -62,6 +62,13 @@ def scored(df: DataFrame, rules: QualityRules = RULES) -> DataFrame:
     )
 
 
+def source_status(sources: DataFrame, quality: DataFrame, rules: QualityRules = RULES) -> DataFrame:
+    """stream_status for every stream of sources; one without a frame is invalid for no_frames."""
+    out = sources.select("stream").distinct().join(stream_status(quality, rules), "stream", "left")
+    none = F.col("frames").isNull()
+    return out.select("stream", F.coalesce("frames", F.lit(0)).alias("frames"), "bad_ratio", F.when(none, "invalid").otherwise(F.col("status")).alias("status"), F.when(none, "no_frames").otherwise(F.col("reason")).alias("reason"))
+
+
 def stream_status(quality: DataFrame, rules: QualityRules = RULES) -> DataFrame:
     """(stream, frames, bad_ratio, status, reason): whether a stream is usable and, if not, why."""
     out = quality.groupBy("stream").agg(F.count("*").alias("frames"), F.avg(F.col("bad").cast("int")).alias("bad_ratio"), *(F.every(c).alias(f"_{c}") for c in ("is_black", "is_white", "is_low_info")))

@@ -38,12 +38,20 @@ def conflict_pairs(records: DataFrame) -> DataFrame:
     return a.join(b, ["stream", "frame_index"]).where("a < b").select("stream", "a", "b").distinct()
 
 
+TILE = 1000  # tracks of a stream that one task compares with as many others
+
+
 def similar_pairs(features: DataFrame, conflicts: DataFrame, low: float) -> DataFrame:
-    """(stream, a, b, similarity), a < b: tracks of one stream with a cosine of at least low and no conflict."""
+    """(stream, a, b, similarity), a < b: tracks of one stream with a cosine of at least low and no conflict.
+
+    A stream with many tracks is compared tile by tile, so no task has all of its pairs.
+    """
     f = features.where("feature is not null").select("stream", "track_id", "feature")
-    a = f.select("stream", F.col("track_id").alias("a"), F.col("feature").alias("_x"))
-    b = f.select("stream", F.col("track_id").alias("b"), F.col("feature").alias("_y"))
-    pairs = a.join(b, "stream").where("a < b").select("stream", "a", "b", V.cosine("_x", "_y").alias("similarity")).where(F.col("similarity") >= low)
+    tiles = f.groupBy("stream").agg(F.ceil(F.count("*") / TILE).alias("_t"))
+    f = f.join(tiles, "stream").withColumn("_own", F.pmod(F.xxhash64("track_id"), F.col("_t"))).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_t") - 1)))
+    a = f.select("stream", F.col("_own").alias("_i"), F.col("_other").alias("_j"), F.col("track_id").alias("a"), F.col("feature").alias("_x"))
+    b = f.select("stream", F.col("_other").alias("_i"), F.col("_own").alias("_j"), F.col("track_id").alias("b"), F.col("feature").alias("_y"))
+    pairs = a.join(b, ["stream", "_i", "_j"]).where("a < b").select("stream", "a", "b", V.cosine("_x", "_y").alias("similarity")).where(F.col("similarity") >= low)
     return pairs.join(conflicts, ["stream", "a", "b"], "left_anti")
 
 
@@ -182,6 +190,46 @@ def person_metadata(df: DataFrame) -> DataFrame:
     return out.withColumn("person_id", F.format_string("person_%03d", F.row_number().over(order)))
 
 
+def unknown_tracks(records: DataFrame) -> DataFrame:
+    """(stream, track_id, name) of the tracks that no person has: track_0001 and on, by their first frame."""
+    seen = records.groupBy("stream", "track_id").agg(F.min("frame_index").alias("_first"), F.max("person").alias("_person")).where("_person is null")
+    order = Window.partitionBy("stream").orderBy("_first", "track_id")
+    return seen.select("stream", "track_id", F.format_string("track_%04d", F.row_number().over(order)).alias("name"))
+
+
+def fold_anchors(boxes: list[tuple], faces: list[tuple]) -> list[int]:
+    """Places of the faces (x, y, box to add) that lie in no box, each adding its own; one without a box adds nothing."""
+    held, out = list(boxes), []
+    for i, (x, y, box) in enumerate(faces):
+        if box is None or any(a <= x <= c and b <= y <= d for a, b, c, d in held):
+            continue
+        held.append(box)
+        out.append(i)
+    return out
+
+
+def anchored_faces(faces: DataFrame, boxes: DataFrame, width: float, height: float) -> DataFrame:
+    """(stream, frame_index, face_no, x1, y1, x2, y2): a person's box for each face (face_no, x1 .. y2) whose centre no box of its frame holds, by face_no.
+
+    A box that is added holds later faces, so this is a fold over the few faces of a frame.
+    """
+    face = F.struct(*(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")))
+    box = F.array("x1", "y1", "x2", "y2").cast("array<double>")
+    rows = faces.select("stream", "frame_index", F.col("face_no").cast("long"), box.alias("at"), G.person_box_from_face(face, F.lit(float(width)), F.lit(float(height))).alias("b"))
+    rows = rows.select("stream", "frame_index", "face_no", "at", F.when(F.col("b").isNotNull(), F.array("b.x1", "b.y1", "b.x2", "b.y2")).alias("person"))
+    rows = rows.unionByName(boxes.select("stream", "frame_index", F.lit(None).cast("long").alias("face_no"), box.alias("at"), F.lit(None).cast("array<double>").alias("person")))
+    stream = dict(rows.dtypes)["stream"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen = pdf[pdf.face_no.notna()].sort_values("face_no")
+        centers = [((a[0] + a[2]) / 2, (a[1] + a[3]) / 2, None if p is None else tuple(p)) for a, p in zip(seen["at"], seen["person"], strict=True)]
+        new = seen.iloc[fold_anchors([tuple(a) for a in pdf[pdf.face_no.isna()]["at"]], centers)]
+        out = pd.DataFrame({"stream": new.stream, "frame_index": new.frame_index, "face_no": new.face_no.astype("int64")})
+        return out.assign(**{c: [p[i] for p in new.person] for i, c in enumerate(("x1", "y1", "x2", "y2"))})
+
+    return rows.groupBy("stream", "frame_index").applyInPandas(run, f"stream {stream}, frame_index {dict(rows.dtypes)['frame_index']}, face_no long, x1 double, y1 double, x2 double, y2 double")
+
+
 def owners(faces: DataFrame, boxes: DataFrame, key: list[str]) -> DataFrame:
     """(key, face_no, box_no): the smallest box that holds a face's centre, the first on ties.
 

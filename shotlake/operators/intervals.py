@@ -117,6 +117,11 @@ def subtitles_of_shots(segments: DataFrame) -> DataFrame:
     return out.where("rel_end > rel_start")
 
 
+def shot_speakers(subtitles: DataFrame, key: list[str], speaker: str = "speaker") -> DataFrame:
+    """(key, speakers): the distinct known speakers of each shot, in order of name."""
+    return subtitles.groupBy(*key).agg(F.sort_array(F.collect_set(F.nullif(F.trim(F.col(speaker)), F.lit("")))).alias("speakers"))
+
+
 def kept_regions(df: DataFrame, min_sec: float = 0.6) -> DataFrame:
     return df.where((F.col("start_sec") >= 0) & (F.col("end_sec") > F.col("start_sec")) & (F.col("end_sec") - F.col("start_sec") >= min_sec))
 

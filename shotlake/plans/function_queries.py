@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from shotlake.functions import geometry as G
 from shotlake.functions import text as T
 from shotlake.functions import vectors as V
+from shotlake.operators import frames as FR
+from shotlake.operators import identity as ID
 from shotlake.operators import intervals as IV
 from shotlake.operators import registry as R
 from shotlake.operators import transcript as TR
@@ -175,7 +177,38 @@ def stems_of_jobs(spark, d):
     return MF.jobs_with_stems(jobs, stems, ["vocals"])
 
 
+def probe_documents(spark, d):
+    k = F.col("k")
+    json = F.when(k % 7 == 0, F.lit("{no json")).otherwise(F.concat(F.lit('{"streams": [{"codec_type": "audio"}, {"codec_type": "video", "avg_frame_rate": "30/1", "nb_frames": "'), F.when(k % 3 == 0, F.lit("N/A")).otherwise((k % 500).cast("string")), F.lit('", "width": '), k % 1920, F.lit(', "height": 10}], "format": {"duration": "'), (k % 90).cast("string"), F.lit('.5"}}')))
+    return MD.parsed_probes(_orders(spark, d).select(k.alias("stem"), json.alias("json")))
+
+
+def shot_speakers(spark, d):
+    """Speakers of spans of seventeen seconds, by when an utterance starts."""
+    u = A.utterances(spark, d).select("conv_id", F.floor(F.col("start_sec") / 17.0).alias("shot"), F.when(F.col("turn") % 5 == 0, " ").otherwise(F.col("speaker")).alias("speaker"))
+    return IV.shot_speakers(u, ["conv_id", "shot"]).withColumn("speakers", F.array_join("speakers", ","))
+
+
+def source_status(spark, d):
+    """Customers as sources: many have no frame."""
+    sources = A.table(spark, d, "customer").select(F.col("c_custkey").alias("stream"))
+    return FR.source_status(sources, A.quality(spark, d)).select("stream", "frames", "status", "reason")
+
+
+def unknown_track_names(spark, d):
+    r = A.records(spark, d)
+    return ID.unknown_tracks(r.withColumn("person", F.when(F.col("track_id") % 3 != 0, F.col("person"))))
+
+
+def anchored_faces(spark, d):
+    k = F.col("p_partkey")
+    p = A.table(spark, d, "part").select(F.col("p_brand").alias("stream"), (F.col("p_size") % 10).alias("frame_index"), k.alias("face_no"), (k * 37 % 900).alias("x1"), (k * 53 % 500).alias("y1"), (k * 37 % 900 + 3 + k % 17).alias("x2"), (k * 53 % 500 + 2 + k % 13).alias("y2"))
+    boxes = p.where("face_no % 4 = 0").select("stream", "frame_index", "x1", "y1", (F.col("x2") + 40).alias("x2"), (F.col("y2") + 60).alias("y2"))
+    return ID.anchored_faces(p.where("face_no % 4 <> 0"), boxes, 1000.0, 600.0)
+
+
 QUERIES = [
+    probe_documents, shot_speakers, source_status, unknown_track_names, anchored_faces,
     rate_parse, metadata_completion, image_similarity, vector_angle, cosine_of_unlike_sizes, unit_vectors, audio_level, audio_clips, person_boxes, croppable_boxes, spoken_regions, embeddable_faces, describable_shots,
     first_orders, prompt_labels, numbers_as_text, file_names, settings_names, speaker_labels, source_results, durations_and_cuts, cluster_audio, status_counts, stems_of_jobs,
 ]
@@ -185,6 +218,13 @@ _SUM = "list_sum(list_transform(generate_series(1, len({a})), lambda i: {f}))"
 _RATE = "coalesce(TRY_CAST(split_part({v}, '/', 1) AS DOUBLE) / nullif(CASE WHEN contains({v}, '/') THEN TRY_CAST(split_part({v}, '/', 2) AS DOUBLE) ELSE 1.0 END, 0), 0.0)"
 
 ORACLE_SQL = {
+    "probe_documents": """SELECT o_orderkey AS stem, CASE WHEN ok THEN '30/1' END AS rate, CASE WHEN ok AND o_orderkey % 3 <> 0 THEN o_orderkey % 500 END AS frame_count, CASE WHEN ok THEN o_orderkey % 90 + 0.5::DOUBLE END AS duration_sec,
+  CASE WHEN ok THEN o_orderkey % 1920 END AS width, CASE WHEN ok THEN 10 END AS height, CASE WHEN ok THEN true END AS has_audio FROM (SELECT o_orderkey, o_orderkey % 7 <> 0 AS ok FROM orders)""",
+    "shot_speakers": f"WITH {A.UTTER_SQL} SELECT conv_id, CAST(floor(start_sec / 17.0) AS BIGINT) AS shot, coalesce(array_to_string(list_sort(list_distinct(list(speaker) FILTER (WHERE turn % 5 <> 0))), ','), '') AS speakers FROM v_utter GROUP BY 1, 2",
+    "source_status": f"""WITH {A.QUALITY_SQL}, s AS (SELECT stream, count(*) AS frames, avg(CASE WHEN bad THEN 1 ELSE 0 END) > 0.9 AS inv, bool_and(is_black) AS b, bool_and(is_white) AS w, bool_and(is_low_info) AS l FROM v_quality GROUP BY stream)
+  SELECT c_custkey AS stream, coalesce(frames, 0) AS frames, CASE WHEN frames IS NULL OR inv THEN 'invalid' ELSE 'ok' END AS status,
+    CASE WHEN frames IS NULL THEN 'no_frames' WHEN inv THEN CASE WHEN b THEN 'all_frames_black' WHEN w THEN 'all_frames_white' WHEN l THEN 'all_frames_low_info' ELSE 'invalid_quality' END END AS reason FROM (SELECT DISTINCT c_custkey FROM customer) LEFT JOIN s ON stream = c_custkey""",
+    "unknown_track_names": f"WITH {A.RECORDS_SQL}, t AS (SELECT stream, track_id, min(frame_index) AS f FROM v_records WHERE track_id % 3 = 0 GROUP BY 1, 2) SELECT stream, track_id, 'track_' || lpad(CAST(row_number() OVER (PARTITION BY stream ORDER BY f, track_id) AS VARCHAR), 4, '0') AS name FROM t",
     "rate_parse": f"WITH v AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN {_picked_sql('(o_orderkey // 5)', _RATES)} ELSE o_orderkey || '/' || o_orderkey % 1002 END AS v FROM orders) SELECT o_orderkey, {_RATE.format(v='v')} AS rate FROM v",
     "metadata_completion": f"""WITH v AS (SELECT o_orderkey, {_picked_sql('o_orderkey', ['30000/1001', '0/0', None, '25'])} AS v, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 900 END AS f, CASE WHEN o_orderkey % 4 <> 0 THEN (o_orderkey % 700) / 8.0::DOUBLE END AS t FROM orders),
   r AS (SELECT *, CASE WHEN {_RATE.format(v='v')} > 0 THEN {_RATE.format(v='v')} ELSE 25.0 END AS fps FROM v), n AS (SELECT *, CASE WHEN f > 0 THEN f ELSE CAST(round_even(coalesce(t, 0) * fps, 0) AS BIGINT) END AS frame_count FROM r)

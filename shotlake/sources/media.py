@@ -56,6 +56,20 @@ def completed_metadata(probes: DataFrame) -> DataFrame:
     return out.withColumn("frame_count", frames).withColumn("duration_sec", F.when(F.col("duration_sec") > 0, F.col("duration_sec")).otherwise(F.col("frame_count") / F.col("fps")))
 
 
+PROBE = "streams array<struct<codec_type:string,avg_frame_rate:string,nb_frames:string,duration:string,width:int,height:int>>, format struct<duration:string>"
+
+
+def parsed_probes(probes: DataFrame) -> DataFrame:
+    """(stem, rate, frame_count, duration_sec, width, height, has_audio) of probe documents (stem, json): the first video stream's; null where there is none or the document does not parse."""
+    doc = probes.select("stem", F.from_json("json", PROBE).alias("d"))
+    of = lambda kind: F.filter(F.coalesce("d.streams", F.array().cast(doc.select("d.streams").dtypes[0][1])), lambda s: s["codec_type"] == kind)
+    video = F.get(of("video"), F.lit(0))
+    return doc.select(
+        "stem", video["avg_frame_rate"].alias("rate"), video["nb_frames"].try_cast("long").alias("frame_count"), F.coalesce(video["duration"].try_cast("double"), F.col("d.format.duration").try_cast("double")).alias("duration_sec"),
+        video["width"].alias("width"), video["height"].alias("height"), F.when(F.col("d.streams").isNotNull(), F.size(of("audio")) > 0).alias("has_audio"),
+    )
+
+
 def audible(df: DataFrame) -> DataFrame:
     """Sources not known to be silent: has_audio is true, false or null."""
     return df.where(~F.col("has_audio").eqNullSafe(F.lit(False)))
