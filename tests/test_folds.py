@@ -130,3 +130,17 @@ def test_registry_merges_like_voices_once_for_each_sample():
     assert r.match(None) is None
     assert r.match([0.9, 0.1], None, "v3", 0) == "speaker_1"  # without the second print the first decides
     assert np.isclose(np.linalg.norm(r.speakers["speaker_1"]["cam"]), 1)
+
+
+def test_anchors_equal_a_plain_restatement():
+    rng = random.Random(21)
+    for _ in range(300):
+        boxes = [(x, y, x + rng.randrange(1, 30), y + rng.randrange(1, 30)) for x, y in ((rng.randrange(60), rng.randrange(60)) for _ in range(rng.randrange(4)))]
+        faces = [(rng.randrange(80), rng.randrange(80), None if rng.random() < 0.2 else (x := rng.randrange(60), y := rng.randrange(60), x + 25, y + 25)) for _ in range(rng.randrange(8))]
+        held, want = [*boxes], []
+        for i, (x, y, box) in enumerate(faces):
+            inside = [b for b in held if b[0] <= x <= b[2] and b[1] <= y <= b[3]]
+            if not inside and box:
+                want.append(i)
+                held.append(box)
+        assert ID.fold_anchors(boxes, faces) == want
