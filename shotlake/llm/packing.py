@@ -142,7 +142,7 @@ def pack(pieces: DataFrame, capacity: int, key: list[str]) -> DataFrame:
     """
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     shared = pieces.sparkSession.sparkContext.broadcast(plan(histogram, capacity).arrays())
-    salts = F.array(*(F.lit(-(-histogram.get(n, 1) // SALTED)).cast("long") for n in range(1, capacity + 1)))
+    salts = F.expr(f"array({', '.join(f'{-(-histogram.get(n, 1) // SALTED)}L' for n in range(1, capacity + 1))})")  # one literal
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*key), F.element_at(salts, F.col("length").cast("int"))))
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = counts.select(F.col("length").alias("_length"), F.col("_salt").alias("_of"), (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
