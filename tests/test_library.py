@@ -153,7 +153,7 @@ def test_stage_graph(spark):
         return df
 
     out = stages.run({"frames": frames, "streams": streams}, {"persons": {"enabled": False}}, materialize)
-    assert made == ["segments", "quality", "ranges", "storyboard"]
+    assert made == ["cuts", "segments", "quality", "ranges", "storyboard"]
     assert out["storyboard"].groupBy("stream").count().where("count <> 9").count() == 0
     assert out["segments"].where("not below_min and (duration_sec > 15.000001 or duration_sec < 0.999999)").count() == 0
 
