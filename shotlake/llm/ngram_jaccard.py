@@ -25,6 +25,12 @@ links found join components.  Turns go on, with other hubs, while the number of
 pairs that are still apart falls; then these pairs are compared if their
 sketches allow a link.  So a group of near copies costs a few comparisons for
 each member, not all pairs, and no link that could join two components is missed.
+
+A sketch has a bit for the parity of each bin of the universe, so two sets
+differ in at least as many members as their sketches in bits.  Pairs are first
+sifted by sketches of 512 bits, then those of larger sets by sketches of two to four
+bits a member, which leave only pairs near the threshold; their texts are fetched
+and compared exactly.
 """
 
 from __future__ import annotations
@@ -50,6 +56,7 @@ TILE = 512  # nodes of a key that one task compares with as many others
 STAR = 256  # nodes that are compared with one copy of a hub's text
 SEEN = 1 << 18  # nodes that a task remembers, so as to send each once
 PARITY = [f"p{i}" for i in range(8)]
+SHORT = 32 * len(PARITY)  # members of a set for which these bits are two a member
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -155,26 +162,37 @@ def keys_of(s: np.ndarray, table: tuple[Band, ...], lows: np.ndarray) -> tuple[n
     return np.concatenate(keys), np.concatenate(band_of).astype(np.int32), np.concatenate(spare).astype(np.int32)
 
 
-def _nodes(n: int):
-    """(id, n_shingles, node) of each row (id, text), and where its node is new to the task its text, packed, and parity bits.
+def parities(s: np.ndarray, bins: int) -> np.ndarray:
+    """Bit i tells whether an odd number of members falls in bin i; as 64-bit numbers.
 
-    Bit i tells whether an odd number of members falls in bin i, so two sets differ in at least as many members as bits.
+    bins is a power of two, and halving it folds the upper half onto the lower.
     """
+    odd = np.bincount((mix(s) & U64(bins - 1)).astype(np.int64), minlength=bins) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def wide(s: np.ndarray) -> np.ndarray | None:
+    """Parities of a larger set at two to four bits a member; None for a set for which PARITY has so many."""
+    return parities(s, 1 << int(2 * len(s) - 1).bit_length()) if len(s) > SHORT else None
+
+
+def _nodes(n: int):
+    """(id, n_shingles, node) of each row (id, text), and where its node is new to the task its text, packed, and parity bits."""
 
     def run(batches):
         press, seen = zstandard.ZstdCompressor(level=1), set()
         for b in slices(batches, "text"):
             sets = list(shingle_sets(b.column(1), n))
             nodes = [node_of(s) if len(s) else None for s in sets]
-            new, bits = np.zeros(len(sets), bool), np.zeros((len(sets), 64 * len(PARITY)), np.uint8)
+            new, bits, wider = np.zeros(len(sets), bool), np.zeros((len(sets), len(PARITY)), np.int64), [None] * len(sets)
             for i, (node, s) in enumerate(zip(nodes, sets, strict=True)):
                 if node is not None and node not in seen:
                     seen.add(node)
                     new[i] = True
-                    bits[i] = np.bincount((mix(s) >> U64(55)).astype(np.int64), minlength=bits.shape[1]) & 1
+                    bits[i], wider[i] = parities(s, 64 * len(PARITY)), wide(s)
             packed = [press.compress(x.as_buffer()) if one else None for x, one in zip(b.column(1).cast(pa.binary()), new, strict=True)]
-            parity = [pa.array(np.ascontiguousarray(p), mask=~new) for p in np.packbits(bits, axis=1).view(np.int64).T]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(packed, pa.binary()), *parity], ["id", "n_shingles", "node", "packed", *PARITY])
+            parity = [pa.array(np.ascontiguousarray(p), mask=~new) for p in bits.T]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(packed, pa.binary()), *parity, pa.array(wider, pa.list_(pa.int64()))], ["id", "n_shingles", "node", "packed", *PARITY, "wide"])
             if len(seen) > SEEN:
                 seen.clear()
 
@@ -254,24 +272,39 @@ def _tiled(at: DataFrame, hubs: DataFrame, sketch: DataFrame) -> DataFrame:
     many, so there keys with the same largest component are one bucket, if
     that has no more pairs than its keys have.
     """
-    met = at.join(hubs.select("key", "of", "n"), "key")
+    met = at.join(hubs.select("key", "of"), "key")
     width = met.select("of", "node").distinct().groupBy("of").agg(F.count("*").alias("width"))
     pairs = hubs.groupBy("of").agg(F.sum((F.col("n") * F.col("n") - F.col("joined")) / 2).alias("pairs"))
-    dense = width.join(pairs, "of").select("of", F.when(F.col("width") * F.col("width") / 2 <= F.col("pairs"), F.col("width")).alias("width"))
-    met = met.join(dense, "of")
+    # The width is attached to keys, which are far fewer than the nodes that meet in them; it is written first, so that Spark can split a component of many keys.
+    dense = kept(width.join(pairs, "of").where("width * width / 2 <= pairs").select("of", "width"), "jaccard-widths")
+    met = at.join(hubs.select("key", "of", "n").join(dense, "of", "left"), "key")
     bucket = F.when(F.col("width").isNotNull(), F.xxhash64(F.lit("of"), "of")).otherwise(F.xxhash64(F.lit("key"), "key"))
     tiles = F.ceil(F.coalesce("width", "n") / TILE)
     met = met.select(bucket.alias("bucket"), "node", "component", tiles.alias("tiles")).distinct().join(sketch, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")))
-    return met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    met = kept(met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))), "jaccard-tiles")
+    discard(dense)
+    return met
 
 
 def _components(buckets: DataFrame, held: DataFrame, n: int, numerator: int, denominator: int, most_turns: int) -> DataFrame:
     """(node, component) for the nodes of buckets."""
-    sketch = held.drop("packed")
+    sketch, wider = held.drop("packed", "wide"), held.where("wide is not null").select("node", "wide", "size")
 
     # Sketches of two nodes that link differ in no more bits than their sets may differ in members; so no link is lost here.
     differ = sum(F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITY)
-    fits = (differ * (denominator + numerator) <= (denominator - numerator) * (F.col("size_a") + F.col("size_b"))) & (F.least("size_a", "size_b") * denominator >= numerator * F.greatest("size_a", "size_b"))
+    may_link = lambda differ: differ * (denominator + numerator) <= (denominator - numerator) * (F.col("size_a") + F.col("size_b"))
+    fits = may_link(differ) & (F.least("size_a", "size_b") * denominator >= numerator * F.greatest("size_a", "size_b"))
+    large = (F.least("size_a", "size_b") > SHORT).alias("large")
+
+    def sifted(pairs: DataFrame) -> DataFrame:
+        """The pairs (hub, node, large) that also the wide sketches of large sets allow to link, as (hub, node)."""
+        half = lambda w: F.shiftright(F.size(w), 1)
+        halved = lambda w: F.zip_with(F.slice(w, F.lit(1), half(w)), F.slice(w, half(w) + 1, half(w)), lambda x, y: x.bitwiseXOR(y))
+        a, b = (F.when(F.size(x) > F.size(y), halved(F.col(x))).otherwise(F.col(x)) for x, y in (("wide_a", "wide_b"), ("wide_b", "wide_a")))
+        apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        side = lambda c: wider.select(F.col("node").alias(c[0]), F.col("wide").alias(f"wide_{c[1]}"), F.col("size").alias(f"size_{c[1]}"))
+        both = pairs.where("large").select("hub", "node").join(side(("hub", "a")), "hub").join(side(("node", "b")), "node")
+        return pairs.where("not large").select("hub", "node").union(both.where(F.coalesce(may_link(apart), F.lit(True))).select("hub", "node"))  # null: more than one doubling apart, at thresholds below a half
 
     def sided(df: DataFrame, side: str, *columns: str) -> DataFrame:
         return df.select(*(F.col(c).alias(f"{c}_{side}") for c in ("node", *columns, "size", *PARITY)))
@@ -294,15 +327,17 @@ def _components(buckets: DataFrame, held: DataFrame, n: int, numerator: int, den
             tiled = _tiled(at, hubs, sketch)
             x, y = sided(tiled, "a", "bucket", "component", "own", "other"), sided(tiled, "b", "bucket", "component", "own", "other")
             here = (F.col("bucket_a") == F.col("bucket_b")) & (F.col("own_a") == F.col("other_b")) & (F.col("other_a") == F.col("own_b"))
-            pairs = x.join(y, here & (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & fits).select(F.col("node_a").alias("hub"), F.col("node_b").alias("node")).distinct()
+            pairs = x.join(y, here & (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & fits).select(F.col("node_a").alias("hub"), F.col("node_b").alias("node"), large).distinct()
         else:
             pairs = at.join(hubs, "key").where("component <> of").groupBy("node", "hub").count()
             if turn == 0:  # the hub with which a node shares most keys
                 pairs = pairs.groupBy("node").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
-            pairs = pairs.join(sided(sketch, "a"), F.col("node") == F.col("node_a")).join(sided(sketch, "b"), (F.col("hub") == F.col("node_b")) & fits).select("hub", "node")
+            pairs = pairs.join(sided(sketch, "a"), F.col("node") == F.col("node_a")).join(sided(sketch, "b"), (F.col("hub") == F.col("node_b")) & fits).select("hub", "node", large)
         for past in checked:
             pairs = pairs.join(past.select(F.least("hub", "node").alias("x"), F.greatest("hub", "node").alias("y")), (F.least("hub", "node") == F.col("x")) & (F.greatest("hub", "node") == F.col("y")), "left_anti")
-        pairs = kept(pairs, "jaccard-pairs")
+        met = kept(pairs, "jaccard-met")
+        pairs = kept(sifted(met), "jaccard-pairs")
+        discard(met, *([tiled] if last else []))
         stars = F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / STAR)).alias("star")
         starred = pairs.join(pairs.groupBy("hub").count(), "hub").select("hub", "node", stars)
         checked.append(kept(_verified(starred, held, n, numerator, denominator), "jaccard-links"))
@@ -333,11 +368,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     modest_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     buckets = _buckets(docs, n, numerator, denominator)
-    table = kept(docs.mapInArrow(_nodes(n), f"id long, n_shingles long, node long, packed binary, {', '.join(f'{p} long' for p in PARITY)}"), "jaccard-nodes")
+    table = kept(docs.mapInArrow(_nodes(n), f"id long, n_shingles long, node long, packed binary, {', '.join(f'{p} long' for p in PARITY)}, wide array<long>"), "jaccard-nodes")
 
     # One text for each node that has to be compared.
     held = table.where("packed is not null").join(buckets.select("node").distinct(), "node", "left_semi")
-    held = kept(held.select("node", "packed", F.col("n_shingles").alias("size"), *PARITY).dropDuplicates(["node"]), "jaccard-texts")
+    held = kept(held.select("node", "packed", F.col("n_shingles").alias("size"), *PARITY, "wide").dropDuplicates(["node"]), "jaccard-texts")
     named = _components(buckets, held, n, numerator, denominator, most_turns)
 
     # Ids are gathered by node, then by component, and only then met with the rows; each step adds up before it shuffles.

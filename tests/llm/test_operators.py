@@ -681,3 +681,48 @@ def test_contamination_recall_and_precision(spark, odd, empty):
     assert decontaminate.contaminated(odd, bench).count() == 0
     assert decontaminate.contaminated(odd, odd.select(F.col("doc_id").alias("item_id"), "text").where("doc_id = 1")).count() == 3
     assert decontaminate.contaminated(empty, bench).count() == 0 == decontaminate.contaminated(odd, bench.where("false")).count()
+
+
+@pytest.mark.parametrize("size", [420, 1000, 6000])
+def test_sketches_never_part_linked_sets_and_part_most_that_are_clearly_unlike(size):
+    rng = np.random.default_rng(size)
+    unlike = 0
+    for _ in range(60):
+        s = np.unique(rng.integers(0, 2**63, size).astype(U64))
+        r = np.concatenate([s[rng.random(len(s)) > rng.choice([0.01, 0.08, 0.3])], rng.integers(0, 2**63, int(size * rng.choice([0.0, 0.02, 0.05]))).astype(U64)])
+        r = np.unique(r)
+        a, b = ngram_jaccard.wide(s), ngram_jaccard.wide(r)
+        if a is None or b is None:
+            continue
+        if len(a) > len(b):
+            a = a[: len(b)] ^ a[len(b) :]
+        elif len(b) > len(a):
+            b = b[: len(a)] ^ b[len(a) :]
+        apart, differ = int(np.bitwise_count((a ^ b).view(U64)).sum()), len(np.setxor1d(s, r))
+        assert apart <= differ
+        if 100 * len(np.intersect1d(s, r)) < 75 * len(np.union1d(s, r)):
+            unlike += apart * 185 > 15 * (len(s) + len(r))
+    assert unlike >= 12
+
+
+def test_unlinked_copies_of_a_long_text_are_not_verified_pair_by_pair(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(90_000)}" for _ in range(6000)]
+    rows = []
+    for i in range(250):
+        text = list(base)
+        for k in rng.sample(range(6000), 275):  # about 0.69 alike
+            text[k] = f"v{i}x{k}"
+        rows.append((i, " ".join(text)))
+    rows.append((1000, rows[7][1] + " end"))
+    verified, plain = [], ngram_jaccard._verified
+
+    def counted(pairs, *rest):
+        verified.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(ngram_jaccard, "_verified", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.id: r.component_id for r in ngram_jaccard.jaccard_components(df, n=4, numerator=85).collect()}
+    assert got == {i: 7 if i == 1000 else i for i, _ in rows}
+    assert sum(verified) < 1000
