@@ -99,16 +99,17 @@ def fit_centres(unit: np.ndarray, lists: int, rounds: int = 8, seed: int = 7) ->
 def probes_for(unit: np.ndarray, centres: np.ndarray, k: int, recall: float) -> int:
     """How many of the nearest lists hold the share `recall` of the k true neighbours of sample vectors within the sample."""
     unit = unit.astype(np.float32)
-    asked = np.linspace(0, len(unit) - 1, min(256, len(unit))).astype(int)
     own = np.concatenate([(unit[i : i + 4096] @ centres.T).argmax(1) for i in range(0, len(unit), 4096)])
-    rank = np.argsort(np.argsort(-(unit[asked] @ centres.T), axis=1, kind="stable"), axis=1)
-    near = unit[asked] @ unit.T
-    near[np.arange(len(asked)), asked] = -np.inf
-    k = min(k, len(unit) - 1)
+    k, needed = min(k, len(unit) - 1), []
     if not k:
         return 1
-    found = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    needed = np.sort(rank[np.arange(len(asked))[:, None], own[found]].ravel())
+    for asked in np.array_split(np.linspace(0, len(unit) - 1, min(1024, len(unit))).astype(int), 16):
+        rank = np.argsort(np.argsort(-(unit[asked] @ centres.T), axis=1, kind="stable"), axis=1)
+        near = unit[asked] @ unit.T
+        near[np.arange(len(asked)), asked] = -np.inf
+        found = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        needed.append(rank[np.arange(len(asked))[:, None], own[found]].ravel())
+    needed = np.sort(np.concatenate(needed))
     return int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)))]) + 1
 
 
@@ -214,7 +215,7 @@ def _scanning(index: Index, k: int):
     return run
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.98, alpha: float = 1e-5, sample: int = 32768) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.99, alpha: float = 1e-5, sample: int = 32768) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows found nearest to each query by cosine, all if there are fewer.
 
     Ties go to the smaller id.  A query does not meet rows of its own id.  Rows

@@ -263,7 +263,7 @@ def test_distinct_words_are_verified_where_hashes_meet():
 
 
 def test_exact_products_of_large_numbers_do_not_pass_a_long(spark):
-    big = float(1 << 20)
+    big = float(1 << 19)
     df = spark.createDataFrame([(0, [big] * 64, 0), (1, [big] * 64, 0), (2, [big * 0.75] * 64, 1), (3, [1e30] * 64, 1)], "vec_id long, embedding array<double>, label int")
     rows = hard_negatives.whole_numbers(df)
     got = hard_negatives.hard_negatives(rows, rows.where("id % 50 = 0")).collect()
