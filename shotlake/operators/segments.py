@@ -42,13 +42,17 @@ def _min_frames(min_scene_sec: float, fps: Column) -> Column:
     return F.greatest(F.lit(1), F.bround(F.lit(float(min_scene_sec)) * fps)).cast("long")
 
 
-def cut_list(frames: DataFrame, fps: float = 25.0, level: str = "medium", min_scene_sec: float = 0.5) -> DataFrame:
+def cut_list(frames: DataFrame, fps: float | DataFrame = 25.0, level: str = "medium", min_scene_sec: float = 0.5) -> DataFrame:
     """(stream, total, fps, cuts) of frames (stream, frame_index, luma_mean): ascending cuts, with 0 and total.
 
-    A scene is at least min_scene_sec long, so a cut counts only that far behind the one before.
+    A scene is at least min_scene_sec long, so a cut counts only that far behind
+    the one before.  fps is one rate for all streams, or a table (stream, fps);
+    a rate that is not known, or not over zero, counts as 25.
     """
     scores = FR.cut_scores(frames, sensitivity(level))
-    rows = scores.groupBy("stream").agg((F.max("frame_index") + 1).alias("total"), F.lit(float(fps)).alias("fps"), F.array_sort(F.collect_list(F.when(F.col("is_cut"), F.col("frame_index")))).alias("_c"))
+    rows = scores.groupBy("stream").agg((F.max("frame_index") + 1).alias("total"), F.array_sort(F.collect_list(F.when(F.col("is_cut"), F.col("frame_index")))).alias("_c"))
+    rows = rows.join(fps.select("stream", "fps"), "stream", "left") if isinstance(fps, DataFrame) else rows.withColumn("fps", F.lit(float(fps)))
+    rows = rows.withColumn("fps", F.when(F.col("fps") > 0, F.col("fps").cast("double")).otherwise(25.0))
     inside = spaced(F.col("_c"), F.lit(0).cast("long"), _min_frames(min_scene_sec, F.col("fps")))
     return rows.select("stream", "total", "fps", F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("long"), F.col("total")), inside))).alias("cuts"))
 

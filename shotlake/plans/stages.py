@@ -51,7 +51,7 @@ def _cuts(r: Relations, cfg: dict) -> DataFrame:
     s, streams = cfg["segmentation"], r["streams"]
     if "cuts" in streams.columns or "frames" not in r:
         return streams.select("stream", "total", "fps", "cuts")
-    found = SG.cut_list(r["frames"], 25.0, s["sensitivity"], s["min_scene_len_sec"]).select("stream", "cuts")
+    found = SG.cut_list(r["frames"], streams, s["sensitivity"], s["min_scene_len_sec"]).select("stream", "cuts")
     return streams.select("stream", "total", "fps").join(found, "stream", "left")
 
 

@@ -5,11 +5,11 @@ A raw video is
     b"RAWV1\n" | one line of JSON: width, height, channels, fps, frames | frames, one after the other
 
 so a frame lies at a known place.  Data source "raw_frames" reads the files of a
-folder as rows (stream, frame_index, height, width, channels, fps, data).  A
-reading task takes a run of `split` frames of one file; comparisons of
-frame_index and equalities of stream are pushed down, so frames that are not
-wanted are never read.  With gray=true and longside=n frames come as luma,
-area-averaged to a long side of at most n.
+folder as rows (stream, frame_index, height, width, channels, fps, data).  The
+driver lists files and opens none; a reading task takes the frames that begin within
+`split` bytes of one file, whose header it reads.  Filters of stream and
+frame_index are pushed down, so frames that are not wanted are never read.  With
+gray=true and longside=n frames come as luma, area-averaged to a long side of at most n.
 """
 
 from __future__ import annotations
@@ -21,11 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, In, InputPartition
 
+from shotlake.sources.filters import all_hold, column_of, span
 from shotlake.sources.media import shrunk, to_gray
 
 MAGIC = b"RAWV1\n"
+SPLIT = 64 << 20  # bytes
 SCHEMA = "stream string, frame_index long, height int, width int, channels int, fps double, data binary"
 ARROW = pa.schema([("stream", pa.string()), ("frame_index", pa.int64()), ("height", pa.int32()), ("width", pa.int32()), ("channels", pa.int32()), ("fps", pa.float64()), ("data", pa.binary())])
 
@@ -56,7 +58,7 @@ def read_header(file) -> tuple[dict, int]:
 class Run(InputPartition):
     uri: str
     stream: str
-    first: int
+    first: int  # bytes of the file
     last: int
 
     def __post_init__(self):
@@ -65,46 +67,34 @@ class Run(InputPartition):
 
 class RawFramesReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.split = options["path"].rstrip("/"), int(options.get("split", 256))
+        self.path, self.split = options["path"].rstrip("/"), int(options.get("split", SPLIT))
         self.gray, self.long_side = options.get("gray", "false").lower() == "true", int(options.get("longside", 0))
-        self.low, self.high, self.some, self.streams = 0, None, None, None
+        self.tests: dict[str, list] = {"stream": [], "frame_index": []}
 
     def pushFilters(self, filters):
         for f in filters:
-            kind, value = type(f), getattr(f, "value", None)
-            if f.attribute in (("stream",), ("frame_index",)) and kind is IsNotNull:
-                continue  # they never are
-            if f.attribute == ("stream",) and kind in (EqualTo, In):
-                named = {value} if kind is EqualTo else set(value)
-                self.streams = named if self.streams is None else self.streams & named
-            elif f.attribute == ("frame_index",) and kind in (EqualTo, In):
-                named = {value} if kind is EqualTo else set(value)
-                self.some = named if self.some is None else self.some & named
-            elif f.attribute == ("frame_index",) and kind in (GreaterThan, GreaterThanOrEqual):
-                self.low = max(self.low, value + (kind is GreaterThan))
-            elif f.attribute == ("frame_index",) and kind in (LessThan, LessThanOrEqual):
-                most = value + (kind is LessThanOrEqual)
-                self.high = most if self.high is None else min(self.high, most)
+            if column_of(f) in self.tests:
+                self.tests[column_of(f)].append(f)
             else:
                 yield f
 
     def wanted(self, first: int, last: int) -> list[int]:
         """The frames of [first, last) that the filters let through."""
-        lo, hi = max(first, self.low), last if self.high is None else min(last, self.high)
-        return [i for i in range(lo, hi) if self.some is None or i in self.some]
+        tests, some = self.tests["frame_index"], None
+        for f in tests:
+            low, high = span(f)
+            first, last = max(first, first if low is None else low), min(last, last if high is None else high + 1)
+            if type(f) is In:  # a short list is gone through instead of the frames between its ends
+                some = {v for v in f.value if v is not None} if some is None else some.intersection(f.value)
+        return [i for i in (range(first, last) if some is None else sorted(some)) if first <= i < last and all_hold(tests, i)]
 
     def partitions(self):
         fs, path = _open(self.path)
         out = []
         for info in sorted(fs.get_file_info(pafs.FileSelector(path)), key=lambda x: x.base_name):
             stream = info.base_name.removesuffix(".rawv")
-            if info.base_name.endswith(".rawv") and (self.streams is None or stream in self.streams):
-                with fs.open_input_file(info.path) as file:
-                    head, _ = read_header(file)
-                for first in range(0, head["frames"], self.split):
-                    last = min(head["frames"], first + self.split)
-                    if self.wanted(first, last):
-                        out.append(Run(f"{self.path}/{info.base_name}", stream, first, last))
+            if info.base_name.endswith(".rawv") and all_hold(self.tests["stream"], stream):
+                out += [Run(f"{self.path}/{info.base_name}", stream, at, at + self.split) for at in range(0, max(1, info.size), self.split)]
         return out
 
     def read(self, partition):
@@ -115,7 +105,8 @@ class RawFramesReader(DataSourceReader):
             head, begin = read_header(file)
             h, w, c = head["height"], head["width"], head["channels"]
             rows, held, size = [], 0, h * w * c
-            for i in self.wanted(partition.first, partition.last):
+            since = lambda at: max(0, -(-(at - begin) // max(1, size)))  # noqa: E731  the first frame that begins at a place or later
+            for i in self.wanted(since(partition.first), min(head["frames"], since(partition.last))):
                 file.seek(begin + i * size)
                 data = file.read(size)
                 if len(data) < size:
@@ -146,7 +137,7 @@ class RawFrames(DataSource):
         return RawFramesReader(self.options)
 
 
-def read_raw_frames(spark: SparkSession, folder: str, gray: bool = False, long_side: int = 0, split: int = 256) -> DataFrame:
+def read_raw_frames(spark: SparkSession, folder: str, gray: bool = False, long_side: int = 0, split: int = SPLIT) -> DataFrame:
     """The frames of all raw videos in folder; a file's name without .rawv is its stream."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RawFrames)

@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from shotlake import config
@@ -10,6 +11,7 @@ from shotlake.functions import geometry as G
 from shotlake.functions import text as T
 from shotlake.functions import vectors as V
 from shotlake.operators import identity as ID
+from shotlake.operators import segments as SG
 from shotlake.plans import adapters as A
 from shotlake.plans import stages
 from shotlake.sources import manifests as MF
@@ -63,6 +65,42 @@ def test_text_rules(spark):
     assert list(r)[9:] == ["01:01:01,002", "b_c", "video", "unknown", "x.srt", "s.srt", "data:image/png;base64,YWI=", "2.34"]
 
 
+def test_sentences_of_a_text_that_holds_the_mark(spark):
+    m = "\ufdd0"
+    texts = [f"One{m} two. Three{m}0{m}1 four!", f"{m}. {m}", f"a.{m} b.", m * 3, f"x{m}1. y{m}", "plain. text", ""]
+
+    def plain(text):
+        out, now, i = [], "", 0
+        while i < len(text):
+            now += text[i]
+            ends = text[i] in T.SENTENCE_END + "\n" or (text[i] == "." and (i + 1 == len(text) or text[i + 1].isspace() or text[i + 1] in "\"'”’)]}】》"))
+            i += 1
+            if ends:
+                while i < len(text) and text[i] in "\"'”’)]}】》":
+                    now, i = now + text[i], i + 1
+                out, now = [*out, now], ""
+        return [s for s in [*out, now] if s.strip()]
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r[0] for r in df.orderBy("i").select(T.sentences(F.col("t"))).collect()] == [plain(t) for t in texts]
+
+
+@pytest.mark.parametrize("rate", [24.0, 25.0, 60.0])
+def test_the_least_scene_length_follows_the_rate_of_the_stream(spark, rate):
+    rng = np.random.default_rng(3)
+    luma = np.repeat(rng.permutation(40) * 6.0, 16)  # a new level every 16 frames
+    frames = spark.createDataFrame([(s, i, float(x), 50.0, 9.0) for s in ("a", "b") for i, x in enumerate(luma)], "stream string, frame_index long, luma_mean double, luma_std double, sharpness double")
+    streams = spark.createDataFrame([("a", len(luma), rate), ("b", len(luma), None)], "stream string, total long, fps double")
+    out = stages.run({"frames": frames, "streams": streams}, {"persons": {"enabled": False}})["cuts"].collect()
+    for r in out:
+        fps = rate if r.stream == "a" else 25.0
+        gaps = np.diff(r.cuts[:-1])
+        least = max(1, round(0.5 * fps))
+        assert len(gaps) > 5 and gaps.min() >= least and gaps.min() < least + 16
+    cuts = {r.stream: r.cuts for r in SG.cut_list(frames, streams.where("stream = 'a'")).collect()}
+    assert cuts == {"a": next(r.cuts for r in out if r.stream == "a"), "b": next(r.cuts for r in SG.cut_list(frames, 25.0).collect() if r.stream == "b")}
+
+
 def test_natural_order(spark):
     names = ["clip10.mp4", "clip2.mp4", "Clip1.mp4"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
