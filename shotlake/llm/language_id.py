@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from shotlake.llm._store import modest_batches
 from shotlake.llm._text import slices, utf8
@@ -186,22 +187,26 @@ def phrases(model: Model, column: pa.Array, block: int) -> np.ndarray:
     return out
 
 
-def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample_bytes: int, row_chars: int) -> dict[str, bytes]:
-    """At most sample_bytes of labelled text for each language, from rows drawn by a hash of their id and text; equal beginnings count once.
+def sample(df: DataFrame, text_col: str, lang_col: str, sample_bytes: int, row_chars: int) -> dict[str, bytes]:
+    """At most sample_bytes of labelled text for each language: distinct beginnings of rows, drawn by their hash.
 
-    Each drawn row gives its first row_chars characters, so about
-    4 * sample_bytes / row_chars rows of each language reach the driver.
+    A row gives its first row_chars characters.  Copies share a hash and count
+    once, so they neither fill a sample nor keep other rows, or their own
+    language, out of it.  The driver gets the beginnings that the sample holds,
+    and one more for each language at most.
     """
-    labelled = df.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, row_chars).alias("text"), F.xxhash64(id_col, text_col, F.lit("language sample")).alias("drawn"))
-    rows = {r[0]: (r[1], r[2]) for r in labelled.groupBy("lang").agg(F.count("*"), F.avg(F.length("text"))).collect()}
-    if not rows:
+    labelled = df.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, row_chars).alias("text"))
+    labelled = labelled.withColumn("drawn", F.xxhash64("text", F.lit("language sample")))
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("drawn"), F.avg(F.length("text"))).collect()
+    if not sizes:
         return {}
-    share = {k: min(1.0, 4 * sample_bytes / (n * mean)) for k, (n, mean) in rows.items()}
-    limit = F.create_map(*(F.lit(x) for kv in ((k, int(v * 2**30)) for k, v in share.items()) for x in kv))
-    got = labelled.where(F.pmod("drawn", F.lit(2**30)) < limit[F.col("lang")]).collect()
-    texts: dict[str, dict[str, None]] = {}
-    for r in sorted(got, key=lambda r: (r["lang"], r["drawn"], r["text"])):
-        texts.setdefault(r["lang"], {})[r["text"]] = None
+    # Four times as much as is taken, so that the estimates need not be close.
+    limit = F.create_map(*(F.lit(x) for lang, n, mean in sizes for x in (lang, int(min(1.0, 4 * sample_bytes / (n * mean)) * 2**30))))
+    drawn = labelled.where(F.pmod("drawn", F.lit(2**30)) <= limit[F.col("lang")]).distinct()
+    before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("drawn", "text").rowsBetween(Window.unboundedPreceding, -1))
+    texts: dict[str, list[str]] = {}
+    for r in sorted(drawn.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < sample_bytes).collect(), key=lambda r: (r["lang"], r["drawn"], r["text"])):
+        texts.setdefault(r["lang"], []).append(r["text"])
     return {k: "\n".join(v).encode()[:sample_bytes] for k, v in texts.items()}
 
 
@@ -243,4 +248,4 @@ def held_out(id_col: str, folds: int, fold: int):
 
 def identified(df: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_bytes: int = 16384, row_chars: int = 512, block: int = 512) -> DataFrame:
     """df with lang_pred and score, learned from the labelled rows of train."""
-    return predict(df, fit(sample(train, id_col, text_col, lang_col, sample_bytes, row_chars)), id_col, text_col, block)
+    return predict(df, fit(sample(train, text_col, lang_col, sample_bytes, row_chars)), id_col, text_col, block)
