@@ -38,11 +38,12 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from shotlake.llm._store import filesystem, modest_batches, write_atomically
 from shotlake.llm._text import slices
 from shotlake.llm._tokens import encoder, with_end
+from shotlake.sources.filters import all_hold, column_of, may_hold
 
 MAGIC = b"SLTP2\n"
 SCHEMA = "doc_id long, start long, ids binary"
@@ -231,22 +232,20 @@ class TokenPlanesReader(DataSourceReader):
         self.path, self.tests = options["path"].rstrip("/"), []
 
     def pushFilters(self, filters):
-        bounds = {EqualTo: lambda v: (v, v), GreaterThanOrEqual: lambda v: (v, None), GreaterThan: lambda v: (v + 1, None), LessThanOrEqual: lambda v: (None, v), LessThan: lambda v: (None, v - 1), In: lambda v: (min(v), max(v))}
         for f in filters:
-            if f.attribute == ("doc_id",) and type(f) in bounds:
-                self.tests.append((*bounds[type(f)](f.value), frozenset(f.value) if type(f) is In else None))
+            if column_of(f) == "doc_id":
+                self.tests.append(f)
             else:
                 yield f
 
     def wanted(self, name: int | None) -> bool:
-        return not self.tests or name is not None and all((lo is None or name >= lo) and (hi is None or name <= hi) and (some is None or name in some) for lo, hi, some in self.tests)
+        return all_hold(self.tests, name)
 
     def _touches(self, first: int | None, last: int | None) -> bool:
         """Whether a part whose ids go from first to last, null first, may have a wanted one."""
-        if not self.tests or last is None:
-            return not self.tests
-        inside = lambda v: v <= last and (first is None or v >= first)
-        return all((lo is None or last >= lo) and (hi is None or first is None or first <= hi) and (some is None or any(map(inside, some))) for lo, hi, some in self.tests)
+        if first is None and all_hold(self.tests, None):
+            return True
+        return last is not None and may_hold(self.tests, -(2**63) if first is None else first, last)
 
     def partitions(self):
         fs, path = filesystem(f"{self.path}/manifest.json")

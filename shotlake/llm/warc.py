@@ -28,10 +28,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThanOrEqual, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from shotlake.llm._filter import maybe_in
 from shotlake.llm._store import discard, filesystem, kept, modest_batches, write_atomically
+from shotlake.sources.filters import column_of, holds
 
 SCHEMA = "page_id long, type string, target_uri string, payload_bytes long, payload_digest string, refers_to long, content binary"
 ARROW = pa.schema([("page_id", pa.int64()), ("type", pa.string()), ("target_uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("content", pa.binary())])
@@ -188,19 +189,11 @@ class WarcReader(DataSourceReader):
         self.path, self.payload, self.tests = options["path"].rstrip("/"), options.get("payload", "full"), []
 
     def pushFilters(self, filters):
-        judge = {
-            EqualTo: lambda x, v: x is not None and x == v,
-            In: lambda x, v: x is not None and x in v,
-            GreaterThanOrEqual: lambda x, v: x is not None and x >= v,
-            LessThanOrEqual: lambda x, v: x is not None and x <= v,
-            StringStartsWith: lambda x, v: x is not None and x.startswith(v),
-        }
         for f in filters:
-            if len(f.attribute) == 1 and f.attribute[0] in COLUMNS and type(f) in (*judge, IsNotNull):
-                self.tests.append((f.attribute[0], type(f).__name__, getattr(f, "value", None)))
+            if column_of(f) in COLUMNS:
+                self.tests.append((column_of(f), f))
             else:
                 yield f
-        self.judges = {k.__name__: v for k, v in judge.items()} | {"IsNotNull": lambda x, v: x is not None}
 
     def partitions(self):
         fs, path = filesystem(self.path)
@@ -218,7 +211,7 @@ class WarcReader(DataSourceReader):
         fs, path = filesystem(partition.uri)
 
         def wanted(row):
-            return all(self.judges[kind](row[name], value) for name, kind, value in self.tests)
+            return all(holds(f, row[name]) is True for name, f in self.tests)
 
         with fs.open_input_file(path) as file:
             rows, held = [], 0

@@ -510,7 +510,7 @@ def test_a_rare_language_does_not_shorten_the_samples_of_others(spark):
     rows = [(i, "en", " ".join(rng.choices("the cat sat on a mat while it rained and we were at home".split(), k=60))) for i in range(200)]
     rows += [(500 + i, "en", rows[0][2]) for i in range(300)] + [(900, "rare", "kzq wvx")]
     df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
-    got = language_id.sample(df, "doc_id", "text", "lang", 8192, 512)
+    got = language_id.sample(df, "text", "lang", 8192, 512)
     assert len(got["en"]) == 8192 and got["rare"] == b"kzq wvx" and got["en"].count(rows[0][2].encode()) <= 1
     assert {r.doc_id for r in language_id.identified(df, df, sample_bytes=8192).where("lang_pred = 'rare'").collect()} == {900}
 
@@ -726,3 +726,42 @@ def test_unlinked_copies_of_a_long_text_are_not_verified_pair_by_pair(spark, mon
     got = {r.id: r.component_id for r in ngram_jaccard.jaccard_components(df, n=4, numerator=85).collect()}
     assert got == {i: 7 if i == 1000 else i for i, _ in rows}
     assert sum(verified) < 1000
+
+
+def test_a_language_of_equal_rows_is_learned_and_the_driver_gets_few_rows(spark, monkeypatch):
+    for seed in range(3):
+        rows = spark.range(200).selectExpr("id", "'aa' as lang", f"concat('the cat sat on number ', id + {seed}, ' mat while it rained') as text")
+        rows = rows.union(spark.range(60_000).selectExpr("id + 1000", "'xx'", f"'kzq wvx jjq {seed} zzkq'"))
+        rows = rows.union(spark.range(20_000).selectExpr("id + 100000", "'long'", "concat(repeat(concat('plok nemu ', id, ' '), 40), id)"))
+        got, whole = [], type(rows).collect
+        monkeypatch.setattr(type(rows), "collect", lambda df: got.append(whole(df)) or got[-1])
+        found = language_id.sample(rows, "text", "lang", 4096, 512)
+        monkeypatch.undo()
+        assert set(found) == {"aa", "xx", "long"} and found["xx"].startswith(b"kzq wvx") and len(found["long"]) == 4096
+        assert sum(map(len, got)) < 250
+    model = language_id.fit(found)
+    assert [r.lang_pred for r in language_id.predict(spark.createDataFrame([(1, "zzkq kzq wvx")], "doc_id long, text string"), model).collect()] == ["xx"]
+
+
+FILTERS = ["{c} = 3", "{c} <> 3", "not ({c} = 3)", "{c} in (1, 3)", "{c} in (1, null)", "{c} not in (1, 3)", "{c} not in (1, null)", "{c} is null", "{c} is not null", "{c} <=> 3", "not ({c} <=> 3)", "{c} <=> null", "{c} > 3", "{c} >= 3", "{c} < 3", "{c} <= 3", "not ({c} > 3)", "{c} > 1 and {c} <> 4", "{c} = 1 or {c} = 4", "{c} = null", "{c} between 2 and 4 and {c} not in (3)", "{c} in (2)"]
+
+
+def test_every_filter_on_archives_gives_the_rows_of_the_filter_in_spark(spark):
+    pages = [(i if i else None, None if i == 4 else f"http://{'ab'[i % 2]}/{i}", "same" if i < 3 else f"p{i}") for i in range(8)]
+    path = new_path(spark, "w")
+    warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2), path)
+    whole = spark.createDataFrame(warc.read_warc(spark, path, "none").collect(), warc.SCHEMA)
+    texts = ["type <> 'revisit'", "type not in ('response', null)", "target_uri like 'http://a%'", "not (target_uri like 'http://a%')", "target_uri like '%/3'", "target_uri like '%b/%' and type = 'response'", "refers_to is null and type <> 'x'", "target_uri is null", "content is null"]
+    for where in [f.format(c=c) for f in FILTERS for c in ("page_id", "refers_to", "payload_bytes")] + texts:
+        got, want = (sorted(map(repr, df.where(where).collect())) for df in (warc.read_warc(spark, path, "none"), whole))
+        assert got == want, where
+
+
+def test_every_filter_on_token_files_gives_the_rows_of_the_filter_in_spark(spark, vocabulary):
+    rows = [(None if i < 6 else i // 6, f"w{i} " * (i % 7)) for i in range(60)]
+    path = new_path(spark, "t")
+    bitplanes.write_token_file(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), path, vocabulary, block_ids=16, shard_ids=100, split_ids=20)
+    whole = spark.createDataFrame(bitplanes.read_token_file(spark, path).collect(), bitplanes.SCHEMA)
+    for where in [f.format(c="doc_id") for f in FILTERS]:
+        got, want = (sorted(map(repr, df.where(where).collect())) for df in (bitplanes.read_token_file(spark, path), whole))
+        assert got == want, where
