@@ -58,18 +58,15 @@ def motion_summary(pairs: DataFrame, diagonal: float, low_inlier: float = 0.3) -
     )
 
 
-def _folded(rows, width: float, height: float):
-    """Arrays (scale, rotation, tx, ty, homography) of one stream's ordered pairs (usable, affine, homography)."""
-    affine, flat, out = np.eye(3), np.eye(3), []
-    center = np.array([width / 2, height / 2, 1.0])
-    for usable, step, h in rows:
-        if usable:
-            affine = np.vstack([np.asarray(step, np.float64).reshape(2, 3), [0, 0, 1]]) @ affine
-            if h is not None:
-                flat = np.asarray(h, np.float64).reshape(3, 3) @ flat
-        moved = affine @ center - center
-        out.append((math.hypot(affine[0, 0], affine[1, 0]), math.degrees(math.atan2(affine[1, 0], affine[0, 0])), moved[0], moved[1], flat.reshape(-1).tolist()))
-    return out
+def _step(affine, flat, usable, step, h):
+    """The products (affine, homography) after one more pair."""
+    if not usable:
+        return affine, flat
+    affine = np.vstack([np.asarray(step, np.float64).reshape(2, 3), [0, 0, 1]]) @ affine
+    return affine, flat if h is None else np.asarray(h, np.float64).reshape(3, 3) @ flat
+
+
+BLOCK = 4096  # numbers of pairs that are multiplied in one task
 
 
 def cumulative_transform(pairs: DataFrame, width: float, height: float) -> DataFrame:
@@ -77,18 +74,44 @@ def cumulative_transform(pairs: DataFrame, width: float, height: float) -> DataF
 
     pairs has affine, a row-major 2x3, and may have homography, a row-major 3x3,
     which is passed over where null.  Displacement is that of the frame's centre.
-    A stream's pairs are folded together, in time and memory linear in them.
+    A scan in two levels: the products of blocks of BLOCK pair numbers, the products of the
+    blocks before each, and from there on inside each block.  So a
+    long stream is many tasks; only its blocks' products, a row each, meet in one.
     """
     homography = F.col("homography") if "homography" in pairs.columns else F.lit(None)
     rows = pairs.select("stream", F.col("pair_no").cast("long"), F.coalesce("usable", F.lit(False)).alias("usable"), F.col("affine").cast("array<double>"), homography.cast("array<double>").alias("homography"))
-    kind = dict(rows.dtypes)["stream"]
+    rows = rows.withColumn("block", F.floor(F.col("pair_no") / BLOCK))
+    key = f"stream {dict(rows.dtypes)['stream']}, block long"
+    center = np.array([width / 2, height / 2, 1.0])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pair_no")
-        found = pd.DataFrame(_folded(zip(pdf.usable, pdf.affine, pdf.homography, strict=True), width, height), columns=["cum_scale", "cum_rotation_deg", "cum_tx", "cum_ty", "cum_homography"], index=pdf.index)
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        state = np.eye(3), np.eye(3)
+        for row in pdf.sort_values("pair_no")[["usable", "affine", "homography"]].itertuples(index=False):
+            state = _step(*state, *row)
+        return pd.DataFrame({"stream": pdf["stream"].iloc[:1], "block": pdf["block"].iloc[:1], "flat": [state[0].ravel().tolist()], "deep": [state[1].ravel().tolist()]})
+
+    def before(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, out, affine, flat = pdf.sort_values("block"), [], np.eye(3), np.eye(3)
+        for a, h in zip(pdf.flat, pdf.deep, strict=True):
+            out.append((affine.ravel().tolist(), flat.ravel().tolist()))
+            affine, flat = np.asarray(a).reshape(3, 3) @ affine, np.asarray(h).reshape(3, 3) @ flat
+        return pd.DataFrame({"stream": pdf["stream"].to_numpy(), "block": pdf["block"].to_numpy(), "flat": [x for x, _ in out], "deep": [x for _, x in out]})
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, out = pdf.sort_values("pair_no"), []
+        affine, flat = (np.asarray(pdf[c].iloc[0]).reshape(3, 3) for c in ("flat", "deep"))
+        for row in pdf[["usable", "affine", "homography"]].itertuples(index=False):
+            affine, flat = _step(affine, flat, *row)
+            moved = affine @ center - center
+            out.append((math.hypot(affine[0, 0], affine[1, 0]), math.degrees(math.atan2(affine[1, 0], affine[0, 0])), moved[0], moved[1], flat.reshape(-1).tolist()))
+        found = pd.DataFrame(out, columns=["cum_scale", "cum_rotation_deg", "cum_tx", "cum_ty", "cum_homography"], index=pdf.index)
         return pd.concat([pdf[["stream", "pair_no"]], found], axis=1)
 
-    return rows.groupBy("stream").applyInPandas(run, f"stream {kind}, pair_no long, cum_scale double, cum_rotation_deg double, cum_tx double, cum_ty double, cum_homography array<double>")
+    state = f"{key}, flat array<double>, deep array<double>"
+    totals = rows.groupBy("stream", "block").applyInPandas(product, state)
+    carried = totals.groupBy("stream").applyInPandas(before, state).withColumnRenamed("stream", "_stream")
+    both = rows.join(carried.withColumnRenamed("block", "_block"), F.col("stream").eqNullSafe(F.col("_stream")) & (F.col("block") == F.col("_block"))).drop("_stream", "_block")
+    return both.groupBy("stream", "block").applyInPandas(inside, f"{key.split(',')[0]}, pair_no long, cum_scale double, cum_rotation_deg double, cum_tx double, cum_ty double, cum_homography array<double>")
 
 
 def motion_totals(pairs: DataFrame, width: float, height: float) -> DataFrame:

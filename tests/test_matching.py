@@ -127,3 +127,44 @@ def test_motions_go_on_to_the_summary(spark, motions_found):
     assert M.motion_totals(MT.motions(matches, pairs.where("pair_no in (0, 1, 4)"), 1280, 720), 1280, 720).count() == 1
     assert MT.motions(matches, pairs.where("false"), 1280, 720).count() == 0
     assert MT.motions(matches.where("false"), pairs, 1280, 720).where(F.col("success")).count() == 0
+
+
+@pytest.mark.parametrize("block", [3, 64])
+def test_products_over_blocks_equal_one_fold(spark, monkeypatch, block):
+    monkeypatch.setattr(M, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    rows = []
+    for stream, n in ((0, 200), (1, 1), (2, 64), (None, 7)):
+        for k in range(n):
+            t, z = rng.normal(0, 0.05), 1 + rng.normal(0, 0.01)
+            step = [z * math.cos(t), -z * math.sin(t), *rng.normal(0, 3, 1).tolist(), z * math.sin(t), z * math.cos(t), *rng.normal(0, 3, 1).tolist()]
+            rows.append((stream, k, None if k % 11 == 5 else k % 7 != 3, step, None if k % 5 == 0 else (np.eye(3) + rng.normal(0, 1e-3, (3, 3))).ravel().tolist()))
+    df = spark.createDataFrame(rows, "stream long, pair_no long, usable boolean, affine array<double>, homography array<double>").repartition(5)
+    got = {(r.stream, r.pair_no): r for r in M.cumulative_transform(df, 640, 480).collect()}
+    assert len(got) == len(rows)
+    state, now = {}, None
+    for stream, k, usable, step, h in rows:
+        a, g = state.get(stream, (np.eye(3), np.eye(3)))
+        if usable:
+            a = np.array([*step, 0, 0, 1]).reshape(3, 3) @ a
+            g = g if h is None else np.array(h).reshape(3, 3) @ g
+        state[stream], now = (a, g), got[stream, k]
+        moved = a @ (320, 240, 1) - (320, 240, 1)
+        assert np.allclose([now.cum_scale, now.cum_tx, now.cum_ty, *now.cum_homography], [math.hypot(a[0, 0], a[1, 0]), moved[0], moved[1], *g.ravel()], atol=1e-9)
+
+
+def test_one_long_stream_is_many_tasks(spark):
+    n = 60_000
+    turn = F.pi() / 5000
+    pairs = spark.range(n).select(F.lit("s").alias("stream"), F.col("id").alias("pair_no"), F.lit(True).alias("usable"), F.array(F.cos(turn), -F.sin(turn), F.lit(0.0), F.sin(turn), F.cos(turn), F.lit(0.0)).alias("affine"))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = M.cumulative_transform(pairs, 100, 100).withColumn("task", F.spark_partition_id()).cache()
+        largest = out.groupBy("task").count().agg(F.max("count"), F.count("*")).first()
+        last = out.where(F.col("pair_no") == n - 1).first()
+        out.unpersist()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    assert largest[1] >= 4 and largest[0] <= n / 2 and abs(last.cum_scale - 1) < 1e-9 and abs(abs(last.cum_rotation_deg) - 0) < 1e-6
