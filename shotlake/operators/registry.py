@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shotlake.functions import vectors as V
@@ -142,35 +144,80 @@ def counts_by(runs: DataFrame, key: list[str], status: str) -> DataFrame:
     return runs.groupBy(*key, status).agg(F.count("*").alias("n"))
 
 
-def nearest_center(samples: DataFrame, centers: DataFrame, most_centers: int = 100_000) -> DataFrame:
+PIVOTS = 256  # at most
+
+
+def _angles(column: str, pivots: np.ndarray, more: list[str], schema: str, chosen):
+    """Rows with their angles to the pivots, as chosen(angles, pdf) makes rows of them."""
+
+    def run(frames):
+        for pdf in frames:
+            for i in range(0, len(pdf), 1024):
+                part = pdf.iloc[i : i + 1024]
+                x = np.stack(part[column].to_list())
+                cos = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ pivots.T
+                row, pivot, angle = chosen(np.arccos(np.clip(cos, -1, 1)), part)
+                yield part.iloc[row][more].assign(pivot=pivot, angle=angle)
+
+    return lambda df: df.select(*more).mapInPandas(run, schema)
+
+
+def nearest_center(samples: DataFrame, centers: DataFrame, pivots: int | None = None, pairs: Observation | None = None) -> DataFrame:
     """(sample_id, center_id, similarity): the most similar centre by cosine, the first on ties.
 
-    Centres are counted first and sent to the tasks in blocks of about
-    most_centers at most, each met by one pass over the samples as a matrix
-    product for a batch at a time; the best of all blocks is kept.
+    An exact search by the triangle inequality of angles.  Each centre belongs
+    to the nearest of some pivots, which are centres drawn by a hash, the square root of their
+    number and PIVOTS at most.  A sample first meets the centres of its own
+    nearest pivot.  Then it meets those of other pivots, and there only centres
+    whose angle to the pivot differs from the sample's by no more than the best
+    angle so far, as no other can be nearer.  pairs, an Observation, gets as
+    `pairs` how many are compared in this second round, own lists included.
+
+    A null embedding or centre, or one with a null component, takes no part; nor does a centre of another length
+    than the sample's.  The similarity with a vector of norm 1e-9 or less is 0.
     """
-    spark = samples.sparkSession
-    blocks = -(-centers.count() // most_centers) or 1
-    rows = samples.select(F.col("sample_id").cast("long").alias("sample_id"), V.doubles("embedding").alias("embedding"))
-    schema, best = "sample_id long, center_id long, similarity double", None
-    for i in range(blocks):
-        block = centers.where(F.pmod(F.xxhash64("center_id"), F.lit(blocks)) == i).select(F.col("center_id").cast("long"), V.doubles("center").alias("center")).orderBy("center_id").toPandas()
-        shared = spark.sparkContext.broadcast((block["center_id"].to_numpy(), np.stack(block["center"].to_list()) if len(block) else np.zeros((0, 1))))
-
-        def run(frames, shared=shared):
-            ids, table = shared.value
-            norms = np.linalg.norm(table, axis=1)
-            for pdf in frames:
-                for j in range(0, len(pdf) if len(ids) else 0, 256):
-                    part = pdf.iloc[j : j + 256]
-                    x = np.stack(part["embedding"].to_list())
-                    scale = np.linalg.norm(x, axis=1)[:, None] * norms
-                    like = np.where(scale > 1e-9, (x @ table.T) / np.maximum(scale, 1e-9), 0.0)
-                    place = like.argmax(axis=1)
-                    yield pd.DataFrame({"sample_id": part["sample_id"], "center_id": ids[place], "similarity": like[np.arange(len(part)), place]})
-
-        found = rows.mapInPandas(run, schema)
-        best = found if best is None else best.unionByName(found)
-    if blocks == 1:
-        return best
-    return best.groupBy("sample_id").agg(F.max_by(F.struct("center_id", "similarity"), F.struct("similarity", -F.col("center_id"))).alias("b")).select("sample_id", "b.*")
+    valid = lambda df, c: df.where(F.col(c).isNotNull() & F.forall(c, lambda x: x.isNotNull()))
+    asked = valid(samples.select(F.col("sample_id").cast("long").alias("sample_id"), V.doubles("embedding").alias("embedding")), "embedding").withColumn("norm", V.norm("embedding")).withColumn("dim", F.size("embedding"))
+    known = valid(centers.select(F.col("center_id").cast("long").alias("center_id"), V.doubles("center").alias("center")), "center").withColumn("norm", V.norm("center")).withColumn("dim", F.size("center"))
+    # Without a direction: the first such centre of each length has similarity 0 with all, and all have it with such a sample.
+    blank = known.where("norm <= 1e-9").groupBy("dim").agg(F.min("center_id").alias("center_id"))
+    first = known.groupBy("dim").agg(F.min("center_id").alias("center_id"))
+    still = asked.where("norm <= 1e-9").join(first, "dim").unionByName(asked.where("norm > 1e-9").join(blank, "dim")).select("sample_id", "center_id", F.lit(0.0).alias("similarity"))
+
+    found = [still]
+    aimed, live = known.where("norm > 1e-9"), asked.where("norm > 1e-9")
+    for dim, n in aimed.groupBy("dim").count().orderBy("dim").collect():  # a registry has prints of one length, or of a few
+        most = min(pivots or PIVOTS, max(1, math.isqrt(n)))
+        drawn = aimed.where(F.col("dim") == dim).orderBy(F.xxhash64("center_id"), "center_id").limit(most).select("center").toPandas()["center"]
+        middle = np.stack(drawn.to_list())
+        middle = middle / np.linalg.norm(middle, axis=1, keepdims=True)
+        found.append(_by_pivots(live.where(F.col("dim") == dim), aimed.where(F.col("dim") == dim), middle))
+    every = functools.reduce(DataFrame.unionByName, found)
+    every = every if pairs is None else every.observe(pairs, F.count("*").alias("pairs"))
+    return every.groupBy("sample_id").agg(F.max_by(F.struct("center_id", "similarity"), F.struct("similarity", -F.col("center_id"))).alias("b")).select("sample_id", "b.*")
+
+
+def _by_pivots(asked: DataFrame, known: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Candidates (sample_id, center_id, similarity) among which the nearest of each sample is."""
+    nearest = lambda angles, part: (np.arange(len(part)), angles.argmin(axis=1), angles.min(axis=1))
+    listed = _angles("center", pivots, ["center_id", "center"], "center_id long, center array<double>, pivot int, angle double", nearest)(known)
+    reach = {r["pivot"]: (r["low"], r["high"]) for r in listed.groupBy("pivot").agg(F.min("angle").alias("low"), F.max("angle").alias("high")).collect()}  # a row for each pivot
+    low, high = (np.array([reach.get(i, (np.inf, -np.inf))[k] for i in range(len(pivots))]) for k in (0, 1))
+    here, there = listed.withColumnRenamed("angle", "at"), "sample_id long, embedding array<double>, best double, pivot int, angle double"
+
+    def met(rows: DataFrame) -> DataFrame:
+        both = rows.join(here, "pivot").where(F.abs(F.col("angle") - F.col("at")) <= F.col("best") + 1e-7)
+        return both.select("sample_id", "center_id", V.cosine("embedding", "center").alias("similarity"))
+
+    own = _angles("embedding", pivots, ["sample_id", "embedding", "best"], there, nearest)(asked.withColumn("best", F.lit(math.pi)))
+    best = met(own).groupBy("sample_id").agg(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.max("similarity")))).alias("best"))
+
+    def others(angles, part):
+        bound = np.maximum(angles - high, low - angles)
+        near = (bound <= part["best"].to_numpy()[:, None] + 1e-7) & np.isfinite(low)
+        row, pivot = np.nonzero(near)
+        return row, pivot, angles[row, pivot]
+
+    # The own list is met again, now within the bound; it costs little and keeps its candidates.
+    rest = _angles("embedding", pivots, ["sample_id", "embedding", "best"], there, others)(asked.select("sample_id", "embedding").join(best, "sample_id"))
+    return met(rest)
