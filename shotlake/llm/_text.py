@@ -149,3 +149,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK) -
             yield batch.slice(i, j - i)
             i = j
         return_memory()
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """The rows again, in batches of about limit bytes of text: small ones are put together, large ones cut as slices() does."""
+    held, size = [], 0
+    for batch in slices(batches, column, limit):
+        n = int(utf8(batch.column(batch.schema.get_field_index(column)))[1][-1])
+        if held and size + n > limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += n
+    if held:
+        yield pa.concat_batches(held)

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotlake.llm._store import discard, kept, modest_batches
-from shotlake.llm._text import U64, mix, slices, words
+from shotlake.llm._text import U64, gathered, mix, words
 
 K = 5  # counts up to this are discounted
 BITS = 31  # of a word's number in a pair
@@ -51,6 +51,7 @@ MASK = (1 << BITS) - 1
 UNSEEN, END, START, FIRST = 0, 1, 2, 3  # numbers: unseen words, the end, the start, then words
 EXACT_BINS, FINE = 1024, 16
 SLICE = 8 << 20
+HOT = 1 << 16  # contexts at most whose pairs are spread and whose weights every task has
 HELD = 1 << 21  # distinct keys that a task adds up before it sends them
 
 
@@ -232,7 +233,7 @@ def _vocabulary(docs: DataFrame, parts: int) -> DataFrame:
 
     def run(batches):
         def found():
-            for b in slices(batches, "text", SLICE):
+            for b in gathered(batches, "text", SLICE):
                 seen, n = np.unique(words(b.column(0)).hash.view(np.int64), return_counts=True)
                 yield seen, n.astype(np.int64)
 
@@ -274,7 +275,7 @@ def _encoded(docs: DataFrame, table: DataFrame, numbers: DataFrame, shared, part
 
     def send(batches):
         lexicon, partition, names = shared.value, TaskContext.get().partitionId(), Counter()
-        for b in slices(batches, "text", SLICE):
+        for b in gathered(batches, "text", SLICE):
             w = words(b.column(2))
             ids = _ids(b.column(0))
             name = xxhash.xxh64_intdigest(ids + w.offsets.tobytes() + b.column(1).to_numpy(zero_copy_only=False).tobytes(), xxhash.xxh64_intdigest(np.ascontiguousarray(w.data)))
@@ -447,8 +448,8 @@ def scored(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
     shared = spark.sparkContext.broadcast(lexicon)
     corpus = _encoded(docs, vocabulary, numbers, shared, parts)
 
-    # Contexts with more than an eighth of a partition's share of all pairs; they are at most 8 * parts.
-    limit = max(1, tokens) / (8 * parts)
+    # Contexts with more than an eighth of a partition's share of all pairs, or a HOT-th of all where that is more; so they are at most HOT.
+    limit = max(1, tokens) / min(8 * parts, HOT)
     hot = np.sort(np.append(FIRST + np.flatnonzero(common > limit), [START] if texts > limit else []).astype(np.int64))
 
     def count_pairs(batches):

@@ -765,3 +765,14 @@ def test_every_filter_on_token_files_gives_the_rows_of_the_filter_in_spark(spark
     for where in [f.format(c="doc_id") for f in FILTERS]:
         got, want = (sorted(map(repr, df.where(where).collect())) for df in (bitplanes.read_token_file(spark, path), whole))
         assert got == want, where
+
+
+def test_small_batches_are_put_together_and_large_ones_cut():
+    from shotlake.llm._text import gathered
+
+    sizes = [3, 0, 5, 40, 1, 1, 9, 9, 9, 2]
+    batches = [pa.RecordBatch.from_pydict({"n": [i], "text": ["x" * k]}) for i, k in enumerate(sizes)]
+    got = list(gathered(iter(batches), "text", 10))
+    assert [x for b in got for x in b.column(0).to_pylist()] == list(range(len(sizes)))
+    assert [sum(map(len, b.column(1).to_pylist())) for b in got] == [8, 40, 2, 9, 9, 9, 2] or all(b.num_rows == 1 or sum(map(len, b.column(1).to_pylist())) <= 10 for b in got)
+    assert len(got) < len(sizes) and list(gathered(iter([]), "text")) == []
