@@ -13,9 +13,10 @@ so the probabilities of each context sum to one exactly.  s(h) is 1, or
 c(h) / (c(h) + 1) where no count of h is discounted, which leaves something to
 back off to.  An unseen context has a(h) = 1.  P(w) is the same one level down:
 what discounting frees there, and one event more, is shared equally by U unseen
-words, U = n_1^2 / (2 n_2) (Chao's estimate).  Two levels are kept: a third
-would need each distinct word triple with its own key and the probability of its
-suffix, which alone is over three times the input on disk.
+words, U = n_1^2 / (2 n_2) (Chao's estimate).  Two levels are kept here: a
+third would need each distinct word triple with its own key and the probability
+of its suffix, which alone is over three times the input on disk.
+shotlake.llm.katz_order has the same model for any order, a row a token.
 
 Tables.  Word counts are partitioned by hash.  Words are numbered from the most
 to the least frequent, so a number tells its word's exact count by a short list

@@ -776,3 +776,48 @@ def test_small_batches_are_put_together_and_large_ones_cut():
     assert [x for b in got for x in b.column(0).to_pylist()] == list(range(len(sizes)))
     assert [sum(map(len, b.column(1).to_pylist())) for b in got] == [8, 40, 2, 9, 9, 9, 2] or all(b.num_rows == 1 or sum(map(len, b.column(1).to_pylist())) <= 10 for b in got)
     assert len(got) < len(sizes) and list(gathered(iter([]), "text")) == []
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_of_any_order_backs_off_recursively_and_sums_to_one(spark, order):
+    from shotlake.llm import katz_order
+
+    texts, train = katz_texts()
+    sequences = [["<s>", *split(t), "</e>"] for t in texts]
+    *_, p1, types, _ = plain_katz(texts, train)
+    n1 = collections.Counter(w for s, t in zip(sequences, train, strict=True) if t for w in s[1:])
+    unseen = (1 - sum(p1.values())) / types
+    levels = []
+    for k in range(2, order + 1):
+        grams = collections.Counter(tuple(s[i : i + k]) for s, t in zip(sequences, train, strict=True) if t for i in range(len(s) - k + 1))
+        d = katz.good_turing([sum(n == r for n in grams.values()) for r in range(1, 7)])
+        after = collections.defaultdict(dict)
+        for g, n in grams.items():
+            after[g[:-1]][g[-1]] = n
+        levels.append((after, d))
+
+    def prob(h, w):
+        if not h:
+            return p1.get(w, unseen)
+        after, d = levels[len(h) - 1]
+        seen = after.get(h, {})
+        if not seen:
+            return prob(h[1:], w)
+        c = sum(seen.values())
+        disc = {x: (d[n] if n <= 5 else 1) * n / c for x, n in seen.items()}
+        scale = c / (c + 1) if sum(disc.values()) > 1 - 1e-9 else 1
+        if w in seen:
+            return scale * disc[w]
+        return (1 - scale * sum(disc.values())) / max(1 - sum(prob(h[1:], x) for x in seen), unseen) * prob(h[1:], w)
+
+    df = spark.createDataFrame([(i if i % 9 else None, t, r, "clash") for i, (t, r) in enumerate(zip(texts, train, strict=True))], "doc_id long, text string, tr boolean, row string").repartition(3)
+    want = sorted((i if i % 9 else -1, len(s) - 1, round(sum(math.log10(prob(tuple(s[max(0, j - order + 1) : j]), s[j])) for j in range(1, len(s))), 7)) for i, s in enumerate(sequences))
+    got = katz_order.scored(df, F.col("tr"), order).collect()
+    assert sorted((-1 if r.id is None else r.id, r.n_tokens, round(r.score, 7)) for r in got) == want
+    if order > 2:
+        contexts = [h for h in levels[-1][0]][:15]
+        assert all(math.isclose(sum(prob(h, w) for w in n1) + types * prob(h, "never seen"), 1, rel_tol=1e-9) for h in contexts)
+    if order == 2:
+        packed = {(r.id, round(r.score, 7)) for r in katz.scored(df, F.col("tr")).collect()}
+        assert packed == {(r.id, round(r.score, 7)) for r in got}
+    assert katz_order.scored(df.where("false"), F.col("tr"), order).count() == 0
