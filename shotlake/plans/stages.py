@@ -8,10 +8,11 @@ cut short starts again at the first stage that is not complete.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shotlake import config as C
@@ -82,10 +83,36 @@ STAGES = [
 ]
 
 
-def run(relations: Relations, cfg: dict | None = None, materialize: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> Relations:
-    """relations and what the stages make of them; a stage whose inputs are not there, or that cfg turns off, is left out."""
+def run(relations: Relations, cfg: dict | None = None, materialize: Callable[[str, DataFrame], DataFrame] = lambda name, df: df, record: Callable[[str, float, int], None] | None = None) -> Relations:
+    """relations and what the stages make of them; a stage whose inputs are not there, or that cfg turns off, is left out.
+
+    record is told each stage's name, seconds and rows, once materialize, which
+    has to write then, has done so; rows are counted while they are written.
+    """
     cfg, out = C.merged(C.DEFAULTS, cfg or {}), dict(relations)
     for stage in STAGES:
         if stage.name not in out and stage.enabled(cfg) and all(n in out for n in stage.needs):
-            out[stage.name] = materialize(stage.name, stage.make(out, cfg))
+            began, made = time.monotonic(), stage.make(out, cfg)
+            if record is None:
+                out[stage.name] = materialize(stage.name, made)
+                continue
+            seen = Observation()
+            out[stage.name] = materialize(stage.name, made.observe(seen, F.count("*").alias("rows")))
+            record(stage.name, time.monotonic() - began, seen.get["rows"])
     return out
+
+
+def written(path: str) -> Callable[[str, DataFrame], DataFrame]:
+    """A materialize for run(): each stage's table below path, replaced as a whole and read back."""
+
+    def materialize(name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    return materialize
+
+
+def stage_timing(spark: SparkSession, records: list[tuple[str, float, int]]) -> DataFrame:
+    """(stage, seconds, calls, rows) of what run() has recorded, the longest first."""
+    rows = spark.createDataFrame(records, "stage string, seconds double, rows long")
+    return rows.groupBy("stage").agg(F.sum("seconds").alias("seconds"), F.count("*").alias("calls"), F.sum("rows").alias("rows")).orderBy(F.desc("seconds"), "stage")
