@@ -13,7 +13,7 @@ from shotlake.operators import intervals as IV
 from shotlake.operators import transcript as TR
 from shotlake.plans import stages
 from shotlake.sources import media as M
-from shotlake.sources import providers as P
+from tests import providers as P
 from shotlake.sources import raw
 
 

@@ -37,17 +37,29 @@ def test_window_best_drops_late_frames(spark, tmp_path):
     assert got[0] == 1 and got[1] == 3
 
 
-def test_registry_stream_equals_batch(spark, tmp_path):
+def test_registries_as_keyed_state_equal_a_fold_and_go_on_after_a_restart(spark, tmp_path):
     rng = np.random.default_rng(5)
-    rows = [(i, f"v{i % 3}", i, rng.normal(size=4).tolist(), rng.normal(size=4).tolist() if i % 2 else None) for i in range(30)]
-    schema = "seq long, video string, cluster long, cam_emb array<double>, eres_emb array<double>"
-    for n in range(3):
-        spark.createDataFrame(rows[10 * n : 10 * n + 10], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
-    source = spark.readStream.schema(spark.createDataFrame(rows, schema).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-    got = {r.seq: r.speaker_id for r in run(live.live_registry(source), spark, "registry")}
-    registry = Registry()
-    order = [s for s, *_ in rows]
-    assert got == {s: registry.match(c, e, v, k) for s, v, k, c, e in rows} and order == sorted(got)
+    people = rng.normal(size=(5, 6))
+    rows = [(f"lib{i % 3}", i, f"v{i % 4}", None if i % 8 == 5 else (i if i != 23 else 20), None if i == 9 else (people[i % 5] + 0.3 * rng.normal(size=6)).tolist(), (people[i % 5] + 0.2 * rng.normal(size=6)).tolist() if i % 2 else None) for i in range(45)]
+    schema = "library string, seq long, video string, cluster long, cam_emb array<double>, eres_emb array<double>"
+    want = {}
+    registries = {f"lib{k}": Registry() for k in range(3)}
+    for library, seq, video, cluster, cam, eres in rows:
+        want[seq] = (library, registries[library].match(cam, eres, video, cluster))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.STORE)
+    try:
+        for n in range(3):  # each time the query starts again from its checkpoint
+            spark.createDataFrame(rows[15 * n : 15 * n + 15], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+            source = spark.readStream.schema(spark.createDataFrame(rows, schema).schema).parquet(str(tmp_path / "in/*"))
+            q = live.live_registry(source).writeStream.option("checkpointLocation", str(tmp_path / "check")).format("parquet").start(str(tmp_path / "out"))
+            try:
+                q.processAllAvailable()
+            finally:
+                q.stop()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(got) == 45 and {r.seq: (r.library, r.speaker_id) for r in got} == want
 
 
 def samples_of(spark, n=40):
