@@ -75,6 +75,13 @@ def audible(df: DataFrame) -> DataFrame:
     return df.where(~F.col("has_audio").eqNullSafe(F.lit(False)))
 
 
+def stems_of_folders(files: DataFrame) -> DataFrame:
+    """(folder, vocals, instrumental): of files (folder, position, name) the last one of either kind by position, then by name; null where there is none."""
+    rows = files.withColumn("_kind", T.stem_kind(F.col("name")))
+    last = lambda kind: F.max(F.when(F.col("_kind") == kind, F.struct("position", "name")))["name"].alias(kind)
+    return rows.groupBy("folder").agg(last("vocals"), last("instrumental"))
+
+
 AUDIO = "path string, sample_rate int, samples array<float>, status string, reason string"
 
 

@@ -101,6 +101,15 @@ def test_the_least_scene_length_follows_the_rate_of_the_stream(spark, rate):
     assert cuts == {"a": next(r.cuts for r in out if r.stream == "a"), "b": next(r.cuts for r in SG.cut_list(frames, 25.0).collect() if r.stream == "b")}
 
 
+def test_stems_of_folders_take_the_last_of_either_kind(spark):
+    kinds = {"a_(Vocals).wav": "vocals", "a_(No Vocals).wav": "instrumental", "a_no_vocals.wav": "instrumental", "Inst.wav": "instrumental", "my_instrumental.wav": "instrumental", "x_(No Reverb).wav": "vocals", "x_no_reverb": "vocals", "x_(Reverb)": "instrumental", "novel_vocals": None, "drums": None, "": None}
+    df = spark.createDataFrame(list(kinds.items()), "n string, k string")
+    assert [r.n for r in df.where(~T.stem_kind(F.col("n")).eqNullSafe(F.col("k"))).collect()] == []
+    files = [("a", 0, "vocals.wav"), ("a", 1, "inst.wav"), ("a", 2, "no_reverb.wav"), ("a", 9, "drums.wav"), ("b", 0, "reverb.wav"), ("b", 0, "instrument.wav"), ("c", 0, "x")]
+    rows = MD.stems_of_folders(spark.createDataFrame(files, "folder string, position int, name string").repartition(3)).collect()
+    assert {r.folder: (r.vocals, r.instrumental) for r in rows} == {"a": ("no_reverb.wav", "inst.wav"), "b": (None, "reverb.wav"), "c": (None, None)}
+
+
 def test_natural_order(spark):
     names = ["clip10.mp4", "clip2.mp4", "Clip1.mp4"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
