@@ -156,8 +156,9 @@ def negatives(bounds: Bounds, most: int, lowest: int, highest: int):
             given = m.queries.column(m.queries.schema.get_field_index("scores")).take(pa.array(order))
             sizes = np.asarray(given.value_lengths())
             scores = _blocks.matrix(given, int(sizes.max()), np.int64)
-            # Whole numbers s with lowest * p <= 100 * s <= highest * p.
-            floor, ceiling = -(-lowest * scores // 100), highest * scores // 100
+            # Whole numbers s with lowest * p <= 100 * s <= highest * p, by hundreds and the rest, as 100 * p may not fit.
+            hundreds, rest = np.divmod(scores, 100)
+            floor, ceiling = lowest * hundreds - (-lowest * rest // 100), highest * hundreds + highest * rest // 100
             there = np.arange(scores.shape[1]) < sizes[:, None]
             for a, x, r in _pieces(bounds, m.block, asked):
                 unlike = a.labels[:, None] != x.labels
