@@ -20,6 +20,7 @@ from shotlake.operators import frames as FR
 from shotlake.operators import identity as ID
 from shotlake.operators import intervals as IV
 from shotlake.operators import segments as SG
+from shotlake.sources.outputs import Outputs
 
 Relations = dict[str, DataFrame]
 
@@ -112,6 +113,20 @@ def written(path: str) -> Callable[[str, DataFrame], DataFrame]:
     return materialize
 
 
+def written_by_source(path: str, streams: DataFrame) -> Callable[[str, DataFrame], DataFrame]:
+    """A materialize for run(): each stage's rows as the outputs of streams, below path; those of other streams stay as they are.
+
+    What later stages read is what the table now has of streams.
+    """
+
+    def materialize(name: str, df: DataFrame) -> DataFrame:
+        out = Outputs(df.sparkSession, f"{path}/{name}", df.schema)
+        out.write(df, streams)
+        return out.read().join(streams.select("stream").distinct(), "stream", "left_semi").select(*df.columns)
+
+    return materialize
+
+
 def stage_timing(spark: SparkSession, records: list[tuple[str, float, int]]) -> DataFrame:
     """(stage, seconds, calls, rows) of what run() has recorded, the longest first."""
     rows = spark.createDataFrame(records, "stage string, seconds double, rows long")

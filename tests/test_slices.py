@@ -11,6 +11,7 @@ from shotlake.plans import stages
 from shotlake.sources import documents as D
 from shotlake.sources import raw
 from shotlake.sources import slices as S
+from shotlake.sources.outputs import Outputs
 
 
 class Counted(io.BytesIO):
@@ -114,3 +115,19 @@ def test_stages_record_their_rows_and_seconds(spark, tmp_path):
     stages.run(relations, {"persons": {"enabled": False}}, stages.written(str(tmp_path)), lambda *r: records.append(r))
     timing = stages.stage_timing(spark, records).collect()
     assert {r.stage: (r.calls, r.rows) for r in timing}["quality"] == (2, 400) and [r.seconds for r in timing] == sorted((r.seconds for r in timing), reverse=True)
+
+
+def test_stages_run_again_for_some_streams_leave_the_others(spark, tmp_path):
+    frames = spark.range(300).select((F.col("id") % 3).alias("stream"), F.floor(F.col("id") / 3).alias("frame_index"), (F.col("id") % 7 * 30.0).alias("luma_mean"), F.lit(50.0).alias("luma_std"), (F.col("id") % 11).cast("double").alias("sharpness"))
+    streams = spark.createDataFrame([(i, 100, 25.0) for i in range(3)], "stream long, total long, fps double")
+    cfg, root = {"persons": {"enabled": False}}, str(tmp_path)
+    first = stages.run({"frames": frames, "streams": streams}, cfg, stages.written_by_source(root, streams))
+    whole = {n: sorted(map(tuple, first[n].collect())) for n in ("quality", "storyboard")}
+    some = streams.where("stream = 1")
+    darker = frames.where("stream = 1").withColumn("luma_mean", F.col("luma_mean") / 2)
+    again = stages.run({"frames": darker, "streams": some}, cfg, stages.written_by_source(root, some))
+    for name, old in whole.items():
+        now = sorted(map(tuple, Outputs(spark, f"{root}/{name}", first[name].schema).read().collect()))
+        of = first[name].columns.index("stream")
+        assert [r for r in now if r[of] != 1] == [r for r in old if r[of] != 1]
+        assert sorted(map(tuple, again[name].collect())) == [r for r in now if r[of] == 1]
