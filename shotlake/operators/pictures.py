@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from shotlake.functions import geometry as G
+
 IMAGE = "height int, width int, channels int, data binary"
 
 
@@ -74,6 +76,29 @@ def storyboards(cells: DataFrame, frames: DataFrame, cols: int = 3, rows: int =
     return met.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + f", {IMAGE}")
 
 
+def bounded(images: DataFrame, most: int = 1920) -> DataFrame:
+    """images (height, width, channels, data, ...) inside a frame of most x most * 9/16 of either orientation, and resized, whether they had to change.
+
+    The decision is taken on the sizes; pixels of images that fit do not reach Python and stay as they are.
+    """
+    size = G.fitted_frame(F.col("width"), F.col("height"), most)
+    sized = images.withColumn("_size", size).withColumn("resized", (F.col("_size.width") != F.col("width")) | (F.col("_size.height") != F.col("height")))
+
+    @F.pandas_udf("binary")
+    def shrunk(h: pd.Series, w: pd.Series, c: pd.Series, raw: pd.Series, to_h: pd.Series, to_w: pd.Series) -> pd.Series:
+        out = []
+        for d, *sizes in zip(raw, h, w, c, to_h, to_w, strict=True):
+            if d is not None:
+                a, b, e, y, x = map(int, sizes)  # not whole numbers where some are null
+                d = resized(np.frombuffer(d, np.uint8).reshape(a, b, e), y, x).tobytes()
+            out.append(d)
+        return pd.Series(out, dtype=object)
+
+    pixels = shrunk("height", "width", "channels", F.when(F.col("resized"), F.col("data")), "_size.height", "_size.width")
+    sized = sized.withColumn("data", F.when(F.col("resized"), pixels).otherwise(F.col("data")))
+    return sized.withColumns({c: F.when(F.col("resized"), F.col(f"_size.{c}").cast("int")).otherwise(F.col(c)) for c in ("height", "width")}).drop("_size")
+
+
 def cropped(records: DataFrame, frames: DataFrame) -> DataFrame:
     """records (stream, frame_index, crop struct(x1, y1, x2, y2), ...) with image, the part [x1, x2) x [y1, y2) of their frame.
 

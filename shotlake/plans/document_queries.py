@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from shotlake.plans import adapters as A
 from shotlake.plans.speech_queries import _OVERLAP_SQL
+from shotlake.session import scratch
 from shotlake.sources import documents as D
+from shotlake.sources import manifests as M
+from shotlake.sources.outputs import Outputs
 
 
 def _relations(spark, d):
@@ -32,7 +35,30 @@ def transcript_files(spark, d):
     return rows.select("path", F.col("d.source.file").alias("file"), F.round("d.source.duration_sec", 3).alias("duration_sec"), "d.speaker_count", F.array_join("d.speakers", ",").alias("speakers"), of("index").alias("turns"), F.md5(of("text").cast("binary")).alias("texts_md5"))
 
 
-QUERIES = [shot_subtitle_files, transcript_files]
+def latest_outputs(spark, d):
+    """Frames of each stream as the outputs of four runs, with the number of the run that they are from.
+
+    All streams are run, every third again, every seventh is dropped, every fourteenth comes back; then useless rows are compacted.
+    """
+    frames = A.frames(spark, d).select("stream", "frame_index", F.col("sharpness").alias("value"))
+    streams, of = frames.select("stream").distinct(), lambda n, times: frames.withColumns({"version": F.lit(n), "value": F.col("value") * times})
+    out = Outputs(spark, scratch(spark, "outputs"), of(1, 1).schema)
+    out.write(of(1, 1))
+    out.write(of(2, 2), streams.where("stream % 3 = 0"))
+    out.drop(streams.where("stream % 7 = 0"))
+    out.write(of(4, -1), out.pending(streams.where("stream % 14 = 0")))
+    out.compacted()
+    return out.read()
+
+
+def quality_lines(spark, d):
+    """What the debug file of frame qualities holds: four decimals, and flags as 1 and 0."""
+    q = A.quality(spark, d).select("stream", "frame_index", "luma_mean", "luma_std", "sharpness", "bad")
+    shown = M.debug_lines(q, dict.fromkeys(("luma_mean", "luma_std", "sharpness"), "%.4f"))
+    return shown.select("stream", F.concat_ws(",", *shown.columns[1:]).alias("line"))
+
+
+QUERIES = [shot_subtitle_files, transcript_files, latest_outputs, quality_lines]
 
 _TIME = "'%02d:%02d:%02d,%03d --> %02d:%02d:%02d,%03d', a // 3600000, a // 60000 % 60, a // 1000 % 60, a % 1000, b // 3600000, b // 60000 % 60, b // 1000 % 60, b % 1000"
 
@@ -44,4 +70,7 @@ ORACLE_SQL = {
   FROM v_shots x LEFT JOIN v_n USING (conv_id, shot_index) GROUP BY x.conv_id, x.shot_index""",
     "transcript_files": f"""WITH {A.UTTER_SQL} SELECT printf('clip_%d/transcript.json', conv_id) AS path, printf('in/clip_%d.mp4', conv_id) AS file, round(max(end_sec), 3) AS duration_sec, CAST(count(DISTINCT nullif(speaker, '')) AS INTEGER) AS speaker_count,
     array_to_string(list_sort(list_distinct(list(nullif(speaker, '')))), ',') AS speakers, string_agg(turn::VARCHAR, '|' ORDER BY turn) AS turns, md5(string_agg(text, '|' ORDER BY turn)) AS texts_md5 FROM v_utter GROUP BY conv_id""",
+    "latest_outputs": f"""WITH {A.FRAMES_SQL}, v_of AS (SELECT *, CASE WHEN stream % 14 = 0 THEN 4 WHEN stream % 7 = 0 THEN 0 WHEN stream % 3 = 0 THEN 2 ELSE 1 END AS version FROM v_frames)
+  SELECT stream, frame_index, CAST(version AS INTEGER) AS version, sharpness * CASE version WHEN 4 THEN -1 ELSE version END AS value FROM v_of WHERE version > 0""",
+    "quality_lines": f"""WITH {A.QUALITY_SQL} SELECT stream, concat_ws(',', frame_index, printf('%.4f', luma_mean), printf('%.4f', luma_std), printf('%.4f', sharpness), CAST(bad AS INTEGER)) AS line FROM v_quality""",
 }

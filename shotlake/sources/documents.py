@@ -23,6 +23,7 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,6 +149,29 @@ def tidied(root: str) -> None:
             fs.delete_dir(info.path)
 
 
+def delete_files(df: DataFrame, root: str) -> DataFrame:
+    """(path, existed) for each of df's paths, which are deleted below root when the result is evaluated; to be done once all who read them are through.
+
+    A path that is not there is no error, so a task that runs twice does no harm
+    but that it may then say false.
+    """
+
+    def run(batches):
+        fs, at = _open(root.rstrip("/"))
+        for batch in batches:
+            paths = [checked(p) for p in batch.column(0).to_pylist()]
+            found = [x.type == pafs.FileType.File for x in fs.get_file_info([f"{at}/{p}" for p in paths])]
+            for path, there in zip(paths, found, strict=True):
+                if there:
+                    try:
+                        fs.delete_file(f"{at}/{path}")
+                    except FileNotFoundError:
+                        pass
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(found, pa.bool_())], ["path", "existed"])
+
+    return df.select("path").distinct().mapInArrow(run, "path string, existed boolean")
+
+
 def read_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(path, content) of the committed files below root whose name fits pattern; what begins with _ or a dot is not looked at, and Spark's file scan passes over empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)

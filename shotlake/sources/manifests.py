@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shotlake.functions import text as T
+from shotlake.sources.outputs import exists
+
 
 def unprocessed(sources: DataFrame, manifest: DataFrame, key: str = "stem") -> DataFrame:
     """sources without those whose manifest row says complete; a manifest row is written after all of a source's outputs."""
@@ -67,6 +70,40 @@ def read_documents(spark, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
 
 
-def write_debug_csv(df: DataFrame, path: str) -> None:
-    """Doubles with six decimals."""
-    df.select(*(F.format_string("%.6f", c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes)).write.mode("overwrite").option("header", True).csv(path)
+def debug_lines(df: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
+    """df with its doubles as text: six decimals, or as patterns says of a column (such as %.4f); booleans become 1 and 0.  Null and NaN stay empty."""
+    patterns = patterns or {}
+
+    def shown(name: str, kind: str):
+        c = F.col(name)
+        if kind == "boolean":
+            c, kind = c.cast("int"), "int"
+        if name in patterns or kind in ("double", "float"):
+            return F.when(c.isNotNull() & ~F.isnan(c) if kind in ("double", "float") else c.isNotNull(), F.format_string(patterns.get(name, "%.6f"), c)).alias(name)
+        return c.alias(name)
+
+    return df.select(*(shown(c, t) for c, t in df.dtypes))
+
+
+def write_debug_csv(df: DataFrame, path: str, patterns: dict[str, str] | None = None) -> None:
+    """The columns as debug_lines shows them, with a header."""
+    debug_lines(df, patterns).write.mode("overwrite").option("header", True).csv(path)
+
+
+def templates(spark: SparkSession, folder: str, files: dict[str, str], fallback: str = "") -> DataFrame:
+    """(mode, template) for each mode of files: the text of the file of that name in folder, or fallback where there is none, without blanks at the ends."""
+    wanted = spark.createDataFrame([*files.items()], "mode string, name string")
+    if exists(spark, folder):
+        names = "{" + ",".join(sorted(set(files.values()))) + "}"
+        read = spark.read.format("binaryFile").option("pathGlobFilter", names).load(folder)
+        found = read.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("content").cast("string").alias("text"))
+        wanted = wanted.join(found, "name", "left")
+    else:
+        wanted = wanted.withColumn("text", F.lit(None).cast("string"))
+    return wanted.select("mode", F.regexp_replace(F.coalesce("text", F.lit(fallback)), r"(?U)^\s+|\s+$", "").alias("template"))
+
+
+def prompted(shots: DataFrame, texts: DataFrame, mode: str = "mode") -> DataFrame:
+    """shots with the template of their mode, where an unknown mode is the default one; texts has a row a mode, so it is broadcast."""
+    named = texts.select(F.col("mode").alias("_mode"), "template")
+    return shots.join(F.broadcast(named), T.mode_name(F.coalesce(F.col(mode), F.lit(""))) == F.col("_mode"), "left").drop("_mode")

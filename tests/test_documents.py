@@ -108,3 +108,13 @@ def test_transcripts_and_shots_as_documents(spark, tmp_path):
     assert json.loads(out["silent/shot_0001/asr.json"])["segments"] == []
     back = D.read_files(spark, root, "asr.json").select(F.from_json(F.col("content").cast("string"), "shot_id string, segments array<struct<text:string>>").alias("d")).select("d.shot_id", F.size("d.segments").alias("n"))
     assert sorted(map(tuple, back.collect())) == [("shot_0001", 0), ("shot_0001", 1), ("shot_0002", 2)]
+
+
+def test_files_are_deleted_once_they_have_been_read(spark, tmp_path):
+    root = str(tmp_path)
+    D.write_files(rows(spark, ("a/x", "1"), ("a/y", "2"), ("b/x", "3")), root)
+    gone = D.delete_files(spark.createDataFrame([("a/x",), ("a/x",), ("b/none",), ("b/x",)], "path string"), root)
+    assert sorted(map(tuple, gone.collect())) == [("a/x", True), ("b/none", False), ("b/x", True)]
+    assert files(root) == {"a/y": b"2"}
+    with pytest.raises(Exception, match="not a path"):
+        D.delete_files(spark.createDataFrame([("../x",)], "path string"), root).collect()

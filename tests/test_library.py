@@ -172,6 +172,19 @@ def test_manifests(spark, tmp_path):
     MF.write_texts(ok, str(tmp_path / "t"), "i", "status")
     MF.write_debug_csv(ok.withColumn("x", F.lit(1 / 3)), str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).first().x == "0.333333"
+    odd = spark.createDataFrame([(1, 0.25, 2.0, True), (2, None, float("nan"), None)], "i int, x double, y double, b boolean")
+    assert [tuple(r) for r in MF.debug_lines(odd, {"x": "%.4f", "i": "%03d"}).orderBy("i").collect()] == [("001", "0.2500", "2.000000", 1), ("002", None, None, None)]
+
+
+def test_templates_fall_back_and_modes_default(spark, tmp_path):
+    files = {"storyboard": "a.md", "frames": "b.md"}
+    assert {tuple(r) for r in MF.templates(spark, str(tmp_path / "none"), files, " x ").collect()} == {("storyboard", "x"), ("frames", "x")}
+    (tmp_path / "a.md").write_text("\n 一 {fps}\n\nend\u3000\n")
+    (tmp_path / "c.md").write_text("other")
+    got = MF.templates(spark, str(tmp_path), files, "none")
+    assert {tuple(r) for r in got.collect()} == {("storyboard", "一 {fps}\n\nend"), ("frames", "none")}
+    shots = spark.createDataFrame([(1, " Frames "), (2, None), (3, "other"), (4, "storyboard")], "i int, mode string")
+    assert {r.i: r.template for r in MF.prompted(shots, got).collect()} == {1: "none", 2: "一 {fps}\n\nend", 3: "一 {fps}\n\nend", 4: "一 {fps}\n\nend"}
 
 
 def test_config(tmp_path):

@@ -96,3 +96,17 @@ def test_crops_become_files_of_persons(spark, tmp_path):
     assert set(back) == {f"a/persons/a/a_f{f:07d}.png" for f in (1, 2, 3)}
     assert np.array_equal(back["a/persons/a/a_f0000001.png"], images["a", 1][3:9, 2:10]) and np.array_equal(back["a/persons/a/a_f0000002.png"], images["a", 2][:4, :4]) and np.array_equal(back["a/persons/a/a_f0000003.png"], images["a", 3][15:, 25:])
     assert np.array_equal(unpng(P.png(images["a", 0])), images["a", 0])
+
+
+def test_images_are_bounded_only_where_they_do_not_fit(spark):
+    rng = np.random.default_rng(3)
+    images = [rng.integers(0, 256, shape, dtype=np.uint8) for shape in ((18, 32, 3), (40, 20, 3), (20, 50, 1), (7, 9, 3))]
+    rows = [(i, *x.shape, x.tobytes()) for i, x in enumerate(images)] + [(9, 40, 20, 3, None), (10, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, " + P.IMAGE)
+    got = {r.id: r for r in P.bounded(df, 32).collect()}
+    assert {i: (r.height, r.width, r.resized) for i, r in got.items()} == {0: (18, 32, False), 1: (32, 16, True), 2: (12, 32, True), 3: (6, 8, True), 9: (32, 16, True), 10: (None, None, None)}
+    assert bytes(got[0].data) == images[0].tobytes() and got[9].data is None
+    for i in (1, 2, 3):
+        r = got[i]
+        out = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels).astype(int)
+        assert np.abs(out - plain_resized(images[i].astype(float), r.height, r.width)).max() <= 0.5 + 1e-9
