@@ -18,6 +18,7 @@ from tokenizers import Tokenizer
 
 from shotlake.llm import _tokens, bitplanes, chat, decontaminate, katz, language_id, ngram_jaccard, packing, quality, token_counts, warc
 from shotlake.llm._components import components
+from shotlake.llm._filter import maybe_in
 from shotlake.llm._store import new_path
 from shotlake.llm._text import U64, words
 from tests.compare import SF
@@ -401,6 +402,16 @@ def test_quality_scores_and_verdicts_equal_a_plain_restatement(spark):
     assert {i for i, r in got.items() if r.kept} == {i for i, r in got.items() if not r.base_failed and want[i] >= best / 1000}
 
 
+@pytest.mark.parametrize("n", [0, 1, 3000, 60_000])
+def test_the_filter_passes_all_keys_and_few_others(spark, n):
+    keys = spark.range(n).select(F.when(F.col("id") > 0, F.col("id") * 7).alias("k")).union(spark.sql("select 7L as k where false"))
+    rows = spark.range(7 * 60_000).select(F.col("id").alias("k"), ((F.col("id") % 7 == 0) & (F.col("id") > 0) & (F.col("id") < 7 * n)).alias("key"))
+    got = rows.where(maybe_in(spark, "k", keys)).groupBy("key").count().collect()
+    count = {r["key"]: r["count"] for r in got}
+    assert count.get(True, 0) == max(0, n - 1) and count.get(False, 0) < 0.03 * 7 * 60_000
+    assert spark.sql("select cast(null as long) as k").where(maybe_in(spark, "k", keys)).count() == (n > 0)
+
+
 def test_only_rows_of_the_ids_pass_the_filter(spark, odd):
     docs = odd.select(F.col("doc_id").alias("id"), "text")
     assert sorted(r.id for r in quality.of_ids(docs, spark.createDataFrame([(2,), (9,), (77,)], "id long")).collect()) == [2, 2, 9]
