@@ -143,6 +143,26 @@ def group_best(df: DataFrame, fps: float, size: int = 3) -> DataFrame:
     return best.withColumn("time_sec", F.col("group") / fps)
 
 
+def rate_candidates(shots: DataFrame, rate: float, candidates: int = 3, most: int = 0, key: tuple[str, ...] = ("stream",)) -> DataFrame:
+    """(*key, group, slot, frame_index): the frames that shots (*key, fps, frames, start_sec, duration_sec) show at rate * candidates a second.
+
+    Slot n shows the last frame of the shot that begins before n + 1/2 slots have passed, or its first one, so frames repeat where the
+    rate is above theirs.  A shot has as many slots as fit its length, half a slot counting as one; most, if not 0,
+    bounds its groups of candidates slots.  A null or negative start is 0; a null or zero duration goes to the end.
+    A shot without fps, or that begins after its last frame, has none.
+    """
+    pace, fps = float(rate) * candidates, F.col("fps").cast("double")
+    start = F.greatest(F.lit(0.0), F.coalesce(F.col("start_sec").cast("double"), F.lit(0.0)))
+    left = F.col("frames") / fps - start
+    length = F.when(F.col("duration_sec") > 0, F.least(left, F.col("duration_sec").cast("double"))).otherwise(left)
+    count = F.floor(length * pace + 0.5)
+    count = F.least(count, F.lit(most * candidates)) if most else count
+    slots = shots.where(fps > 0).select(*key, "frames", fps.alias("fps"), start.alias("start"), F.explode(F.when(count > 0, F.sequence(F.lit(0).cast("long"), count - 1))).alias("slot"))
+    first = F.ceil(F.col("start") * F.col("fps"))
+    shown = F.ceil((F.col("slot") + 0.5) * F.col("fps") / pace + F.col("start") * F.col("fps")) - 1
+    return slots.select(*key, F.floor(F.col("slot") / candidates).alias("group"), "slot", F.least(F.greatest(first, shown), F.col("frames") - 1).alias("frame_index"))
+
+
 def cut_scores(df: DataFrame, threshold: float = 3.0, min_content: float = 15.0, reach: int = 2, key: tuple[str, ...] = ("stream",)) -> DataFrame:
     """(*key, frame_index, content, ratio, is_cut): change against the frame before, over the mean change of the neighbours, each within key."""
     order = Window.partitionBy(*key).orderBy("frame_index")

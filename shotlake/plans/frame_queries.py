@@ -142,7 +142,13 @@ def run_stats_rollup(spark, d):
     return e.groupBy(F.col("event_type").alias("stage")).agg(F.round(F.sum("value"), 4).alias("seconds"), F.count("*").alias("calls"), F.round(F.min("value"), 6).alias("shortest"), F.round(F.max("value"), 6).alias("longest"))
 
 
-QUERIES = [frame_quality_scores, frame_invalid_reason, valid_range_trim, uniform_sample_frames, storyboard_cells, window_best_frame, candidate_group_best, cut_adaptive_ratio, segment_split_over_max, segment_method_label, cut_list, segment_subdetect, segment_whole, segment_build, pair_motion_aggregate, cumulative_transform, cumulative_homography, motion_totals, run_stats_rollup]
+def rate_candidates(spark, d):
+    """Streams at six candidates a second in groups of three, from a start that differs and, of every third, for two seconds."""
+    shots = A.frames(spark, d).groupBy("stream").agg(F.count("*").alias("frames")).select("stream", "frames", F.lit(25.0).alias("fps"), (F.col("stream") % 4 / 8.0).alias("start_sec"), F.when(F.col("stream") % 3 == 0, 2.0).alias("duration_sec"))
+    return FR.rate_candidates(shots, 2.0, 3)
+
+
+QUERIES = [frame_quality_scores, frame_invalid_reason, valid_range_trim, uniform_sample_frames, storyboard_cells, window_best_frame, candidate_group_best, cut_adaptive_ratio, segment_split_over_max, segment_method_label, cut_list, segment_subdetect, segment_whole, segment_build, pair_motion_aggregate, cumulative_transform, cumulative_homography, motion_totals, run_stats_rollup, rate_candidates]
 
 ORACLE_SQL = {
     "frame_quality_scores": f"WITH {A.QUALITY_SQL} SELECT stream, frame_index, sharpness_median, quality_score, is_black, is_white, is_blur, is_low_info, bad FROM v_quality",
@@ -198,4 +204,7 @@ ORACLE_SQL = {
   SELECT stream, cum_scale AS scale_total, cum_rotation_deg AS rotation_deg_total, cum_tx AS tx_total, cum_ty AS ty_total, moved / (diag + 1e-9) AS translation_norm, path / (moved + 1e-9) AS translation_path_ratio,
     abs(ln(greatest(cum_scale, 1e-9))) / 0.1 AS score_zoom, abs(cum_rotation_deg) / 3.0 AS score_rotation, moved / (diag + 1e-9) / 0.03 AS score_translation FROM v_end""",
     "run_stats_rollup": "SELECT event_type AS stage, round(sum(value), 4) AS seconds, count(*) AS calls, round(min(value), 6) AS shortest, round(max(value), 6) AS longest FROM events GROUP BY event_type",
+    "rate_candidates": f"""WITH {A.FRAMES_SQL}, v_shots AS (SELECT stream, count(*) AS frames, stream % 4 / 8.0::DOUBLE AS start, CASE WHEN stream % 3 = 0 THEN 2.0::DOUBLE END AS most FROM v_frames GROUP BY stream),
+  v_slots AS (SELECT *, unnest(generate_series(0, CAST(floor(least(frames / 25.0::DOUBLE - start, coalesce(most, 1e9)) * 6 + 0.5) AS BIGINT) - 1)) AS slot FROM v_shots)
+  SELECT stream, slot // 3 AS "group", slot, least(greatest(CAST(ceil(start * 25) AS BIGINT), CAST(ceil((slot + 0.5::DOUBLE) * 25 / 6 + start * 25) AS BIGINT) - 1), frames - 1) AS frame_index FROM v_slots""",
 }

@@ -15,10 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
+from shotlake.operators import frames as FR
+from shotlake.operators import pictures as P
 from shotlake.sources import raw
-from shotlake.sources.media import shrunk, to_gray
+from shotlake.sources.media import frame_measures, shrunk, to_gray
 
 GAP = 256 << 10  # bytes between two ranges that are read rather than stepped over
 MOST = 8 << 20  # bytes that are read in one go, or one range
@@ -162,3 +165,50 @@ def audio_slices(wanted: DataFrame, folder: str) -> DataFrame:
 
     return dealt.mapInArrow(run, schema)
 
+
+PROBED = pa.schema([("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("fps", pa.float64()), ("frames", pa.int64()), ("sample_rate", pa.int32()), ("duration_sec", pa.float64()), ("reason", pa.string())])
+
+
+def probed(files: DataFrame, folder: str) -> DataFrame:
+    """files (file, ...) with what the header of the raw video or WAV file below folder says: PROBED; nothing else of it is read.
+
+    A file that is missing, or neither of both, has a reason and null otherwise; names that do not end in .wav are taken for raw videos.
+    """
+    columns = [c for c in files.columns if c not in PROBED.names]
+    rows = files.select(*columns)
+
+    def header(file: str | None) -> dict:
+        try:
+            open_ = _opener(f"{folder.rstrip('/')}/{file}")
+            if (file or "").lower().endswith(".wav"):
+                x = twice(open_, wav_layout)
+                return {"channels": x["channels"], "sample_rate": x["rate"], "duration_sec": x["bytes"] // (x["channels"] * x["width"]) / x["rate"]}
+            x, _ = twice(open_, raw.read_header)
+            return {c: x[c] for c in ("width", "height", "channels", "fps", "frames")} | {"duration_sec": x["frames"] / x["fps"] if x["fps"] > 0 else 0.0}
+        except (OSError, ValueError, KeyError, struct.error, ZeroDivisionError) as e:
+            return {"reason": str(e)[:200] or type(e).__name__}
+
+    schema = StructType([*rows.schema, *from_arrow_schema(PROBED)])
+
+    def run(batches):
+        for batch in batches:
+            found = [header(x) for x in batch.column(batch.schema.get_field_index("file")).to_pylist()]
+            made = [pa.array([x.get(f.name) for x in found], f.type) for f in PROBED]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *PROBED.names])
+
+    return rows.mapInArrow(run, schema)
+
+
+def extracted(shots: DataFrame, folder: str, rate: float, candidates: int = 3, most: int = 0, most_side: int = 1920, key: tuple[str, ...] = ("stream",)) -> DataFrame:
+    """(*key, name, time_sec, frame_index, height, width, channels, data): of shots, as frames.rate_candidates takes them, the sharpest frame of each group of candidates.
+
+    Sharpness is that of the frame as it will be shown, inside most_side; the first wins ties.  Only the
+    measures of candidates are moved, and the winners are read again by their places.
+    """
+    wanted = FR.rate_candidates(shots, rate, candidates, most, key).withColumn("stream", F.col("stream").cast("string"))
+    seen = P.bounded(frames_at(wanted, folder), most_side).select("stream", "frame_index", F.struct("height", "width", "channels", "data").alias("image"))
+    sharp = seen.select("stream", "frame_index", frame_measures("image", most_side)["sharpness"].alias("sharpness"))
+    met = wanted.join(sharp, ["stream", "frame_index"]).groupBy(*key, "group").agg(F.max_by("frame_index", F.struct("sharpness", -F.col("slot"))).alias("frame_index"))
+    shown = P.bounded(frames_at(met, folder), most_side).select("stream", "frame_index", "height", "width", "channels", "data")
+    named = met.select(*key, "frame_index", F.format_string("frame_%05d.png", F.col("group") + 1).alias("name"), F.round(F.col("group") / float(rate), 3).alias("time_sec"))
+    return named.join(shown, ["stream", "frame_index"]).select(*key, "name", "time_sec", "frame_index", "height", "width", "channels", "data")

@@ -11,6 +11,7 @@ from shotlake.plans import stages
 from shotlake.sources import documents as D
 from shotlake.sources import raw
 from shotlake.sources import slices as S
+from shotlake.sources.media import gray_measures
 from shotlake.sources.outputs import Outputs
 
 
@@ -131,3 +132,46 @@ def test_stages_run_again_for_some_streams_leave_the_others(spark, tmp_path):
         of = first[name].columns.index("stream")
         assert [r for r in now if r[of] != 1] == [r for r in old if r[of] != 1]
         assert sorted(map(tuple, again[name].collect())) == [r for r in now if r[of] == 1]
+
+
+def test_headers_are_probed(spark, tmp_path):
+    (tmp_path / "a.rawv").write_bytes(raw.raw_video(np.zeros((50, 8, 6, 3), np.uint8), 25.0))
+    with wave.open(str(tmp_path / "b.wav"), "wb") as w:
+        w.setnchannels(2), w.setsampwidth(2), w.setframerate(8000), w.writeframes(b"\0" * 4 * 12_000)
+    (tmp_path / "c.rawv").write_bytes(b"other")
+    files = spark.createDataFrame([("a.rawv", 1), ("b.wav", 2), ("c.rawv", 3), ("none.wav", 4), (None, 5)], "file string, fps int")
+    got = {r.file: r for r in S.probed(files, str(tmp_path)).collect()}
+    assert tuple(got["a.rawv"])[1:] == (6, 8, 3, 25.0, 50, None, 2.0, None)
+    assert tuple(got["b.wav"])[1:] == (None, None, 2, None, None, 8000, 1.5, None)
+    assert all(got[x].reason and got[x].duration_sec is None for x in ("c.rawv", "none.wav", None))
+
+
+def test_the_sharpest_candidates_are_extracted(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    video = np.stack([(128 + rng.integers(-1, 2, (12, 16, 3)) * (i * 7 % 11) * 5).astype(np.uint8) for i in range(48)])
+    (tmp_path / "a.rawv").write_bytes(raw.raw_video(video, 24.0))
+    shots = spark.createDataFrame([("a", 0, 24.0, 48, None, None), ("a", 1, 24.0, 48, 0.5, 0.75), ("a", 2, 24.0, 48, 3.0, None), ("a", 3, 0.0, 48, None, None)], "stream string, shot int, fps double, frames long, start_sec double, duration_sec double")
+
+    def sharpness(i):
+        return gray_measures(S.to_gray(video[i]))[2]
+
+    def plain(start, length, rate, n):
+        """Each slot by walking the frames."""
+        inside = [i for i in range(48) if start - 1e-9 <= i / 24 < start + length - 1e-9]
+        slots = []
+        for k in range(int(length * rate * n + 0.5)):
+            before = [i for i in inside if (i / 24 - start) * rate * n < k + 0.5 - 1e-9]
+            slots.append((before or inside[:1])[-1])
+        groups = [slots[i : i + n] for i in range(0, len(slots), n)]
+        return [max(g, key=sharpness) for g in groups]
+
+    for rate, n in ((2, 3), (5, 2), (1, 1)):
+        rows = S.extracted(shots, str(tmp_path), rate, n, key=("stream", "shot")).orderBy("shot", "name").collect()
+        for shot, start, length in ((0, 0.0, 2.0), (1, 0.5, 0.75)):
+            mine = [r for r in rows if r.shot == shot]
+            assert [r.frame_index for r in mine] == plain(start, length, rate, n)
+            assert [(r.name, r.time_sec) for r in mine] == [(f"frame_{i + 1:05d}.png", round(i / rate, 3)) for i in range(len(mine))]
+            assert all(bytes(r.data) == video[r.frame_index].tobytes() for r in mine)
+        assert {r.shot for r in rows} == {0, 1}
+    few = S.extracted(shots, str(tmp_path), 2, 3, most=1, most_side=8, key=("stream", "shot")).collect()
+    assert [(r.height, r.width) for r in few] == [(4, 4), (4, 4)]  # a frame of 8 x 4 holds 16 x 12 as 5 x 4, made even
