@@ -187,7 +187,7 @@ def phrases(model: Model, column: pa.Array, block: int) -> np.ndarray:
     return out
 
 
-def sample(df: DataFrame, text_col: str, lang_col: str, sample_bytes: int, row_chars: int) -> dict[str, bytes]:
+def sample(df: DataFrame, text_col: str, lang_col: str, sample_bytes: int = 16384, row_chars: int = 512) -> dict[str, bytes]:
     """At most sample_bytes of labelled text for each language: distinct beginnings of rows, drawn by their hash.
 
     A row gives its first row_chars characters.  Copies share a hash and count

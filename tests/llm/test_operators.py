@@ -191,6 +191,25 @@ def test_a_common_length_is_dealt_over_many_salts(spark, monkeypatch):
         assert [o for o, _ in sorted(b)] == ends[:-1] and ends[-1] <= 64
 
 
+def test_pieces_of_parts_share_no_sequence(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SALTED", 7)
+    of = lambda i: (None, "a", "b")[i % 7 % 3]
+    rows = [(i, of(i), 10 if i % 3 else 1 + i % 60) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, part string, length long").repartition(4)
+    bins, parts = collections.defaultdict(list), collections.defaultdict(set)
+    for r in (got := packing.pack(df, 64, ["id"], "part").collect()):
+        bins[r.sequence_id].append((r.offset, r.length))
+        parts[r.part].add(r.sequence_id)
+    assert sorted((r.id, r.part or "", r.length) for r in got) == [(i, p or "", n) for i, p, n in rows]
+    for b in bins.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(b)]).tolist()]
+        assert [o for o, _ in sorted(b)] == ends[:-1] and ends[-1] <= 64
+    assert sorted(bins) == list(range(len(bins))) and sum(map(len, parts.values())) == len(bins)
+    for p, found in parts.items():
+        assert len(found) == packing.plan(collections.Counter(n for _, q, n in rows if q == p), 64).sequences
+    assert packing.pack(df.where("false"), 64, ["id"], "part").count() == 0
+
+
 def test_packed_documents(odd, empty, vocabulary):
     rows = packing.packed_documents(odd, vocabulary, capacity=64, with_ids=True).collect()
     tokenizer = Tokenizer.from_file(vocabulary)

@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -195,3 +196,30 @@ def test_stages_of_odd_and_empty_tables(spark, odd, tmp_path):
         out = stage(spark, odd, sf)
         assert out.columns == odd.columns and 0 < out.count() <= odd.count() or name == "quality"
     assert {r.doc_id for r in corpus_pipeline.STAGES[4][1](spark, odd, sf).collect()} == {r.doc_id for r in odd.collect()}
+
+
+def test_language_of_the_text_decides_where_it_is_packed(spark, tmp_path):
+    rng, sf = random.Random(5), str(tmp_path)
+    words = {"aa": ["".join(rng.choices("abcde", k=4)) for _ in range(300)], "zz": ["".join(rng.choices("vwxyz", k=4)) for _ in range(300)]}
+    text = lambda k: " ".join(rng.choices(words[k], k=rng.randrange(30, 60)))
+    rows = [(i, text(k := "az"[i % 2] * 2), k, "kept", "kept") for i in range(120)]
+    wrong = {500: "aa", 501: "zz", 502: "aa", 503: "zz"}  # by label of the other language, or without one
+    rows += [(i, text(k), {500: "zz", 501: "aa"}.get(i), "kept", "kept") for i, k in wrong.items()] + [(600, "12 34 ! " * 30, "aa", "kept", "kept"), (601, None, "zz", "kept", "kept")]
+    rows.append((602, "klmno lmnok " * 3 + " ".join(f"{a}{b}lmno" for a in "klmno" for b in "klmno"), "mm", "kept", "kept"))  # of a language that nothing else teaches
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score string").repartition(3)
+    docs.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    want = {i: "az"[i % 2] * 2 for i in range(120)} | wrong | {602: "mm"}
+
+    out = corpus_pipeline.drop_unknown_language(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    assert out.schema.names == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes]
+    assert {r.doc_id: (r.lang, r.lang_pred, r.score) for r in out.collect()} == {i: (k, "kept", "kept") for i, k in want.items()}
+
+    held = {}
+    for r in corpus_pipeline.run(spark, sf).collect():
+        assert r.lang == want[r.doc_id]
+        held.setdefault(r.sequence_id, set()).add(r.lang)
+    assert all(len(x) == 1 for x in held.values()) and {x for y in held.values() for x in y} >= {"aa", "zz"}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {(r.doc_id, r.lang) for r in corpus_pipeline.drop_unknown_language(spark, unlabelled, sf).collect()} == {(i, None) for i in want}
