@@ -137,7 +137,8 @@ _OUTPUTS = ["<think>x</think>ok", "```json\n{\"a\": 1}\n```", "a<|im_end|>b\r\nc
 def prompt_clean(spark, d):
     more = spark.createDataFrame([(-1 - i, x) for i, x in enumerate(_OUTPUTS)], "id long, text string")
     docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("<think>plan\n"), F.substring("text", 1, 40), F.lit("</think>\n```text\n"), F.col("text"), F.lit("\n```<|endoftext|>")).alias("text"))
-    return docs.unionByName(more).select("id", F.md5(T.cleaned_output(F.col("text"))).alias("clean_md5"), F.length(T.cleaned_output(F.col("text"))).cast("long").alias("n"))
+    clean = F.when(F.col("text").isNotNull(), T.cleaned_output(F.col("text")))
+    return docs.unionByName(more).select("id", clean.alias("clean")).select("id", F.md5("clean").alias("clean_md5"), F.length("clean").cast("long").alias("n"))
 
 
 def prompt_missing_sections(spark, d):

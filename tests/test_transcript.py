@@ -34,3 +34,18 @@ def test_audio_and_faces(spark):
     assert TR.representative_audio(w).first().samples == [1.0, 2.0, 3.0]
     f = spark.createDataFrame([("a", 0, 1, 0, 0.0, 0.0, 50.0, 50.0, 0.9), ("a", 0, 1, 1, 0.0, 0.0, 50.0, 50.0, 0.9), ("a", 0, 1, 2, 0.0, 0.0, 5.0, 50.0, 1.0)], "stream string, frame_index long, owner int, face_no int, x1 double, y1 double, x2 double, y2 double, score double")
     assert [r.face_no for r in TR.embeddable_faces(f, 20, 0.5).collect()] == [0]
+
+
+def test_cleaned_outputs_equal_the_sql_on_odd_texts(spark, tmp_path):
+    import duckdb
+
+    from shotlake.plans import speech_queries as SQ
+
+    bits = ["", " ", "\n", "\x0b", " ", "a", "```", "<think>", "</thinK>", "</think>", "<thińk>", "<reaſoning>", "<|im_", "<|im_end|>", "start|>", "\r\n"]
+    texts = [None, "", " \t\n", "\x0b", "  " * 30, *(x + y + z for x in bits for y in bits for z in ("", "b", " "))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(con.execute(SQ.ORACLE_SQL["prompt_clean"]).fetchall())
+    got = sorted(tuple(r) for r in SQ.prompt_clean(spark, str(tmp_path)).collect())
+    assert len(got) == len(texts) + len(SQ._OUTPUTS) and got == want
