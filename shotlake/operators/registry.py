@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -145,21 +146,94 @@ def counts_by(runs: DataFrame, key: list[str], status: str) -> DataFrame:
 
 
 PIVOTS = 256  # at most
+BLOCK = 4 << 20  # bytes of the vectors on either side that meet in a task
+LEAST = 1024  # samples of a block, if there are more
+PAIRS = 1 << 20  # pairs whose products are held at once
+SLACK = 1e-7  # of angles
 
 
-def _angles(column: str, pivots: np.ndarray, more: list[str], schema: str, chosen):
-    """Rows with their angles to the pivots, as chosen(angles, pdf) makes rows of them."""
+def _column(rows: pa.Table, name: str) -> np.ndarray:
+    return np.asarray(rows.column(name).combine_chunks())
 
-    def run(frames):
-        for pdf in frames:
-            for i in range(0, len(pdf), 1024):
-                part = pdf.iloc[i : i + 1024]
-                x = np.stack(part[column].to_list())
-                cos = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ pivots.T
-                row, pivot, angle = chosen(np.arccos(np.clip(cos, -1, 1)), part)
-                yield part.iloc[row][more].assign(pivot=pivot, angle=angle)
 
-    return lambda df: df.select(*more).mapInPandas(run, schema)
+def _vectors(column: pa.Array, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of one length as rows, and over their norms."""
+    x = np.asarray(column.flatten(), np.float64).reshape(len(norm), -1)
+    return x, x / norm[:, None]
+
+
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ b.T, -1, 1))
+
+
+def _runs(rows: np.ndarray, columns: int):
+    """rows in parts that have at most PAIRS pairs with so many columns."""
+    step = max(1, PAIRS // max(1, columns))
+    return (rows[i : i + step] for i in range(0, len(rows), step))
+
+
+class _Lists:
+    """The centres of a block, by pivot and angle to it."""
+
+    def __init__(self, rows: pa.Table):
+        pivot, at = _column(rows, "pivot"), _column(rows, "angle")
+        rows = rows.take(np.lexsort((at, pivot)))
+        self.ids, self.norm, self.at, pivot = (_column(rows, c) for c in ("center_id", "norm", "angle", "pivot"))
+        self.raw, self.unit = _vectors(rows.column("center").combine_chunks(), self.norm)
+        self.pivots, first = np.unique(pivot, return_index=True)
+        self.places = dict(zip(self.pivots.tolist(), zip(first, np.append(first[1:], len(pivot)), strict=True), strict=True))
+
+
+def _nearest(raw: np.ndarray, unit: np.ndarray, norm: np.ndarray, best: np.ndarray, lists: _Lists, angles: np.ndarray):
+    """(row, place in lists, similarity, pairs) of each row's most similar centre, the first on ties, and with how many it was compared.
+
+    angles are those to the pivots of lists.  Products choose, sums in the order of the components decide.
+    """
+    top, looked, found = np.full(len(raw), -np.inf), np.zeros(len(raw), np.int64), []
+
+    def kept(i: np.ndarray, j: np.ndarray, like: np.ndarray) -> None:
+        near = like >= top[i] - 1e-9
+        found.append((i[near], j[near], like[near]))
+
+    for k, pivot in enumerate(lists.pivots.tolist()):
+        a, b = lists.places[pivot]
+        low = a + np.searchsorted(lists.at[a:b], angles[:, k] - best - SLACK)
+        high = a + np.searchsorted(lists.at[a:b], angles[:, k] + best + SLACK, "right")
+        rows = np.flatnonzero(high > low)
+        if not len(rows):
+            continue
+        wide = high[rows] - low[rows]
+        a, b = low[rows].min(), high[rows].max()
+        if 4 * wide.sum() >= len(rows) * (b - a):
+            for part in _runs(rows, b - a):
+                like = unit[part] @ lists.unit[a:b].T
+                top[part] = np.maximum(top[part], like.max(1))
+                i, j = np.nonzero(like >= top[part, None] - 1e-9)
+                kept(part[i], a + j, like[i, j])
+            looked[rows] += b - a
+        else:
+            looked[rows] += wide
+            for part in _runs(rows, max(wide.max(), unit.shape[1] * int(wide.mean() + 1))):
+                n = high[part] - low[part]
+                i = np.repeat(part, n)
+                j = np.arange(len(i)) + np.repeat(low[part] - (np.cumsum(n) - n), n)
+                like = np.einsum("ij,ij->i", unit[i], lists.unit[j])
+                np.maximum.at(top, i, like)
+                kept(i, j, like)
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), looked
+    i, j, like = map(np.concatenate, zip(*found, strict=True))
+    near = like >= top[i] - 1e-9
+    i, j = i[near], j[near]
+    exact = np.zeros(len(i))
+    for c in range(0, len(i), 65536):
+        p, q = i[c : c + 65536], j[c : c + 65536]
+        for x, y in zip(raw[p].T, lists.raw[q].T, strict=True):
+            exact[c : c + 65536] += x * y
+        exact[c : c + 65536] /= norm[p] * lists.norm[q]
+    order = np.lexsort((lists.ids[j], -exact, i))
+    first = order[np.append(True, np.diff(i[order]) > 0)]
+    return i[first], j[first], exact[first], looked
 
 
 def nearest_center(samples: DataFrame, centers: DataFrame, pivots: int | None = None, pairs: Observation | None = None) -> DataFrame:
@@ -167,14 +241,16 @@ def nearest_center(samples: DataFrame, centers: DataFrame, pivots: int | None =
 
     An exact search by the triangle inequality of angles.  Each centre belongs
     to the nearest of some pivots, which are centres drawn by a hash, the square root of their
-    number and PIVOTS at most.  A sample first meets the centres of its own
-    nearest pivot.  Then it meets those of other pivots, and there only centres
+    number and PIVOTS at most.  A sample first meets centres of its own
+    nearest pivot.  Then it meets those of all pivots, and there only centres
     whose angle to the pivot differs from the sample's by no more than the best
-    angle so far, as no other can be nearer.  pairs, an Observation, gets as
+    angle so far, as no other can be nearer.  Samples and centres meet in blocks of a bounded size, as
+    matrix products where the bounds leave much.  pairs, an Observation, gets as
     `pairs` how many are compared in this second round, own lists included.
+    Centres that are equal count as one, the first.
 
     A null embedding or centre, or one with a null component, takes no part; nor does a centre of another length
-    than the sample's.  The similarity with a vector of norm 1e-9 or less is 0.
+    than the sample's, or a vector whose norm is not finite.  The similarity with a vector of norm 1e-9 or less is 0.
     """
     valid = lambda df, c: df.where(F.col(c).isNotNull() & F.forall(c, lambda x: x.isNotNull()))
     asked = valid(samples.select(F.col("sample_id").cast("long").alias("sample_id"), V.doubles("embedding").alias("embedding")), "embedding").withColumn("norm", V.norm("embedding")).withColumn("dim", F.size("embedding"))
@@ -182,42 +258,86 @@ def nearest_center(samples: DataFrame, centers: DataFrame, pivots: int | None =
     # Without a direction: the first such centre of each length has similarity 0 with all, and all have it with such a sample.
     blank = known.where("norm <= 1e-9").groupBy("dim").agg(F.min("center_id").alias("center_id"))
     first = known.groupBy("dim").agg(F.min("center_id").alias("center_id"))
-    still = asked.where("norm <= 1e-9").join(first, "dim").unionByName(asked.where("norm > 1e-9").join(blank, "dim")).select("sample_id", "center_id", F.lit(0.0).alias("similarity"))
+    still = asked.where("norm <= 1e-9").join(first, "dim").unionByName(asked.where("norm > 1e-9").join(blank, "dim")).select("sample_id", "center_id", F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("pairs"))
 
     found = [still]
-    aimed, live = known.where("norm > 1e-9"), asked.where("norm > 1e-9")
+    aimed, live = (df.where(F.col("norm").between(1e-9, np.finfo(float).max) & (F.col("norm") > 1e-9)) for df in (known, asked))
+    aimed = aimed.groupBy("center", "norm", "dim").agg(F.min("center_id").alias("center_id"))
+    sizes = {r["dim"]: r["count"] for r in live.groupBy("dim").count().collect()}
     for dim, n in aimed.groupBy("dim").count().orderBy("dim").collect():  # a registry has prints of one length, or of a few
+        if dim not in sizes:
+            continue
         most = min(pivots or PIVOTS, max(1, math.isqrt(n)))
         drawn = aimed.where(F.col("dim") == dim).orderBy(F.xxhash64("center_id"), "center_id").limit(most).select("center").toPandas()["center"]
         middle = np.stack(drawn.to_list())
         middle = middle / np.linalg.norm(middle, axis=1, keepdims=True)
-        found.append(_by_pivots(live.where(F.col("dim") == dim), aimed.where(F.col("dim") == dim), middle))
+        found.append(_by_pivots(live.where(F.col("dim") == dim), aimed.where(F.col("dim") == dim), middle, sizes[dim]))
     every = functools.reduce(DataFrame.unionByName, found)
-    every = every if pairs is None else every.observe(pairs, F.count("*").alias("pairs"))
+    every = every if pairs is None else every.observe(pairs, F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
     return every.groupBy("sample_id").agg(F.max_by(F.struct("center_id", "similarity"), F.struct("similarity", -F.col("center_id"))).alias("b")).select("sample_id", "b.*")
 
 
-def _by_pivots(asked: DataFrame, known: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Candidates (sample_id, center_id, similarity) among which the nearest of each sample is."""
-    nearest = lambda angles, part: (np.arange(len(part)), angles.argmin(axis=1), angles.min(axis=1))
-    listed = _angles("center", pivots, ["center_id", "center"], "center_id long, center array<double>, pivot int, angle double", nearest)(known)
-    reach = {r["pivot"]: (r["low"], r["high"]) for r in listed.groupBy("pivot").agg(F.min("angle").alias("low"), F.max("angle").alias("high")).collect()}  # a row for each pivot
-    low, high = (np.array([reach.get(i, (np.inf, -np.inf))[k] for i in range(len(pivots))]) for k in (0, 1))
-    here, there = listed.withColumnRenamed("angle", "at"), "sample_id long, embedding array<double>, best double, pivot int, angle double"
-
-    def met(rows: DataFrame) -> DataFrame:
-        both = rows.join(here, "pivot").where(F.abs(F.col("angle") - F.col("at")) <= F.col("best") + 1e-7)
-        return both.select("sample_id", "center_id", V.cosine("embedding", "center").alias("similarity"))
-
-    own = _angles("embedding", pivots, ["sample_id", "embedding", "best"], there, nearest)(asked.withColumn("best", F.lit(math.pi)))
-    best = met(own).groupBy("sample_id").agg(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.max("similarity")))).alias("best"))
-
-    def others(angles, part):
-        bound = np.maximum(angles - high, low - angles)
-        near = (bound <= part["best"].to_numpy()[:, None] + 1e-7) & np.isfinite(low)
-        row, pivot = np.nonzero(near)
-        return row, pivot, angles[row, pivot]
-
-    # The own list is met again, now within the bound; it costs little and keeps its candidates.
-    rest = _angles("embedding", pivots, ["sample_id", "embedding", "best"], there, others)(asked.select("sample_id", "embedding").join(best, "sample_id"))
-    return met(rest)
+def _by_pivots(asked: DataFrame, known: DataFrame, pivots: np.ndarray, n_asked: int) -> DataFrame:
+    """(sample_id, center_id, similarity, pairs): the nearest centre of each sample in each block of centres that may have the nearest of all."""
+    dim = pivots.shape[1]
+    most = max(64, BLOCK // (8 * dim))
+    slots = max(1, -(-n_asked // most), min(64, n_asked // LEAST))
+
+    def placed(df: DataFrame, number: str, vector: str) -> DataFrame:
+        """With the nearest pivot and the angle to it."""
+
+        def run(batches):
+            for batch in batches:
+                _, unit = _vectors(batch.column(1), np.asarray(batch.column(2)))
+                angles = _angles(unit, pivots)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(angles.argmin(axis=1).astype(np.int32)), pa.array(angles.min(axis=1))], [number, vector, "norm", "pivot", "angle"])
+
+        return df.select(number, vector, "norm").mapInArrow(run, f"{number} long, {vector} array<double>, norm double, pivot int, angle double")
+
+    listed = placed(known, "center_id", "center")
+    reach = {r["pivot"]: r for r in listed.groupBy("pivot").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("n")).collect()}  # a row for each pivot
+    low, high = (np.array([reach[i][c] if i in reach else none for i in range(len(pivots))]) for c, none in (("low", np.inf), ("high", -np.inf)))
+    # Short lists share a block, a long one has several.
+    begin, parts, blocks, room = [0] * len(pivots), [1] * len(pivots), 0, 0
+    for i in sorted(reach):
+        n = reach[i]["n"]
+        parts[i] = -(-n // most)
+        if n > room:
+            blocks, room = blocks + parts[i], most if parts[i] == 1 else 0
+        begin[i], room = blocks - parts[i], max(0, room - n)
+    holds = np.zeros((len(pivots), blocks), np.float32)
+    for i in reach:
+        holds[i, begin[i] : begin[i] + parts[i]] = 1
+
+    of = lambda values: F.get(F.lit(values), F.col("pivot"))
+    key = ["block", "slot"]
+    sent = listed.withColumn("block", of(begin) + F.pmod(F.xxhash64("center_id"), of(parts)).cast("int")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    own = placed(asked, "sample_id", "embedding").withColumn("block", of(begin)).withColumn("slot", F.pmod(F.xxhash64("sample_id"), F.lit(slots)).cast("int"))
+
+    def bounded(rows: pa.Table, known: pa.Table) -> pa.Table:
+        """Samples with a bound of their best angle, and the blocks that may have a nearer centre than that."""
+        if not rows.num_rows:
+            return pa.table({"sample_id": pa.array([], pa.int64()), "embedding": pa.array([], pa.list_(pa.float64())), "norm": pa.array([], pa.float64()), "best": pa.array([], pa.float64()), "blocks": pa.array([], pa.list_(pa.int32())), "slot": pa.array([], pa.int32())})
+        norm, pivot, best = _column(rows, "norm"), _column(rows, "pivot"), _column(rows, "angle").copy()  # a pivot is a centre
+        _, unit = _vectors(rows.column("embedding").combine_chunks(), norm)
+        lists = _Lists(known) if known.num_rows else None
+        for p, (a, b) in lists.places.items() if lists else ():
+            for part in _runs(np.flatnonzero(pivot == p), b - a):
+                best[part] = np.minimum(best[part], np.arccos(np.clip((unit[part] @ lists.unit[a:b].T).max(1), -1, 1)))
+        angles = _angles(unit, pivots)
+        near = (np.maximum(angles - high, low - angles) <= best[:, None] + SLACK) & np.isfinite(low)
+        row, block = np.nonzero(near.astype(np.float32) @ holds)
+        ends = np.searchsorted(row, np.arange(len(norm) + 1)).astype(np.int32)
+        return pa.table({"sample_id": rows.column("sample_id"), "embedding": rows.column("embedding"), "norm": norm, "best": best, "blocks": pa.ListArray.from_arrays(pa.array(ends), pa.array(block.astype(np.int32))), "slot": rows.column("slot")})
+
+    def met(rows: pa.Table, known: pa.Table) -> pa.Table:
+        if not rows.num_rows or not known.num_rows:
+            return pa.table({"sample_id": pa.array([], pa.int64()), "center_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64()), "pairs": pa.array([], pa.int64())})
+        norm, lists = _column(rows, "norm"), _Lists(known)
+        raw, unit = _vectors(rows.column("embedding").combine_chunks(), norm)
+        i, j, like, looked = _nearest(raw, unit, norm, _column(rows, "best"), lists, _angles(unit, pivots[lists.pivots]))
+        return pa.table({"sample_id": _column(rows, "sample_id")[i], "center_id": lists.ids[j], "similarity": like, "pairs": looked[i]})
+
+    near = own.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(bounded, "sample_id long, embedding array<double>, norm double, best double, blocks array<int>, slot int")
+    near = near.select("sample_id", "embedding", "norm", "best", "slot", F.explode("blocks").alias("block"))
+    return near.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(met, "sample_id long, center_id long, similarity double, pairs long")

@@ -1,5 +1,7 @@
 """The exact nearest centre against all pairs, and how few of them it looks at."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import Observation
@@ -58,3 +60,32 @@ def test_few_pairs_are_looked_at_where_voices_cluster(spark):
 def test_no_centres_or_no_samples(spark):
     assert found(spark, [(1, [1.0])], []) == {} and found(spark, [], [(1, [1.0])]) == {}
     assert found(spark, [(1, [0.0, 0.0])], [(7, [1.0, 0.0]), (3, [0.0, 1.0])]) == {1: (3, 0.0)}
+
+
+def test_many_vectors_without_structure_take_seconds(spark):
+    rng = np.random.default_rng(7)
+    x, y = rng.standard_normal((2000, 64)), rng.standard_normal((1000, 64))
+    like = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
+    began = time.time()
+    got = found(spark, list(enumerate(x.tolist())), list(enumerate(y.tolist())))
+    assert time.time() - began < 60
+    assert [got[i][0] for i in range(2000)] == like.argmax(1).tolist()
+
+
+def test_equal_centres_are_compared_once_and_short_vectors_as_others(spark):
+    centers = [(i, [1.0, 2.0, 2.0]) for i in range(300, 0, -1)] + [(900, [2e-7, 0.0, 0.0]), (901, [0.0, 2e-7, 0.0])]
+    pairs = Observation()
+    got = found(spark, [(i, [2.0, 4.0, 4.0 + i]) for i in range(50)] + [(99, [3e-7, 1e-8, 0.0])], centers, pairs=pairs)
+    assert {c for i, (c, _) in got.items() if i < 50} == {1} and got[99][0] == 900 and got[99][1] > 0.99
+    assert pairs.get["pairs"] <= 51 * 3
+
+
+@pytest.mark.parametrize("block", [1 << 9, 1 << 12])
+def test_blocks_of_any_size_give_the_same(spark, monkeypatch, block):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(R, "BLOCK", block)
+    monkeypatch.setattr(R, "LEAST", 100)
+    centers = [(i, x) for i, x in enumerate((rng.standard_normal((300, 6)) * [3, 1, 1, 1, 1, 1] + 2).round(1).tolist())]
+    samples = [(i, x) for i, x in enumerate((rng.standard_normal((400, 6)) + 2).round(1).tolist())]
+    got, want = found(spark, samples, centers), plain(samples, centers)
+    assert {i: c for i, (c, _) in got.items()} == {i: c for i, (c, _) in want.items()}
