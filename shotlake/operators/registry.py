@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 from dataclasses import dataclass, field
 
@@ -19,51 +20,180 @@ STATE = "speaker_id string, number long, cam_center array<double>, eres_center a
 SEEN = "video string, cluster long, speaker_id string"
 
 
+def _norm(v: np.ndarray) -> float:
+    """np.linalg.norm of one vector, bit by bit, in less time."""
+    return math.sqrt(v.dot(v))
+
+
 def _unit(v) -> np.ndarray:
     v = np.asarray(v, np.float64)
-    n = np.linalg.norm(v)
+    n = _norm(v)
     return v / n if n > 1e-8 else v
 
 
 def _cosine(a, b) -> float:
     if a is None or b is None or len(a) != len(b):
         return -1.0
-    scale = np.linalg.norm(a) * np.linalg.norm(b)
+    scale = _norm(a) * _norm(b)
     return float(np.dot(a, b) / scale) if scale > 1e-9 else 0.0
 
 
+BATCH = 256  # samples whose products with all centres are made at once
+GROUP = 32  # speakers that share a bound
+FEW = 512  # speakers that are looked at without bounds
+
+
+class _Directions:
+    """The speakers' centres over their norms as rows, by place; odd once one has another length than the first."""
+
+    def __init__(self):
+        self.cam, self.eres, self.odd = None, None, False
+
+    def put(self, place: int, cam: np.ndarray, eres: np.ndarray | None) -> None:
+        self.cam = np.zeros((2 * GROUP, len(cam))) if self.cam is None else self.cam
+        if place == len(self.cam):
+            self.cam, self.eres = np.concatenate([self.cam, np.zeros_like(self.cam)]), None if self.eres is None else np.concatenate([self.eres, self._none(place, self.eres.shape[1])])
+        if eres is not None and self.eres is None:
+            self.eres = self._none(len(self.cam), len(eres) + 1)
+        self.odd = self.odd or len(cam) != self.cam.shape[1] or (eres is not None and len(eres) + 1 != self.eres.shape[1])
+        if not self.odd:
+            self.cam[place] = self._over_norm(cam)
+            if eres is not None:
+                self.eres[place] = [*self._over_norm(eres), 0.0]
+
+    @staticmethod
+    def _none(n: int, width: int) -> np.ndarray:
+        """Rows whose product with any sample's is below zero."""
+        return np.concatenate([np.zeros((n, width - 1)), np.full((n, 1), -2.0)], axis=1)
+
+    @staticmethod
+    def _over_norm(v: np.ndarray) -> np.ndarray:
+        n = _norm(v)
+        return v / n if n > 1e-9 else np.zeros(len(v))
+
+    def takes(self, cam: np.ndarray, eres: np.ndarray | None) -> bool:
+        """Whether products with a sample are cosines."""
+        return not self.odd and len(cam) == self.cam.shape[1] and _norm(cam) > 0.5 and (eres is None or self.eres is None or len(eres) + 1 == self.eres.shape[1] and _norm(eres) > 0.5)
+
+    def scores(self, cam: np.ndarray, eres: np.ndarray | None, at) -> np.ndarray:
+        """Scores with the speakers at some places, but for rounding; where the second print's cosine is all but 0, that of the first."""
+        like = self.cam[at] @ cam
+        if eres is None or self.eres is None:
+            return like
+        other = self.eres[at] @ np.append(eres, 1.0)
+        return np.where(other >= 1e-9, other, like)
+
+    def bounds(self, cams: np.ndarray, eres: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+        """The highest score of each sample in each group of the first n speakers; eres are the second prints of samples `of`."""
+        width, parts = -(-n // GROUP) * GROUP, []
+        for a in range(0, width, 4096):
+            at = slice(a, min(width, a + 4096))
+            like = cams @ self.cam[at].T
+            if len(of) and self.eres is not None:
+                other = np.append(eres, np.ones((len(of), 1)), axis=1) @ self.eres[at].T
+                like[of] = np.where(other >= 1e-9, other, like[of])
+            parts.append(like.reshape(len(cams), -1, GROUP).max(axis=2))
+        return np.concatenate(parts, axis=1)
+
+
 @dataclass
 class Registry:
-    """Speakers in the order of their numbers; a sample of (video, cluster) counts once, so running again changes nothing."""
+    """Speakers in the order of their numbers; a sample of (video, cluster) counts once, so running again changes nothing.
+
+    speakers may be filled from outside, but their centres move in match and match_all only.
+    """
 
     cam_threshold: float = 0.30
     eres_threshold: float = 0.55
     speakers: dict[str, dict] = field(default_factory=dict)
     seen: dict[tuple, str] = field(default_factory=dict)
+    _names: list[str] = field(default_factory=list, init=False, repr=False, compare=False)
+    _rows: _Directions = field(default_factory=_Directions, init=False, repr=False, compare=False)
 
     def match(self, cam, eres=None, video: str | None = None, cluster=None) -> str | None:
         """The speaker of a sample, new if none is like it; None for a sample without a voice print."""
+        return self.match_all([(cam, eres, video, cluster)])[0]
+
+    def match_all(self, samples: list[tuple]) -> list[str | None]:
+        """match of each (cam, eres, video, cluster), in order.
+
+        A decision moves or adds one centre.  So bounds are made for a batch of samples and groups of
+        speakers by products of matrices, and then each sample looks at speakers that were moved or added since, and
+        at groups that may hold one as like as the best so far.  _cosine decides.
+        """
+        out = []
+        for a in range(0, len(samples), BATCH):
+            batch = [(None if cam is None else _unit(cam), None if eres is None else _unit(eres), *rest) for cam, eres, *rest in samples[a : a + BATCH]]
+            self._follow()
+            n, moved, bounds = len(self._names), {}, {}
+            if n > FEW:
+                fit = [i for i, (cam, eres, *_) in enumerate(batch) if cam is not None and self._rows.takes(cam, eres)]
+                of = [k for k, i in enumerate(fit) if batch[i][1] is not None]
+                if fit:
+                    second = np.stack([batch[fit[k]][1] for k in of]) if of else np.zeros((0, 0))
+                    bounds = dict(zip(fit, self._rows.bounds(np.stack([batch[i][0] for i in fit]), second, np.array(of, np.int64), n), strict=True))
+            out += [self._taken(*sample, n, moved, bounds.get(i)) for i, sample in enumerate(batch)]
+        return out
+
+    def _follow(self) -> None:
+        """Takes in speakers that were put from outside."""
+        for name in itertools.islice(self.speakers, len(self._names), None) if len(self.speakers) > len(self._names) else ():
+            self._rows.put(len(self._names), self.speakers[name]["cam"], self.speakers[name]["eres"])
+            self._names.append(name)
+
+    def _best(self, cam: np.ndarray, eres: np.ndarray | None, n: int, moved: dict, bounds: np.ndarray | None) -> tuple[int | None, float, float]:
+        """(place, cosine by cam, by eres) of the first speaker with the highest score."""
+        best = (-1.0, None, -1.0, -1.0)
+
+        def look(places, scores) -> None:
+            nonlocal best
+            for k in np.argsort(-scores):
+                if scores[k] < best[0] - 1e-9:
+                    return
+                decide(int(places[k]))
+
+        def decide(place: int) -> None:
+            nonlocal best
+            s = self.speakers[self._names[place]]
+            like = _cosine(cam, s["cam"]), _cosine(eres, s["eres"])
+            score = like[1] if like[1] >= 0 else like[0]
+            if score > best[0] or (score == best[0] and best[1] is not None and place < best[1]):
+                best = (score, place, *like)
+
+        if bounds is not None and not self._rows.odd:
+            if moved:
+                places = np.fromiter(moved, np.int64, len(moved))
+                look(places, self._rows.scores(cam, eres, places))
+            while bounds[g := int(bounds.argmax())] >= best[0] - 1e-9 and bounds[g] > -np.inf:
+                at = slice(g * GROUP, min(n, (g + 1) * GROUP))
+                bounds[g] = -np.inf
+                look(range(at.start, at.stop), self._rows.scores(cam, eres, at))
+        elif self._names and self._rows.takes(cam, eres):
+            look(range(len(self._names)), self._rows.scores(cam, eres, slice(0, len(self._names))))
+        if best[0] <= 1e-8:  # products do not tell the sign
+            for place in range(len(self._names)):
+                decide(place)
+        return best[1:]
+
+    def _taken(self, cam: np.ndarray | None, eres: np.ndarray | None, video: str | None, cluster, n: int, moved: dict, bounds: np.ndarray | None) -> str | None:
         if cam is None:
             return None
         if cluster is not None and (video, cluster) in self.seen:
             return self.seen[video, cluster]
-        cam, eres = _unit(cam), None if eres is None else _unit(eres)
-        best = (-1.0, None, -1.0, -1.0)
-        for name, s in self.speakers.items():
-            like_cam, like_eres = _cosine(cam, s["cam"]), _cosine(eres, s["eres"])
-            score = like_eres if like_eres >= 0 else like_cam
-            if score > best[0]:
-                best = (score, name, like_cam, like_eres)
-        _, name, like_cam, like_eres = best
-        if name is not None and like_cam >= self.cam_threshold and (like_eres < 0 or like_eres >= self.eres_threshold):
+        place, like_cam, like_eres = self._best(cam, eres, n, moved, bounds)
+        if place is not None and like_cam >= self.cam_threshold and (like_eres < 0 or like_eres >= self.eres_threshold):
+            name = self._names[place]
             s = self.speakers[name]
             for key, sample in (("cam", cam), ("eres", eres)):
                 if sample is not None:
                     s[key] = sample if s[key] is None else _unit((s[key] * s["samples"] + sample) / (s["samples"] + 1))
             s["samples"] += 1
+            self._rows.put(place, s["cam"], s["eres"])
         else:
-            name = f"speaker_{len(self.speakers) + 1}"
+            name, place = f"speaker_{len(self.speakers) + 1}", len(self._names)
             s = self.speakers[name] = {"cam": cam, "eres": eres, "samples": 1, "videos": []}
+            self._follow()
+        moved[place] = None
         if video and video not in s["videos"]:
             s["videos"].append(video)
         if cluster is not None:
@@ -83,7 +213,8 @@ def _folded(samples: DataFrame, start: Registry, cam_threshold: float, eres_thre
     def run(frames):
         registry = Registry(cam_threshold, eres_threshold, {k: {**v, "videos": list(v["videos"])} for k, v in known.items()})
         for pdf in frames:
-            out = [("sample", r.seq, r.video, r.cluster, registry.match(r.cam_emb, r.eres_emb, r.video, None if pd.isna(r.cluster) else r.cluster), None, None, None, None) for r in pdf.itertuples()]
+            names = registry.match_all([(r.cam_emb, r.eres_emb, r.video, None if pd.isna(r.cluster) else r.cluster) for r in pdf.itertuples()])
+            out = [("sample", r.seq, r.video, r.cluster, name, None, None, None, None) for r, name in zip(pdf.itertuples(), names, strict=True)]
             yield pd.DataFrame(out, columns=columns)
         rest = [("speaker", i, None, None, name, s["cam"], s["eres"], s["samples"], s["videos"]) for i, (name, s) in enumerate(registry.speakers.items())]
         yield pd.DataFrame(rest, columns=columns)

@@ -4,8 +4,10 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from shotlake.operators import identity as ID
+from shotlake.operators import registry
 from shotlake.operators import segments as S
 from shotlake.operators.registry import Registry
 
@@ -132,6 +134,60 @@ def test_registry_merges_like_voices_once_for_each_sample():
     assert np.isclose(np.linalg.norm(r.speakers["speaker_1"]["cam"]), 1)
 
 
+def plain_registry(samples, least_cam, least_eres):
+    """Each sample against each speaker, one after another."""
+    cosine = lambda a, b: -1.0 if a is None or b is None or len(a) != len(b) else float(np.dot(a, b) / s) if (s := np.linalg.norm(a) * np.linalg.norm(b)) > 1e-9 else 0.0
+    unit = lambda v: None if v is None else v / n if (n := np.linalg.norm(v)) > 1e-8 else v
+    speakers, out = [], []
+    for cam, eres in samples:
+        if cam is None:
+            out.append(None)
+            continue
+        cam, eres, best = unit(cam), unit(eres), (-1.0, None, -1.0, -1.0)
+        for k, (c, e, _) in enumerate(speakers):
+            x, y = cosine(cam, c), cosine(eres, e)
+            if (y if y >= 0 else x) > best[0]:
+                best = (y if y >= 0 else x, k, x, y)
+        _, k, x, y = best
+        if k is not None and x >= least_cam and (y < 0 or y >= least_eres):
+            c, e, n = speakers[k]
+            speakers[k] = (unit((c * n + cam) / (n + 1)), e if eres is None else eres if e is None else unit((e * n + eres) / (n + 1)), n + 1)
+        else:
+            k = len(speakers)
+            speakers.append((cam, eres, 1))
+        out.append(f"speaker_{k + 1}")
+    return out, speakers
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_a_registry_in_batches_equals_each_sample_against_each_speaker(monkeypatch, odd):
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(registry, "FEW", 20)
+    monkeypatch.setattr(registry, "BATCH", 50)
+    samples = [(rng.integers(-2, 3, 5).astype(float), rng.integers(-2, 3, 4).astype(float) if rng.random() < 0.6 else None) for _ in range(600)]  # small integers, so there are ties and right angles
+    samples[7:7] = [(None, None), (np.zeros(5), np.zeros(4)), (np.ones(5), np.zeros(4)), (np.full(5, 1e-9), None)]
+    if odd:
+        samples[300:300] = [(np.array([3.0, 7.0]), None), (np.array([3.0, 6.0]), None)]
+    for least in ((0.9, 0.9), (0.3, 0.55), (-1.0, -1.0)):
+        if odd and least[0] < 0:
+            continue  # prints of other lengths would be added to one another
+        want, speakers = plain_registry(samples, *least)
+        r, got = Registry(*least), []
+        for a in range(0, len(samples), 70):
+            got += r.match_all([(cam, eres, "v", None) for cam, eres in samples[a : a + 70]])
+        assert got == want
+        assert all((s["cam"] == c).all() and s["samples"] == n for s, (c, _, n) in zip(r.speakers.values(), speakers, strict=True))
+
+
+def test_a_registry_of_many_speakers_looks_at_few(monkeypatch):
+    rng = np.random.default_rng(13)
+    calls, cosine = [], registry._cosine
+    monkeypatch.setattr(registry, "_cosine", lambda a, b: calls.append(1) or cosine(a, b))
+    r, samples = Registry(0.8, 0.8), rng.standard_normal((2000, 16))
+    names = [r.match(x, y, None, i) for i, (x, y) in enumerate(zip(samples, np.roll(samples, 1, axis=0), strict=True))]
+    assert len(set(names)) > 1000 and len(calls) < 20 * len(samples)
+
+
 def test_anchors_equal_a_plain_restatement():
     rng = random.Random(21)
     for _ in range(300):
