@@ -118,7 +118,7 @@ def token_count(spark, d):
 
 def word_alignment(spark, d):
     """Word ranges of sentences; texts whose id is a multiple of ten have a word too many, so they stay whole."""
-    s = _texts(spark, d).withColumn("c", F.transform(T.sentences(F.col("text")), T.token_count))
+    s = _texts(spark, d).withColumn("c", F.coalesce(F.transform(T.sentences(F.col("text")), T.token_count), F.array().cast("array<int>")))
     total = F.aggregate("c", F.lit(0), lambda a, x: a + x) + F.when(F.col("doc_id") % 10 == 0, 1).otherwise(0)
     spans = s.select("doc_id", F.explode(T.word_ranges(F.col("c"), total)).alias("r"))
     return spans.select("doc_id", *(F.col(f"r.{c}").cast("long").alias(c) for c in ("sentence", "first", "last")))

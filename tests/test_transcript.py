@@ -49,3 +49,35 @@ def test_cleaned_outputs_equal_the_sql_on_odd_texts(spark, tmp_path):
     want = sorted(con.execute(SQ.ORACLE_SQL["prompt_clean"]).fetchall())
     got = sorted(tuple(r) for r in SQ.prompt_clean(spark, str(tmp_path)).collect())
     assert len(got) == len(texts) + len(SQ._OUTPUTS) and got == want
+
+
+def test_word_ranges_of_many_sentences_take_seconds(spark):
+    import itertools
+    import random
+    import time
+
+    from shotlake.functions import text as T
+
+    rng = random.Random(3)
+    rows = [(n, [rng.choice([0, 1, 1, 2, 9]) for _ in range(n)]) for n in [*range(40), 99, 100, 101, 2500, 20000]]
+    df = spark.createDataFrame(rows, "n long, c array<int>")
+    total = F.aggregate("c", F.lit(0), lambda a, x: a + x)
+    began = time.time()
+    ranges = lambda n: F.transform(T.word_ranges(F.col("c"), n), lambda x: F.array(x["sentence"], x["first"], x["last"]))
+    got = {r.n: (r.r, r.more) for r in df.select("n", ranges(total).alias("r"), ranges(total + 1).alias("more")).collect()}
+    assert time.time() - began < 60
+    for n, c in rows:
+        ends = list(itertools.accumulate(c))
+        assert got[n] == ([[i, e - k, e - 1] for i, (k, e) in enumerate(zip(c, ends, strict=True)) if k], [[0, 0, sum(c)]])
+
+
+def test_word_alignment_equals_the_sql_where_a_text_is_null(spark, tmp_path):
+    import duckdb
+
+    from shotlake.plans import speech_queries as SQ
+
+    texts = [None, None, "", " ", "One. Two three! 4?\nFive", "a" * 30 + ". ", "One. Two.", None, "x", "y", None, "Ten. Eleven"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(tuple(r) for r in SQ.word_alignment(spark, str(tmp_path)).collect()) == sorted(con.execute(SQ.ORACLE_SQL["word_alignment"]).fetchall())
